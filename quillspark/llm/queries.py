@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import table
 from quillspark.llm.langid import predict_languages
+from quillspark.llm.mixing import poisson_mix, tempered_weights
+from quillspark.llm.sharding import shard
 from quillspark.llm.simhash import simhash_components
 from quillspark.llm.winnow import contamination
 
 
+def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -18,14 +24,36 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return poisson_mix(docs, tempered_weights(docs))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_vector_packing": op1_vector_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_winnowing": op4_winnowing,
+    "op8_poisson_mix": op8_poisson_mix,
     "op9_language_id": op9_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # The inverse of the distribution function by its running sums, which are added in the order that the query adds them.
+    "op8_poisson_mix": """
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS w FROM documents GROUP BY source),
+rates AS (SELECT source, CAST(sum(n) OVER () AS DOUBLE) * w / sum(w) OVER () / n AS rate FROM counts),
+terms AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM terms WHERE k < ceil(rate * 2 + 12 * sqrt(rate) + 20)),
+curves AS (SELECT source, list(cdf ORDER BY k) AS cdfs FROM terms GROUP BY source),
+draws AS (
+  SELECT d.*, list_filter(c.cdfs, lambda x: x <= CAST(('0x' || substr(md5('8:' || d.doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0) AS under
+  FROM documents d JOIN curves c ON d.source = c.source),
+copies AS (SELECT doc_id, text, lang, source, n_chars, CAST(unnest(generate_series(1, len(under))) AS INTEGER) AS copy FROM draws)
+SELECT doc_id, text, lang, source, n_chars, copy, md5('8:' || doc_id || ':' || copy) AS mix_key FROM copies""",
+}
