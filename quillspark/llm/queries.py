@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.backoff import score
 from quillspark.llm.common import table
+from quillspark.llm.interleaved import document_media
 from quillspark.llm.langid import predict_languages
 from quillspark.llm.mixing import poisson_mix, tempered_weights
+from quillspark.llm.secrets import find_secrets
 from quillspark.llm.sharding import shard
 from quillspark.llm.simhash import simhash_components
+from quillspark.llm.toxicity import score_toxicity
+from quillspark.llm.urlrules import filter_urls
 from quillspark.llm.winnow import contamination
 
 
@@ -20,10 +25,30 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Fixed values of the contract: verdict, and host with path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(table(spark, sf_dir, "documents"))
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return poisson_mix(docs, tempered_weights(docs))
@@ -33,12 +58,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_vector_packing": op1_vector_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_winnowing": op4_winnowing,
+    "op5_url_rules": op5_url_rules,
+    "op6_secrets": op6_secrets,
+    "op7_interleaved": op7_interleaved,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_language_id": op9_language_id,
+    "op10_backoff_scores": op10_backoff_scores,
 }
 
 ORACLES: dict[str, str] = {
