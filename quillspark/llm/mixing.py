@@ -20,11 +20,11 @@ def replication_rates(docs: DataFrame, weights: DataFrame, total: float | None =
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("w"))
     known = counts.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(0.0))
-    sums = known.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    goal = F.col("all_n").cast("double") if total is None else F.lit(float(total))
-    # One row: the sums of the table of sources.
-    known = known.join(F.broadcast(sums))
-    return known.select("source", F.when(F.col("all_w") > 0, goal * F.col("w") / F.col("all_w") / F.col("n")).otherwise(0.0).alias("rate"))
+    all_w, all_n = known.agg(F.sum("w"), F.sum("n")).first()
+    if not all_w:
+        return known.select("source", F.lit(0.0).alias("rate"))
+    goal = float(all_n) if total is None else float(total)
+    return known.select("source", (F.lit(goal) * F.col("w") / F.lit(all_w) / F.col("n")).alias("rate"))
 
 
 def unit_hash(seed: int, *columns: str) -> Column:
