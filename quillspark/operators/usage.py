@@ -64,3 +64,66 @@ def gap_sessions(df: DataFrame, key: str, ts: str, gap: float, tie: str) -> Data
     w = Window.partitionBy(key).orderBy(ts, tie)
     started = F.when(F.col(ts) - F.lag(ts).over(w) <= gap, 0).otherwise(1)
     return df.withColumn("_new", started).withColumn("session_no", F.sum("_new").over(w)).drop("_new")
+
+
+def with_user_names(log: DataFrame, users: DataFrame, key: str, user_key: str, name: str) -> DataFrame:
+    """log with user_name; a user without a name is called by the key."""
+    named = users.select(F.col(user_key).alias("_user"), F.col(name).alias("_name"))
+    joined = log.join(named, F.col(key) == F.col("_user"), "left")
+    return joined.withColumn("user_name", F.coalesce("_name", F.concat(F.lit("user #"), F.col(key).cast("string")))).drop("_user", "_name")
+
+
+def is_uncovered(covered: str, feedback: str) -> Column:
+    """Not covered, or said to be unhelpful; no feedback (null) is not negative feedback."""
+    return (F.col(covered) == 0) | F.coalesce(F.col(feedback) == 0, F.lit(False))
+
+
+def lockouts(attempts: DataFrame, key: str, max_failures: int = 5, lock_seconds: int = 900) -> DataFrame:
+    """(key, event_id, outcome) of attempts (key, event_id, at in seconds, ok): passed, failed, locked or refused.
+
+    max_failures failures in a row lock the key; attempts until lock_seconds later are refused and change
+    nothing. The counter starts anew after a lock and after a success. A key's history is folded in one
+    array, so one key's attempts must fit a task, as they do where attempts are limited.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("at", "event_id", "ok")))
+    start = F.struct(F.lit(0).alias("failures"), F.lit(0).cast("long").alias("until"), F.array().cast("array<struct<event_id:bigint,outcome:string>>").alias("out"))
+
+    def step(acc: Column, a: Column) -> Column:
+        refused = a["at"] < acc["until"]
+        locks = ~a["ok"] & (acc["failures"] + 1 >= max_failures)
+        outcome = F.when(refused, "refused").when(a["ok"], "passed").when(locks, "locked").otherwise("failed")
+        return F.struct(
+            F.when(refused, acc["failures"]).when(a["ok"] | locks, 0).otherwise(acc["failures"] + 1).alias("failures"),
+            F.when(refused, acc["until"]).when(locks, a["at"] + lock_seconds).otherwise(F.lit(0).cast("long")).alias("until"),
+            F.concat(acc["out"], F.array(F.struct(a["event_id"].alias("event_id"), outcome.alias("outcome")))).alias("out"),
+        )
+
+    folded = attempts.groupBy(key).agg(F.aggregate(ordered, start, step)["out"].alias("out"))
+    return folded.select(key, F.inline("out"))
+
+
+def sample_count(text: Column) -> Column:
+    """struct<sample_count: long, sample_open: int> of `120` or `500+`; what is no number counts zero."""
+    digits = F.coalesce(F.regexp_extract(F.trim(text), r"^(\d+)\+?$", 1).try_cast("long"), F.lit(0).cast("long"))
+    return F.struct(digits.alias("sample_count"), F.when(F.trim(text).rlike(r"^\d+\+$"), 1).otherwise(0).alias("sample_open"))
+
+
+def epoch_or_zero(text: Column) -> Column:
+    """Seconds of `yyyy-MM-dd HH:mm:ss`; what cannot be read is zero, not null."""
+    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))), F.lit(0).cast("long"))
+
+
+def first_json_object(text: Column, schema: str) -> Column:
+    """The first {...} in a text parsed by schema; null where there is none or it is malformed."""
+    return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")), schema)
+
+
+def parsed_fields(events: DataFrame) -> DataFrame:
+    """Lenient parsing shown on made-up raw fields of events: times, counts with a plus sign, JSON inside prose."""
+    raw_time = F.when(F.col("event_id") % 10 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    raw_count = F.when(F.col("event_id") % 3 == 0, "500+").otherwise((F.col("event_id") % 500).cast("string"))
+    raw_answer = F.when(F.col("event_id") % 4 == 0, "no answer").otherwise(F.concat(F.lit("Sure: "), F.col("props"), F.lit(" - done")))
+    return events.select(
+        "event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), epoch_or_zero(raw_time).alias("at_seconds"),
+        sample_count(raw_count).alias("s"), first_json_object(raw_answer, "k long")["k"].alias("answer_k"),
+    ).select("event_id", "k", "at_seconds", "s.sample_count", "s.sample_open", "answer_k")
