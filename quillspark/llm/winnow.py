@@ -26,33 +26,37 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(CASED_SEPARATORS)), F.lit(0)).cast("long")
 
 
-def fingerprints(df: DataFrame, keys: list[str], span: int) -> DataFrame:
+def fingerprints(df: DataFrame, keys: list[str], span: int, totals: bool = False) -> DataFrame:
     """Rows (keys..., fp, n_before, at, around) of df (keys..., words) for its winnowed k-grams.
 
     around has the k-gram's words and up to span - k words on either side; n_before of them stand before it.
-    Rows of fewer than span words give none.
+    Rows of fewer than span words give none. totals: one more row each, without fp, whose `at` counts the words.
     """
     k = min(5, span)
     reach = span - k
-    each = F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.xxhash64(*[F.element_at("words", i + j) for j in range(k)]))
-    df = df.select(*keys, "words", F.when(F.size("words") >= span, each).alias("grams"))
-
-    # The winner of a window is known by its value; its place is the first in the window.
-    def place(i: Column) -> Column:
-        window = F.slice("grams", i, reach + 1)
-        return (i - 1 + F.array_position(window, F.array_min(window))).cast("int")
-
-    at = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("grams") - reach), place))
-    chosen = F.transform(
-        at,
-        lambda p: F.struct(
-            F.element_at("grams", p).alias("fp"),
+
+    # A k-gram is its hash above its place, so that a window's smallest value names its winner and where it stands.
+    def gram(i: Column) -> Column:
+        return F.shiftleft(F.xxhash64(*[F.element_at("words", i + j) for j in range(k)]), 32).bitwiseOR(i.cast("long"))
+
+    grams = F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), gram)
+    df = df.select(*keys, "words", F.when(F.size("words") >= span, grams).alias("grams"))
+    winners = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("grams") - reach), lambda i: F.array_min(F.slice("grams", i, reach + 1))))
+
+    def row(winner: Column) -> Column:
+        p = winner.bitwiseAND(F.lit((1 << 31) - 1).cast("long")).cast("int")
+        return F.struct(
+            F.shiftright(winner, 32).alias("fp"),
             F.least(p - 1, F.lit(reach)).alias("n_before"),
             p.alias("at"),
             F.slice("words", F.greatest(p - reach, F.lit(1)), F.least(p - 1, F.lit(reach)) + span).alias("around"),
-        ),
-    )
-    df = df.select(*keys, F.explode(F.when(F.col("grams").isNotNull(), chosen)).alias("x"))
+        )
+
+    rows = F.when(F.col("grams").isNotNull(), F.transform(winners, row))
+    if totals:
+        total = F.struct(F.lit(None).cast("long").alias("fp"), F.lit(0).alias("n_before"), F.size("words").alias("at"), F.slice("words", 1, 0).alias("around"))
+        rows = F.concat(F.coalesce(rows, F.slice(F.array(total), 1, 0)), F.array(total))
+    df = df.select(*keys, F.explode(rows).alias("x"))
     return df.select(*keys, "x.fp", "x.n_before", "x.at", "x.around")
 
 
@@ -64,15 +68,17 @@ def _common(n: int, mine, yours) -> Column:
     return found
 
 
-def extended_hits(docs: DataFrame, theirs: DataFrame, span: int) -> DataFrame:
-    """(doc, item_id, first, last) for the runs of at least span words around joined fingerprints; words count from 1.
+def extended_hits(docs: DataFrame, theirs: DataFrame, span: int, totals: bool = False) -> DataFrame:
+    """(doc, n_words, item_id, first, last) for the runs of at least span words around joined fingerprints.
 
-    docs has (doc, words); theirs has the items' fingerprints (item_id, fp, n_before, around).
+    docs has (doc, words); theirs has the items' fingerprints (item_id, fp, n_before, around). Words count from
+    1. n_words is null but in the rows that totals adds, one for each of docs, which have no run.
     """
     k = min(5, span)
     reach = span - k
     theirs = theirs.select("item_id", "fp", F.col("n_before").alias("item_before"), F.col("around").alias("item_around"))
-    joined = fingerprints(docs, ["doc"], span).join(F.broadcast(theirs), "fp")
+    mine = fingerprints(docs, ["doc"], span, totals).withColumnRenamed("fp", "own")
+    joined = mine.join(F.broadcast(theirs), F.col("own") == F.col("fp"), "left" if totals else "inner")
 
     def word(side: str, before: str, offset: int) -> Column:
         return F.try_element_at(side, F.when(F.col(before) + offset > 0, F.col(before) + offset))
@@ -80,9 +86,11 @@ def extended_hits(docs: DataFrame, theirs: DataFrame, span: int) -> DataFrame:
     same = F.slice("around", F.col("n_before") + 1, k) == F.slice("item_around", F.col("item_before") + 1, k)
     left = _common(reach, lambda d: word("around", "n_before", 1 - d), lambda d: word("item_around", "item_before", 1 - d))
     right = _common(reach, lambda d: word("around", "n_before", k + d), lambda d: word("item_around", "item_before", k + d))
-    # Kept in one expression, so that the join looks for equal fingerprints alone and compares words of those only.
-    joined = joined.select("doc", "item_id", "at", F.when(same, left).otherwise(-span).alias("l"), right.alias("r"))
-    return joined.where(F.col("l") + F.col("r") + k >= span).select("doc", "item_id", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + k - 1 + F.col("r")).alias("last"))
+    # Without fp there is nothing to compare; and in one expression the join looks for equal fingerprints alone.
+    run = F.when(F.col("fp").isNotNull(), F.when(same, F.struct((F.col("at") - left).alias("first"), (F.col("at") + k - 1 + right).alias("last"))))
+    n_words = F.when(F.col("own").isNull(), F.col("at")).cast("long")
+    joined = joined.select("doc", n_words.alias("n_words"), "item_id", run.alias("run"))
+    return joined.where((F.col("run.last") - F.col("run.first") + 1 >= span) | F.col("n_words").isNotNull()).select("doc", "n_words", "item_id", "run")
 
 
 def _covered(spans: Column) -> Column:
@@ -94,14 +102,14 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step)["n"]
 
 
-def contamination(docs: DataFrame, items: DataFrame, span: int = 13, min_share: float = 0.05, block_words: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, span: int = 13, one_in: int = 20, block_words: int = 1_000_000) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs (doc_id, text).
 
     A window is span consecutive words of an item (item_id, text); an item of fewer words, but not none, is one
-    window. A document's word inside any occurrence of a window is hit; contaminated: the hit words are at least
-    min_share of its words, and some. The items' fingerprints are broadcast in blocks of those of about
-    block_words words, which bounds a block whatever the table's size; each block passes over the documents once, and items shorter than span once for each of their
-    lengths. Null and empty texts have no words; repeated rows of a document get the same result each; items
+    window. A document's word inside any occurrence of a window is hit; contaminated: the hit words are some, and
+    one in one_in of its words at least. The items' fingerprints are broadcast in blocks of those of about
+    block_words words, which bounds a block whatever the table's size; each block passes over the documents
+    once, and items shorter than span once for each of their lengths. Null and empty texts have no words; repeated rows of a document get the same result each; items
     that share an item_id count once; items without words or id never hit; an empty table of items hits nothing.
     """
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
@@ -113,20 +121,21 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, min_share:
         theirs = fingerprints(asked.where(F.col("span") == length), ["item_id"], length).drop("at").distinct()
         blocks = -(-n_words // block_words)
         for b in range(blocks):
-            hits = extended_hits(words, theirs.where(F.pmod(F.xxhash64("item_id", "fp", "around"), F.lit(blocks)) == b) if blocks > 1 else theirs, length)
+            block = theirs.where(F.pmod(F.xxhash64("item_id", "fp", "around"), F.lit(blocks)) == b) if blocks > 1 else theirs
+            hits = extended_hits(words, block, length, found is None)
             found = hits if found is None else found.union(hits)
-    base = docs.select("doc_id", F.xxhash64("text").alias("h"), count_words(F.col("text")).alias("n_words"))
     if found is None:
-        base = base.withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "ids": F.lit("")})
+        base = docs.select("doc_id", count_words(F.col("text")).alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("ids"))
     else:
-        per_doc = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("ids"))
-        per_doc = per_doc.select(F.col("doc.doc_id").alias("id"), F.col("doc.h").alias("k"), _covered(F.col("spans")).alias("hit"), F.size("ids").cast("long").alias("items"), F.array_join("ids", ",").alias("ids"))
-        base = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("k")), "left")
-        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-        base = base.withColumns({"n_hit": zero("hit"), "n_items": zero("items"), "ids": F.coalesce("ids", F.lit(""))})
-    bad = (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(min_share) * F.col("n_words"))
-    if min_share == 0.05:
-        bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+        # A document's totals are counted, as repeated rows of it come back as often.
+        per_doc = found.groupBy("doc").agg(
+            F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.array_sort(F.collect_set("run")).alias("runs"), F.array_sort(F.collect_set("item_id")).alias("ids"),
+        )
+        base = per_doc.select(
+            "doc.doc_id", "n_words", _covered(F.col("runs")).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("ids"),
+            F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))),
+        )
+    bad = (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))
     return base.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("ids", 256).alias("items_sha256"), bad.alias("contaminated"))
 
 
