@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.plans.usage import ORACLES as USAGE_ORACLES
-from quillspark.plans.usage import QUERIES as USAGE_QUERIES
+from quillspark.plans import ratings, usage
 
-QUERIES = {**USAGE_QUERIES}
-ORACLES = {**USAGE_ORACLES}
+FAMILIES = (usage, ratings)
+QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
+ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
