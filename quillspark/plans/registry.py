@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.plans import governance, ratings, usage
+from quillspark.plans import governance, ratings, retrieval, text, usage
 
-FAMILIES = (usage, ratings, governance)
+FAMILIES = (usage, ratings, governance, text, retrieval)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
