@@ -12,7 +12,7 @@ from quillspark.llm.common import fold_bucket
 UNKNOWN = "und"
 
 
-def learn_dictionaries(docs: DataFrame, slots: int = 64, doc_chars: int = 4096, dict_bytes: int = 110_000) -> dict[str, bytes]:
+def learn_dictionaries(docs: DataFrame, slots: int = 256, doc_chars: int = 4096, dict_bytes: int = 110_000) -> dict[str, bytes]:
     """Raw-content dictionaries by language, from rows of docs (text, lang) that have both.
 
     A bounded sample: for each language at most one document of each of `slots` hash classes, the one with
@@ -31,23 +31,27 @@ def learn_dictionaries(docs: DataFrame, slots: int = 64, doc_chars: int = 4096,
     return {lang: text[-dict_bytes:] for lang, text in sorted(found.items())}
 
 
-def identifier(dictionaries: dict[str, bytes], level: int = 6, block: int = 1024):
+def identifier(dictionaries: dict[str, bytes], level: int = 6, block: int = 1024, short_level: int = 12, short_bytes: int = 512):
     """text -> (language, score). The score is the share by which the best language's size undercuts the next.
 
     Texts are compressed in blocks, so that a dictionary counts for all of a long text and not only its
-    start. Ties go to the first language by name; with one language the score is 1.
+    start; texts of at most short_bytes, where few bytes decide, at a higher level. Ties go to the first
+    language by name; with one language the score is 1.
     """
-    packers = [
-        (lang, zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False))
-        for lang, raw in dictionaries.items()
-    ]
+
+    def packers(at: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
+        plain = dict(write_checksum=False, write_content_size=False, write_dict_id=False)
+        raw = zstandard.DICT_TYPE_RAWCONTENT
+        return [(lang, zstandard.ZstdCompressor(level=at, dict_data=zstandard.ZstdCompressionDict(d, dict_type=raw), **plain)) for lang, d in dictionaries.items()]
+
+    usual, careful = packers(level), packers(short_level)
 
     def identify(text: str | None) -> tuple[str, float]:
-        if not packers or not text or not any(map(str.isalpha, text)):
+        if not usual or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         data = text.lower().encode("utf-8", "replace")
         blocks = [data[at : at + block] for at in range(0, len(data), block)]
-        sizes = sorted((sum(len(p.compress(b)) for b in blocks), lang) for lang, p in packers)
+        sizes = sorted((sum(len(p.compress(b)) for b in blocks), lang) for lang, p in (careful if len(data) <= short_bytes else usual))
         return sizes[0][1], 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
 
     return identify
@@ -64,7 +68,7 @@ def identify_column(text, dictionaries: dict[str, bytes], **options):
     return identified(text)
 
 
-def predict_languages(docs: DataFrame, margin: float = 0.01, **options) -> DataFrame:
+def predict_languages(docs: DataFrame, margin: float = 0.005, **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row of docs (doc_id, text, lang).
 
     Learns from rows whose crc32(doc_id) modulo 3 is not 1 (a null doc_id is never learned from). A text that
@@ -77,7 +81,7 @@ def predict_languages(docs: DataFrame, margin: float = 0.01, **options) -> DataF
     return out.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), (F.col("found.lang").eqNullSafe(UNKNOWN) | (F.col("found.score") < margin)).alias("rejected"))
 
 
-def drop_rejected(docs: DataFrame, margin: float = 0.01, **options) -> DataFrame:
+def drop_rejected(docs: DataFrame, margin: float = 0.005, **options) -> DataFrame:
     """docs with all columns, less the rows that predict_languages rejects."""
     dictionaries = learn_dictionaries(docs.where(~(fold_bucket("doc_id", 3) == 1)))
     found = identify_column(F.col("text"), dictionaries, **options)
