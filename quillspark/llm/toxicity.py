@@ -42,7 +42,8 @@ SWAPS = {term: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, term
 
 def word_features(word: str) -> list[int]:
     """Hashes of a word and of its beginnings of 4, 5 and 6 letters, by which inflected forms agree."""
-    return [crc32(word.encode())] + [crc32(b"^" + word[:n].encode()) for n in (4, 5, 6) if len(word) >= n]
+    hashes = [crc32(word.encode())] + [crc32(b"^" + word[:n].encode()) for n in (4, 5, 6) if len(word) >= n]
+    return [h - (1 << 32) if h >> 31 else h for h in hashes]
 
 
 def text_words(text: str | None) -> set[str]:
@@ -54,7 +55,7 @@ def swapped_words(words: set[str]) -> set[str]:
 
 
 def _features_column(text, swapped: bool):
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>")
     def features(texts: pd.Series) -> pd.Series:
         def of(text: str | None) -> list[int] | None:
             words = text_words(text)
@@ -95,7 +96,7 @@ class ToxicityModel:
         return score
 
 
-def fit(n_rows: int, labels: np.ndarray, entries: tuple[np.ndarray, np.ndarray], swaps: tuple[np.ndarray, np.ndarray, np.ndarray], n_features: int, l2: float, penalty: float, toxic_weight: float = 4.0, rounds: int = 800) -> tuple[np.ndarray, float]:
+def fit(n_rows: int, labels: np.ndarray, entries: tuple[np.ndarray, np.ndarray], swaps: tuple[np.ndarray, np.ndarray, np.ndarray], n_features: int, l2: float, penalty: float, toxic_weight: float = 2.0, rounds: int = 800) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise log-loss (toxic rows weigh toxic_weight) + l2 |w|^2 / 2 + penalty * mean squared score change under swaps.
 
     entries: (row, feature) of each set feature. swaps: (swap, feature, +1 or -1) of each feature that a swapped
@@ -108,6 +109,10 @@ def fit(n_rows: int, labels: np.ndarray, entries: tuple[np.ndarray, np.ndarray],
     w, bias = np.zeros(n_features), float(prior)
     if not n_rows or not n_features:
         return w, bias
+    # Starts from each feature's log-odds, a quarter as a word comes with up to four features: a mark that few texts
+    # have keeps its say then, where descent from zero would let the common marks explain their texts alone.
+    seen, toxic = np.bincount(cols, minlength=n_features), np.bincount(cols, weights=labels[rows], minlength=n_features)
+    w = (np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((seen - toxic + 0.5) / (n_rows - labels.sum() + 1))) / 4
     size = np.bincount(rows, minlength=n_rows)
     moved = np.bincount(swap, minlength=n_swaps)
     # The loss's curvature is at most diagonal: a column's bound is the sum of its rows' sizes.
@@ -132,17 +137,19 @@ def fit(n_rows: int, labels: np.ndarray, entries: tuple[np.ndarray, np.ndarray],
     return w, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, max_features: int = 1024, min_docs: int = 4, l2: float = 2e-6, penalty: float = 1.0) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, max_features: int = 1024, min_docs: int = 4, min_gain: float = 14.0, l2: float = 2e-6, penalty: float = 1.0) -> ToxicityModel:
     """Fit on docs (doc_id, text) joined to labels (doc_id, toxic 0/1).
 
     Learns from a bounded sample, the max_rows labelled ids with the smallest hashes, and from the max_features
-    features whose presence tells most about the label there (by the G statistic); other rows and columns never
-    reach the driver. An id with several labels counts as toxic if one says so.
+    features whose presence tells most about the label there (by the G statistic, at
+    least min_gain, which chance seldom reaches); other rows and columns never
+    reach the driver. An id with several labels counts as toxic if one says so, and a repeated
+    row is learned from as often as it occurs.
     """
     asked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     asked = asked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     found = docs.select("doc_id", "text").join(F.broadcast(asked), F.col("doc_id") == F.col("id"))
-    rows = stored(found.select(F.xxhash64("id", "text").alias("row"), "toxic", _features_column(F.col("text"), False).alias("features"), _features_column(F.col("text"), True).alias("swapped")), "toxicity").dropDuplicates(["row"])
+    rows = stored(found.select(F.monotonically_increasing_id().alias("row"), "toxic", _features_column(F.col("text"), False).alias("features"), _features_column(F.col("text"), True).alias("swapped")), "toxicity")
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("a"))
 
@@ -152,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, max_featur
     a, all_n = F.col("a").cast("double"), F.col("n").cast("double")
     share = n_toxic / max(1, n)
     g = part(a, all_n * share) + part(all_n - a, all_n * (1 - share)) + part(n_toxic - a, (n - all_n) * share) + part(n - n_toxic - all_n + a, (n - all_n) * (1 - share))
-    chosen = counts.where(F.col("n") >= min_docs).select("feature", g.alias("g")).orderBy(F.desc("g"), "feature").limit(max_features)
+    chosen = counts.where(F.col("n") >= min_docs).select("feature", g.alias("g")).where(F.col("g") >= min_gain).orderBy(F.desc("g"), "feature").limit(max_features)
     kept = [r["feature"] for r in chosen.collect()]
     if not kept:
         return ToxicityModel({}, float(np.log((n_toxic + 1) / (n - n_toxic + 10))))
