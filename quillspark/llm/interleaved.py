@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import stored
+from quillspark.llm.common import arrow_batches, stored
 
 PART = "struct<position:int,kind:string,text:string,source:string,caption:string>"
 BLOCKS = frozenset("p div article section h1 h2 h3 h4 h5 h6 li ul ol table tr td th br hr blockquote pre nav header footer main figure title".split())
@@ -189,14 +189,16 @@ def document_media(docs: DataFrame) -> DataFrame:
             rows.append((hashlib.sha256(payload).hexdigest(), len((text or "").encode("utf-8", "surrogatepass")), png(payload)))
         return pd.DataFrame(rows, columns=["digest", "n_bytes", "media"])
 
-    kept = stored(docs.select("doc_id", packed(F.col("text")).alias("m")).select("doc_id", "m.digest", "m.n_bytes", "m.media"), "media")
-
     @F.pandas_udf(FEATURES)
     def features(media: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([media_features(m) for m in media])
 
-    read = kept.select(features("media").alias("f")).select("f.*")
-    per_digest = read.groupBy("digest").agg(*[F.first(c).alias(c) for c in read.columns[1:]])
+    # Media are large values: a few hundred at a time, and in small row groups, keep a task's memory low.
+    with arrow_batches(docs.sparkSession, 256):
+        made = docs.select("doc_id", packed(F.col("text")).alias("m")).select("doc_id", "m.digest", "m.n_bytes", "m.media")
+        kept = stored(made, "media", **{"parquet.block.size": str(16 << 20)})
+        read = kept.select(features("media").alias("f")).select("f.*")
+        per_digest = stored(read.groupBy("digest").agg(*[F.first(c).alias(c) for c in read.columns[1:]]), "features")
     page = F.concat(F.lit('<article><figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     # Rows with one doc_id and digest are alike, so the pair names a page and its copies are counted.
     pages = kept.groupBy("doc_id", "digest", "n_bytes").agg(F.count("*").alias("copies"))
