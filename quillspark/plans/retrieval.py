@@ -25,16 +25,20 @@ def term_stats(spark, sf_dir):
     return retrieval.term_stats(retrieval.term_table(passages(spark, sf_dir), "doc_id", "text"))
 
 
-def _bm25(spark, sf_dir):
-    docs = passages(spark, sf_dir)
-    n, mean = retrieval.corpus_size(docs, "text")
-    return retrieval.bm25(questions(spark, sf_dir), retrieval.term_table(docs, "doc_id", "text"), "doc_id", n, mean)
+def _index(spark, sf_dir):
+    """The term table of the passages, written once for all that a query reads of it."""
+    return retrieval.write_terms(retrieval.term_table(passages(spark, sf_dir), "doc_id", "text"), work_folder(spark, "terms"))
 
 
-def _by_length(spark, sf_dir):
+def _bm25(spark, sf_dir, terms=None):
+    n, mean = retrieval.corpus_size(passages(spark, sf_dir), "text")
+    return retrieval.bm25(questions(spark, sf_dir), _index(spark, sf_dir) if terms is None else terms, "doc_id", n, mean)
+
+
+def _by_length(spark, sf_dir, terms=None):
     """A second ranking that SQL can express: for each query the documents that share most of its words, shortest first."""
     asked = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.split("question", " "))).alias("term"))
-    terms = retrieval.term_table(passages(spark, sf_dir), "doc_id", "text")
+    terms = _index(spark, sf_dir) if terms is None else terms
     shared = asked.join(terms, "term").groupBy("query_id", "doc_id", "length").agg(F.count("*").alias("score"))
     return retrieval.ranked(shared, "score", ["length", "doc_id"], 20).drop("length")
 
@@ -50,16 +54,20 @@ def vector_topk(spark, sf_dir):
 
 
 def rrf_fusion(spark, sf_dir):
-    return retrieval.fuse([_by_length(spark, sf_dir), _bm25(spark, sf_dir)], "doc_id").where("pos <= 20").select("query_id", "doc_id", F.round("score", 9).alias("score"), "pos")
+    terms = _index(spark, sf_dir)
+    return retrieval.fuse([_by_length(spark, sf_dir, terms), _bm25(spark, sf_dir, terms)], "doc_id").where("pos <= 20").select("query_id", "doc_id", F.round("score", 9).alias("score"), "pos")
 
 
 def hybrid_search(spark, sf_dir):
+    terms = _index(spark, sf_dir)
     carried = questions(spark, sf_dir).select("query_id", F.col("query_id").alias("doc_id"))
-    return retrieval.hybrid(questions(spark, sf_dir), [_by_length(spark, sf_dir), _bm25(spark, sf_dir)], passages(spark, sf_dir), "doc_id", "file", keyword_score, carried)
+    channels = [_by_length(spark, sf_dir, terms), _bm25(spark, sf_dir, terms)]
+    return retrieval.hybrid(questions(spark, sf_dir), channels, passages(spark, sf_dir), "doc_id", "file", keyword_score, carried)
 
 
 def hybrid_plain(spark, sf_dir):
-    return retrieval.hybrid(questions(spark, sf_dir), [_by_length(spark, sf_dir), _bm25(spark, sf_dir)], passages(spark, sf_dir), "doc_id", "file").drop("score")
+    terms = _index(spark, sf_dir)
+    return retrieval.hybrid(questions(spark, sf_dir), [_by_length(spark, sf_dir, terms), _bm25(spark, sf_dir, terms)], passages(spark, sf_dir), "doc_id", "file").drop("score")
 
 
 def coverage_selection(spark, sf_dir):
@@ -72,8 +80,9 @@ def coverage_selection(spark, sf_dir):
 
 
 def fallback_merge(spark, sf_dir):
-    hits = _bm25(spark, sf_dir).withColumn("score", F.col("score") / 60)
-    faq = _by_length(spark, sf_dir).where("pos <= 3").select("query_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "pos")
+    terms = _index(spark, sf_dir)
+    hits = _bm25(spark, sf_dir, terms).withColumn("score", F.col("score") / 60)
+    faq = _by_length(spark, sf_dir, terms).where("pos <= 3").select("query_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "pos")
     pages = load(spark, sf_dir, "pages").where("page_id < 5").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), (F.col("page_id") + 1).cast("int").alias("pos"))
     info = questions(spark, sf_dir).select("query_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("pos")).join(pages, "pos").select("query_id", "id", "pos")
     return retrieval.with_fallback(hits, questions(spark, sf_dir), faq, info, "id")
