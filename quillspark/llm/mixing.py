@@ -51,7 +51,7 @@ def poisson_inverse(rate: Column, u: Column, chunk: float = 16.0) -> Column:
     return F.when(rate <= 0, 0).when(rate > 600, F.round(rate).cast("int")).otherwise(drawn)
 
 
-def poisson_mix(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: int = 8, shuffle: bool = True) -> DataFrame:
+def poisson_mix(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: int = 8, shuffle: bool = True, max_broadcast: int = 100_000) -> DataFrame:
     """docs' columns plus copy (int, from 1) and mix_key (string): every document as often as its draw says.
 
     The number of copies inverts the Poisson distribution with the source's rate at a hash of (seed, doc_id),
@@ -60,10 +60,13 @@ def poisson_mix(docs: DataFrame, weights: DataFrame, total: float | None = None,
     a source of its own; a null doc_id is hashed as the empty text; an empty table gives an empty table.
     Weights are one row a source and as large as the configuration that names them.
     """
-    rates = replication_rates(docs, weights, total).select(F.col("source").alias("_source"), "rate")
+    rates = replication_rates(docs, weights, total).where("rate > 0").select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    # As a rule sources are few and their table is broadcast; beyond max_broadcast they are joined by a shuffle.
+    if rates.limit(max_broadcast + 1).count() <= max_broadcast:
+        rates = F.broadcast(rates)
     drawn = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")), "inner")
-    drawn = drawn.withColumn("_n", poisson_inverse(F.col("rate"), unit_hash(seed, "doc_id"))).where("_n > 0")
-    out = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    drawn = drawn.withColumn("_draw", poisson_inverse(F.col("_rate"), unit_hash(seed, "doc_id"))).where("_draw > 0")
+    out = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_draw"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
     out = out.withColumn("mix_key", key)
     return out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key") if shuffle else out

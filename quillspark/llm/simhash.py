@@ -191,9 +191,12 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Rows without a doc_id cannot be named and are all kept. Of rows that repeat a kept doc_id one stays.
     """
-    kept = stored(simhash_components(docs, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
-    if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    return out.unionByName(nameless)
+    found = stored(simhash_components(docs, **options).select("doc_id", "component_id"), "components")
+    # Few documents go as a rule, so those are named, and not the many that stay.
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return out
+    named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(out.where("doc_id is null"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators, after and before A-Z are lower-cased.
 SEPARATORS, CASED_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -140,7 +142,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, one_in: int
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs with all columns, less the documents that contamination marks; rows without a doc_id are judged alike."""
-    keyed = docs.select(*docs.columns)
+    """docs with all columns, less the documents that contamination marks; rows that share a doc_id, or have none, go together."""
     marked = contamination(docs.select("doc_id", "text"), items, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return keyed.join(marked, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    # Stored, so that the join is planned with the size of what goes, which is small as a rule.
+    return docs.join(stored(marked, "contaminated"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
