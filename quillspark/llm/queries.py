@@ -75,7 +75,35 @@ QUERIES = {
     "op10_backoff_scores": op10_backoff_scores,
 }
 
+#: A-Z lower-cased, then runs of a-z, 0-9 and non-ASCII characters.
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
 ORACLES: dict[str, str] = {
+    # Every window of every item against every window of every document.
+    "op4_winnowing": f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+spans AS (SELECT item_id, w, least(13, len(w)) AS span FROM items WHERE len(w) > 0),
+item_at AS (SELECT item_id, w, span, unnest(generate_series(1, len(w) - span + 1)) AS i FROM spans),
+wanted AS (SELECT DISTINCT item_id, span, array_to_string(w[i:i + span - 1], ' ') AS win FROM item_at),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+doc_at AS (SELECT doc_id, w, span, unnest(generate_series(1, len(w) - span + 1)) AS i FROM docs, (SELECT DISTINCT span FROM spans) WHERE len(w) >= span),
+hits AS (SELECT doc_id, item_id, i, d.span FROM (SELECT doc_id, span, i, array_to_string(w[i:i + span - 1], ' ') AS win FROM doc_at) d JOIN wanted USING (span, win)),
+hit_words AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + span - 1)) AS spot FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
+    # Holds while the corpus has at most 2^20 words, as the vocabulary then has all.
+    "op10_backoff_scores": r"""
+WITH seqs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') AS w FROM documents),
+pairs AS (
+  SELECT doc_id, unnest(list_prepend('', w)) AS p, unnest(list_append(w, '')) AS w FROM seqs),
+one AS (SELECT w, count(*) AS n FROM pairs GROUP BY w),
+two AS (SELECT p, w, count(*) AS n FROM pairs GROUP BY p, w),
+scored AS (
+  SELECT doc_id, CASE WHEN two.n >= 2 THEN ln(CAST(two.n AS DOUBLE) / a.n) ELSE ln(CAST(0.4 AS DOUBLE) * b.n / (SELECT count(*) FROM pairs)) END AS s
+  FROM pairs JOIN two ON two.p = pairs.p AND two.w = pairs.w JOIN one a ON a.w = pairs.p JOIN one b ON b.w = pairs.w)
+SELECT doc_id, count(*) AS n_tokens, round(sum(s), 4) AS log_score, round(sum(s) / count(*), 6) AS mean_log_score FROM scored GROUP BY doc_id""",
     # The inverse of the distribution function by its running sums, which are added in the order that the query adds them.
     "op8_poisson_mix": """
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS w FROM documents GROUP BY source),
