@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +14,12 @@ from quillspark.llm.common import stored
 DIMENSIONS = ("bytes", "tokens", "rows")
 
 
+#: What a dimension counts in the dot product; bytes are the law, so they lead where dimensions disagree.
+WEIGHTS = np.array([4.0, 1.0, 1.0])
+
+
 def pack(vectors: np.ndarray, bins: int) -> np.ndarray:
-    """The bin of each vector: large ones first, each where its dot product with the residual capacity is highest.
+    """The bin of each vector: large ones first, each where its weighted dot product with the residual capacity is highest.
 
     A bin's capacity is an equal share of the sum in every dimension and the residual what is left of it, below
     zero once the bin is over. Ties go to the lower bin.
@@ -22,20 +28,43 @@ def pack(vectors: np.ndarray, bins: int) -> np.ndarray:
     share = vectors / np.where(total > 0, total, 1)
     residual = np.full((bins, vectors.shape[1]), 1 / bins)
     out = np.zeros(len(vectors), np.int64)
-    for i in np.argsort(-share.sum(axis=1), kind="stable"):
-        out[i] = np.argmax(np.round(residual @ share[i], 18))
+    for i in np.argsort(-share @ WEIGHTS, kind="stable"):
+        out[i] = np.argmax(np.round(residual @ (WEIGHTS * share[i]), 18))
         residual[out[i]] -= share[i]
     return out
 
 
+def assign(bins: list, total: list[int], shards: int, parts: int = 4) -> list[int]:
+    """The shard of each of bins (cell, piece, bytes, tokens, rows), sorted by cell and piece.
+
+    Pieces of one text go together, unless the text has more than a shard's share over `parts`; then they go in
+    runs of about that share each.
+    """
+    vectors = np.array([[b[d] for d in DIMENSIONS] for b in bins], np.float64).reshape(-1, 3)
+    units: list[int] = []
+    at = 0
+    while at < len(bins):
+        end = at
+        while end < len(bins) and bins[end]["cell"] == bins[at]["cell"]:
+            end += 1
+        n = max(1, math.ceil((vectors[at:end].sum(axis=0) / total).max() * parts * shards)) if bins[at]["piece"] >= 0 else 1
+        first = units[-1] + 1 if units else 0
+        units += [first + i * n // (end - at) for i in range(end - at)]
+        at = end
+    ids, unit_of = np.unique(np.array(units, np.int64), return_inverse=True)
+    sums = np.zeros((len(ids), 3))
+    np.add.at(sums, unit_of, vectors)
+    return pack(sums, shards)[unit_of].tolist()
+
+
 def shard(docs: DataFrame, shards: int = 24, cells: int = 4096) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs (doc_id, text).
 
     A group is all rows of one text. Small groups are gathered by hash into cells, a fixed number whatever the
-    input's size, which are packed whole; a group that outgrows a cell's share in any dimension is dealt into
-    pieces of about that share by a hash of doc_id, and the pieces are packed too, so one text may fill any
-    part of the input. Packed vectors number `cells` plus at most a few pieces for each, and only they
-    reach the driver. Sizes of shards are near equal (law `bytes`); slots count from 0 without gaps in each.
+    input's size, which are packed whole. A group that outgrows a cell's share in any dimension is packed by
+    itself: whole, up to a quarter of a shard, else in runs of about that size, so one text may fill any part
+    of the input. Its rows are dealt by a hash of doc_id into pieces of a cell's share, which tasks number.
+    Cells and pieces are a few times `cells` at most, and only their sums reach the driver. Sizes of shards are near equal (law `bytes`); slots count from 0 without gaps in each.
 
     size: UTF-8 bytes plus 8. Null and empty texts have 8 and the same crc and group. A null doc_id is dealt
     like others. Repeated rows each get a slot of their own. An empty table gives an empty table.
@@ -56,11 +85,11 @@ def shard(docs: DataFrame, shards: int = 24, cells: int = 4096) -> DataFrame:
     cell = F.when(F.col("pieces").isNotNull(), F.lower(F.hex("digest"))).otherwise(F.pmod(F.xxhash64("digest"), F.lit(cells)).cast("string"))
     dealt = rows.join(F.broadcast(large), "digest", "left").withColumn("piece", piece).withColumn("cell", cell)
     bins = dealt.groupBy("cell", "piece").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("cell", "piece").collect()
-    where = pack(np.array([[b[d] for d in DIMENSIONS] for b in bins], np.float64).reshape(-1, 3), shards)
+    to = assign(bins, total, shards)
     start, plan = [0] * shards, []
-    for b, to in zip(bins, where.tolist(), strict=True):
-        plan.append((b["cell"], b["piece"], to, start[to]))
-        start[to] += b["rows"]
+    for b, shard_no in zip(bins, to, strict=True):
+        plan.append((b["cell"], b["piece"], shard_no, start[shard_no]))
+        start[shard_no] += b["rows"]
     plan_table = docs.sparkSession.createDataFrame(plan, "cell string, piece int, shard int, start long")
     # Rows of a cell or piece are numbered apart and then moved to its start, so no task sees a whole shard.
     order = Window.partitionBy("cell", "piece").orderBy("doc_id", "digest")

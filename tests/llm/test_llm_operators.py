@@ -71,6 +71,15 @@ def test_a_hot_text_is_dealt_over_shards(spark):
     assert sharding.shard(rows(spark, []), 8).count() == 0
 
 
+def test_texts_stay_together_up_to_a_quarter_of_a_shard(spark):
+    docs = rows(spark, [f"text number {i // 9}" for i in range(900)] + ["hot"] * 300)
+    out = sharding.shard(docs, 8, 512).toPandas()
+    out["text"] = out["doc_id"].map(lambda i: f"{i // 9}" if i < 900 else "hot")
+    spread = out.groupby("text")["shard"].nunique()
+    assert (spread.drop("hot") == 1).all() and spread["hot"] > 1
+    assert out.groupby("shard")["size"].sum().pipe(lambda s: s.max() / s.mean()) < 1.1
+
+
 def test_packing_balances_every_dimension():
     rng = np.random.default_rng(1)
     v = np.column_stack([rng.pareto(2, 4000) + 1, rng.pareto(2, 4000) + 1, np.ones(4000)])
