@@ -25,16 +25,30 @@ def hash_features(text: str) -> list[str]:
     return features
 
 
-def hash_embedding(text: str | None, size: int = 384) -> list[float]:
-    """Feature hashing: the digest's remainder names the place and its top bit the sign; length one, or zero without words."""
-    digests = b"".join(blake2b(f.encode(), digest_size=8).digest() for f in hash_features(text or ""))
-    values = np.frombuffer(digests, "<u8")
+def hash_embedding(text: str | None, size: int = 384, known: dict[str, int] | None = None) -> list[float]:
+    """Feature hashing: the digest's remainder names the place and its top bit the sign; length one, or zero without words.
+
+    known keeps the digests of features between calls; it is emptied when it holds many.
+    """
+    known = {} if known is None else known
+    if len(known) > 1_000_000:
+        known.clear()
+    features = hash_features(text or "")
+    for f in features:
+        if f not in known:
+            known[f] = int.from_bytes(blake2b(f.encode(), digest_size=8).digest(), "little")
+    values = np.fromiter((known[f] for f in features), np.uint64, len(features))
     signs = np.where(values >> np.uint64(63), -1.0, 1.0)
     vector = np.bincount((values % np.uint64(size)).astype(np.int64), weights=signs, minlength=size)
     norm = float(np.sqrt(vector @ vector))
     return (vector / norm if norm else vector).tolist()
 
 
+def load_hash_embedding() -> Callable[[list[str]], list]:
+    known: dict[str, int] = {}
+    return lambda texts: [hash_embedding(t, known=known) for t in texts]
+
+
 def embedder(load: Callable[[], Callable[[list[str]], list]], batch: int = 64) -> Callable[[Column], Column]:
     """A column function for a model: load() runs once in each task and gives texts -> vectors."""
 
@@ -48,7 +62,7 @@ def embedder(load: Callable[[], Callable[[list[str]], list]], batch: int = 64) -
     return embed
 
 
-hash_embedder = embedder(lambda: lambda texts: [hash_embedding(t) for t in texts])
+hash_embedder = embedder(load_hash_embedding)
 
 
 def reranker(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]) -> Callable[[Column, Column], Column]:

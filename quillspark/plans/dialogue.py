@@ -45,14 +45,14 @@ def cluster_assignment(spark, sf_dir):
 
 
 def comment_review(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(30)).alias("comment"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("comment"))
     answer = F.when(F.col("doc_id") % 4 == 0, '{"verdict": "junk"}').when(F.col("doc_id") % 4 == 1, 'x {"verdict": "sanitized", "text": " fine "} y').when(F.col("doc_id") % 4 == 2, '{"verdict": "sanitized"}')
-    answers = docs.where("doc_id % 3 <> 0").select("doc_id", answer.alias("answer"))
+    answers = load(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id", answer.alias("answer"))
     return dialogue.reviewed(docs, "doc_id", "comment", answers)
 
 
 def context_numbering(spark, sf_dir):
-    turns = load(spark, sf_dir, "conversations").where("turn % 5 <> 4").select("conv_id", "turn", F.left("text", F.lit(3)).alias("title"), "role", F.left("text", F.lit(20)).alias("text"))
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.left("text", F.lit(3)).alias("title"), "role", "text")
     asked = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 2).alias("conv_id")).union(load(spark, sf_dir, "conversations").select("conv_id")).distinct()
     return dialogue.contexts(turns, "conv_id", "turn", "title", "role", "text", asked)
 
@@ -68,7 +68,7 @@ def slang_edits(spark, sf_dir):
     """Brands as terms; orders of two priorities as edits, the greatest key last."""
     parts = load(spark, sf_dir, "part")
     terms = parts.groupBy(F.col("p_brand").alias("term")).agg(F.lit("course").alias("type"), F.array(F.min("p_name")).alias("names")).where("term < 'Brand#40'")
-    orders = load(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
+    orders = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     brand = F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 60).cast("string"))
     edits = orders.select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_custkey") % 2 == 0, "set").otherwise("delete").alias("action"), brand.alias("term"), F.when(F.col("o_custkey") % 3 == 0, "rag").otherwise("course").alias("type"), F.array(F.concat(F.lit("name"), (F.col("o_custkey") % 4).cast("string")), F.lit("gone")).alias("names"))
     known = spark.createDataFrame([("name0",), ("name2",)], "name string")
@@ -100,11 +100,11 @@ WITH r AS (
   SELECT doc_id, unnest([(0, doc_id), (0, doc_id + 1), (1, doc_id), (1, 7)]) AS x FROM documents WHERE doc_id % 5 > 1)
 SELECT doc_id, x[2] AS comment_id, CAST(min(x[1]) AS INTEGER) AS cluster FROM r GROUP BY doc_id, x[2]""",
     "comment_review": """
-SELECT doc_id, text[1:30] AS comment, CASE WHEN doc_id % 3 = 0 THEN 'keep' WHEN doc_id % 4 = 0 THEN 'junk' WHEN doc_id % 4 = 1 THEN 'sanitized' ELSE 'keep' END AS verdict,
-  CASE WHEN doc_id % 3 = 0 THEN text[1:30] WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'fine' ELSE text[1:30] END AS shown
+SELECT doc_id, text AS comment, CASE WHEN lang = 'de' THEN 'keep' WHEN doc_id % 4 = 0 THEN 'junk' WHEN doc_id % 4 = 1 THEN 'sanitized' ELSE 'keep' END AS verdict,
+  CASE WHEN lang = 'de' THEN text WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'fine' ELSE text END AS shown
 FROM documents""",
     "context_numbering": """
-WITH h AS (SELECT conv_id, turn, text[1:3] AS title, role, text[1:20] AS text FROM conversations WHERE turn % 5 <> 4),
+WITH h AS (SELECT conv_id, turn, text[1:3] AS title, role, text FROM conversations),
 f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, title, role) AS first FROM h),
 n AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS n FROM f),
 m AS (SELECT conv_id, max(n) AS n_sources, string_agg('[' || n || '] ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context FROM n GROUP BY conv_id),
@@ -115,7 +115,7 @@ SELECT conv_id, CAST(coalesce(n_sources, 0) AS INTEGER) AS n_sources, coalesce(c
 WITH terms AS (SELECT p_brand AS term, 'course' AS type, min(p_name) AS names FROM part GROUP BY 1 HAVING p_brand < 'Brand#40'),
 edits AS (
   SELECT o_orderkey AS seq, CASE WHEN o_custkey % 2 = 0 THEN 'set' ELSE 'delete' END AS action, 'Brand#' || (o_orderkey % 60) AS term,
-    CASE WHEN o_custkey % 3 = 0 THEN 'rag' ELSE 'course' END AS type, 'name' || (o_custkey % 4) AS names FROM orders WHERE o_orderkey % 7 = 0),
+    CASE WHEN o_custkey % 3 = 0 THEN 'rag' ELSE 'course' END AS type, 'name' || (o_custkey % 4) AS names FROM orders WHERE o_orderstatus = 'F'),
 last AS (SELECT * FROM edits WHERE action = 'delete' OR names IN ('name0', 'name2') QUALIFY row_number() OVER (PARTITION BY term ORDER BY seq DESC) = 1)
 SELECT coalesce(t.term, e.term) AS term, CASE WHEN e.action = 'set' THEN e.type ELSE t.type END AS type, CASE WHEN e.action = 'set' THEN e.names ELSE t.names END AS names
 FROM terms t FULL JOIN last e ON t.term = e.term

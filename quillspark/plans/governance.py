@@ -63,7 +63,7 @@ def metadata(spark, sf_dir):
         F.when(F.col("quality") == 1, "2024-05-01").when(F.col("quality") == 0, "May 2024").alias("publish_date"), F.when(F.col("toxic") == 1, "false").alias("valid"), status.alias("review_status"),
         F.when(F.col("quality") == 1, "2024-06-01").alias("last_checked_at"), F.when(F.col("quality") == 1, "editor").alias("maintainer"),
         F.lit(None).cast("array<string>").alias("applies_to"), F.lit(None).cast("array<string>").alias("campuses"), F.array(org).alias("colleges"),
-        F.concat(F.when(F.col("lang") == "en", "本科 玉泉 ").when(F.col("lang") == "de", "本科新生 研究生 海宁 ").otherwise(""), F.left("text", F.lit(50))).alias("body"),
+        F.concat(F.when(F.col("lang") == "en", "本科 玉泉 ").when(F.col("lang") == "de", "本科新生 研究生 海宁 ").otherwise(""), "text").alias("body"),
     )
 
 

@@ -29,8 +29,8 @@ def page_urls(spark, sf_dir):
 
 
 def registry_coverage(spark, sf_dir):
-    urls = load(spark, sf_dir, "pages").select(F.regexp_extract("url", r"://(?:www\.|m\.|blog\.)?([^/?#]+)", 1).alias("host"), F.regexp_extract("url", r"://[^/]+/([a-z]+)", 1).alias("column"), "page_id")
-    found = pages.registry_coverage(urls, urls.where("page_id % 3 = 0"))
+    urls = load(spark, sf_dir, "pages").select(F.regexp_extract("url", r"://(?:www\.|m\.|blog\.)?([^/?#]+)", 1).alias("host"), F.regexp_extract("url", r"://[^/]+/([a-z]+)", 1).alias("column"), "url")
+    found = pages.registry_coverage(urls, urls.where("url LIKE 'https:%'"))
     return found.select("host", "n_columns", "n_registered", F.array_join("missing", ",").alias("missing"))
 
 
@@ -62,8 +62,8 @@ SELECT page_id, host, regexp_extract(url, '://[^/]+/([a-z]+)', 1) AS column_name
   CASE WHEN page_id % 6 = 0 THEN '2023-05-01' WHEN m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 THEN '2024-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') ELSE 'unknown' END AS published
 FROM p""",
     "registry_coverage": r"""
-WITH u AS (SELECT regexp_extract(url, '://(?:www\.|m\.|blog\.)?([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/]+/([a-z]+)', 1) AS col, page_id FROM pages),
-r AS (SELECT DISTINCT u.host, u.col, k.col IS NOT NULL AS known FROM u LEFT JOIN (SELECT DISTINCT host, col FROM u WHERE page_id % 3 = 0) k ON k.host = u.host AND k.col = u.col)
+WITH u AS (SELECT regexp_extract(url, '://(?:www\.|m\.|blog\.)?([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/]+/([a-z]+)', 1) AS col, url FROM pages),
+r AS (SELECT DISTINCT u.host, u.col, k.col IS NOT NULL AS known FROM u LEFT JOIN (SELECT DISTINCT host, col FROM u WHERE url LIKE 'https:%') k ON k.host = u.host AND k.col = u.col)
 SELECT host, count(*) AS n_columns, CAST(count(*) FILTER (known) AS BIGINT) AS n_registered, coalesce(string_agg(col, ',' ORDER BY col) FILTER (NOT known), '') AS missing FROM r GROUP BY host""",
     "richest_version": r"""
 WITH v AS (SELECT regexp_extract(url, '://(?:www\.|m\.|blog\.)?([^/?#]+)', 1) AS host, page_id, CAST(length(html) AS INTEGER) AS chars FROM pages)

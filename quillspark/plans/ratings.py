@@ -96,10 +96,10 @@ def prefix_course_match(spark, sf_dir):
 def resolve_chain(spark, sf_dir):
     users = load(spark, sf_dir, "customer").select("c_custkey", "c_name", F.regexp_extract("c_name", r"(\d+)$", 1).alias("digits"))
     users = users.withColumn("tail", F.right("digits", F.lit(2)))
-    names = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.regexp_replace("s_name", "Supplier", "Customer").alias("name"))
-    exact = names.where("id % 2 = 0").select(F.col("name").alias("term"), "id")
-    digits = names.where("id % 3 = 0").select(F.regexp_extract("name", r"(\d+)$", 1).alias("term"), "id")
-    tails = names.where("id % 5 = 0").select(F.right("name", F.lit(2)).alias("term"), "id")
+    names = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.regexp_replace("s_name", "Supplier", "Customer").alias("name"), "s_acctbal")
+    exact = names.where("s_acctbal > 5000").select(F.col("name").alias("term"), "id")
+    digits = names.where("s_acctbal > 2000").select(F.regexp_extract("name", r"(\d+)$", 1).alias("term"), "id")
+    tails = names.where("s_acctbal > -500").select(F.right("name", F.lit(2)).alias("term"), "id")
     return entities.resolve(users, "c_custkey", [("name", "c_name", exact), ("digits", "digits", digits), ("tail", "tail", tails)])
 
 
@@ -115,9 +115,8 @@ COURSES = ["Theory", "Thesis A", "Thesis B", "Online", "Queueing", "Engineering"
 
 
 def slang_overlap(spark, sf_dir):
-    head = F.left(F.lower("text"), F.lit(40))
-    talk = load(spark, sf_dir, "conversations").select("conv_id", "turn", head.alias("head"))
-    return talk.select("conv_id", "turn", F.array_join(entities.expand_slang(F.col("head"), SLANG, COURSES), ",").alias("courses"))
+    talk = load(spark, sf_dir, "conversations")
+    return talk.select("conv_id", "turn", F.array_join(entities.expand_slang(F.lower("text"), SLANG, COURSES), ",").alias("courses"))
 
 
 FORMAL = {"the": "definite article", "ing": "gerund", "que": "pronoun"}
@@ -130,7 +129,7 @@ def query_expansion(spark, sf_dir):
 
 def text_quality(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    return docs.select("doc_id", ratings.comment_quality(F.substring("text", 1, 60)).alias("quality"))
+    return docs.select("doc_id", ratings.comment_quality(F.col("text")).alias("quality"))
 
 
 QUERIES = {
@@ -219,10 +218,10 @@ ranked AS (
   FROM hits)
 SELECT p_partkey, course, exact FROM ranked WHERE exact OR (n_exact = 0 AND n_hits <= 20 AND rank = 1)""",
     "resolve_chain": r"""
-WITH names AS (SELECT s_suppkey AS id, replace(s_name, 'Supplier', 'Customer') AS name FROM supplier),
-exact AS (SELECT name AS term, min(id) AS id FROM names WHERE id % 2 = 0 GROUP BY 1),
-digits AS (SELECT regexp_extract(name, '(\d+)$', 1) AS term, min(id) AS id FROM names WHERE id % 3 = 0 GROUP BY 1),
-tails AS (SELECT right(name, 2) AS term, min(id) AS id FROM names WHERE id % 5 = 0 GROUP BY 1)
+WITH names AS (SELECT s_suppkey AS id, replace(s_name, 'Supplier', 'Customer') AS name, s_acctbal FROM supplier),
+exact AS (SELECT name AS term, min(id) AS id FROM names WHERE s_acctbal > 5000 GROUP BY 1),
+digits AS (SELECT regexp_extract(name, '(\d+)$', 1) AS term, min(id) AS id FROM names WHERE s_acctbal > 2000 GROUP BY 1),
+tails AS (SELECT right(name, 2) AS term, min(id) AS id FROM names WHERE s_acctbal > -500 GROUP BY 1)
 SELECT c_custkey, coalesce(e.id, d.id, t.id) AS id,
        CASE WHEN e.id IS NOT NULL THEN 'name' WHEN d.id IS NOT NULL THEN 'digits' WHEN t.id IS NOT NULL THEN 'tail' ELSE 'none' END AS step
 FROM customer LEFT JOIN exact e ON e.term = c_name LEFT JOIN digits d ON d.term = regexp_extract(c_name, '(\d+)$', 1)
@@ -237,7 +236,7 @@ extra AS (
   FROM asked)
 SELECT conv_id, turn, CASE WHEN len(x) > 0 THEN t || ' ' || array_to_string(x, ' ') ELSE t END AS expanded FROM extra""",
     "text_quality": r"""
-WITH heads AS (SELECT doc_id, trim(text[1:60], ' ') AS t FROM documents),
+WITH heads AS (SELECT doc_id, trim(text, ' ') AS t FROM documents),
 cut AS (
   SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, 'disgusting', ''), 'worthless', ''), 'pathetic', ''), 'stupid', ''),
     'clown', ''), 'idiot', ''), 'loser', ''), 'moron', ''), 'trash', ''), 'scum', '') AS rest

@@ -83,8 +83,11 @@ def fallback_merge(spark, sf_dir):
     terms = _index(spark, sf_dir)
     hits = _bm25(spark, sf_dir, terms).withColumn("score", F.col("score") / 60)
     faq = _by_length(spark, sf_dir, terms).where("pos <= 3").select("query_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "pos")
-    pages = load(spark, sf_dir, "pages").where("page_id < 5").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), (F.col("page_id") + 1).cast("int").alias("pos"))
-    info = questions(spark, sf_dir).select("query_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("pos")).join(pages, "pos").select("query_id", "id", "pos")
+    titles = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
+    words = load(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), "page_id", F.explode(F.array_distinct(F.split(titles, r"[^\p{L}\p{N}_]+"))).alias("term"))
+    asked = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.split("question", " "))).alias("term"))
+    shared = asked.join(words, "term").groupBy("query_id", "id", "page_id").agg(F.count("*").alias("score"))
+    info = retrieval.ranked(shared, "score", ["page_id"], 5).select("query_id", "id", "pos")
     return retrieval.with_fallback(hits, questions(spark, sf_dir), faq, info, "id")
 
 
@@ -97,14 +100,15 @@ def eval_hit_mrr(spark, sf_dir):
 
 
 def hash_embedding(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", hash_embedder(F.left("text", F.lit(350))).alias("v"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", hash_embedder(F.col("text")).alias("v"))
     return docs.select("doc_id", F.size("v").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
 
 
 def _snapshots(spark, sf_dir):
+    """The corpus later and earlier: src0 came, src1 went and src2 was edited between."""
     docs = load(spark, sf_dir, "documents")
-    old = docs.where("doc_id % 7 <> 0").select("doc_id", F.md5("text").alias("digest"))
-    new = docs.where("doc_id % 11 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text"))).alias("digest"))
+    old = docs.where("source <> 'src0'").select("doc_id", F.md5("text").alias("digest"))
+    new = docs.where("source <> 'src1'").select("doc_id", F.md5(F.when(F.col("source") == "src2", F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text"))).alias("digest"))
     return new, old
 
 
@@ -183,8 +187,8 @@ cos AS (
   FROM v q, v WHERE q.vec_id % 20 = 0),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS pos FROM cos QUALIFY pos <= 20)"""
 _SNAPSHOTS = """
-old AS (SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id % 7 <> 0),
-new AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || ' (edited)' ELSE text END) AS digest FROM documents WHERE doc_id % 11 <> 0),
+old AS (SELECT doc_id, md5(text) AS digest FROM documents WHERE source <> 'src0'),
+new AS (SELECT doc_id, md5(CASE WHEN source = 'src2' THEN text || ' (edited)' ELSE text END) AS digest FROM documents WHERE source <> 'src1'),
 states AS (
   SELECT coalesce(n.doc_id, o.doc_id) AS file, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'removed' WHEN n.digest = o.digest THEN 'unchanged' ELSE 'updated' END AS state
   FROM new n FULL JOIN old o ON n.doc_id = o.doc_id)"""
@@ -210,11 +214,14 @@ SELECT query_id, doc_id, file, score, CAST(place AS INTEGER) AS place FROM chose
     "coverage_selection": f"""
 WITH {_KNN}, candidates AS (SELECT *, CAST(label AS VARCHAR) AS file FROM near), {_COVER.format(least="CAST(0.15 AS DOUBLE)")}
 SELECT query_id, vec_id, file, CAST(pass AS INTEGER) AS pass, CAST(place AS INTEGER) AS place FROM chosen""",
-    "fallback_merge": f"""
+    "fallback_merge": rf"""
 WITH {_BM25},
+titles AS (SELECT page_id, unnest(list_distinct(regexp_split_to_array(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '[^\p{{L}}\p{{N}}_]+'))) AS term FROM pages),
+found AS (SELECT query_id, page_id, count(*) AS score FROM (SELECT DISTINCT query_id, term FROM asked) JOIN titles USING (term) GROUP BY ALL),
+info AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS pos FROM found QUALIFY pos <= 5),
 weak AS (SELECT query_id FROM questions LEFT JOIN (SELECT query_id, max(score / 60) AS best FROM hits GROUP BY 1) USING (query_id) WHERE coalesce(best, 0) < CAST(0.3 AS DOUBLE)),
 rows AS (SELECT query_id, 'd' || doc_id AS id, pos, 0 AS s, 'faq' AS source FROM plain WHERE pos <= 3 UNION ALL
-  SELECT query_id, 'p' || page_id, page_id + 1, 1, 'info' FROM questions, pages WHERE page_id < 5)
+  SELECT query_id, 'p' || page_id, pos, 1, 'info' FROM info)
 SELECT query_id, source, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s, pos, id) AS INTEGER) AS place FROM rows JOIN weak USING (query_id) QUALIFY place <= 4""",
     "eval_hit_mrr": f"""
 WITH {_BM25},

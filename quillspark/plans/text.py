@@ -21,7 +21,7 @@ def heading_split(spark, sf_dir):
 
 
 def paragraph_pack(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").where("length(text) < 2000").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("body"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("body"))
     packed = docs.select("doc_id", F.posexplode(chunking.pack(chunking.paragraphs(F.col("body")), 350)).alias("n", "chunk"))
     return packed.select("doc_id", "n", F.length("chunk").alias("chars"), F.md5("chunk").alias("chunk_md5"))
 
@@ -98,7 +98,7 @@ SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(length(part) AS INTEGER) AS chars,
 FROM h""",
     "paragraph_pack": rf"""
 WITH RECURSIVE p AS (
-  SELECT doc_id, list_filter(string_split(text, {_NL}), lambda x: trim(x, ' ') <> '') AS ps FROM documents WHERE length(text) < 2000),
+  SELECT doc_id, list_filter(string_split(text, {_NL}), lambda x: trim(x, ' ') <> '') AS ps FROM documents),
 fold AS (
   SELECT doc_id, ps, 1 AS i, ps[1] || {_NL} || {_NL} AS buf, CAST([] AS VARCHAR[]) AS outs FROM p WHERE len(ps) > 0
   UNION ALL
