@@ -27,10 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a table in the shared folder, with the writer's options, and read it again; cuts the lineage.
 
-    Lost executors cost nothing that was stored. The folder's owner removes the tables.
+    Lost executors cost nothing that was stored. Tables go when the driver ends in order; after a crash the
+    folder's owner removes them.
     """
-    path = f"{shared_folder(df.sparkSession)}/quillspark-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
