@@ -13,11 +13,14 @@ from quillspark.sources.tables import load
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share; a temporary one only where the session names none."""
+    """A fresh folder that driver and executors share, removed when the driver ends; a temporary one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='quillspark-')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{named or tempfile.mkdtemp(prefix='quillspark-')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return folder
 
 
 def daily_activity(log: DataFrame, uncovered: str, late: str = "2 days", ts: str = "ts") -> DataFrame:
