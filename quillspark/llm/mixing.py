@@ -27,19 +27,18 @@ def replication_rates(docs: DataFrame, weights: DataFrame, total: float | None =
     return known.select("source", (F.lit(goal) * F.col("w") / F.lit(all_w) / F.col("n")).alias("rate"))
 
 
-def unit_hash(seed: int, *columns: str) -> Column:
-    """A number of [0, 1) from the md5 of the seed and the columns' texts: 52 bits of it."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+def unit_hash(seed: int, *values: Column) -> Column:
+    """A number of [0, 1) from the md5 of the seed and the values' texts: 52 bits of it."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(v.cast("string"), F.lit("")) for v in values])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_inverse(rate: Column, u: Column, chunk: float = 16.0) -> Column:
-    """The smallest k whose Poisson distribution function at rate exceeds u.
+def poisson_inverse(rate: Column, u: Column) -> Column:
+    """The smallest k whose Poisson distribution function at rate exceeds u, for rates that exp(-rate) bears, to 600 or so.
 
-    Sums the function's terms until they pass u. Rates over 600, where exp(-rate) comes near to underflow,
-    are replaced by the rounded rate, whose relative deviation is then under a twentieth as a rule.
+    Sums the function's terms until they pass u.
     """
-    steps = F.sequence(F.lit(1), F.least(F.lit(1200), F.ceil(rate * 2 + 12 * F.sqrt(rate) + 20).cast("int")))
+    steps = F.sequence(F.lit(1), F.ceil(rate * 2 + 12 * F.sqrt(rate) + 20).cast("int"))
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
 
     def step(acc: Column, i: Column) -> Column:
@@ -47,8 +46,14 @@ def poisson_inverse(rate: Column, u: Column, chunk: float = 16.0) -> Column:
         more = acc["cdf"] <= u
         return F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), F.when(more, i).otherwise(acc["k"]).alias("k"))
 
-    drawn = F.aggregate(steps, start, step)["k"]
-    return F.when(rate <= 0, 0).when(rate > 600, F.round(rate).cast("int")).otherwise(drawn)
+    return F.when(rate <= 0, 0).otherwise(F.aggregate(steps, start, step)["k"])
+
+
+def poisson_draw(rate: Column, seed: int, value: Column, most: float = 500.0) -> Column:
+    """A Poisson draw at a hash of (seed, value). A rate over `most` is the sum of draws of equal parts of it, each at its own hash."""
+    parts = F.ceil(rate / most).cast("int")
+    part = lambda acc, j: acc + poisson_inverse(rate / parts, unit_hash(seed, value, j))
+    return F.when(parts <= 1, poisson_inverse(rate, unit_hash(seed, value))).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), F.lit(0), part))
 
 
 def poisson_mix(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: int = 8, shuffle: bool = True, max_broadcast: int = 100_000) -> DataFrame:
@@ -65,7 +70,7 @@ def poisson_mix(docs: DataFrame, weights: DataFrame, total: float | None = None,
     if rates.limit(max_broadcast + 1).count() <= max_broadcast:
         rates = F.broadcast(rates)
     drawn = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")), "inner")
-    drawn = drawn.withColumn("_draw", poisson_inverse(F.col("_rate"), unit_hash(seed, "doc_id"))).where("_draw > 0")
+    drawn = drawn.withColumn("_draw", poisson_draw(F.col("_rate"), seed, F.col("doc_id"))).where("_draw > 0")
     out = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_draw"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
     out = out.withColumn("mix_key", key)
