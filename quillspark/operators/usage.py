@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -82,24 +84,33 @@ def lockouts(attempts: DataFrame, key: str, max_failures: int = 5, lock_seconds:
     """(key, event_id, outcome) of attempts (key, event_id, at in seconds, ok): passed, failed, locked or refused.
 
     max_failures failures in a row lock the key; attempts until lock_seconds later are refused and change
-    nothing. The counter starts anew after a lock and after a success. A key's history is folded in one
-    array, so one key's attempts must fit a task, as they do where attempts are limited.
+    nothing. The counter starts anew after a lock and after a success. Attempts are sorted by key and time and
+    folded as they stream by, so a task holds one batch and one key's counter, however long a history is.
+    A null ok is a failure; attempts without a time come last and are never refused; null keys are one key.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("at", "event_id", "ok")))
-    start = F.struct(F.lit(0).alias("failures"), F.lit(0).cast("long").alias("until"), F.array().cast("array<struct<event_id:bigint,outcome:string>>").alias("out"))
-
-    def step(acc: Column, a: Column) -> Column:
-        refused = a["at"] < acc["until"]
-        locks = ~a["ok"] & (acc["failures"] + 1 >= max_failures)
-        outcome = F.when(refused, "refused").when(a["ok"], "passed").when(locks, "locked").otherwise("failed")
-        return F.struct(
-            F.when(refused, acc["failures"]).when(a["ok"] | locks, 0).otherwise(acc["failures"] + 1).alias("failures"),
-            F.when(refused, acc["until"]).when(locks, a["at"] + lock_seconds).otherwise(F.lit(0).cast("long")).alias("until"),
-            F.concat(acc["out"], F.array(F.struct(a["event_id"].alias("event_id"), outcome.alias("outcome")))).alias("out"),
-        )
-
-    folded = attempts.groupBy(key).agg(F.aggregate(ordered, start, step)["out"].alias("out"))
-    return folded.select(key, F.inline("out"))
+    ordered = attempts.select(key, "event_id", "at", "ok").repartition(F.col(key)).sortWithinPartitions(F.col(key), F.asc_nulls_last("at"), "event_id")
+
+    def fold(batches):
+        current, failures, until = object(), 0, 0
+        for batch in batches:
+            outcomes = []
+            for who, at, ok in zip(*(batch.column(c).to_pylist() for c in (key, "at", "ok")), strict=True):
+                if who != current:
+                    current, failures, until = who, 0, 0
+                if at is not None and at < until:
+                    outcomes.append("refused")
+                elif ok:
+                    failures = 0
+                    outcomes.append("passed")
+                elif failures + 1 >= max_failures:
+                    failures, until = 0, at + lock_seconds if at is not None else until
+                    outcomes.append("locked")
+                else:
+                    failures += 1
+                    outcomes.append("failed")
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("event_id"), pa.array(outcomes, pa.string())], [key, "event_id", "outcome"])
+
+    return ordered.mapInArrow(fold, T.StructType([ordered.schema[key], ordered.schema["event_id"], T.StructField("outcome", T.StringType())]))
 
 
 def sample_count(text: Column) -> Column:
