@@ -77,19 +77,32 @@ def resolve(queries: DataFrame, key: str, chain: list[tuple[str, str, DataFrame]
     return out.select(key, F.coalesce(*ids).alias("id"), F.coalesce(*steps, F.lit("none")).alias("step"))
 
 
-def fuzzy_matches(queries: DataFrame, key: str, text: str, names: list[str], cutoff: float = 0.7, min_length: int = 3) -> DataFrame:
-    """(key, match, ratio): the closest of a configured list of names by matching blocks, or null under cutoff."""
-    names = sorted(set(names))
+def fuzzy_matches(queries: DataFrame, key: str, text: str, names: DataFrame, name: str, cutoff: float = 0.7, min_length: int = 3, block: int = 1000) -> DataFrame:
+    """(key, match, ratio): the closest of the names by matching blocks, or null under cutoff; of equally close ones the last in order.
 
-    @F.pandas_udf("match string, ratio double")
-    def closest(texts: pd.Series) -> pd.DataFrame:
-        def of(text: str | None) -> tuple[str | None, float | None]:
-            best = difflib.get_close_matches(text, names, n=1, cutoff=cutoff) if text and len(text) >= min_length else []
-            return (best[0], round(difflib.SequenceMatcher(None, best[0], text).ratio(), 6)) if best else (None, None)
-
-        return pd.DataFrame([of(t) for t in texts], columns=["match", "ratio"])
-
-    return queries.select(key, closest(F.col(text)).alias("m")).select(key, "m.match", "m.ratio")
+    Distinct texts meet distinct names in blocks of about `block` of each, so neither side has to fit a task and
+    a text that many rows share is compared once. Null texts and those under min_length characters match nothing.
+    """
+    asked = queries.select(F.col(text).alias("_asked")).where(F.length("_asked") >= min_length).distinct()
+    known = names.select(F.col(name).alias("name")).where("name is not null").distinct()
+    rows, columns = (max(1, -(-side.count() // block)) for side in (asked, known))
+
+    def dealt(side: DataFrame, own: str, n: int, other: str, times: int) -> DataFrame:
+        placed = side.withColumn(own, F.pmod(F.xxhash64(side.columns[0]), F.lit(n)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+    def closest(texts: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        listed, found = candidates["name"].tolist(), []
+        for asked_text in texts["_asked"]:
+            for best in difflib.get_close_matches(asked_text, listed, n=1, cutoff=cutoff):
+                found.append((asked_text, difflib.SequenceMatcher(None, best, asked_text).ratio(), best))
+        return pd.DataFrame(found, columns=["_asked", "ratio", "match"])
+
+    left = dealt(asked, "row", rows, "column", columns).groupBy("row", "column")
+    right = dealt(known, "column", columns, "row", rows).groupBy("row", "column")
+    best = left.cogroup(right).applyInPandas(closest, "_asked string, ratio double, match string")
+    best = best.groupBy("_asked").agg(F.max(F.struct("ratio", "match")).alias("m"))
+    return queries.join(best, F.col(text) == F.col("_asked"), "left").select(key, F.col("m.match").alias("match"), F.round("m.ratio", 6).alias("ratio"))
 
 
 def mentions(text: Column, term: Column) -> Column:

@@ -50,9 +50,18 @@ def course_candidates(teaches: DataFrame, names: list[str], key: str) -> DataFra
     return found.agg(F.array_sort(F.collect_set("course")).alias("courses"))
 
 
-def rated_first(df: DataFrame, tie: str) -> Column:
-    """Rank of candidates: rated ones first, by rating, then by number of ratings and tie."""
-    return F.row_number().over(Window.orderBy(F.desc(F.col("rating_count") > 0), F.desc("rating"), F.desc("rating_count"), tie))
+def rated_first(df: DataFrame, tie: str, step: float = 1.0) -> DataFrame:
+    """df with `place`: rated ones first, by rating, then by number of ratings and tie.
+
+    Rows are numbered inside ranges of ratings, `step` wide, and moved up by the ranges before; so what one task
+    sees is a range, or the table of the ranges' counts. A null rating comes last among its kind.
+    """
+    ranged = df.withColumn("_rated", F.coalesce(F.col("rating_count") > 0, F.lit(False))).withColumn("_range", F.coalesce(F.floor(F.col("rating") / step).cast("double"), F.lit(float("-inf"))))
+    before = Window.orderBy(F.desc("_rated"), F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_rated", "_range").count().select("_rated", "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_rated", "_range").orderBy(F.desc("rating"), F.desc("rating_count"), tie))
+    placed = ranged.withColumn("_within", within).join(counts, ["_rated", "_range"])
+    return placed.withColumn("place", (F.col("_before") + F.col("_within")).cast("int")).drop("_rated", "_range", "_within", "_before")
 
 
 def divergent(comments: DataFrame, key: str, votes: str, threshold: float, min_comments: int = 10, each_side: int = 2) -> DataFrame:

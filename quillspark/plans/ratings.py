@@ -47,7 +47,7 @@ def course_candidates(spark, sf_dir):
     teachers = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("teacher"), F.round("s_acctbal", 2).alias("rating"), F.when(F.col("s_acctbal") > 0, 1).otherwise(0).alias("rating_count"))
     teaches = lines.join(parts, "l_partkey").join(teachers, "l_suppkey")
     found = ratings.course_candidates(teaches, ["Brand#11", "Brand#23", "Brand#45"], "l_suppkey")
-    found = found.withColumn("place", ratings.rated_first(found, "l_suppkey"))
+    found = ratings.rated_first(found, "l_suppkey")
     return found.select("l_suppkey", "teacher", "rating", F.array_join("courses", ",").alias("courses"), F.when(F.size("courses") > 1, "choose").otherwise("card").alias("kind"), "place")
 
 
@@ -105,9 +105,8 @@ def resolve_chain(spark, sf_dir):
 
 def fuzzy_match(spark, sf_dir):
     parts = load(spark, sf_dir, "part")
-    known = [r[0] for r in parts.select("p_name").distinct().orderBy("p_name").collect()]
     asked = parts.select("p_partkey", F.concat(F.substring("p_name", 1, 3), F.substring("p_name", 5, 100)).alias("asked"))
-    return entities.fuzzy_matches(asked, "p_partkey", "asked", known)
+    return entities.fuzzy_matches(asked, "p_partkey", "asked", parts, "p_name")
 
 
 SLANG = {"th": ["Theory"], "tha": ["Thesis A", "Thesis B"], "on": ["Online"], "que": ["Queueing"], "ing": ["Engineering", "Gone"]}

@@ -98,6 +98,46 @@ def test_lockout_refuses_until_the_lock_ends(spark):
     assert [r["outcome"] for r in out.collect()] == ["failed", "failed", "locked", "refused", "passed", "failed"]
 
 
+def test_lockouts_of_long_histories_and_nulls(spark):
+    tries = [("a", i, 2 * i, False) for i in range(30_000)] + [(None, 90_000, 5, False), (None, 90_001, None, True), ("b", 90_002, 1, None)]
+    rows = spark.createDataFrame(tries, "user string, event_id long, at long, ok boolean").repartition(7)
+    out = {r["event_id"]: r["outcome"] for r in usage.lockouts(rows, "user", 5, 900).collect()}
+    expected, failures, until = {}, 0, 0
+    for _, i, at, _ in tries[:30_000]:
+        if at < until:
+            expected[i] = "refused"
+        else:
+            failures += 1
+            expected[i] = "failed" if failures < 5 else "locked"
+            failures, until = (0, at + 900) if failures == 5 else (failures, until)
+    assert out == expected | {90_000: "failed", 90_001: "passed", 90_002: "failed"}
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_fuzzy_matches_whatever_the_block(spark, block):
+    known = ["linear algebra", "linear analysis", "organic chemistry", "physics", "abc", "abd"]
+    texts = ["liner algebra", "organic chemistr", "abx", "zz", None, "", "nothing like it", "physics", "physics"]
+    names = spark.createDataFrame([(n,) for n in [*known, "physics", None]], "n string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, asked string")
+    found = {r["id"]: r["match"] for r in entities.fuzzy_matches(rows, "id", "asked", names, "n", cutoff=0.6, block=block).collect()}
+    assert found == {0: "linear algebra", 1: "organic chemistry", 2: "abd", 3: None, 4: None, 5: None, 6: None, 7: "physics", 8: "physics"}
+    assert entities.fuzzy_matches(rows, "id", "asked", names.limit(0), "n").where("match is not null").count() == 0
+
+
+def test_places_run_through_all_ranges(spark):
+    rows = spark.createDataFrame([(1, 4.5, 2), (2, 4.5, 3), (3, 9.0, 0), (4, 4.1, 1), (5, None, 0), (6, -2.5, 7), (7, 4.5, 3), (8, None, 2)], "id int, rating double, rating_count int")
+    assert [r["id"] for r in ratings.rated_first(rows, "id").orderBy("place").collect()] == [2, 7, 1, 4, 6, 8, 3, 5]
+    assert sorted(r["place"] for r in ratings.rated_first(rows, "id").collect()) == list(range(1, 9))
+
+
+@pytest.mark.parametrize(("scores", "median"), [([0.1, 0.4, 0.2, 0.3], 0.3), ([0.5, 0.1, 0.9], 0.5), ([], None)])
+def test_upper_median_of_first_scores(spark, scores, median):
+    rankings = spark.createDataFrame([(q, "d", s, 1) for q, s in enumerate(scores)], "query_id int, id string, score double, pos int")
+    questions = spark.createDataFrame([(q,) for q in range(5)], "query_id int")
+    expected = spark.createDataFrame([(0, "d")], "query_id int, id string")
+    assert retrieval.evaluate(rankings, expected, questions, "id").first()["upper_median"] == median
+
+
 def test_publish_gate(spark):
     rows = spark.createDataFrame([(True, "verified"), (True, "needs_review"), (False, "rejected"), (None, "verified")], "valid boolean, s string")
     gate = lambda flag: rows.where(governance.publishable(F.col("valid"), F.col("s"), flag)).count()
