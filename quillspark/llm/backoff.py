@@ -4,6 +4,10 @@ Three count tables are built over the whole corpus: words, the bigrams of freque
 bigrams, the last one partitioned by the bigram's hash together with the tokens that need it. A bigram of two
 frequent words can be as frequent as a word; there are few of them, so they are counted with combining before
 the shuffle and joined by broadcast. Any other bigram has a word that is not frequent, so none can fill a task.
+
+Head words, the most frequent ones, have short numbers and are joined by broadcast. All others, the tail, keep
+their hashes, and their counts are joined by shuffle to the tokens that ask for them; none is frequent enough to
+fill a task.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from pyspark.sql.window import Window
 from quillspark.llm.common import stored
 
 EDGE = 0  # stands before the first and after the last word
+NUMBER_BITS = 29  # of a head word's number
+TAIL_BIT = 1 << 62  # set in the hash of a tail word, so that none is a number
 
 
 def words_of(text: Column) -> Column:
@@ -30,8 +36,8 @@ def bigrams(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.p", "x.w")
 
 
-def vocabulary(words: DataFrame, max_words: int, bucket_width: int = 8) -> tuple[DataFrame, int, int]:
-    """(word, n, id) for at most max_words of the most frequent words, the sum of all n, and that of the others.
+def vocabulary(words: DataFrame, max_words: int, bucket_width: int = 8) -> tuple[DataFrame, DataFrame, int, int]:
+    """(word, n, id) for at most max_words of the most frequent words, (word, n) for the others, the sum of all n, and that of the others.
 
     The cut is a count, found in a histogram of count classes, so words of equal count stay or go together.
     """
@@ -43,44 +49,45 @@ def vocabulary(words: DataFrame, max_words: int, bucket_width: int = 8) -> tuple
             break
         taken, known, cut = taken + row["words"], known + row["n"], row["kind"]
     total = sum(row["n"] for row in classes)
-    chosen = words.where(kind >= cut) if cut is not None else words.limit(0)
+    chosen, others = (words.where(kind >= cut), words.where(kind < cut)) if cut is not None else (words.limit(0), words)
     # The place in a stored file makes a short number for each word; zero is left for all others.
     place = F.monotonically_increasing_id()
     short = F.shiftleft(F.shiftright(place, 33), 20) + place.bitwiseAND(F.lit((1 << 33) - 1).cast("long")) + 1
-    return stored(chosen.repartition(16, "word").select("word", "n", short.alias("id")), "vocabulary"), total, total - known
+    return stored(chosen.repartition(16, "word").select("word", "n", short.alias("id")), "vocabulary"), others, total, total - known
 
 
-def score(docs: DataFrame, max_words: int = 1 << 20, frequent: int = 2048, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
+def score(docs: DataFrame, max_words: int | None = None, frequent: int = 2048, min_count: int = 2, backoff: float = 0.4, head: int = 1 << 20) -> DataFrame:
     """(doc_id, n_tokens, log_score, mean_log_score) for every doc_id of docs (doc_id, text).
 
     A text's tokens are its lower-cased words and the edge that ends it. A token scores c(p, w) / c(p) if its
     bigram occurs min_count times or more in docs, else backoff * c(w) / N; log_score sums natural logarithms and is rounded to 4 digits, as sums
     of doubles depend on their order.
-    The vocabulary is closed: words beyond the max_words most frequent are counted as one common class, and
-    a bigram is one of classes then; no token goes uncounted or unscored. Null and empty texts are one edge. Rows that share a doc_id,
-    or have none, are one document of several texts. An empty table gives an empty table.
+    Every word is counted for itself. Only with max_words the vocabulary is closed: words beyond the max_words
+    most frequent are counted as one common class, and a bigram is one of classes then. Null and empty texts are
+    one edge. Rows that share a doc_id, or have none, are one document of several texts. An empty table gives an empty table.
 
-    max_words bounds the table of words that is broadcast, and frequent the one of frequent bigrams: at most
-    `frequent` words have more than a share 1 / frequent of all tokens.
+    head (or max_words) bounds the table of words that is broadcast, and frequent the one of frequent bigrams: at
+    most `frequent` words have more than a share 1 / frequent of all tokens. Neither changes a score.
     """
+    closed = max_words is not None
     counted = bigrams(docs).groupBy(F.col("w").alias("word")).agg(F.count("*").alias("n"))
-    vocab, total, rest = vocabulary(stored(counted, "words"), max_words)
+    vocab, others, total, rest = vocabulary(stored(counted, "words"), max_words if closed else head)
     # Every text has one edge before it and one after it, so the edge is counted as often in either place.
     known = F.broadcast(vocab)
     often = F.broadcast(vocab.where(F.col("n") > total / frequent))
 
     def named(rows: DataFrame, column: str, table: DataFrame, how: str) -> DataFrame:
         side = table.select(F.col("word").alias("_word"), F.col("n").alias(f"n_{column}"), F.col("id").alias(f"id_{column}"))
-        return rows.join(side, F.col(column) == F.col("_word"), how).drop("_word", column)
+        return rows.join(side, F.col(column) == F.col("_word"), how).drop("_word")
 
-    def pair_key() -> Column:
-        return F.shiftleft("id_p", 29).bitwiseOR(F.col("id_w"))
+    def pair_key(p: Column, w: Column) -> Column:
+        return F.shiftleft(p, NUMBER_BITS).bitwiseOR(w)
 
     def logs(c: Column, n_p: Column, n_w: Column) -> Column:
         return F.when(c >= min_count, F.log(c / n_p)).otherwise(F.log(F.lit(backoff) * n_w / F.lit(float(max(1, total)))))
 
     def frequent_pairs() -> DataFrame:
-        return named(named(bigrams(docs), "p", often, "inner"), "w", often, "inner").withColumn("key", pair_key())
+        return named(named(bigrams(docs), "p", often, "inner"), "w", often, "inner").withColumn("key", pair_key(F.col("id_p"), F.col("id_w")))
 
     frequent_counts = stored(frequent_pairs().groupBy("key").agg(F.count("*").alias("c"), F.first("n_p").alias("n_p"), F.first("n_w").alias("n_w")), "frequent")
     frequent_scores = frequent_counts.select("key", logs(F.col("c"), F.col("n_p"), F.col("n_w")).alias("s"))
@@ -89,17 +96,35 @@ def score(docs: DataFrame, max_words: int = 1 << 20, frequent: int = 2048, min_c
     def is_frequent(column: str) -> Column:
         return F.coalesce(F.col(f"n_{column}") > total / frequent, F.lit(False))
 
+    def identity(column: str) -> Column:
+        return F.coalesce(f"id_{column}", F.lit(0).cast("long") if closed else F.col(column).bitwiseOR(F.lit(TAIL_BIT)))
+
     cold = named(named(bigrams(docs), "p", known, "left"), "w", known, "left").where(~(is_frequent("p") & is_frequent("w")))
-    cold = cold.select("doc_id", F.shiftleft(F.coalesce("id_p", F.lit(0)), 29).bitwiseOR(F.coalesce("id_w", F.lit(0))).alias("key"))
+    cold = cold.select("doc_id", identity("p").alias("p"), identity("w").alias("w"))
+    # Two numbers fit one key. A bigram with a tail word has its two identities as key and second, which is not zero then.
+    packed = F.col("p").bitwiseOR(F.col("w")).between(0, (1 << NUMBER_BITS) - 1)
     # Key zero is two words of the common class: not one bigram but many, which all back off.
-    cold = cold.withColumn("salt", F.when(F.col("key") == 0, F.pmod(F.hash("doc_id"), F.lit(1 << 16))).otherwise(0))
-    cold = cold.repartition(F.col("key"), F.col("salt"))
-    c = F.count("*").over(Window.partitionBy("key", "salt"))
-    cold = cold.select("doc_id", "key", F.when(F.col("key") == 0, 0).otherwise(c).alias("c"))
-    asked = F.when(F.col("c") >= min_count, F.shiftright("key", 29)).otherwise(F.col("key").bitwiseAND(F.lit((1 << 29) - 1).cast("long")))
+    salt = F.when((F.col("p") == 0) & (F.col("w") == 0), F.pmod(F.hash("doc_id"), F.lit(1 << 16))).otherwise(0).cast("long") if closed else F.lit(0).cast("long")
+    cold = cold.select("doc_id", F.when(packed, pair_key(F.col("p"), F.col("w"))).otherwise(F.col("p")).alias("key"), F.when(packed, salt).otherwise(F.col("w")).alias("second"))
+    cold = cold.repartition(F.col("key"), F.col("second"))
+    c = F.count("*").over(Window.partitionBy("key", "second"))
+    cold = cold.select("doc_id", "key", "second", (F.when(F.col("key") == 0, 0).otherwise(c) if closed else c).alias("c"))
+    whole = F.lit(True) if closed else F.col("second") == 0
+    p = F.when(whole, F.shiftright("key", NUMBER_BITS)).otherwise(F.col("key"))
+    w = F.when(whole, F.col("key").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1).cast("long"))).otherwise(F.col("second"))
+    seen = F.col("c") >= min_count
     sizes = F.broadcast(vocab.select(F.col("id").alias("_id"), F.col("n").alias("_n")))
-    cold = cold.withColumn("asked", asked).join(sizes, F.col("asked") == F.col("_id"), "left")
-    n = F.coalesce(F.col("_n"), F.lit(max(1, rest)))
-    cold = cold.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(logs(F.col("c"), n, n)).alias("s"))
+    cold = cold.select("doc_id", "c", F.when(seen, p).otherwise(w).alias("asked")).join(sizes, F.col("asked") == F.col("_id"), "left")
+    n = F.coalesce(F.col("_n"), F.lit(max(1, rest) if closed else 1))
+    sums = [F.count("*").alias("n"), F.sum(logs(F.col("c"), n, n)).alias("s")]
+    if closed or not rest:
+        cold = cold.groupBy("doc_id").agg(*sums)
+    else:
+        # A tail word counts as one at first; the logarithm of its count is added, or taken off where it is the divisor.
+        tail = F.when(F.col("_n").isNull(), F.col("asked")).alias("tail")
+        part = stored(cold.groupBy("doc_id", tail).agg(*sums, F.sum(F.when(seen, -1).otherwise(1)).alias("times")), "cold")
+        counts = others.select(F.col("word").bitwiseOR(F.lit(TAIL_BIT)).alias("tail"), F.col("n").alias("n_tail"))
+        looked_up = part.where("tail is not null").join(counts, "tail").select("doc_id", "n", (F.col("s") + F.col("times") * F.log("n_tail")).alias("s"))
+        cold = part.where("tail is null").select("doc_id", "n", "s").union(looked_up)
     both = hot.union(cold).groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("s").alias("s"))
     return both.select("doc_id", "n_tokens", F.round("s", 4).alias("log_score"), F.round(F.col("s") / F.col("n_tokens"), 6).alias("mean_log_score"))

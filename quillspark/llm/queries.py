@@ -93,7 +93,6 @@ hit_items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DIST
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
-    # Holds while the corpus has at most 2^20 words, as the vocabulary then has all.
     "op10_backoff_scores": r"""
 WITH seqs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') AS w FROM documents),
 pairs AS (

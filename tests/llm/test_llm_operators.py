@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillspark.llm import backoff, interleaved, langid, mixing, secrets, sharding, simhash, toxicity, urlrules, winnow
 from quillspark.llm.components import connected_components
@@ -471,3 +472,28 @@ def test_backoff_scores(spark, max_words, frequent):
     assert out.keys() == expected.keys()
     assert all(out[i][0] == expected[i][0] and abs(out[i][1] - expected[i][1]) < 1e-4 for i in out)
     assert backoff.score(rows(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("frequent", [2048, 8])
+@pytest.mark.parametrize("head", [0, 30])
+def test_backoff_tail_words_count_for_themselves(spark, head, frequent):
+    rng = random.Random(11)
+    values = {i: " ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.randrange(60))) for i in range(60)}
+    values[60] = ""
+    pairs = {k: list(zip(["", *t.split()], [*t.split(), ""], strict=True)) for k, t in values.items()}
+    two = Counter(x for ps in pairs.values() for x in ps)
+    one = Counter(w for ps in pairs.values() for _, w in ps)
+    total = sum(one.values())
+    want = {k: (len(ps), sum(math.log(two[x] / one[x[0]]) if two[x] >= 2 else math.log(0.4 * one[x[1]] / total) for x in ps)) for k, ps in pairs.items()}
+    out = {r["doc_id"]: (r["n_tokens"], r["log_score"]) for r in backoff.score(rows(spark, list(values.values()), list(values)), frequent=frequent, head=head).collect()}
+    assert out == {k: (n, pytest.approx(s, abs=2e-4)) for k, (n, s) in want.items()}
+
+
+def test_backoff_keeps_more_than_a_million_words(spark):
+    docs, each = 600, 2000
+    words = F.concat_ws(" ", F.transform(F.sequence(F.col("id") * each, F.col("id") * each + each - 1), lambda i: i.cast("string")))
+    out = backoff.score(spark.range(docs).select(F.col("id").alias("doc_id"), words.alias("text")))
+    total = docs * (each + 1)
+    want = each * math.log(0.4 / total) + math.log(0.4 * docs / total)
+    got = out.agg(F.count("*"), F.min("log_score"), F.max("log_score")).first()
+    assert tuple(got) == (docs, pytest.approx(want, abs=1e-3), pytest.approx(want, abs=1e-3))
