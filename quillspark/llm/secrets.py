@@ -16,9 +16,10 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Wider contexts in which a value is judged by the cost of guessing it.
+KEYWORD = r"(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret)"
+KEYWORD_ALONE = re.compile(KEYWORD, re.I | re.A)
 CONTEXT = re.compile(
-    r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret)"
-    r"(?:[\"']?\x20*(?:[:=]|=>|\bis\b)\x20*|\x20+)[\"']?([^\s\"'<>,;|(){}\[\]]{6,128})",
+    r"(?<![A-Za-z])" + KEYWORD + r"(?:[\"']?\x20*(?:[:=]|=>|\bis\b)\x20*|\x20+)[\"']?([^\s\"'<>,;|(){}\[\]]{6,128})",
     re.I | re.A,
 )
 #: Words that guessers try first, most frequent first.
@@ -103,10 +104,14 @@ def scan(text: str | None, min_cost: float = 9.0) -> tuple[list[tuple[str, int,
     added = []
     if ":" in text or "=" in text:
         base += [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
-    for m in CONTEXT.finditer(text):
+    at = 0
+    while m := CONTEXT.search(text, at):
         value = m[1].rstrip(".,:!?")
-        if len(value) >= 6 and not value.isalpha() and guess_cost(value) >= min_cost:
+        if len(value) >= 6 and not value.isalpha() and not KEYWORD_ALONE.fullmatch(value) and guess_cost(value) >= min_cost:
             added.append(("guess", m.start(1), m.start(1) + len(value)))
+            at = m.end()
+        else:  # What is no secret may be the keyword of one.
+            at = m.start(1)
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(added, key=order)
 

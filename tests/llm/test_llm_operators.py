@@ -323,6 +323,20 @@ def test_secret_spans(spark):
     assert secrets.redact(docs).where("doc_id = 4").first()["text"] == "pwd: ********** and my password is correct"
 
 
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ("Authorization: Bearer k9QzxW#7pLm2!", "k9QzxW#7pLm2"),
+        ("auth password: hunter2#Xq9!", "hunter2#Xq9"),
+        ("bearer token: k9$Qz!7pLm", "k9$Qz!7pLm"),
+        ("auth: client_secret: x9$Kq2!vLp", "x9$Kq2!vLp"),
+    ],
+)
+def test_secrets_behind_chained_keywords(text, secret):
+    at = text.index(secret)
+    assert secrets.scan(text)[1] == [("guess", at, at + len(secret))]
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("password") < cost("P@ssw0rd") < cost("xkqzjvwp")
