@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from math import log10
+from math import inf, log10
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORD = r"(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret)"
 KEYWORD_ALONE = re.compile(KEYWORD, re.I | re.A)
 CONTEXT = re.compile(
-    r"(?<![A-Za-z])" + KEYWORD + r"(?:[\"']?\x20*(?:[:=]|=>|\bis\b)\x20*|\x20+)[\"']?([^\s\"'<>,;|(){}\[\]]{6,128})",
+    r"(?<![A-Za-z])" + KEYWORD + r"(?:[\"']?\x20*(?:[:=]|=>|\bis\b)\x20*|\x20+)[\"']?([^\s\"'<>,;|(){}\[\]]{6,})",
     re.I | re.A,
 )
 #: Words that guessers try first, most frequent first.
@@ -43,8 +43,11 @@ def _charset_cost(ch: str) -> float:
     return log10(10 if ch.isdigit() else 26 if ch.islower() else 52 if ch.isalpha() else 95)
 
 
-def segments(value: str) -> list[tuple[int, int, str, float]]:
-    """The parts of value that are cheaper to guess than by brute force: (start, end, kind, log10 of guesses)."""
+def segments(value: str, limit: float = inf) -> list[tuple[int, int, str, float]]:
+    """The parts of value that are cheaper to guess than by brute force: (start, end, kind, log10 of guesses).
+
+    With a limit, repeats whose unit alone costs that much are left out: every character costs 1 or more.
+    """
     n, low = len(value), value.lower()
     found = []
     for form, extra in ((low, 0.0), (low.translate(LEET), log10(4.0))):
@@ -65,7 +68,7 @@ def segments(value: str) -> list[tuple[int, int, str, float]]:
         if j - i >= 3:
             found.append((i, j, "walk", log10(len(NEXT_KEYS)) + log10(j - i)))
         i = j
-    for width in range(1, n // 2 + 1):
+    for width in range(1, int(min(n // 2, limit)) + 1):
         i = 0
         while i + 2 * width <= n:
             j = i + width
@@ -79,12 +82,27 @@ def segments(value: str) -> list[tuple[int, int, str, float]]:
     return found
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of value into words, dates, repeats, walks and brute force."""
+def guess_cost(value: str, limit: float = inf) -> float:
+    """log10 of the guesses for the cheapest segmentation of value into words, dates, repeats, walks and brute force.
+
+    With a limit, costs of limit or more may come out as infinite. Long values are then judged by growing
+    beginnings, as no segmentation is cheap enough once every one has run past the limit.
+    """
+    size = 128
+    while limit < inf and size < len(value):
+        # The last parts of a beginning may be cut short there, so the limit has to be passed well before.
+        if _cheapest(value[:size], limit)[1] < size - 4 * limit:
+            return inf
+        size *= 2
+    return _cheapest(value, limit)[0]
+
+
+def _cheapest(value: str, limit: float) -> tuple[float, int]:
+    """The cost of the cheapest segmentation, and the last place that one reaches for less than limit."""
     by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j, _, cost in segments(value):
+    for i, j, _, cost in segments(value, limit):
         by_end.setdefault(j, []).append((i, cost))
-    best, brute = [0.0], [False]
+    best, brute, reach = [0.0], [False], 0
     for j in range(1, len(value) + 1):
         # A brute-force span grows by one character; any new span also pays for where it begins.
         cost, by_brute = best[j - 1] + _charset_cost(value[j - 1]) + (0.0 if brute[j - 1] or j == 1 else SPLIT_COST), True
@@ -93,7 +111,9 @@ def guess_cost(value: str) -> float:
                 cost, by_brute = c, False
         best.append(cost)
         brute.append(by_brute)
-    return best[-1]
+        if cost < limit:
+            reach = j
+    return best[-1], reach
 
 
 def scan(text: str | None, min_cost: float = 9.0) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -107,7 +127,7 @@ def scan(text: str | None, min_cost: float = 9.0) -> tuple[list[tuple[str, int,
     at = 0
     while m := CONTEXT.search(text, at):
         value = m[1].rstrip(".,:!?")
-        if len(value) >= 6 and not value.isalpha() and not KEYWORD_ALONE.fullmatch(value) and guess_cost(value) >= min_cost:
+        if len(value) >= 6 and not value.isalpha() and not KEYWORD_ALONE.fullmatch(value) and guess_cost(value, min_cost) >= min_cost:
             added.append(("guess", m.start(1), m.start(1) + len(value)))
             at = m.end()
         else:  # What is no secret may be the keyword of one.

@@ -337,6 +337,28 @@ def test_secrets_behind_chained_keywords(text, secret):
     assert secrets.scan(text)[1] == [("guess", at, at + len(secret))]
 
 
+def test_long_secrets_are_found_whole(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("ABCDEFabcdef0123456789_-$") for _ in range(5000))
+    for value in ("eyJhbGciOi." + long, "=" * 300 + long, "ab" * 200 + long, "qwertyuiop" * 30 + long):
+        text = f"pwd: {value} end"
+        assert secrets.scan(text)[1] == [("guess", 5, 5 + len(value))]
+        assert secrets.redact(rows(spark, [text])).first()["text"] == "pwd: " + "*" * len(value) + " end"
+    assert secrets.scan("pwd: " + "1-" * 400)[1] == secrets.scan("pwd: " + "=" * 100_000)[1] == []
+
+
+def test_guess_cost_limit_changes_no_verdict():
+    rng = random.Random(4)
+    parts = ["password", "monkey", "19840101", "qwerty", "aaaa", "=" * 150, "1-" * 90, "zx9", "$", "7", "12345678", "P@ssw0rd"]
+    for _ in range(400):
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))
+        exact = secrets.guess_cost(value)
+        for limit in (3.0, 6.0, 9.0, 12.0):
+            bounded = secrets.guess_cost(value, limit)
+            assert (bounded >= limit) == (exact >= limit), value
+            assert bounded >= limit or bounded == pytest.approx(exact)
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("password") < cost("P@ssw0rd") < cost("xkqzjvwp")
