@@ -45,23 +45,37 @@ def longest_per_key(found: DataFrame, key: str) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def by_prefix(questions: DataFrame, key: str, text: str, courses: DataFrame, course: str, n: int = 4, max_hits: int = 20) -> DataFrame:
+def by_prefix(questions: DataFrame, key: str, text: str, courses: DataFrame, course: str, n: int = 4, max_hits: int = 20, at_words: bool = False) -> DataFrame:
     """(key, course): the exact names that a question holds, else the longest name whose first n letters it holds.
 
-    Words of questions are looked up by their first n letters in an equi-join, so names are taken to begin
-    where a word begins. A question that more than max_hits names fit by prefix gets none of these.
+    Names and first letters count at any place and across breaks, without regard to case; a name under n letters
+    only as a whole. A question that more than max_hits names fit by prefix gets none of these. With at_words,
+    only names of n letters or more count, and only where a word of the question begins with their first n letters.
     """
-    words = questions.select(key, text, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("word")).where(F.length("word") >= n)
-    names = courses.select(F.col(course).alias("course"), F.lower(F.left(course, F.lit(n))).alias("start")).where(F.length("course") >= n).distinct()
-    hits = words.select(key, text, F.left("word", F.lit(n)).alias("start")).distinct().join(names, "start").select(key, text, "course")
-    exact = F.lower(text).contains(F.lower("course"))
+    hits = _hits_at_words(questions, key, text, courses, course, n) if at_words else _hits_anywhere(questions, key, text, courses, course, n)
     per = Window.partitionBy(key)
-    hits = hits.withColumn("exact", exact).withColumn("n_exact", F.count_if("exact").over(per)).withColumn("n_hits", F.count("*").over(per))
+    hits = hits.withColumn("n_exact", F.count_if("exact").over(per)).withColumn("n_hits", F.count("*").over(per))
     rank = F.row_number().over(per.orderBy(F.desc(F.length("course")), "course"))
     hits = hits.withColumn("rank", rank)
     return hits.where("exact OR (n_exact = 0 AND n_hits <= %d AND rank = 1)" % max_hits).select(key, "course", "exact")
 
 
+def _hits_anywhere(questions: DataFrame, key: str, text: str, courses: DataFrame, course: str, n: int) -> DataFrame:
+    asked = questions.select(key, F.lower(text).alias("_text"))
+    names = courses.select(F.col(course).alias("course")).distinct()
+    whole = names.select("course", F.lower("course").alias("name"))
+    starts = names.where(F.length("course") >= n).select("course", F.lower(F.left("course", F.lit(n))).alias("name"))
+    found = [contained_names(asked, key, "_text", side.select("name").distinct(), "name").join(side, "name").select(key, "course", F.lit(exact).alias("exact")) for side, exact in ((whole, True), (starts, False))]
+    return found[0].union(found[1]).groupBy(key, "course").agg(F.max("exact").alias("exact"))
+
+
+def _hits_at_words(questions: DataFrame, key: str, text: str, courses: DataFrame, course: str, n: int) -> DataFrame:
+    words = questions.select(key, text, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("word")).where(F.length("word") >= n)
+    names = courses.select(F.col(course).alias("course"), F.lower(F.left(course, F.lit(n))).alias("start")).where(F.length("course") >= n).distinct()
+    hits = words.select(key, text, F.left("word", F.lit(n)).alias("start")).distinct().join(names, "start").select(key, text, "course")
+    return hits.withColumn("exact", F.lower(text).contains(F.lower("course")))
+
+
 def resolve(queries: DataFrame, key: str, chain: list[tuple[str, str, DataFrame]]) -> DataFrame:
     """(key, id, step): the first step of chain that knows the query; of several ids of a step the smallest.
 

@@ -90,7 +90,7 @@ def questions(spark, sf_dir):
 
 def prefix_course_match(spark, sf_dir):
     names = load(spark, sf_dir, "part").select("p_name").distinct()
-    return entities.by_prefix(questions(spark, sf_dir), "p_partkey", "question", names, "p_name").select("p_partkey", "course", "exact")
+    return entities.by_prefix(questions(spark, sf_dir), "p_partkey", "question", names, "p_name", at_words=True).select("p_partkey", "course", "exact")
 
 
 def resolve_chain(spark, sf_dir):

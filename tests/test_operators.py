@@ -179,3 +179,22 @@ def test_labelled_fields_keep_the_first_value(spark):
 def test_rows_of_boxes(spark):
     boxes = F.array(*[F.struct(F.lit(float(p)).alias("position"), F.lit(10.0).alias("height")) for p in (0, 2, 20, 21, 60)])
     assert spark.range(1).select(pages.gap_rows(boxes).alias("r")).first()["r"] == [0, 0, 1, 1, 2]
+
+
+def test_courses_are_found_at_any_place(spark):
+    names = ["数据结构基础", "C++", "C++ primer", "red rose", "高数", "organic chemistry"]
+    asked = {
+        1: ("请问数据结构基础怎么样", {("数据结构基础", True)}),
+        2: ("这门数据结构好吗", {("数据结构基础", False)}),
+        3: ("is C++ hard", {("C++", True)}),
+        4: ("a red tulip", {("red rose", False)}),
+        5: ("想学高数和red rose", {("高数", True), ("red rose", True)}),
+        6: ("inorganics please", {("organic chemistry", False)}),
+        7: ("what is for lunch", set()),
+    }
+    questions = spark.createDataFrame([(k, q) for k, (q, _) in asked.items()], "id long, q string")
+    courses = spark.createDataFrame([(n,) for n in names], "c string")
+    out = {k: set() for k in asked}
+    for r in entities.by_prefix(questions, "id", "q", courses, "c").collect():
+        out[r["id"]].add((r["course"], r["exact"]))
+    assert out == {k: want for k, (_, want) in asked.items()}
