@@ -11,7 +11,7 @@ INTENT = ["the", "que", "der"]
 
 
 def question_intents(spark, sf_dir):
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", dialogue.has_intent(F.col("text"), INTENT).alias("intent"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", dialogue.has_intent(F.col("text"), INTENT, at_words=True).alias("intent"))
 
 
 def card_decision(spark, sf_dir):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.embedding import keyword_score
-from quillspark.operators import entities, governance, index, pages, ratings, retrieval, usage
+from quillspark.operators import dialogue, entities, governance, index, pages, ratings, retrieval, usage
 
 
 def ranking(spark, *ids, q=1):
@@ -198,3 +198,9 @@ def test_courses_are_found_at_any_place(spark):
     for r in entities.by_prefix(questions, "id", "q", courses, "c").collect():
         out[r["id"]].add((r["course"], r["exact"]))
     assert out == {k: want for k, (_, want) in asked.items()}
+
+
+def test_intents_are_found_inside_runs_of_letters(spark):
+    texts = spark.createDataFrame([("这门课怎么样",), ("怎么样?",), ("这门课",), (None,)], "t string")
+    intent = dialogue.has_intent(texts["t"], ["怎么样", "推荐"])
+    assert [r[0] for r in texts.select(intent).collect()] == [True, True, False, False]
