@@ -127,7 +127,8 @@ def scan(text: str | None, min_cost: float = 9.0) -> tuple[list[tuple[str, int,
     at = 0
     while m := CONTEXT.search(text, at):
         value = m[1].rstrip(".,:!?")
-        if len(value) >= 6 and not value.isalpha() and not KEYWORD_ALONE.fullmatch(value) and guess_cost(value, min_cost) >= min_cost:
+        prose = value.isalpha() and not set(":=") & set(text[m.start() : m.start(1)])
+        if len(value) >= 6 and not prose and not KEYWORD_ALONE.fullmatch(value) and guess_cost(value, min_cost) >= min_cost:
             added.append(("guess", m.start(1), m.start(1) + len(value)))
             at = m.end()
         else:  # What is no secret may be the keyword of one.
@@ -145,7 +146,8 @@ def find_secrets(docs: DataFrame, min_cost: float = 9.0) -> DataFrame:
 
     Base spans are whole matches of the patterns, leftmost and not overlapping within a kind; n_ counts and
     base_sha256 are of these. The method adds `guess` spans: values in a credential context whose cheapest
-    guess costs 10 ** min_cost guesses or more. A value of letters alone is taken for prose. spans has all, by
+    guess costs 10 ** min_cost guesses or more. A value of letters alone is taken for prose
+    unless ':', '=' or '=>' stands before it. spans has all, by
     start and then kind. Null is the empty text, which has no spans; repeated rows give repeated rows.
     """
 

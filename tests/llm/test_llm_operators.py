@@ -337,6 +337,13 @@ def test_secrets_behind_chained_keywords(text, secret):
     assert secrets.scan(text)[1] == [("guess", at, at + len(secret))]
 
 
+def test_secrets_of_letters_alone():
+    for before in ("pwd: ", "pwd=", "pwd => "):
+        assert secrets.scan(before + "xkqzjvwp")[1] == [("guess", len(before), len(before) + 8)]
+    for before in ("pwd ", "pwd is "):
+        assert secrets.scan(before + "xkqzjvwp")[1] == []
+
+
 def test_long_secrets_are_found_whole(spark):
     rng = random.Random(3)
     long = "".join(rng.choice("ABCDEFabcdef0123456789_-$") for _ in range(5000))
