@@ -38,6 +38,22 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the table that stored() wrote for df; nothing that is still to run may read it."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores before it as it takes to be no column of any of frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
     """While it lasts, what runs sends Python so many rows at once; for columns of large values."""

@@ -201,8 +201,44 @@ def test_toxicity_is_learned_and_kept_from_identity_terms(spark):
     assert np.mean([out["predicted"][i] == toxic[i] for i in held]) > 0.97
     free = toxicity.train(docs, labels, penalty=0.0, min_gain=4.0)
     tied = toxicity.train(docs, labels, penalty=50.0, min_gain=4.0)
-    gap = lambda m: abs(m.scorer()("the muslim house") - m.scorer()("the jewish house"))
-    assert gap(tied) <= gap(free) and tied.scorer()("the women walk") < 0.5
+    odds = lambda m, text: math.log(m.scorer()(text)) - math.log(1 - m.scorer()(text))
+    gap = lambda m: abs(odds(m, "the muslim house") - odds(m, "the jewish house"))
+    assert gap(free) > 0.1 and gap(tied) < gap(free) / 2 and tied.scorer()("the women walk") < 0.5
+    # Repeated rows, also of one id, are learned from as often as they occur.
+    twice = toxicity.train(docs.union(docs), labels, min_gain=8.0)
+    once = toxicity.train(docs, labels, min_gain=4.0)
+    assert set(once.weights) == set(twice.weights)
+    long = " ".join(rng.choice(filler) for _ in range(40_000))
+    more = rows(spark, [long + " moron", long, "moron scum", "moron scum"], [7001, 7002, 7003, 7003])
+    s = toxicity.score_toxicity(more.union(docs), labels, min_gain=4.0).where("doc_id > 7000").toPandas()
+    assert len(s) == 4 and s["predicted"][s["doc_id"] == 7003].tolist() == [1, 1] and s["score"][s["doc_id"] == 7001].iloc[0] > s["score"][s["doc_id"] == 7002].iloc[0]
+    assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_fit_reaches_the_optimum():
+    """Against plain gradient descent over the same objective, written out over whole rows."""
+    rng = np.random.default_rng(7)
+    x = (rng.random((60, 8)) < 0.3).astype(float)
+    y = ((x[:, 0] + x[:, 1] > 0) ^ (rng.random(60) < 0.1)).astype(float)
+    counts = rng.integers(1, 4, 60).astype(float)
+    turned = x.copy()
+    turned[:20, [0, 5]] = turned[:20, [5, 0]]
+    delta = turned - x
+    swapped = np.abs(delta).sum(axis=1) > 0
+    l2, penalty = 0.01, 0.7
+    each = np.where(y > 0, 2.0, 1.0) * counts / counts.sum()
+
+    def objective(w, b):
+        z = x @ w + b
+        return (each * (np.logaddexp(0, z) - y * z)).sum() + l2 * (w @ w) / 2 + penalty * (counts[swapped] * (delta[swapped] @ w) ** 2).sum() / counts[swapped].sum()
+
+    w, b = np.zeros(8), 0.0
+    for _ in range(40_000):
+        err = (1 / (1 + np.exp(-(x @ w + b))) - y) * each
+        w, b = w - 0.1 * (x.T @ err + l2 * w + 2 * penalty * delta[swapped].T @ (counts[swapped] * (delta[swapped] @ w)) / counts[swapped].sum()), b - 0.1 * err.sum()
+    entries, turns = np.argwhere(x > 0).T, np.argwhere(delta != 0).T
+    got = toxicity.fit(y, counts, (entries[0], entries[1]), (turns[0], turns[1], delta[turns[0], turns[1]]), 8, l2, penalty, rounds=4000)
+    assert objective(*got) == pytest.approx(objective(w, b), abs=1e-6)
 
 
 def test_toxicity_without_labels(spark):
