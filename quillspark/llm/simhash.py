@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import stored
+from quillspark.llm.common import stored, unused
 from quillspark.llm.components import connected_components
 
 LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -113,16 +113,33 @@ def _links_in_node(limit: int, block: int = 2048):
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         prints, ids, inside = rows["fp"].to_numpy().view(np.uint64), rows["rep"].to_numpy(), rows["inside"].to_numpy()
         index, own = GrayIndex(prints[inside]), ids[inside]
+        # Members are in every block of a node's visitors, and search for one another in the first.
+        asking = np.flatnonzero(rows["asks"].to_numpy())
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(prints), block):
-            q, f = index.search(prints[at : at + block], limit)
-            pairs = np.array(_forest(np.concatenate([a, ids[at + q]]), np.concatenate([b, own[f]])), np.int64).reshape(-1, 2)
+        for at in range(0, len(asking), block):
+            some = asking[at : at + block]
+            q, f = index.search(prints[some], limit)
+            pairs = np.array(_forest(np.concatenate([a, ids[some[q]]]), np.concatenate([b, own[f]])), np.int64).reshape(-1, 2)
             a, b = pairs[:, 0], pairs[:, 1]
         return pd.DataFrame({"a": a, "b": b})
 
     return found
 
 
+def _in_blocks(work: DataFrame, most: int) -> DataFrame:
+    """work (node, fp, rep, inside) for nodes with members, dealt into blocks of at most some `most` visitors.
+
+    A node's visitors can outnumber its members without bound; each block has all its members and a share of them.
+    """
+    sizes = work.groupBy("node").agg(F.count_if("inside").alias("members"), F.count("*").alias("all"))
+    blocks = sizes.where("members > 0").select(F.col("node").alias("_node"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("members")) / most)).cast("int").alias("blocks"))
+    work = work.join(blocks, F.col("node") == F.col("_node"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    block = F.explode(F.when(F.col("inside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block")
+    work = work.select("node", "fp", "rep", "inside", block)
+    return work.withColumn("asks", ~F.col("inside") | (F.col("block") == 0))
+
+
 def _masks(limit: int) -> list[list[int]]:
     """By number of differing bits, the masks over one step's bits."""
     by = [[m for m in range(1 << STEP) if m.bit_count() == n] for n in range(limit + 1)]
@@ -133,7 +150,9 @@ def link_fingerprints(prints: DataFrame, limit: int = 2, node_size: int = 4096)
     """Edges (a, b) between the rep of fingerprints (fp, rep: long, distinct) that join all within limit bits.
 
     Every pair within the limit meets in exactly one node; of the pairs found in a node a spanning forest is
-    returned, which has the same components. Nodes over node_size are divided by their next bits.
+    returned, which has the same components. Nodes over node_size are divided by their next bits; visitors of a
+    node come in blocks of some eight times node_size, so no group of one task is much larger. At limit 2 a
+    fingerprint visits some 18 nodes of 8 bits, 69 of 16 or 150 of 24.
     """
     masks = F.array(*[F.array(*[F.lit(m).cast("long") for ms in _masks(limit)[: n + 1] for m in ms]) for n in range(limit + 1)])
 
@@ -162,7 +181,7 @@ def link_fingerprints(prints: DataFrame, limit: int = 2, node_size: int = 4096)
         else:
             split = False
         ready = work.join(large, "node", "left_anti") if split else work
-        found = ready.groupBy("node").applyInPandas(_links_in_node(limit), "a long, b long")
+        found = _in_blocks(ready, 8 * node_size).groupBy("node", "block").applyInPandas(_links_in_node(limit), "a long, b long")
         edges = found if edges is None else edges.union(found)
         if not split:
             return edges
@@ -170,33 +189,68 @@ def link_fingerprints(prints: DataFrame, limit: int = 2, node_size: int = 4096)
     return edges
 
 
-def simhash_components(docs: DataFrame, limit: int = 2, width: int = 3, seed: int = 42, node_size: int = 4096) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs (doc_id long, text string, more ignored).
+def linked_rows(docs: DataFrame, limit: int = 2, width: int = 3, seed: int = 42, node_size: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_hash) for every row of docs, and (fp, root) for the fingerprints that have links.
 
-    Fingerprints are linked at limit or fewer differing bits; component_id is the smallest doc_id that links
-    lead to. Null and empty texts have fingerprint zero and are linked like others; a null doc_id keeps its
-    row but never names a component (a component of such rows alone has a null id). Repeated rows give repeated
-    rows. An empty table gives an empty table. Texts that share a fingerprint are one node of the search, so
-    large groups of copies cost one row.
+    root is the smallest fingerprint (as a signed number) that links lead to; one without links is its own root.
+    Both tables are stored. Texts that share a fingerprint are one node of the search, so copies cost one row.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), width, seed).alias("fp")), "fingerprints")
-    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "prints")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), width, seed).alias("fp"), F.xxhash64("text").alias("text_hash"))
+    rows = stored(rows, "fingerprints")
+    prints = stored(rows.select("fp", F.col("fp").alias("rep")).distinct(), "prints")
     parts = connected_components(link_fingerprints(prints, limit, node_size))
-    named = prints.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows, stored(parts.select(F.col("node").alias("fp"), F.col("component").alias("root")), "roots")
+
+
+def simhash_components(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs (doc_id long, text string).
+
+    Fingerprints are linked at limit or fewer differing bits (options: those of linked_rows); component_id is the
+    smallest doc_id that links lead to, also by rows without an id. Null and empty texts have fingerprint zero and
+    are linked like others; a null doc_id keeps its row but never names a component (a component of such rows alone
+    has a null id). Repeated rows give repeated rows, and rows of one doc_id with unlike texts are each a node of
+    their own. Texts of any length are read whole. An empty table gives an empty table. Other columns, whatever
+    their names, are neither read nor returned.
+    """
+    rows, roots = linked_rows(docs, **options)
+    # The smallest id by fingerprint, and of the fingerprints that have links by component.
+    named = rows.groupBy("fp").agg(F.min("doc_id").alias("own"))
+    least = roots.join(named, "fp").groupBy("root").agg(F.min("own").alias("component_id"))
+    linked = roots.join(stored(least, "least"), "root").select("fp", "component_id", F.lit(True).alias("linked"))
+    every = named.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("own")).alias("component_id"))
+    return rows.join(stored(every, "named"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with all columns, less every document but the one with the smallest doc_id of each component.
+    """docs with all columns, less every row but one of each component of near-duplicates.
 
-    Rows without a doc_id cannot be named and are all kept. Of rows that repeat a kept doc_id one stays.
+    The row with the smallest doc_id stays (one without an id only where none has one), of those with the same id
+    the one whose text has the smallest hash, and of rows that repeat both the one whose columns, as JSON, come
+    first. Unlike texts of one doc_id are in components of their own, and all stay. Null and empty texts are one
+    component.
     """
-    found = stored(simhash_components(docs, **options).select("doc_id", "component_id"), "components")
-    # Few documents go as a rule, so those are named, and not the many that stay.
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    rows, roots = linked_rows(docs, **options)
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    kinds = stored(rows.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("copies")).withColumn("key", key), "kinds")
+    # A fingerprint without links keeps its smallest row; of the others the component's smallest decides.
+    best = kinds.groupBy("fp").agg(F.min("key").alias("own"))
+    linked = roots.join(best, "fp")
+    first = stored(linked.groupBy("root").agg(F.min("own").alias("first")), "first")
+    linked = linked.join(first, "root").select("fp", "first")
+    best = stored(best.join(linked, "fp", "left").select("fp", F.coalesce("first", "own").alias("first")), "best")
+    # Few rows go as a rule, so those are named, and not the many that stay.
+    gone = stored(kinds.join(best, "fp").where("key <> first").select("doc_id", "text_hash").distinct(), "gone")
+    out = _against(docs, gone, "left_anti")
+    repeated = stored(kinds.join(best, "fp").where("key = first AND copies > 1").select("doc_id", "text_hash"), "repeated")
     if repeated.isEmpty():
         return out
-    named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(out.where("doc_id is null"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = _against(out, repeated, "inner").groupBy(F.col("doc_id"), F.xxhash64("text")).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return _against(out, repeated, "left_anti").union(once.select("row.*"))
+
+
+def _against(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs' columns of the rows that have, or have not, one of keys (doc_id, text_hash)."""
+    k = keys.select(F.col("doc_id").alias(i := unused("id", docs)), F.col("text_hash").alias(h := unused("hash", docs)))
+    joined = docs.join(k, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), how)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
