@@ -7,51 +7,45 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold_bucket
+from quillspark.llm.common import fold_bucket, unused
 
 UNKNOWN = "und"
 
 
-def learn_dictionaries(docs: DataFrame, slots: int = 256, doc_chars: int = 4096, dict_bytes: int = 110_000) -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from rows of docs (text, lang) that have both.
+def learn_dictionaries(docs: DataFrame, slots: int = 256, block_chars: int = 448) -> dict[str, bytes]:
+    """Raw-content dictionaries by language, from rows of docs (text, lang) that have both; any lang is learned, also an empty one.
 
-    A bounded sample: for each language at most one document of each of `slots` hash classes, the one with
-    the smallest hash, documents of at most doc_chars characters first. Only the sampled texts reach the
-    driver. Rows are told apart by their text alone, so copies count once and nothing depends on row order.
+    A bounded sample: whole texts are cut into blocks of block_chars characters, all of which are candidates, and
+    for each language the block with the smallest hash in each of `slots` hash classes is taken. So a dictionary
+    has slots * block_chars characters at most, however long the texts and however many there are, and nothing
+    depends on the order of rows. Blocks are told apart by their hash, so copies count once.
     """
-    known = docs.where("text is not null and lang is not null and lang <> '' and text rlike '\\\\p{L}'")
-    digest = F.shiftrightunsigned(F.xxhash64("text"), 2)
-    rank = digest + F.when(F.length("text") > doc_chars, F.lit(1 << 62)).otherwise(F.lit(0)).cast("long")
-    known = known.select("lang", "text", F.pmod(digest, F.lit(slots)).alias("slot"), rank.alias("rank"))
-    best = known.groupBy("lang", "slot").agg(F.min("rank").alias("rank"))
-    rows = known.join(F.broadcast(best), ["lang", "slot", "rank"], "left_semi").select("lang", "text", "rank").distinct().collect()
+    known = docs.where("text is not null and lang is not null and text rlike '\\\\p{L}'")
+    blocks = known.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))).alias("block"))
+    digest = F.xxhash64("block")
+    best = blocks.groupBy("lang", F.pmod(digest, F.lit(slots)).alias("slot")).agg(F.min(F.struct(digest.alias("digest"), "block")).alias("best"))
     found: dict[str, bytes] = {}
-    for lang, text, _ in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
-        found[lang] = found.get(lang, b"") + text.lower().encode("utf-8", "replace") + b"\n"
-    return {lang: text[-dict_bytes:] for lang, text in sorted(found.items())}
+    for r in sorted(best.collect(), key=lambda r: (r["lang"], r["best"])):
+        found[r["lang"]] = found.get(r["lang"], b"") + r["best"]["block"].encode("utf-8", "replace") + b"\n"
+    return found
 
 
-def identifier(dictionaries: dict[str, bytes], level: int = 6, block: int = 1024, short_level: int = 12, short_bytes: int = 512):
+def identifier(dictionaries: dict[str, bytes], level: int = 9, block: int = 1024):
     """text -> (language, score). The score is the share by which the best language's size undercuts the next.
 
-    Texts are compressed in blocks, so that a dictionary counts for all of a long text and not only its
-    start; texts of at most short_bytes, where few bytes decide, at a higher level. Ties go to the first
-    language by name; with one language the score is 1.
+    Texts are compressed in blocks, so that a dictionary counts for all of a long text and not only its start.
+    Ties go to the first language by name; with one language the score is 1.
     """
-
-    def packers(at: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
-        plain = dict(write_checksum=False, write_content_size=False, write_dict_id=False)
-        raw = zstandard.DICT_TYPE_RAWCONTENT
-        return [(lang, zstandard.ZstdCompressor(level=at, dict_data=zstandard.ZstdCompressionDict(d, dict_type=raw), **plain)) for lang, d in dictionaries.items()]
-
-    usual, careful = packers(level), packers(short_level)
+    plain = dict(write_checksum=False, write_content_size=False, write_dict_id=False)
+    raw = zstandard.DICT_TYPE_RAWCONTENT
+    packers = [(lang, zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=raw), **plain)) for lang, d in sorted(dictionaries.items())]
 
     def identify(text: str | None) -> tuple[str, float]:
-        if not usual or not text or not any(map(str.isalpha, text)):
+        if not packers or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         data = text.lower().encode("utf-8", "replace")
         blocks = [data[at : at + block] for at in range(0, len(data), block)]
-        sizes = sorted((sum(len(p.compress(b)) for b in blocks), lang) for lang, p in (careful if len(data) <= short_bytes else usual))
+        sizes = sorted((sum(len(p.compress(b)) for b in blocks), lang) for lang, p in packers)
         return sizes[0][1], 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
 
     return identify
@@ -73,7 +67,10 @@ def predict_languages(docs: DataFrame, margin: float = 0.005, **options) -> Data
 
     Learns from rows whose crc32(doc_id) modulo 3 is not 1 (a null doc_id is never learned from). A text that
     is null, empty or without a letter is `und` with score 0; rejected holds for these and where the score is
-    under margin. Without any labelled row every text is `und`. Repeated rows give repeated rows.
+    under margin. Without any labelled row every text is `und`. Texts of any length are read whole, in blocks.
+    Ties go to the first language by name. Repeated rows give repeated rows, and an empty table an empty one.
+    Other columns, whatever their names, are neither read nor returned. The dictionaries go to every task: some
+    110 KB for each distinct lang that is learned.
     """
     held_out = F.coalesce(fold_bucket("doc_id", 3) == 1, F.lit(False))
     dictionaries = learn_dictionaries(docs.where(~(fold_bucket("doc_id", 3) == 1)))
@@ -84,5 +81,6 @@ def predict_languages(docs: DataFrame, margin: float = 0.005, **options) -> Data
 def drop_rejected(docs: DataFrame, margin: float = 0.005, **options) -> DataFrame:
     """docs with all columns, less the rows that predict_languages rejects."""
     dictionaries = learn_dictionaries(docs.where(~(fold_bucket("doc_id", 3) == 1)))
-    found = identify_column(F.col("text"), dictionaries, **options)
-    return docs.withColumn("_found", found).where((F.col("_found.lang") != UNKNOWN) & (F.col("_found.score") >= margin)).drop("_found")
+    found = unused("found", docs)
+    judged = docs.withColumn(found, identify_column(F.col("text"), dictionaries, **options))
+    return judged.where((F.col(f"{found}.lang") != UNKNOWN) & (F.col(f"{found}.score") >= margin)).drop(found)
