@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import stored
+from quillspark.llm.common import stored, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators, after and before A-Z are lower-cased.
@@ -71,14 +71,14 @@ def _common(n: int, mine, yours) -> Column:
 
 
 def extended_hits(docs: DataFrame, theirs: DataFrame, span: int, totals: bool = False) -> DataFrame:
-    """(doc, n_words, item_id, first, last) for the runs of at least span words around joined fingerprints.
+    """(doc, n_words, items, run) for the runs of at least span words around joined fingerprints.
 
-    docs has (doc, words); theirs has the items' fingerprints (item_id, fp, n_before, around). Words count from
-    1. n_words is null but in the rows that totals adds, one for each of docs, which have no run.
+    docs has (doc, words); theirs has the items' unlike fingerprints (items: ids that share it, fp, n_before,
+    around), so a passage of many items is compared once. Words count from 1. n_words is null but in the rows that totals adds, one for each of docs, which have no run.
     """
     k = min(5, span)
     reach = span - k
-    theirs = theirs.select("item_id", "fp", F.col("n_before").alias("item_before"), F.col("around").alias("item_around"))
+    theirs = theirs.select("items", "fp", F.col("n_before").alias("item_before"), F.col("around").alias("item_around"))
     mine = fingerprints(docs, ["doc"], span, totals).withColumnRenamed("fp", "own")
     joined = mine.join(F.broadcast(theirs), F.col("own") == F.col("fp"), "left" if totals else "inner")
 
@@ -91,8 +91,8 @@ def extended_hits(docs: DataFrame, theirs: DataFrame, span: int, totals: bool =
     # Without fp there is nothing to compare; and in one expression the join looks for equal fingerprints alone.
     run = F.when(F.col("fp").isNotNull(), F.when(same, F.struct((F.col("at") - left).alias("first"), (F.col("at") + k - 1 + right).alias("last"))))
     n_words = F.when(F.col("own").isNull(), F.col("at")).cast("long")
-    joined = joined.select("doc", n_words.alias("n_words"), "item_id", run.alias("run"))
-    return joined.where((F.col("run.last") - F.col("run.first") + 1 >= span) | F.col("n_words").isNotNull()).select("doc", "n_words", "item_id", "run")
+    joined = joined.select("doc", n_words.alias("n_words"), "items", run.alias("run"))
+    return joined.where((F.col("run.last") - F.col("run.first") + 1 >= span) | F.col("n_words").isNotNull()).select("doc", "n_words", "items", "run")
 
 
 def _covered(spans: Column) -> Column:
@@ -111,38 +111,49 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, one_in: int
     window. A document's word inside any occurrence of a window is hit; contaminated: the hit words are some, and
     one in one_in of its words at least. The items' fingerprints are broadcast in blocks of those of about
     block_words words, which bounds a block whatever the table's size; each block passes over the documents
-    once, and items shorter than span once for each of their lengths. Null and empty texts have no words; repeated rows of a document get the same result each; items
-    that share an item_id count once; items without words or id never hit; an empty table of items hits nothing.
+    once, and items shorter than span once for each of their lengths. Null and empty texts have no words, and
+    texts of any length are read whole; repeated rows of a document get the same result each, and rows of one
+    doc_id with unlike texts each their own; items that share an item_id count once; items without words or id
+    never hit; an empty table of items hits nothing, and one of documents gives an empty table. Other columns,
+    whatever their names, are neither read nor returned.
     """
+    out = judged(docs, items, span, one_in, block_words)
+    return out.select("doc.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def judged(docs: DataFrame, items: DataFrame, span: int = 13, one_in: int = 20, block_words: int = 1_000_000) -> DataFrame:
+    """contamination with doc, struct<doc_id, h: hash of the text>, in place of doc_id."""
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
     words = docs.select(key.alias("doc"), words_of(F.col("text")).alias("words"))
     asked = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
     asked = asked.withColumn("span", F.least(F.size("words"), F.lit(span))).where("span > 0")
     found = None
     for length, n_words in sorted(map(tuple, asked.groupBy("span").agg(F.sum(F.size("words"))).collect())):
-        theirs = fingerprints(asked.where(F.col("span") == length), ["item_id"], length).drop("at").distinct()
+        theirs = fingerprints(asked.where(F.col("span") == length), ["item_id"], length)
+        theirs = theirs.groupBy("fp", "n_before", "around").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
         blocks = -(-n_words // block_words)
         for b in range(blocks):
-            block = theirs.where(F.pmod(F.xxhash64("item_id", "fp", "around"), F.lit(blocks)) == b) if blocks > 1 else theirs
+            block = theirs.where(F.pmod(F.xxhash64("fp", "around"), F.lit(blocks)) == b) if blocks > 1 else theirs
             hits = extended_hits(words, block, length, found is None)
             found = hits if found is None else found.union(hits)
     if found is None:
-        base = docs.select("doc_id", count_words(F.col("text")).alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("ids"))
+        base = docs.select(key.alias("doc"), count_words(F.col("text")).alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("ids"))
     else:
         # A document's totals are counted, as repeated rows of it come back as often.
         per_doc = found.groupBy("doc").agg(
-            F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.array_sort(F.collect_set("run")).alias("runs"), F.array_sort(F.collect_set("item_id")).alias("ids"),
+            F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.array_sort(F.collect_set("run")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"),
         )
         base = per_doc.select(
-            "doc.doc_id", "n_words", _covered(F.col("runs")).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("ids"),
+            "doc", "n_words", _covered(F.col("runs")).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("ids"),
             F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))),
         )
     bad = (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))
-    return base.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("ids", 256).alias("items_sha256"), bad.alias("contaminated"))
+    return base.select("doc", "n_words", "n_hit", "n_items", F.sha2("ids", 256).alias("items_sha256"), bad.alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs with all columns, less the documents that contamination marks; rows that share a doc_id, or have none, go together."""
-    marked = contamination(docs.select("doc_id", "text"), items, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    """docs with all columns, less the rows that contamination marks; rows are told apart by doc_id and text."""
+    bad = judged(docs.select("doc_id", "text"), items, **options).where("contaminated").select("doc").distinct()
+    bad = bad.select(F.col("doc.doc_id").alias(i := unused("id", docs)), F.col("doc.h").alias(h := unused("hash", docs)))
     # Stored, so that the join is planned with the size of what goes, which is small as a rule.
-    return docs.join(stored(marked, "contaminated"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(stored(bad, "contaminated"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left_anti")
