@@ -8,7 +8,7 @@ from quillspark.llm.backoff import score
 from quillspark.llm.common import table
 from quillspark.llm.interleaved import document_media
 from quillspark.llm.langid import predict_languages
-from quillspark.llm.mixing import poisson_mix, tempered_weights
+from quillspark.llm.mixing import poisson_mix, source_counts, tempered_weights
 from quillspark.llm.secrets import find_secrets
 from quillspark.llm.sharding import shard
 from quillspark.llm.simhash import simhash_components
@@ -51,7 +51,8 @@ def op7_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return poisson_mix(docs, tempered_weights(docs))
+    counts = source_counts(docs)
+    return poisson_mix(docs, tempered_weights(counts), counts=counts)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from quillspark.llm import backoff, interleaved, langid, mixing, secrets, sharding, simhash, toxicity, urlrules, winnow
@@ -167,13 +168,49 @@ def test_long_chains_settle(spark):
     assert out == {**dict.fromkeys(range(300), 0), 500: 500, 501: 500}
 
 
-def test_one_of_each_group_stays(spark):
-    docs, _ = with_repeats(spark)
+def bridged():
+    """Texts of which the second is within two bits of the first and the third, which are further apart."""
+    rng = random.Random(12)
+    base = sentence(rng, 60).split()
+    near = {}
+    for i in range(len(base)):
+        for word in ("other", "word", "here", "more"):
+            t = " ".join([*base[:i], word, *base[i + 1 :]])
+            near[t] = slow_fingerprint(t)
+    far = lambda a, b: (a ^ b).bit_count()
+    for mid, m in near.items():
+        close = [(t, p) for t, p in near.items() if 0 < far(p, m) <= 2]
+        for a, p in close:
+            for b, q in close:
+                if far(p, q) > 2:
+                    return a, mid, b
+    raise AssertionError("no such texts")
+
+
+def test_rows_without_an_id_link_others(spark):
+    a, mid, b = bridged()
+    docs = rows(spark, [a, mid, b, "unlike text one", "quite another text"], [9, None, 5, 7, 7])
+    out = simhash.simhash_components(docs).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in out) == Counter([(9, 5), (None, 5), (5, 5), (7, 7), (7, 7)])
     kept = simhash.keep_one_of_each(docs)
-    named = [r["doc_id"] for r in kept.where("doc_id is not null").collect()]
-    assert kept.columns == docs.columns and len(named) == len(set(named))
-    expected = {r["doc_id"] for r in simhash.simhash_components(docs).where("doc_id = component_id").collect()}
-    assert set(named) == expected and kept.where("doc_id is null").count() == 1
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, b), (7, "unlike text one"), (7, "quite another text")])
+
+
+@pytest.mark.parametrize("node_size", [4096, 4])
+def test_one_of_each_group_stays(spark, node_size):
+    docs, values = with_repeats(spark)
+    docs = docs.withColumn("gone", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("id", F.lit(3)).withColumn("row", F.lit(4))
+    ids = [*range(len(texts())), 900, 900, None, 901, 901]
+    prints = [slow_fingerprint(t) for t in values]
+    kept = simhash.keep_one_of_each(docs, node_size=node_size)
+    assert kept.columns == docs.columns
+    parts = {}
+    for i, t, p, c in zip(ids, values, prints, brute_components(range(len(ids)), prints), strict=True):
+        parts.setdefault(c, []).append((i is None, i or 0, i, t))
+    first = {min(p[:2] for p in part) for part in parts.values()}
+    got = kept.collect()
+    assert len(got) == len(parts) and {(r["doc_id"] is None, r["doc_id"] or 0) for r in got} == first
+    assert simhash.keep_one_of_each(rows(spark, [])).count() == 0
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------
@@ -290,8 +327,13 @@ def test_contamination_of_repeats_and_of_nothing(spark):
     assert sorted(r["n_hit"] for r in out.where("doc_id = 901").collect()) == [0, 2]
     assert winnow.contamination(docs, items.limit(0)).where("contaminated").count() == 0
     assert winnow.contamination(rows(spark, []), items).count() == 0
-    kept = winnow.drop_contaminated(docs, items)
-    assert kept.columns == docs.columns and kept.where("doc_id >= 900").count() == 0 and kept.count() == len(values) - 4
+    clash = docs.withColumn("_bad", F.lit(1)).withColumn("id", F.lit(2)).withColumn("hash", F.lit(3))
+    kept = winnow.drop_contaminated(clash, items)
+    # Of the rows that share an id, or have none, only those with the passage go.
+    assert kept.columns == clash.columns and [r["text"] for r in kept.where("doc_id >= 900").collect()] == ["text a"]
+    assert kept.count() == len(values) - 3
+    nameless = winnow.drop_contaminated(rows(spark, ["same row", "clean", None], [None, None, None]), items)
+    assert sorted(str(r["text"]) for r in nameless.collect()) == ["None", "clean"]
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------
@@ -451,7 +493,8 @@ def test_media_round_trip(spark):
 
 def test_poisson_copies(spark):
     docs, values = with_repeats(spark)
-    out = mixing.poisson_mix(docs.drop("copy"), mixing.tempered_weights(docs))
+    docs = docs.withColumn("mix_key", F.lit("k")).withColumn("_source", F.lit("s")).withColumn("_rate", F.lit(1)).withColumn("_draw", F.lit(2)).withColumn("draw", F.lit(3))
+    out = mixing.poisson_mix(docs, mixing.tempered_weights(mixing.source_counts(docs)))
     n = docs.groupBy("source").count().toPandas().set_index("source", drop=True)["count"]
     n.index = [None if x != x else x for x in n.index]
     total, weights = sum(n), {s: math.sqrt(c) for s, c in n.items()}
@@ -467,7 +510,9 @@ def test_poisson_copies(spark):
             cdf += p
         same = sum(1 for i, t in zip([*range(len(texts())), 900, 900, None, 901, 901], values, strict=True) if (i, t) == r[:2])
         assert counts.get(r[:2], 0) == k * same
-    assert out.count() == sum(counts.values()) and out.columns == [*docs.drop("copy").columns, "copy", "mix_key"]
+    assert out.count() == sum(counts.values()) and out.columns == [*docs.columns, "_copy", "_mix_key"]
+    assert out.where("copy <> 7 OR mix_key <> 'k' OR _rate <> 1 OR _draw <> 2").count() == 0
+    assert mixing.poisson_mix(docs.drop("copy", "mix_key"), mixing.tempered_weights(mixing.source_counts(docs))).columns[-2:] == ["copy", "mix_key"]
 
 
 def test_poisson_draws_have_the_rate_as_mean_and_variance(spark):
@@ -480,10 +525,10 @@ def test_poisson_draws_have_the_rate_as_mean_and_variance(spark):
 
 
 def test_mixing_without_weights_or_rows(spark):
-    docs = rows(spark).drop("copy")
+    docs = rows(spark)
     assert mixing.poisson_mix(docs, spark.createDataFrame([("src1", 1.0), ("none", 5.0)], "source string, weight double")).select("source").distinct().collect()[0][0] == "src1"
     assert mixing.poisson_mix(docs, spark.createDataFrame([], "source string, weight double")).count() == 0
-    assert mixing.poisson_mix(docs.limit(0), mixing.tempered_weights(docs)).count() == 0
+    assert mixing.poisson_mix(docs.limit(0), mixing.tempered_weights(mixing.source_counts(docs))).count() == 0
 
 
 # 9 ---------------------------------------------------------------------------------------------------------------
@@ -499,14 +544,25 @@ def test_languages(spark):
     rng = random.Random(8)
     data = [(i, " ".join(rng.choice(PROSE[lang]) for _ in range(rng.randrange(8, 60))), lang) for i, lang in enumerate(rng.choice(list(PROSE)) for _ in range(300))]
     data += [(900, None, "en"), (901, "", "en"), (902, "12 %% ...", "fr"), (903, "die leute leben", None), (None, data[0][1], "de"), (0, data[0][1], data[0][2])]
-    docs = spark.createDataFrame([(*d, "q") for d in data], "doc_id long, text string, lang string, found string")
+    long = " ".join(rng.choice(PROSE["fr"]) for _ in range(30_000))
+    data += [(904, long, None), (905, "le " + long, "fr"), (906, " ".join(PROSE["de"]), "")]
+    docs = spark.createDataFrame([(*d, "q", "r") for d in data], "doc_id long, text string, lang string, found string, _found string")
     out = langid.predict_languages(docs).toPandas()
     assert len(out) == len(data) and out["score"].between(0, 1).all()
     truth = {d[0]: d[2] for d in data if d[0] is not None and d[0] < 900}
     held = out[out["held_out"] & out["doc_id"].isin(truth)]
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held.itertuples()]) > 0.97
     assert all(r.held_out == (zlib.crc32(str(int(r.doc_id)).encode()) % 3 == 1) for r in out.dropna(subset=["doc_id"]).itertuples())
-    assert set(out[out["doc_id"].isin([900, 901, 902])]["lang_pred"]) == {"und"} and set(out["lang_pred"]) <= {*PROSE, "und"}
+    assert set(out[out["doc_id"].isin([900, 901, 902])]["lang_pred"]) == {"und"} and set(out["lang_pred"]) <= {*PROSE, "und", ""}
+    assert set(out[out["doc_id"].isin([904, 905])]["lang_pred"]) == {"fr"} and langid.learn_dictionaries(docs).keys() == {*PROSE, ""}
+    # Against the same rule written out: the dictionary that makes the blocks of the whole text smallest.
+    dictionaries = langid.learn_dictionaries(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"))
+    sizes = lambda t, d: sum(len(zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False).compress(b)) for b in (t.encode()[a : a + 1024] for a in range(0, len(t.encode()), 1024)))
+    for r in out[out["doc_id"].isin([1, 2, 3, 4, 5, 904])].itertuples():
+        n = sorted((sizes({d[0]: d[1] for d in data[1:]}[r.doc_id].lower(), d), lang) for lang, d in dictionaries.items())
+        assert (r.lang_pred, r.score) == (n[0][1], pytest.approx((n[1][0] - n[0][0]) / n[1][0]))
+    small = langid.learn_dictionaries(docs, slots=4, block_chars=50)
+    assert all(len(d) <= 4 * (50 * 4 + 1) for d in small.values())
     kept = langid.drop_rejected(docs)
     assert kept.columns == docs.columns and kept.where("doc_id IN (900, 901, 902)").count() == 0 and kept.count() > 290
     assert langid.predict_languages(docs.where("lang IS NULL")).select("lang_pred").distinct().collect()[0][0] == "und"
