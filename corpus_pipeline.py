@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import stored, table
 from quillspark.llm.langid import drop_rejected
-from quillspark.llm.mixing import poisson_mix, tempered_weights
+from quillspark.llm.mixing import poisson_mix, source_counts, tempered_weights
 from quillspark.llm.sharding import shard
 from quillspark.llm.simhash import keep_one_of_each
 from quillspark.llm.winnow import drop_contaminated
@@ -29,7 +29,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replicates documents so that sources come near to the square roots of their sizes; rows may repeat."""
-    return poisson_mix(docs, tempered_weights(docs)).select(docs.columns)
+    counts = source_counts(docs)
+    return poisson_mix(docs, tempered_weights(counts), counts=counts).select(docs.columns)
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
