@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +32,10 @@ def pack(vectors: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def assign(bins: list, total: list[int], shards: int, parts: int = 4) -> list[int]:
+def assign(bins: list, total: list[int], shards: int) -> list[int]:
     """The shard of each of bins (cell, piece, bytes, tokens, rows), sorted by cell and piece.
 
-    Pieces of one text go together, unless the text has more than a shard's share over `parts`; then they go in
-    runs of about that share each.
+    Pieces of a text that fits a shard's share go together; those of a larger one are packed each by itself.
     """
     vectors = np.array([[b[d] for d in DIMENSIONS] for b in bins], np.float64).reshape(-1, 3)
     units: list[int] = []
@@ -47,9 +44,9 @@ def assign(bins: list, total: list[int], shards: int, parts: int = 4) -> list[in
         end = at
         while end < len(bins) and bins[end]["cell"] == bins[at]["cell"]:
             end += 1
-        n = max(1, math.ceil((vectors[at:end].sum(axis=0) / total).max() * parts * shards)) if bins[at]["piece"] >= 0 else 1
+        whole = (vectors[at:end].sum(axis=0) / total).max() * shards <= 1
         first = units[-1] + 1 if units else 0
-        units += [first + i * n // (end - at) for i in range(end - at)]
+        units += [first + (0 if whole else i) for i in range(end - at)]
         at = end
     ids, unit_of = np.unique(np.array(units, np.int64), return_inverse=True)
     sums = np.zeros((len(ids), 3))
@@ -60,19 +57,24 @@ def assign(bins: list, total: list[int], shards: int, parts: int = 4) -> list[in
 def shard(docs: DataFrame, shards: int = 24, cells: int = 4096) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs (doc_id, text).
 
-    A group is all rows of one text. Small groups are gathered by hash into cells, a fixed number whatever the
-    input's size, which are packed whole. A group that outgrows a cell's share in any dimension is packed by
-    itself: whole, up to a quarter of a shard, else in runs of about that size, so one text may fill any part
-    of the input. Its rows are dealt by a hash of doc_id into pieces of a cell's share, which tasks number.
-    Cells and pieces are a few times `cells` at most, and only their sums reach the driver. Sizes of shards are near equal (law `bytes`); slots count from 0 without gaps in each.
+    A group is all rows of one text, and stays whole if it fits a shard's share in every dimension; a larger one
+    cannot, and is dealt to where it balances best, so one text may fill any part of the input. Sizes of shards are
+    near equal (law `bytes`); slots count from 0 without gaps in each.
+
+    For the packing, groups are summed by hash into cells, a fixed number whatever the input's size. One that
+    outgrows a cell's share is packed by itself, and its rows are dealt by a hash of doc_id (a doc_id that alone
+    has more than a cell's share of the rows: also by where they stand) into pieces of a cell's share, which tasks
+    number. Cells and pieces are a few times `cells` at most, and only their sums reach the driver.
 
     size: UTF-8 bytes plus 8. Null and empty texts have 8 and the same crc and group. A null doc_id is dealt
-    like others. Repeated rows each get a slot of their own. An empty table gives an empty table.
+    like others. Repeated rows each get a slot of their own. Of equal dot products the lower shard is taken, and
+    slots of equal doc_ids follow the texts' digests. Texts of any length are read whole. An empty table gives an
+    empty table. Other columns, whatever their names, are neither read nor returned.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"), F.unhex(F.md5(text.cast("binary"))).alias("digest"),
+        F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.monotonically_increasing_id().alias("spot"),
     )
     rows = stored(rows, "sizes")
     groups = rows.groupBy("digest").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"))
@@ -81,9 +83,15 @@ def shard(docs: DataFrame, shards: int = 24, cells: int = 4096) -> DataFrame:
     # At most three times `cells` groups exceed a cell's share, one time for each dimension.
     over = F.greatest(*[F.col(d) / F.lit(t / cells) for d, t in zip(DIMENSIONS, total, strict=True)])
     large = stored(groups.withColumn("pieces", F.ceil(over).cast("int")).where("pieces > 1").select("digest", "pieces"), "large")
-    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces")).cast("int")).otherwise(-1)
+    # Likewise at most `cells` pairs of a doc_id and a text have more than a cell's share of the rows.
+    pairs = rows.join(F.broadcast(large), "digest", "left_semi").groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where(F.col("n") > total[2] / cells)
+    busy = stored(pairs.select(F.col("digest").alias("busy_digest"), F.col("doc_id").alias("busy_id")), "busy")
+    dealt = rows.join(F.broadcast(large), "digest", "left")
+    dealt = dealt.join(F.broadcast(busy), (F.col("digest") == F.col("busy_digest")) & F.col("doc_id").eqNullSafe(F.col("busy_id")), "left")
+    by = F.when(F.col("busy_digest").isNotNull(), F.xxhash64("doc_id", F.lit("piece"), "spot")).otherwise(F.xxhash64("doc_id", F.lit("piece")))
+    piece = F.when(F.col("pieces").isNotNull(), F.pmod(by, F.col("pieces")).cast("int")).otherwise(-1)
     cell = F.when(F.col("pieces").isNotNull(), F.lower(F.hex("digest"))).otherwise(F.pmod(F.xxhash64("digest"), F.lit(cells)).cast("string"))
-    dealt = rows.join(F.broadcast(large), "digest", "left").withColumn("piece", piece).withColumn("cell", cell)
+    dealt = dealt.withColumn("piece", piece).withColumn("cell", cell)
     bins = dealt.groupBy("cell", "piece").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("cell", "piece").collect()
     to = assign(bins, total, shards)
     start, plan = [0] * shards, []

@@ -73,15 +73,71 @@ def test_a_hot_text_is_dealt_over_shards(spark):
     assert sharding.shard(rows(spark, []), 8).count() == 0
 
 
-def test_texts_stay_together_up_to_a_quarter_of_a_shard(spark):
-    docs = rows(spark, [f"text number {i // 9}" for i in range(900)] + ["hot"] * 300)
+def test_texts_that_fit_a_shard_stay_together(spark):
+    docs = rows(spark, [f"text number {i // 9}" for i in range(900)] + ["hot"] * 600 + ["warm"] * 150)
     out = sharding.shard(docs, 8, 512).toPandas()
-    out["text"] = out["doc_id"].map(lambda i: f"{i // 9}" if i < 900 else "hot")
+    out["text"] = out["doc_id"].map(lambda i: f"{i // 9}" if i < 900 else "hot" if i < 1500 else "warm")
     spread = out.groupby("text")["shard"].nunique()
     assert (spread.drop("hot") == 1).all() and spread["hot"] > 1
     assert out.groupby("shard")["size"].sum().pipe(lambda s: s.max() / s.mean()) < 1.1
 
 
+def brute_shards(values, ids, shards, cells):
+    """Multiset of (doc_id, size, crc, shard, slot), by Python alone; no id may have more than a cell's share of rows."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    raw = [(t or "").encode() for t in values]
+    vectors = [(len(r) + 8, len(re.findall(r"\S+", (t or ""), re.A)), 1) for r, t in zip(raw, values, strict=True)]
+    total = [max(1, sum(v[d] for v in vectors)) for d in range(3)]
+    groups = {}
+    for r, v in zip(raw, vectors, strict=True):
+        groups[r] = [a + b for a, b in zip(groups.get(r, (0, 0, 0)), v, strict=True)]
+    spot = []
+    for i, r in zip(ids, raw, strict=True):
+        pieces = math.ceil(max(groups[r][d] / (total[d] / cells) for d in range(3)))
+        digest = hashlib.md5(r).digest()
+        seed = 42 if i is None else xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42)
+        spot.append((digest.hex(), signed(xxhash.xxh64_intdigest(b"piece", seed)) % pieces) if pieces > 1 else (str(signed(xxhash.xxh64_intdigest(digest, 42)) % cells), -1))
+    bins = {}
+    for at, v in zip(spot, vectors, strict=True):
+        bins[at] = [a + b for a, b in zip(bins.get(at, (0, 0, 0)), v, strict=True)]
+    units = []  # (places, vector)
+    for cell in sorted({c for c, _ in bins}):
+        own = sorted(p for c, p in bins if c == cell)
+        whole = max(sum(bins[cell, p][d] for p in own) / total[d] for d in range(3)) * shards <= 1
+        for part in [[(cell, p) for p in own]] if whole else [[(cell, p)] for p in own]:
+            units.append((part, [sum(bins[x][d] for x in part) for d in range(3)]))
+    residual, shard_of = [[1 / shards] * 3 for _ in range(shards)], {}
+    share = lambda v: [a / t for a, t in zip(v, total, strict=True)]
+    for part, v in sorted(units, key=lambda u: -np.dot(share(u[1]), [4, 1, 1])):
+        best = max(range(shards), key=lambda s: (round(sum(w * r * x for w, r, x in zip((4, 1, 1), residual[s], share(v), strict=True)), 18), -s))
+        residual[best] = [a - b for a, b in zip(residual[best], share(v), strict=True)]
+        shard_of |= dict.fromkeys(part, best)
+    start, first = [0] * shards, {}
+    for at in sorted(bins):
+        first[at] = start[shard_of[at]]
+        start[shard_of[at]] += bins[at][2]
+    out, seen = [], Counter()
+    for i, r, at in sorted(zip(ids, raw, spot, strict=True), key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5(x[1]).digest())):
+        out.append((i, len(r) + 8, zlib.crc32(r), shard_of[at], first[at] + seen[at]))
+        seen[at] += 1
+    return Counter(out)
+
+
+def test_sharding_against_brute_force(spark):
+    rng = random.Random(2)
+    values = [sentence(rng, rng.randrange(1, 30)) for _ in range(300)] + ["hot text"] * 200 + [None, "", None]
+    ids = [*range(500), None, 501, 502]
+    out = sharding.shard(rows(spark, values, ids), 5, 32).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in out) == brute_shards(values, ids, 5, 32)
+
+
+def test_rows_of_one_id_and_text_are_dealt_too(spark):
+    docs = rows(spark, ["hot text here"] * 900 + [f"text {i}" for i in range(300)], [None] * 500 + [4] * 400 + list(range(300)))
+    out = sharding.shard(docs, 6, 64).toPandas()
+    assert len(out) == 1200 and out.groupby("shard")["size"].sum().pipe(lambda s: s.max() / s.mean()) < 1.05
+    assert all(sorted(part["slot"]) == list(range(len(part))) for _, part in out.groupby("shard"))
+
+
 def test_packing_balances_every_dimension():
     rng = np.random.default_rng(1)
     v = np.column_stack([rng.pareto(2, 4000) + 1, rng.pareto(2, 4000) + 1, np.ones(4000)])
