@@ -628,38 +628,22 @@ def test_languages(spark):
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("max_words", "frequent"), [(1 << 20, 2048), (1 << 20, 8), (30, 2048), (30, 8)])
-def test_backoff_scores(spark, max_words, frequent):
+@pytest.mark.parametrize(("head", "frequent", "task_rows"), [(1 << 20, 2048, 1 << 24), (1 << 20, 8, 1 << 24), (30, 2048, 40), (0, 8, 1 << 24), (1 << 20, 2, 20)])
+def test_backoff_scores(spark, head, frequent, task_rows):
     docs, values = with_repeats(spark)
     ids = [*range(len(texts())), 900, 900, None, 901, 901]
     seqs = [[None, *re.split(r"\s+", (t or "").lower().strip()), None] if (t or "").strip() else [None, None] for t in values]
-    words = Counter(w for s in seqs for w in s[1:])
-    classes = sorted({math.floor(math.log2(c) * 8) for c in words.values()}, reverse=True)
-    known, taken = set(), 0
-    for c in classes:
-        members = [w for w, n in words.items() if math.floor(math.log2(n) * 8) == c]
-        if taken + len(members) > max_words:
-            break
-        taken += len(members)
-        known |= set(members)
-    name = lambda w: w if w in known else "<common>"
     one, two = Counter(), Counter()
     for s in seqs:
-        one.update(name(w) for w in s[1:])
-        two.update((name(a), name(b)) for a, b in zip(s, s[1:], strict=False))
+        one.update(s[1:])
+        two.update(zip(s, s[1:], strict=False))
     total = sum(one.values())
-
-    def log_score(a, b):
-        a, b = name(a), name(b)
-        if two[a, b] >= 2 and (a, b) != ("<common>", "<common>"):
-            return math.log(two[a, b] / one[a])
-        return math.log(0.4 * one[b] / total)
-
+    log_score = lambda a, b: math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total)
     expected = {}
     for i, s in zip(ids, seqs, strict=True):
         n, x = expected.get(i, (0, 0.0))
         expected[i] = (n + len(s) - 1, x + sum(log_score(a, b) for a, b in zip(s, s[1:], strict=False)))
-    out = {r["doc_id"]: (r["n_tokens"], r["log_score"]) for r in backoff.score(docs, max_words, frequent).collect()}
+    out = {r["doc_id"]: (r["n_tokens"], r["log_score"]) for r in backoff.score(docs, frequent, task_rows, head=head).collect()}
     assert out.keys() == expected.keys()
     assert all(out[i][0] == expected[i][0] and abs(out[i][1] - expected[i][1]) < 1e-4 for i in out)
     assert backoff.score(rows(spark, [])).count() == 0
