@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import classes_that_fit, stored
+
 KINDS = ("assign", "access", "hex", "guess")
 #: Fixed patterns. The assignment's second group has 12 characters or more; the others are as long as they say.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -22,7 +24,7 @@ CONTEXT = re.compile(
     r"(?<![A-Za-z])" + KEYWORD + r"(?:[\"']?\x20*(?:[:=]|=>|\bis\b)\x20*|\x20+)[\"']?([^\s\"'<>,;|(){}\[\]]{6,})",
     re.I | re.A,
 )
-#: Words that guessers try first, most frequent first.
+#: Words that guessers try first, most frequent first; the corpus's own words follow them.
 COMMON_WORDS = (
     "password the you and that this with have for not are but what all were when your can said there use each which she how their will other about "
     "out many then them these some her would make like him into time has look two more write see number way could people than first water been call "
@@ -30,7 +32,7 @@ COMMON_WORDS = (
     "secret hello freedom whatever qwerty trustno starwars test guest root user default changeme pass love money summer winter spring autumn monday "
     "friday january october company server network system database example sample"
 ).split()
-RANKS = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
+WORD_CHARS = (3, 20)
 #: Rows of the keyboard, which walks follow.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "01234567890")
 NEXT_KEYS = {a + b for row in KEYBOARD for s in (row, row[::-1]) for a, b in zip(s, s[1:], strict=False)}
@@ -43,10 +45,33 @@ def _charset_cost(ch: str) -> float:
     return log10(10 if ch.isdigit() else 26 if ch.islower() else 52 if ch.isalpha() else 95)
 
 
-def segments(value: str, limit: float = inf) -> list[tuple[int, int, str, float]]:
+def ranks_of(words: list[str] | tuple[str, ...] = ()) -> dict[str, int]:
+    """The place of each word in the order in which it is guessed: COMMON_WORDS, then words, most frequent first."""
+    return {w: i for i, w in enumerate(dict.fromkeys([*COMMON_WORDS, *words]), 1)}
+
+
+RANKS = ranks_of()
+
+
+def corpus_words(docs: DataFrame, most: int = 20_000, min_count: int = 5) -> list[str]:
+    """At most `most` of the words of docs (text), most frequent first: runs of WORD_CHARS letters, counted over all whole texts.
+
+    Words that occur fewer than min_count times are in no common use, and may be parts of the secrets themselves.
+
+    The bound is that of the dictionary, which goes to every task; the words left out are the rarest, whole count
+    classes of them, and their values are judged by brute force.
+    """
+    words = F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word")
+    counted = docs.where("text is not null").select(words).where(F.length("word").between(*WORD_CHARS)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    kept, _ = classes_that_fit(stored(counted, "words"), most)
+    return [r["word"] for r in sorted(kept.collect(), key=lambda r: (-r["n"], r["word"]))]
+
+
+def segments(value: str, limit: float = inf, ranks: dict[str, int] = RANKS) -> list[tuple[int, int, str, float]]:
     """The parts of value that are cheaper to guess than by brute force: (start, end, kind, log10 of guesses).
 
-    With a limit, repeats whose unit alone costs that much are left out: every character costs 1 or more.
+    Words at any place, dates from left to right, whole walks along the keyboard, and repeats from left to right by
+    the length of what is repeated. With a limit, repeats whose unit alone costs that much are left out: every character costs 1 or more.
     """
     n, low = len(value), value.lower()
     found = []
@@ -54,8 +79,8 @@ def segments(value: str, limit: float = inf) -> list[tuple[int, int, str, float]
         if extra and form == low:
             break
         for i in range(n):
-            for j in range(i + 3, min(n, i + 9) + 1):
-                if rank := RANKS.get(form[i:j]):
+            for j in range(i + WORD_CHARS[0], min(n, i + WORD_CHARS[1]) + 1):
+                if rank := ranks.get(form[i:j]):
                     cased = 0.0 if value[i:j] == low[i:j] else log10(2.0) if value[i:j].istitle() or value[i:j].isupper() else log10(2.0) * (j - i)
                     found.append((i, j, "word", log10(rank + 1) + cased + extra))
     for m in DATE.finditer(value):
@@ -82,7 +107,7 @@ def segments(value: str, limit: float = inf) -> list[tuple[int, int, str, float]
     return found
 
 
-def guess_cost(value: str, limit: float = inf) -> float:
+def guess_cost(value: str, limit: float = inf, ranks: dict[str, int] = RANKS) -> float:
     """log10 of the guesses for the cheapest segmentation of value into words, dates, repeats, walks and brute force.
 
     With a limit, costs of limit or more may come out as infinite. Long values are then judged by growing
@@ -91,16 +116,16 @@ def guess_cost(value: str, limit: float = inf) -> float:
     size = 128
     while limit < inf and size < len(value):
         # The last parts of a beginning may be cut short there, so the limit has to be passed well before.
-        if _cheapest(value[:size], limit)[1] < size - 4 * limit:
+        if _cheapest(value[:size], limit, ranks)[1] < size - 4 * limit - WORD_CHARS[1]:
             return inf
         size *= 2
-    return _cheapest(value, limit)[0]
+    return _cheapest(value, limit, ranks)[0]
 
 
-def _cheapest(value: str, limit: float) -> tuple[float, int]:
+def _cheapest(value: str, limit: float, ranks: dict[str, int]) -> tuple[float, int]:
     """The cost of the cheapest segmentation, and the last place that one reaches for less than limit."""
     by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j, _, cost in segments(value, limit):
+    for i, j, _, cost in segments(value, limit, ranks):
         by_end.setdefault(j, []).append((i, cost))
     best, brute, reach = [0.0], [False], 0
     for j in range(1, len(value) + 1):
@@ -116,7 +141,7 @@ def _cheapest(value: str, limit: float) -> tuple[float, int]:
     return best[-1], reach
 
 
-def scan(text: str | None, min_cost: float = 9.0) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def scan(text: str | None, min_cost: float = 9.0, ranks: dict[str, int] = RANKS) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base, added) spans (kind, start, end) of a text, in code points; added: context values dear to guess."""
     text = text or ""
     base = [("hex", *m.span()) for m in HEX.finditer(text)]
@@ -128,7 +153,7 @@ def scan(text: str | None, min_cost: float = 9.0) -> tuple[list[tuple[str, int,
     while m := CONTEXT.search(text, at):
         value = m[1].rstrip(".,:!?")
         prose = value.isalpha() and not set(":=") & set(text[m.start() : m.start(1)])
-        if len(value) >= 6 and not prose and not KEYWORD_ALONE.fullmatch(value) and guess_cost(value, min_cost) >= min_cost:
+        if len(value) >= 6 and not prose and not KEYWORD_ALONE.fullmatch(value) and guess_cost(value, min_cost, ranks) >= min_cost:
             added.append(("guess", m.start(1), m.start(1) + len(value)))
             at = m.end()
         else:  # What is no secret may be the keyword of one.
@@ -141,21 +166,24 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_secrets(docs: DataFrame, min_cost: float = 9.0) -> DataFrame:
+def find_secrets(docs: DataFrame, min_cost: float = 9.0, words: list[str] | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of docs (doc_id, text).
 
     Base spans are whole matches of the patterns, leftmost and not overlapping within a kind; n_ counts and
     base_sha256 are of these. The method adds `guess` spans: values in a credential context whose cheapest
-    guess costs 10 ** min_cost guesses or more. A value of letters alone is taken for prose
-    unless ':', '=' or '=>' stands before it. spans has all, by
-    start and then kind. Null is the empty text, which has no spans; repeated rows give repeated rows.
+    guess costs 10 ** min_cost guesses or more, words by their ranks in `words` (most frequent first; corpus_words
+    of docs by default). A value of letters alone is taken for prose unless ':', '=' or '=>' stands before it. spans
+    has all, by start and then kind, and spans of one start by kind as listed in KINDS. Null is the empty text,
+    which has no spans; texts and values of any length are read whole; repeated rows give repeated rows, and an
+    empty table an empty one. Other columns, whatever their names, are neither read nor returned.
     """
+    ranks = ranks_of(corpus_words(docs) if words is None else words)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def scanned(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
-            base, added = scan(text, min_cost)
+            base, added = scan(text, min_cost, ranks)
             every = sorted([*base, *added], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
             rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
         return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
@@ -163,15 +191,16 @@ def find_secrets(docs: DataFrame, min_cost: float = 9.0) -> DataFrame:
     return docs.select("doc_id", scanned(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
-def redact(docs: DataFrame, mask: str = "*", min_cost: float = 9.0) -> DataFrame:
-    """docs with all columns, every character inside a found span replaced by mask; null texts stay null."""
+def redact(docs: DataFrame, mask: str = "*", min_cost: float = 9.0, words: list[str] | None = None) -> DataFrame:
+    """docs with all columns, every character inside a span of find_secrets replaced by mask; null texts stay null."""
+    ranks = ranks_of(corpus_words(docs) if words is None else words)
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         def of(text: str | None) -> str | None:
             if text is None:
                 return None
-            base, added = scan(text, min_cost)
+            base, added = scan(text, min_cost, ranks)
             chars = list(text)
             for _, a, b in [*base, *added]:
                 chars[a:b] = mask * (b - a)

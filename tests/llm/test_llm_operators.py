@@ -449,6 +449,9 @@ def test_secret_spans(spark):
         "": [],
     }
     docs = rows(spark, list(cases))
+    again = secrets.find_secrets(docs.union(docs)).groupBy("doc_id", "spans", "base_sha256", "n_hex").count().collect()
+    assert len(again) == len(cases) and {r["count"] for r in again} == {2}
+    assert secrets.find_secrets(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).columns == docs.columns
     out = secrets.find_secrets(docs).toPandas().set_index("doc_id")
     for i, (text, spans) in enumerate(cases.items()):
         assert (out["spans"][i].split(",") if out["spans"][i] else []) == [s for s in spans], text
@@ -500,6 +503,42 @@ def test_guess_cost_limit_changes_no_verdict():
             assert bounded >= limit or bounded == pytest.approx(exact)
 
 
+def test_the_corpus_tells_which_words_are_guessed_first(spark):
+    texts_ = ["correct horse battery staple internationalisation"] * 30 + ["Horse, horse! über horse"] * 9
+    texts_ += ["pwd = correcthorsebattery1 and token = internationalisation-1 or token = qzxvbnkwpf-1", None, "", "ab x"]
+    docs = rows(spark, texts_)
+    want = Counter(w for t in texts_ if t for w in re.split(r"[^\w]|[\d_]", t.lower()) if 3 <= len(w) <= 20)
+    want = {w: n for w, n in want.items() if n >= 5}
+    assert secrets.corpus_words(docs) == sorted(want, key=lambda w: (-want[w], w)) and "qzxvbnkwpf" not in want
+    assert secrets.corpus_words(docs, 2) == ["horse"]  # the next class of counts has more words than fit
+    spans = lambda **options: [s for s in secrets.find_secrets(docs, **options).where("doc_id = 39").first()["spans"].split(",") if "guess" in s]
+    at = {w: texts_[39].index(w) for w in ("correcthorsebattery1", "internationalisation-1", "qzxvbnkwpf-1")}
+    assert spans() == [f"guess:{at['qzxvbnkwpf-1']}:{at['qzxvbnkwpf-1'] + 12}"]
+    assert spans(words=[]) == [f"guess:{a}:{a + len(w)}" for w, a in at.items()]
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    rng = random.Random(5)
+    ranks = secrets.ranks_of(["river", "stone", "rive", "ver"])
+    parts = ["pass", "river", "ver", "qwe", "aaa", "19840101", "x", "$", "St0ne", "12", "abab"]
+    for _ in range(60):
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))[:12]
+        found = {}
+        for i, j, _, c in secrets.segments(value, ranks=ranks):
+            found[i, j] = min(c, found.get((i, j), math.inf))
+        for i in range(len(value)):
+            for j in range(i + 1, len(value) + 1):
+                found[i, j, "brute"] = sum(secrets._charset_cost(c) for c in value[i:j])
+
+        def least(at, value=value, found=found):
+            return 0.0 if at == len(value) else min(c + (math.log10(2) if at else 0.0) + least(k[1]) for k, c in found.items() if k[0] == at)
+
+        assert secrets.guess_cost(value, ranks=ranks) == pytest.approx(least(0)), value
+        words = {(i, j) for i, j, kind, _ in secrets.segments(value, ranks=ranks) if kind == "word"}
+        leet = value.lower().translate(secrets.LEET)
+        assert words == {(i, j) for i in range(len(value)) for j in range(i + 3, len(value) + 1) if value[i:j].lower() in ranks or leet[i:j] in ranks}
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("password") < cost("P@ssw0rd") < cost("xkqzjvwp")
