@@ -14,7 +14,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import arrow_batches, stored
@@ -106,11 +106,12 @@ def sequence_column(html):
 
 
 def resolve(sequences: DataFrame, key: str, media: DataFrame) -> DataFrame:
-    """(key, parts) of sequences (key, parts): each part with what media (digest, columns...) has for its source.
+    """(key, parts) of sequences (key, parts), one row a key: each part with what media (digest, columns...) has for its source.
 
-    A source names a digest as `sha256:<hex>`; a part without one, or whose digest media has not, keeps nulls.
-    media has one row a digest and holds what is wanted of payloads, such as features; a digest that a third
-    of all rows refer to is a skewed join side and no group.
+    parts have position, kind, text, source and caption, of any type each. A source names a digest as
+    `sha256:<hex>`; a part without one, or whose digest media has not, keeps nulls. media has one row a digest and
+    holds what is wanted of payloads, such as features; a digest that a third of all rows refer to is a skewed join
+    side and no group. Parts come back in the order of their positions.
     """
     extra = [c for c in media.columns if c != "digest"]
     flat = sequences.select(F.col(key), F.explode_outer("parts").alias("part"))
@@ -171,38 +172,80 @@ def media_features(data: bytes) -> dict:
 FEATURES = "digest string, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def escaped(text: Column) -> Column:
+    """Text as HTML character data; the parser gives it back unchanged."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def payload_digest(text: Column, unit: int = WIDTH) -> Column:
+    """sha256 of payload_of(text), in built-in functions."""
+    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    n = F.octet_length(raw)
+    padding = F.greatest(F.lit(1), F.ceil(n / unit)).cast("int") * unit - n
+    return F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("FF"), padding))), 256)
+
+
+def document_page(text: Column) -> Column:
+    """The HTML page of a text: its first half of lines, the figure of the text's medium, and the other lines.
+
+    The figure's caption tells how many bytes the text has. A half that is blank gives no part.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    lines = F.split(whole, "\n")
+    middle = F.ceil(F.size(lines) / 2).cast("int")
+    caption = F.concat(F.lit("<figcaption>"), F.octet_length(whole).cast("string"), F.lit(" bytes</figcaption>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), payload_digest(whole), F.lit('">'), caption, F.lit("</figure>"))
+    first, rest = F.array_join(F.slice(lines, F.lit(1), middle), "\n"), F.array_join(F.slice(lines, middle + 1, F.size(lines)), "\n")
+    return F.concat(F.lit("<article><p>"), escaped(first), F.lit("</p>"), figure, F.lit("<p>"), escaped(rest), F.lit("</p></article>"))
+
+
+def document_sequences(docs: DataFrame, media: DataFrame) -> DataFrame:
+    """(page, parts): the sequences of docs' pages with what media has of their payloads.
+
+    page is struct<doc_id, n_bytes, digest, copies>: rows of one doc_id and text are one page, whose number is
+    counted. A text part's text is its length and md5, so that no text is shuffled.
+    """
+    parts = F.transform(sequence_column(document_page(F.col("text"))), lambda p: F.struct(
+        p["position"].alias("position"), p["kind"].alias("kind"),
+        F.when(p["text"].isNotNull(), F.concat(F.length(p["text"]).cast("string"), F.lit(":"), F.md5(p["text"].cast("binary")))).alias("text"),
+        p["source"].alias("source"), p["caption"].alias("caption")))
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    pages = docs.select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), payload_digest(whole).alias("digest"), parts.alias("parts"))
+    pages = pages.groupBy("doc_id", "n_bytes", "digest").agg(F.first("parts").alias("parts"), F.count("*").alias("copies"))
+    return resolve(pages.select(F.struct("doc_id", "n_bytes", "digest", "copies").alias("page"), "parts"), "page", media)
+
+
 def document_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of docs' texts.
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, caption, position, sequence) of docs' texts.
+
+    Each text is stored losslessly as a grey image in a media table in the shared folder. The text's page, of
+    its two halves with the figure of the image between them, is parsed to a sequence whose references are resolved
+    against features read back from the stored images; position, caption and features are those of the sequence's
+    image, and sequence is an md5 of its parts in order (kind, length and md5 of text, source). Payloads are never
+    shuffled: the join moves digests and features alone, and a text that many rows share is one row of it.
 
-    Each text is stored losslessly as a grey image in a media table in the shared folder, referred to from a
-    page that shows it; the pages are parsed to sequences, whose references are resolved against features read
-    back from the stored images. Payloads are never shuffled: the join moves digests and features alone, and a
-    text that many rows share is one row of it. Null is the empty text, whose payload is padding; repeated
-    rows give repeated rows with equal values, also where they share a doc_id.
+    Null is the empty text, whose payload is padding. Texts of any length are stored whole. Repeated rows give
+    repeated rows with equal values, also where they share a doc_id; an empty table gives an empty table. Other
+    columns, whatever their names, are neither read nor returned.
     """
 
-    @F.pandas_udf("digest string, n_bytes long, media binary")
-    def packed(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            payload = payload_of(text)
-            rows.append((hashlib.sha256(payload).hexdigest(), len((text or "").encode("utf-8", "surrogatepass")), png(payload)))
-        return pd.DataFrame(rows, columns=["digest", "n_bytes", "media"])
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([png(payload_of(t)) for t in texts])
 
     @F.pandas_udf(FEATURES)
     def features(media: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([media_features(m) for m in media])
+        return pd.DataFrame([media_features(m) for m in media], columns=[c.split()[0] for c in FEATURES.split(", ")])
 
     # Media are large values: a few hundred at a time, and in small row groups, keep a task's memory low.
     with arrow_batches(docs.sparkSession, 256):
-        made = docs.select("doc_id", packed(F.col("text")).alias("m")).select("doc_id", "m.digest", "m.n_bytes", "m.media")
-        kept = stored(made, "media", **{"parquet.block.size": str(16 << 20)})
+        kept = stored(docs.select(packed(F.col("text")).alias("media")), "media", **{"parquet.block.size": str(16 << 20)})
         read = kept.select(features("media").alias("f")).select("f.*")
         per_digest = stored(read.groupBy("digest").agg(*[F.first(c).alias(c) for c in read.columns[1:]]), "features")
-    page = F.concat(F.lit('<article><figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    # Rows with one doc_id and digest are alike, so the pair names a page and its copies are counted.
-    pages = kept.groupBy("doc_id", "digest", "n_bytes").agg(F.count("*").alias("copies"))
-    pages = pages.select(F.struct("doc_id", "n_bytes", "copies", "digest").alias("page"), page.alias("html"))
-    found = resolve(pages.select("page", sequence_column("html").alias("parts")), "page", per_digest)
-    rows = found.select("page", F.element_at("parts", 1).alias("m"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("page.copies"))))
-    return rows.select("page.doc_id", "page.n_bytes", "m.payload_bytes", F.col("m.digest").alias("payload_sha256"), "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature", F.col("m.caption").alias("caption"))
+        found = stored(document_sequences(docs, per_digest), "sequences")
+    part = F.concat_ws("|", F.transform("parts", lambda p: F.concat_ws(":", p["kind"], p["text"], p["source"])))
+    rows = found.select("page", F.md5(part).alias("sequence"), F.element_at(F.filter("parts", lambda p: p["kind"] == "image"), 1).alias("m"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("page.copies"))))
+    return rows.select(
+        "page.doc_id", "page.n_bytes", "m.payload_bytes", F.col("m.digest").alias("payload_sha256"), "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature",
+        F.col("m.caption").alias("caption"), F.col("m.position").alias("position"), "sequence",
+    )

@@ -562,20 +562,58 @@ def test_sequences_stay_aligned(spark):
     assert out[2] == [] and out[3] == [] and out[4][0]["feature"] == "A"
 
 
+def decoded_png(data):
+    """The samples of a grey PNG by the format's rules, with all five line filters; shares nothing with the operator."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, packed, size = 8, b"", None
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        assert int.from_bytes(data[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + body)
+        if kind == b"IHDR":
+            size = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert body[8:] == bytes([8, 0, 0, 0, 0])
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, out, above = zlib.decompress(packed), b"", bytes(size[0])
+    for y in range(size[1]):
+        line = raw[y * (size[0] + 1) : (y + 1) * (size[0] + 1)]
+        row = bytearray(line[1:])
+        for x in range(size[0]):
+            left, up, corner = row[x - 1] if x else 0, above[x], above[x - 1] if x else 0
+            guess = left + up - corner
+            paeth = min((left, up, corner), key=lambda v: abs(guess - v))
+            row[x] = (row[x] + (0, left, up, (left + up) // 2, paeth)[line[0]]) % 256
+        out, above = out + bytes(row), bytes(row)
+    assert len(raw) == size[1] * (size[0] + 1)
+    return out
+
+
 def test_media_round_trip(spark):
     docs, values = with_repeats(spark)
+    odd = ["a < b & c > d &amp; \"q\"\n\nsecond <p>\nthird </article>", "one\ntwo", "\n\n", "tab\tand\rreturn\x00zero\nend"]
+    docs = docs.unionByName(rows(spark, odd, [800, 801, 802, 803]))
     out = interleaved.document_media(docs).toPandas()
-    assert len(out) == len(values)
+    assert len(out) == len(values) + len(odd) and interleaved.document_media(docs.limit(0)).count() == 0
     by_text = {}
+    text_of = dict(enumerate(texts())) | dict(zip(range(800, 804), odd, strict=True))
     for r in out.dropna(subset=["doc_id"]).itertuples():
         if r.doc_id < 900:
-            raw = (texts()[int(r.doc_id)] or "").encode()
+            text = text_of[int(r.doc_id)] or ""
+            raw = text.encode()
             payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
             assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
             assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
             stored = interleaved.png(payload)
-            assert interleaved.read_png(stored) == payload and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
-            by_text.setdefault(raw, set()).add(r.feature)
+            assert decoded_png(stored) == interleaved.read_png(stored) == payload and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+            counts = Counter(b >> 5 for b in payload)
+            assert r.feature == f"grey8 576x{len(payload) // 576} mean={sum(payload) / len(payload):.4f} hist={'/'.join(str(counts[i]) for i in range(8))}"
+            lines = text.split("\n")
+            halves = ["\n".join(part) for part in (lines[: -(-len(lines) // 2)], lines[-(-len(lines) // 2) :])]
+            told = [f"text:{len(h)}:{hashlib.md5(h.encode()).hexdigest()}" if h.strip() else "" for h in halves]
+            sequence = "|".join(x for x in (told[0], f"image:sha256:{r.payload_sha256}", told[1]) if x)
+            assert (r.caption, r.position, r.sequence) == (f"{len(raw)} bytes", int(bool(told[0])), hashlib.md5(sequence.encode()).hexdigest()), text[:50]
+            by_text.setdefault(raw, set()).add((r.feature, r.media_sha256, r.sequence))
     assert all(len(f) == 1 for f in by_text.values())
     damaged = bytearray(interleaved.png(b"\xff" * 576))
     damaged[50] ^= 1
