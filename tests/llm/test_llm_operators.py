@@ -429,10 +429,71 @@ def test_matched_rules_are_those_of_all_rules(spark):
     urls = [(str(i), rng.sample(names, rng.randrange(1, 6))) for i in range(40)]
     found = {r["url"]: r["verdict"] for r in urlrules.match_rules(spark.createDataFrame(urls, "url string, tokens array<string>"), table).collect()}
     for url, tokens in urls:
-        fits = [(c, len(t), s, v) for t, v, c, s in rules if set(t) <= set(tokens)]
+        fits = [(c, s, len(t), v) for t, v, c, s in rules if set(t) <= set(tokens)]
         assert found.get(url) == (max(fits)[3] if fits else None)
 
 
+def url_words(url):
+    host, path = split_url(url)
+    labels = host.split(".")
+    found = {f"host={x}" for x in labels} | {f"end={'.'.join(labels[-2:])}"} | {f"path{min(i, 4)}={x}" for i, x in enumerate(path.lower().split("/"))}
+    found |= {f"query={q}" for q in re.findall(r"(?:^|&)([^=&]+)", (re.search(r"\?([^#]*)", url) or [None, ""])[1])}
+    return frozenset(t for t in found if not t.endswith("="))
+
+
+def brute_verdicts(urls, labels, min_support, min_confidence):
+    """Verdicts of urls no listed rule fits, by every subset of every labelled url's classes of tokens."""
+    from itertools import combinations
+
+    known = {}
+    for url, verdict in labels:
+        known[url] = max(verdict, known.get(url, ""))
+    for url in urls:
+        host, path = split_url(url)
+        fits = [(len(x), v) for v, x in RULES for h, p in [(x[: x.index("/")], x[x.index("/") :])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            known[url] = max(fits)[1]
+    having = {}
+    for url in known:
+        for t in url_words(url):
+            having.setdefault(t, set()).add(url)
+    class_of = {t: min(s for s, o in having.items() if o == own) for t, own in having.items() if len(own) >= min_support * len(known)}
+    sets = Counter()
+    for url, verdict in known.items():
+        own = sorted({class_of[t] for t in url_words(url) if t in class_of})
+        for k in range(1, len(own) + 1):
+            for part in combinations(own, k):
+                sets[part, verdict] += 1
+    rules = []
+    for (part, verdict), n in sets.items():
+        if n >= math.ceil(min_support * len(known)) and n / (total := sets[part, "allow"] + sets[part, "block"]) >= min_confidence:
+            rules.append((n / total, n, len(part), verdict, set(part)))
+    out = {}
+    for url in urls:
+        own = {class_of[t] for t in url_words(url) if t in class_of}
+        fits = [r[:4] for r in rules if r[4] <= own]
+        out[url] = known[url] if url in known and url not in dict(labels) else max(fits)[3] if fits else "allow"
+    return out
+
+
+@pytest.mark.parametrize("with_labels", [False, True])
+def test_mined_rules_against_every_subset(spark, with_labels):
+    rng = random.Random(16)
+    urls = [f"http://{rng.choice(['a', 'b', 'c.example'])}.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['es', 'en', 'fr', 'de'])}/{rng.choice('123')}{rng.choice(['', '?id=3', '?x=1&id=2'])}" for _ in range(90)]
+    urls += ["http://long.net/" + "/".join(f"seg{i}" for i in range(3000)) + "?" + "&".join(f"k{i}=1" for i in range(3000))]
+    # One url with many tokens, repeated: every subset of them would be a frequent set.
+    urls += ["http://many.example.org/es/" + "/".join(f"p{i}" for i in range(12)) + "?" + "&".join(f"q{i}=1" for i in range(40))] * 30
+    labels = [(f"http://lab{i}.net/{'bad' if i % 2 else 'good'}/{i}", "block" if i % 2 else "allow") for i in range(12)] + [("http://lab1.net/bad/1", "allow")] if with_labels else []
+    urls += ["http://new.net/bad/7", "http://new.net/good/7"]
+    pages = spark.createDataFrame([(i, u, 1, "h") for i, u in enumerate(urls)], "page_id long, url string, token int, host string")
+    table = spark.createDataFrame(labels, "url string, verdict string") if labels else None
+    out = {r["page_id"]: r["verdict"] for r in urlrules.filter_urls(pages, RULES, table, min_support=0.1, min_confidence=0.7).collect()}
+    want = brute_verdicts(urls, labels, 0.1, 0.7)
+    assert {i: want[u] for i, u in enumerate(urls)} == out
+    if with_labels:
+        assert [out[len(urls) - 2], out[len(urls) - 1]] == ["block", "allow"]
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
