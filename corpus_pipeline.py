@@ -18,7 +18,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each component of near-duplicates the document with the smallest doc_id stays.
+
+    Components are those of operator 2: fingerprints of 3-word shingles that link at 2 or fewer differing bits.
+    """
     return keep_one_of_each(docs)
 
 
@@ -46,7 +49,7 @@ STAGES = [
     ("sharding", to_shards),
 ]
 
-#: Compression and fingerprints of shingles have no SQL form; tests/llm hold the stages against brute force.
+#: Compression and fingerprints of shingles have no SQL form; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
