@@ -29,11 +29,12 @@ def words_of(text: Column) -> Column:
 
 def bigrams(docs: DataFrame) -> DataFrame:
     """(doc_id, p, w): hashes of each word and of the one before it; the edge ends every text."""
-    hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
-    docs = docs.select("doc_id", hashes.alias("h"))
-    edge = F.array(F.lit(EDGE).cast("long"))
-    pairs = F.zip_with(F.concat(edge, F.col("h")), F.concat(F.col("h"), edge), lambda p, w: F.struct(p.alias("p"), w.alias("w")))
-    return docs.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.p", "x.w")
+    edge = F.array(F.lit(""))
+    docs = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    # Words are exploded and then hashed, which stays in generated code; a function over the array would not.
+    pairs = F.arrays_zip(F.concat(edge, "words").alias("p"), F.concat("words", edge).alias("w"))
+    hashed = [F.when(F.col(f"x.{c}") == "", F.lit(EDGE).cast("long")).otherwise(F.xxhash64(f"x.{c}")).alias(c) for c in ("p", "w")]
+    return docs.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", *hashed)
 
 
 def vocabulary(words: DataFrame, head: int, bucket_width: int = 8) -> tuple[DataFrame, DataFrame, int, bool]:
