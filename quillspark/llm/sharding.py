@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,22 +15,26 @@ DIMENSIONS = ("bytes", "tokens", "rows")
 
 
 #: What a dimension counts in the dot product; bytes are the law, so they lead where dimensions disagree.
-WEIGHTS = np.array([4.0, 1.0, 1.0])
+WEIGHTS = (4, 1, 1)
 
 
-def pack(vectors: np.ndarray, bins: int) -> np.ndarray:
+def pack(vectors: list[tuple[int, ...]], bins: int) -> list[int]:
     """The bin of each vector: large ones first, each where its weighted dot product with the residual capacity is highest.
 
     A bin's capacity is an equal share of the sum in every dimension and the residual what is left of it, below
-    zero once the bin is over. Ties go to the lower bin.
+    zero once the bin is over. Ties go to the lower bin and the earlier vector. Products are compared as whole
+    numbers, over a common denominator, so the packing is the same on every machine.
     """
-    total = vectors.sum(axis=0)
-    share = vectors / np.where(total > 0, total, 1)
-    residual = np.full((bins, vectors.shape[1]), 1 / bins)
-    out = np.zeros(len(vectors), np.int64)
-    for i in np.argsort(-share @ WEIGHTS, kind="stable"):
-        out[i] = np.argmax(np.round(residual @ (WEIGHTS * share[i]), 18))
-        residual[out[i]] -= share[i]
+    total = [max(1, sum(v[d] for v in vectors)) for d in range(len(WEIGHTS))]
+    scale = [w * (math.prod(total) // t) for w, t in zip(WEIGHTS, total, strict=True)]
+    unit = [math.prod(total) // t for t in total]
+    residual = [list(unit_d * t for unit_d, t in zip(unit, total, strict=True)) for _ in range(bins)]
+    out = [0] * len(vectors)
+    for i in sorted(range(len(vectors)), key=lambda i: -sum(s * x for s, x in zip(scale, vectors[i], strict=True))):
+        a, b, c = (s * x for s, x in zip(scale, vectors[i], strict=True))
+        best = max(range(bins), key=lambda n: a * residual[n][0] + b * residual[n][1] + c * residual[n][2])
+        residual[best] = [r - bins * u * x for r, u, x in zip(residual[best], unit, vectors[i], strict=True)]
+        out[i] = best
     return out
 
 
@@ -37,21 +43,18 @@ def assign(bins: list, total: list[int], shards: int) -> list[int]:
 
     Pieces of a text that fits a shard's share go together; those of a larger one are packed each by itself.
     """
-    vectors = np.array([[b[d] for d in DIMENSIONS] for b in bins], np.float64).reshape(-1, 3)
-    units: list[int] = []
-    at = 0
-    while at < len(bins):
-        end = at
-        while end < len(bins) and bins[end]["cell"] == bins[at]["cell"]:
-            end += 1
-        whole = (vectors[at:end].sum(axis=0) / total).max() * shards <= 1
-        first = units[-1] + 1 if units else 0
-        units += [first + (0 if whole else i) for i in range(end - at)]
-        at = end
-    ids, unit_of = np.unique(np.array(units, np.int64), return_inverse=True)
-    sums = np.zeros((len(ids), 3))
-    np.add.at(sums, unit_of, vectors)
-    return pack(sums, shards)[unit_of].tolist()
+    unit_of, sums = [], []
+    for _, own in groupby(bins, key=lambda b: b["cell"]):
+        vectors = [tuple(b[d] for d in DIMENSIONS) for b in own]
+        whole = tuple(map(sum, zip(*vectors, strict=True)))
+        if all(x * shards <= t for x, t in zip(whole, total, strict=True)):
+            unit_of += [len(sums)] * len(vectors)
+            sums.append(whole)
+        else:
+            unit_of += range(len(sums), len(sums) + len(vectors))
+            sums += vectors
+    to = pack(sums, shards)
+    return [to[u] for u in unit_of]
 
 
 def shard(docs: DataFrame, shards: int = 24, cells: int = 4096) -> DataFrame:
@@ -84,7 +87,7 @@ def shard(docs: DataFrame, shards: int = 24, cells: int = 4096) -> DataFrame:
     over = F.greatest(*[F.col(d) / F.lit(t / cells) for d, t in zip(DIMENSIONS, total, strict=True)])
     large = stored(groups.withColumn("pieces", F.ceil(over).cast("int")).where("pieces > 1").select("digest", "pieces"), "large")
     # Likewise at most `cells` pairs of a doc_id and a text have more than a cell's share of the rows.
-    pairs = rows.join(F.broadcast(large), "digest", "left_semi").groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where(F.col("n") > total[2] / cells)
+    pairs = rows.join(F.broadcast(large), "digest", "left_semi").groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where(F.col("n") > max(1, total[2] / cells))
     busy = stored(pairs.select(F.col("digest").alias("busy_digest"), F.col("doc_id").alias("busy_id")), "busy")
     dealt = rows.join(F.broadcast(large), "digest", "left")
     dealt = dealt.join(F.broadcast(busy), (F.col("digest") == F.col("busy_digest")) & F.col("doc_id").eqNullSafe(F.col("busy_id")), "left")
