@@ -104,9 +104,9 @@ fold AS (
   UNION ALL
   SELECT doc_id, ps, i + 1,
     CASE WHEN length(buf) + length(ps[i + 1]) > 350 THEN ps[i + 1] || {_NL} || {_NL} ELSE buf || ps[i + 1] || {_NL} || {_NL} END,
-    CASE WHEN length(buf) + length(ps[i + 1]) > 350 THEN list_append(outs, regexp_replace(buf, '\s+$', '')) ELSE outs END
+    CASE WHEN length(buf) + length(ps[i + 1]) > 350 THEN list_append(outs, regexp_replace(buf, '^\s+|\s+$', '', 'g')) ELSE outs END
   FROM fold WHERE i < len(ps)),
-done AS (SELECT doc_id, list_append(outs, regexp_replace(buf, '\s+$', '')) AS chunks FROM fold WHERE i = len(ps)),
+done AS (SELECT doc_id, list_append(outs, regexp_replace(buf, '^\s+|\s+$', '', 'g')) AS chunks FROM fold WHERE i = len(ps)),
 rows AS (SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS n FROM done)
 SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(length(chunk) AS INTEGER) AS chars, md5(chunk) AS chunk_md5 FROM rows""",
     "citations_strip": rf"WITH {_TALK} SELECT conv_id, turn, regexp_replace(text, '\[[0-9]{{1,3}}\]', '', 'g') AS text FROM talk",

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunking, text
@@ -8,32 +11,79 @@ def one(spark, column, **values):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(column.alias("x")).first()["x"]
 
 
-def test_headings_keep_the_preamble_and_every_section():
-    parts = chunking.chunk_text("before\n## A\na\n## B\nb\n### C\nc")
+def chunked(spark, text, *more):
+    return spark.createDataFrame([(text,)], "t string").select(chunking.chunk_column(F.col("t"), *more)).first()[0]
+
+
+def test_headings_keep_the_preamble_and_every_section(spark):
+    parts = chunked(spark, "before\n## A\na\n## B\nb\n### C\nc")
     assert [p.split("\n")[0] for p in parts] == ["before", "## A", "## B", "### C"]
+    assert chunked(spark, None) == chunked(spark, " \n\t") == []
 
 
-def test_long_sections_repeat_their_heading_as_continued():
-    chunks = chunking.chunk_text("## Head\n" + "\n\n".join(c * 300 for c in "abc"))
-    assert len(chunks) == 3
-    assert chunks[0].startswith("## Head\n") and all(c.startswith("## Head（续）\n") for c in chunks[1:])
+def test_long_sections_repeat_their_heading_as_continued(spark):
+    chunks = chunked(spark, "## Head\n" + "\n\n".join(c * 300 for c in "abc"))
+    assert chunks == ["## Head\n" + "a" * 300, "## Head（续）\n" + "b" * 300, "## Head（续）\n" + "c" * 300]
 
 
-def test_long_tables_repeat_their_head_and_lose_no_row():
+def test_long_tables_repeat_their_head_and_lose_no_row(spark):
     table = "\n".join(["| k | v |", "|---|---|", *(f"| row{i:02d} | {'x' * 20} |" for i in range(39))])
-    chunks = chunking.chunk_text("## T\nintro\n" + table)
+    chunks = chunked(spark, "## T\nintro\n" + table)
     assert len(chunks) > 2 and all("| k | v |\n|---|---|" in c for c in chunks)
     assert all(sum(f"row{i:02d}" in c for c in chunks) == 1 for i in range(39))
+    wide = table.replace("| k | v |", "| k | " + "v" * 200 + " |")
+    assert sum("vvv" in c for c in chunked(spark, "## T\n" + wide)) == 1
 
 
-def test_a_section_of_one_long_line_keeps_its_content():
+def test_a_section_of_one_long_line_keeps_its_content(spark):
     line = "## " + "w" * 700
-    assert "".join(chunking.chunk_text(line)).replace("\n", "") == line
+    assert "".join(chunked(spark, line)).replace("\n", "") == line
 
 
 def test_full_stops_of_latin_script_do_not_end_sentences():
-    assert chunking._sentences("a." * 100, 50) == ["a." * 25] * 4
-    assert chunking._sentences("句。" * 30, 50) == ["句。" * 25, "句。" * 5]
+    assert chunking.short_lines("a." * 100, 50) == ["a." * 25] * 4
+    assert chunking.short_lines("句。" * 30, 50) == ["句。" * 25, "句。" * 5]
+    assert chunking.short_lines("ab!" + "c" * 12 + "!de!", 5) == ["ab!", "ccccc", "ccccc", "cc!", "de!"]
+
+
+def test_pieces_of_long_paragraphs():
+    rng = random.Random(3)
+    for n in range(200):
+        limit = rng.choice([30, 90, 200])
+        lines = ["".join(rng.choice("abc def!。") for _ in range(rng.choice([0, 5, 20, 70, 300]))) for _ in range(rng.randrange(1, 30))]
+        if n % 3 == 0:
+            lines[1:1] = ["| a | b |", "| --- | :-: |"]
+        pieces = [p.split("\n") for p in chunking.divide_paragraph("\n".join(lines), limit)]
+        whole = [x for line in lines for x in (chunking.short_lines(line, limit) if len(line) > limit else [line])]
+        assert all(len(x) <= limit for x in whole) and "".join(whole) == "".join(lines)
+        at, before = 0, None
+        for piece in pieces:
+            # What is repeated stands first: the table's head, or as many of two lines as 80 characters hold.
+            if before is None:
+                again = []
+            elif n % 3 == 0:
+                again = ["| a | b |", "| --- | :-: |"]
+            else:
+                again = max((before[-k:] if k else [] for k in range(3)), key=lambda x: len(x) if sum(map(len, x)) <= 80 else -1)
+            assert piece[: len(again)] == again
+            new = piece[len(again) :]
+            assert new and new == whole[at : at + len(new)]
+            at += len(new)
+            # A piece is as long as it may be: over the limit only by a single new line, and the next line did not fit.
+            size = len("\n".join(piece))
+            assert size <= limit or len(new) == 1
+            assert at == len(whole) or size + 1 + len(whole[at]) > limit
+            before = piece
+        assert at == len(whole)
+
+
+def test_chunks_of_all_documents_lose_nothing(spark):
+    docs = [" ".join(f"w{i * k}" for i in range(k * 40)) + ("\n\n" if k % 2 else "\n") + "## H\n" + "x. y! " * k * 30 for k in range(8)] + ["", None]
+    table = spark.createDataFrame(list(enumerate(docs)), "id int, t string")
+    for r in table.select("t", chunking.chunk_column(F.col("t"), 200).alias("c")).collect():
+        want = re.sub(r"\s+|## H", "", r["t"] or "")
+        got = re.sub(r"\s+|## H(（续）)?", "", "".join(r["c"]))
+        assert got == want and all(c.strip() == c for c in r["c"])
 
 
 def test_packing_matches_the_python_chunker(spark):
