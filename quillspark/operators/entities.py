@@ -45,14 +45,13 @@ def longest_per_key(found: DataFrame, key: str) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def by_prefix(questions: DataFrame, key: str, text: str, courses: DataFrame, course: str, n: int = 4, max_hits: int = 20, at_words: bool = False) -> DataFrame:
-    """(key, course): the exact names that a question holds, else the longest name whose first n letters it holds.
+def by_prefix(questions: DataFrame, key: str, text: str, courses: DataFrame, course: str, n: int = 4, max_hits: int = 20) -> DataFrame:
+    """(key, course, exact): the exact names that a question holds, else the longest name whose first n letters it holds.
 
     Names and first letters count at any place and across breaks, without regard to case; a name under n letters
-    only as a whole. A question that more than max_hits names fit by prefix gets none of these. With at_words,
-    only names of n letters or more count, and only where a word of the question begins with their first n letters.
+    only as a whole. A question that more than max_hits names fit by prefix gets none of these.
     """
-    hits = _hits_at_words(questions, key, text, courses, course, n) if at_words else _hits_anywhere(questions, key, text, courses, course, n)
+    hits = _hits_anywhere(questions, key, text, courses, course, n)
     per = Window.partitionBy(key)
     hits = hits.withColumn("n_exact", F.count_if("exact").over(per)).withColumn("n_hits", F.count("*").over(per))
     rank = F.row_number().over(per.orderBy(F.desc(F.length("course")), "course"))
@@ -69,17 +68,43 @@ def _hits_anywhere(questions: DataFrame, key: str, text: str, courses: DataFrame
     return found[0].union(found[1]).groupBy(key, "course").agg(F.max("exact").alias("exact"))
 
 
-def _hits_at_words(questions: DataFrame, key: str, text: str, courses: DataFrame, course: str, n: int) -> DataFrame:
-    words = questions.select(key, text, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("word")).where(F.length("word") >= n)
-    names = courses.select(F.col(course).alias("course"), F.lower(F.left(course, F.lit(n))).alias("start")).where(F.length("course") >= n).distinct()
-    hits = words.select(key, text, F.left("word", F.lit(n)).alias("start")).distinct().join(names, "start").select(key, text, "course")
-    return hits.withColumn("exact", F.lower(text).contains(F.lower("course")))
+SURNAME = "([一-龥]{1,2})老师"
 
 
-def resolve(queries: DataFrame, key: str, chain: list[tuple[str, str, DataFrame]]) -> DataFrame:
+def match_in_text(texts: DataFrame, key: str, text: str, people: DataFrame, id: str, name: str, pinyin: str, initials: str, weak: Column | None = None) -> DataFrame:
+    """(key, id, step): the people a text may mean, by the first of four steps that finds any.
+
+    name: the longest name that the text holds, of equally long ones the first in order. surname: all longer names
+    that begin with the one or two characters before 老师. pinyin, then initials: all that the lower-cased text
+    holds, unless weak (a column of texts, such as that a course's slang is in them) is false for the text.
+    """
+    longest = longest_per_key(contained_names(texts, key, text, people.select(name).distinct(), name), key)
+    by_name = longest.join(people.select(F.col(name).alias("name"), id), "name").select(key, id, F.lit("name").alias("step"))
+    called = texts.select(key, F.regexp_extract(F.coalesce(text, F.lit("")), SURNAME, 1).alias("called")).where("called <> ''")
+    starts = people.select(id, name, F.explode(F.array_distinct(F.array(F.left(name, F.lit(1)), F.left(name, F.lit(2))))).alias("called"))
+    by_surname = called.join(starts.where(F.length(name) > F.length("called")), "called").select(key, id, F.lit("surname").alias("step"))
+    open_texts = texts.where(F.coalesce(weak, F.lit(True))) if weak is not None else texts
+    lowered = open_texts.select(key, F.lower(text).alias("_text"))
+
+    def held(column: str) -> DataFrame:
+        found = contained_names(lowered, key, "_text", people.select(column).distinct(), column)
+        return found.join(people.select(F.col(column).alias("name"), id), "name").select(key, id, F.lit(column).alias("step"))
+
+    steps = [by_name, by_surname, held(pinyin), held(initials)]
+    rows = None
+    for at, step in enumerate(steps):
+        part = step.withColumn("_at", F.lit(at))
+        rows = part if rows is None else rows.union(part)
+    first = F.min("_at").over(Window.partitionBy(key))
+    return rows.distinct().withColumn("_first", first).where("_at = _first").select(key, id, "step")
+
+
+def resolve(queries: DataFrame, key: str, chain: list[tuple[str, str, DataFrame]], fuzzy: tuple[str, DataFrame] | None = None, top: int = 5, cutoff: float = 0.7) -> DataFrame:
     """(key, id, step): the first step of chain that knows the query; of several ids of a step the smallest.
 
-    A step is (its name, the column of queries to look up, a table (term, id)).
+    A step is (its name, the column of queries to look up, a table (term, id)). fuzzy: (a column of queries, a table
+    (term, id)) for queries that no step knows; these get a row for each id of the `top` closest terms, see
+    fuzzy_matches, with step `fuzzy`.
     """
     out = queries
     ids, steps = [], []
@@ -88,12 +113,22 @@ def resolve(queries: DataFrame, key: str, chain: list[tuple[str, str, DataFrame]
         out = out.join(side, F.col(column) == F.col(f"_t{at}"), "left")
         ids.append(F.col(f"_i{at}"))
         steps.append(F.when(F.col(f"_i{at}").isNotNull(), step))
-    return out.select(key, F.coalesce(*ids).alias("id"), F.coalesce(*steps, F.lit("none")).alias("step"))
-
-
-def fuzzy_matches(queries: DataFrame, key: str, text: str, names: DataFrame, name: str, cutoff: float = 0.7, min_length: int = 3, block: int = 1000) -> DataFrame:
+    out = out.withColumn("_id", F.coalesce(*ids)).withColumn("_step", F.coalesce(*steps, F.lit("none")))
+    known = out.select(key, F.col("_id").alias("id"), F.col("_step").alias("step"))
+    if fuzzy is None:
+        return known
+    column, table = fuzzy
+    close = fuzzy_matches(out.where("_id is null"), key, column, table, "term", cutoff, top=top).where("match is not null")
+    found = close.join(table.select(F.col("term").alias("match"), "id"), "match").select(key, "id", F.lit("fuzzy").alias("step")).distinct()
+    rest = known.join(found.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_anti")
+    return rest.unionByName(found)
+
+
+def fuzzy_matches(queries: DataFrame, key: str, text: str, names: DataFrame, name: str, cutoff: float = 0.7, min_length: int = 3, block: int = 1000, top: int = 1) -> DataFrame:
     """(key, match, ratio): the closest of the names by matching blocks, or null under cutoff; of equally close ones the last in order.
 
+    top: so many rows for each query at most, if as many names are close enough.
+
     Distinct texts meet distinct names in blocks of about `block` of each, so neither side has to fit a task and
     a text that many rows share is compared once. Null texts and those under min_length characters match nothing.
     """
@@ -108,15 +143,19 @@ def fuzzy_matches(queries: DataFrame, key: str, text: str, names: DataFrame, nam
     def closest(texts: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         listed, found = candidates["name"].tolist(), []
         for asked_text in texts["_asked"]:
-            for best in difflib.get_close_matches(asked_text, listed, n=1, cutoff=cutoff):
+            for best in difflib.get_close_matches(asked_text, listed, n=top, cutoff=cutoff):
                 found.append((asked_text, difflib.SequenceMatcher(None, best, asked_text).ratio(), best))
         return pd.DataFrame(found, columns=["_asked", "ratio", "match"])
 
     left = dealt(asked, "row", rows, "column", columns).groupBy("row", "column")
     right = dealt(known, "column", columns, "row", rows).groupBy("row", "column")
     best = left.cogroup(right).applyInPandas(closest, "_asked string, ratio double, match string")
-    best = best.groupBy("_asked").agg(F.max(F.struct("ratio", "match")).alias("m"))
-    return queries.join(best, F.col(text) == F.col("_asked"), "left").select(key, F.col("m.match").alias("match"), F.round("m.ratio", 6).alias("ratio"))
+    if top == 1:
+        best = best.groupBy("_asked").agg(F.max(F.struct("ratio", "match")).alias("m")).select("_asked", "m.ratio", "m.match")
+    else:
+        place = F.row_number().over(Window.partitionBy("_asked").orderBy(F.desc("ratio"), F.desc("match")))
+        best = best.withColumn("_place", place).where(F.col("_place") <= top).drop("_place")
+    return queries.join(best, F.col(text) == F.col("_asked"), "left").select(key, "match", F.round("ratio", 6).alias("ratio"))
 
 
 def mentions(text: Column, term: Column) -> Column:

@@ -90,7 +90,7 @@ def questions(spark, sf_dir):
 
 def prefix_course_match(spark, sf_dir):
     names = load(spark, sf_dir, "part").select("p_name").distinct()
-    return entities.by_prefix(questions(spark, sf_dir), "p_partkey", "question", names, "p_name", at_words=True).select("p_partkey", "course", "exact")
+    return entities.by_prefix(questions(spark, sf_dir), "p_partkey", "question", names, "p_name").select("p_partkey", "course", "exact")
 
 
 def resolve_chain(spark, sf_dir):
@@ -206,11 +206,10 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(b.text) DESC, b.t
 WITH questions AS (
   SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'who teaches ' || p_name || ' best' WHEN 1 THEN 'which ' || p_name[1:4] || 'xx is good' ELSE 'what is for lunch' END AS question
   FROM part),
-words AS (SELECT p_partkey, question, unnest(list_distinct(regexp_split_to_array(lower(question), '[^\p{L}\p{N}]+'))) AS word FROM questions),
-names AS (SELECT DISTINCT p_name AS course FROM part WHERE length(p_name) >= 4),
+names AS (SELECT DISTINCT p_name AS course FROM part WHERE p_name <> ''),
 hits AS (
-  SELECT DISTINCT p_partkey, question, course, contains(lower(question), lower(course)) AS exact
-  FROM words JOIN names ON word[1:4] = lower(course[1:4]) WHERE length(word) >= 4),
+  SELECT p_partkey, course, contains(lower(question), lower(course)) AS exact
+  FROM questions JOIN names ON contains(lower(question), lower(course)) OR (length(course) >= 4 AND contains(lower(question), lower(course[1:4])))),
 ranked AS (
   SELECT *, count(*) FILTER (exact) OVER (PARTITION BY p_partkey) AS n_exact, count(*) OVER (PARTITION BY p_partkey) AS n_hits,
          row_number() OVER (PARTITION BY p_partkey ORDER BY length(course) DESC, course) AS rank

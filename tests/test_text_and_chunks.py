@@ -105,7 +105,8 @@ def test_small_cleaners(spark):
     assert one(spark, text.clean_title(F.col("t")), t="Rules（2024年5月1日修订）  x") == "Rules x"
     assert one(spark, text.publish_date(F.lit("t"), F.col("u")), u="http://x/2024/0931/") == "2024-09-31"
     assert one(spark, text.publish_date(F.lit("t"), F.col("u")), u="http://x/2024/1301/") == "unknown"
-    assert one(spark, text.strip_tags(F.col("t")), t="<b>a</b>&nbsp;&amp;lt; c") == "a &lt; c"
+    assert one(spark, text.strip_tags(F.col("t")), t="选<b>课</b>&nbsp;&amp;lt; c") == "选课 < c"
+    assert one(spark, text.without_zero_width(F.col("t")), t="a\u200bb\ufeffc") == "abc"
     assert one(spark, text.promote_headings(F.col("t")), t="一、总则\n二、很长。\n三") == "## 总则\n二、很长。\n三"
     assert one(spark, text.join_cut(F.array(F.lit("aa"), F.lit("bb"), F.lit("cc")), "、", 6)) == "aa、bb"
     assert one(spark, text.safe_filename(F.col("t")), t='a/b:"c"') == "a_b_c_"
