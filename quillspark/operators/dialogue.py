@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def has_intent(text: Column, words: list[str], at_words: bool = False) -> Column:
-    """Whether a text has one of the words at any place; with at_words, as a word."""
-    before, after = (r"(^|[^\p{L}\p{N}])", r"($|[^\p{L}\p{N}])") if at_words else ("", "")
-    return F.lower(F.coalesce(text, F.lit(""))).rlike(before + "(" + "|".join(words) + ")" + after)
+def has_intent(text: Column, words: list[str]) -> Column:
+    """Whether a text has one of the words at any place, also inside a run of letters."""
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(words))
 
 
 def narrowed(candidates: DataFrame, key: str, teaches: DataFrame, teacher: str, course: str | None, college: str | None) -> DataFrame:

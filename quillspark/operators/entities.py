@@ -164,18 +164,20 @@ def mentions(text: Column, term: Column) -> Column:
 
 
 def expand_slang(text: Column, slang: dict[str, list[str]], known: list[str]) -> Column:
-    """Names that the slang terms in a text stand for: all occurrences, longest terms first, none that overlap.
+    """Names that the slang terms in a text stand for: all occurrences, longest terms first and then by place, none that overlap.
 
-    slang and known are configured lists. Order: as terms are chosen, then as a term lists its names; names
-    that are not known are left out.
+    slang and known are configured lists. Names that are not known are left out.
     """
-    order = sorted(slang, key=lambda t: (-len(t), t))
-    taken = F.array().cast("array<struct<s:int,e:int>>")
-    state = F.struct(taken.alias("taken"), F.array().cast("array<array<string>>").alias("chosen"))
-    for term in order:
-        names = F.array(*[F.lit(x) for x in slang[term] if x in known]).cast("array<string>")
-        state = F.aggregate(_places(text, term), state, _taking(len(term), names))
-    return F.flatten(state["chosen"])
+    spots = []
+    for term, named in slang.items():
+        names = F.array(*[F.lit(x) for x in named if x in known]).cast("array<string>")
+        spots.append(F.transform(_places(text, term), _spot(len(term), names)))
+    start = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("taken"), F.array().cast("array<array<string>>").alias("chosen"))
+    return F.flatten(F.aggregate(F.array_sort(F.concat(*spots)), start, _take)["chosen"])
+
+
+def _spot(n: int, names: Column):
+    return lambda s: F.struct(F.lit(-n).alias("longest_first"), s.alias("s"), (s + n).alias("e"), names.alias("names"))
 
 
 def _places(text: Column, term: str) -> Column:
@@ -191,18 +193,14 @@ def _places(text: Column, term: str) -> Column:
     return F.aggregate(between, start, step)["at"]
 
 
-def _taking(n: int, names: Column):
-    """Takes an occurrence of n characters at s unless it overlaps one that was taken."""
-
-    def take(acc: Column, s: Column) -> Column:
-        free = ~F.exists(acc["taken"], lambda o: (s < o["e"]) & (s + n > o["s"]))
-        spot = F.array(F.struct(s.alias("s"), (s + n).alias("e")))
-        return F.struct(
-            F.when(free, F.concat(acc["taken"], spot)).otherwise(acc["taken"]).alias("taken"),
-            F.when(free, F.concat(acc["chosen"], F.array(names))).otherwise(acc["chosen"]).alias("chosen"),
-        )
-
-    return take
+def _take(acc: Column, spot: Column) -> Column:
+    """Takes an occurrence unless it overlaps one that was taken."""
+    free = ~F.exists(acc["taken"], lambda o: (spot["s"] < o["e"]) & (spot["e"] > o["s"]))
+    own = F.array(F.struct(spot["s"].alias("s"), spot["e"].alias("e")))
+    return F.struct(
+        F.when(free, F.concat(acc["taken"], own)).otherwise(acc["taken"]).alias("taken"),
+        F.when(free, F.concat(acc["chosen"], F.array(spot["names"]))).otherwise(acc["chosen"]).alias("chosen"),
+    )
 
 
 def expand_query(text: Column, formal: dict[str, str]) -> Column:

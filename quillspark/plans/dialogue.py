@@ -11,7 +11,7 @@ INTENT = ["the", "que", "der"]
 
 
 def question_intents(spark, sf_dir):
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", dialogue.has_intent(F.col("text"), INTENT, at_words=True).alias("intent"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", dialogue.has_intent(F.col("text"), INTENT).alias("intent"))
 
 
 def card_decision(spark, sf_dir):
@@ -78,7 +78,7 @@ def slang_edits(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (question_intents, card_decision, candidate_narrowing, strong_mixed_signal, cluster_assignment, comment_review, context_numbering, email_allowlist, slang_edits)}
 
 ORACLES = {
-    "question_intents": r"SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^\p{L}\p{N}])(the|que|der)($|[^\p{L}\p{N}])') AS intent FROM conversations",
+    "question_intents": "SELECT conv_id, turn, contains(lower(text), 'the') OR contains(lower(text), 'que') OR contains(lower(text), 'der') AS intent FROM conversations",
     "card_decision": """
 WITH t AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_quantity >= 48 GROUP BY 1),
 c AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS m FROM lineitem WHERE l_quantity >= 40 GROUP BY 1)

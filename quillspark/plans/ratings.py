@@ -224,6 +224,18 @@ SELECT c_custkey, coalesce(e.id, d.id, t.id) AS id,
        CASE WHEN e.id IS NOT NULL THEN 'name' WHEN d.id IS NOT NULL THEN 'digits' WHEN t.id IS NOT NULL THEN 'tail' ELSE 'none' END AS step
 FROM customer LEFT JOIN exact e ON e.term = c_name LEFT JOIN digits d ON d.term = regexp_extract(c_name, '(\d+)$', 1)
 LEFT JOIN tails t ON t.term = right(c_name, 2)""",
+    # Terms of three letters overlap none of their own length here, and those of two letters neither.
+    "slang_overlap": """
+WITH talk AS (SELECT conv_id, turn, lower(text) AS t FROM conversations),
+slang AS (SELECT * FROM (VALUES ('th', ['Theory']), ('tha', ['Thesis A', 'Thesis B']), ('on', ['Online']), ('que', ['Queueing']), ('ing', ['Engineering'])) s(term, names)),
+cut AS (SELECT conv_id, turn, term, names, length(term) AS n, string_split(t, term) AS p FROM talk, slang),
+spots AS (
+  SELECT conv_id, turn, n, names, unnest(list_transform(p[1:len(p) - 1], lambda x, i: CAST(list_sum(list_transform(p[1:i], lambda y: length(y))) + (i - 1) * n AS BIGINT))) AS s FROM cut),
+kept AS (
+  SELECT * FROM spots a WHERE n = 3 OR NOT EXISTS (
+    SELECT 1 FROM spots b WHERE b.conv_id = a.conv_id AND b.turn = a.turn AND b.n = 3 AND a.s < b.s + b.n AND a.s + a.n > b.s)),
+said AS (SELECT conv_id, turn, array_to_string(flatten(list(names ORDER BY n DESC, s)), ',') AS courses FROM kept GROUP BY ALL)
+SELECT conv_id, turn, coalesce(courses, '') AS courses FROM talk LEFT JOIN said USING (conv_id, turn)""",
     "query_expansion": """
 WITH asked AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'user'),
 extra AS (

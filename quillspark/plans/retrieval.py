@@ -16,8 +16,8 @@ def passages(spark, sf_dir):
 
 
 def questions(spark, sf_dir):
-    """The first five words of every benchmark item."""
-    words = F.slice(F.filter(F.split("text", r"[^\p{L}\p{N}_]+"), lambda w: w != ""), 1, 5)
+    """All words of every benchmark item."""
+    words = F.filter(F.split("text", r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("question"))
 
 
@@ -25,18 +25,48 @@ def term_stats(spark, sf_dir):
     return retrieval.term_stats(retrieval.term_table(passages(spark, sf_dir), "doc_id", "text"))
 
 
+#: The folders of term tables that this process has written, by application and tables.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, sf_dir):
-    """The term table of the passages, written once for all that a query reads of it."""
-    return retrieval.write_terms(retrieval.term_table(passages(spark, sf_dir), "doc_id", "text"), work_folder(spark, "terms"))
+    """The term table of the passages: an index that is written once in a session and read by all queries over the same tables."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    terms = retrieval.term_table(passages(spark, sf_dir), "doc_id", "text")
+    if at not in _WRITTEN:
+        folder = work_folder(spark, "terms")
+        retrieval.write_terms(terms, folder)
+        _WRITTEN[at] = folder
+    return spark.read.schema(terms.schema).parquet(_WRITTEN[at])
+
+
+def _kept(spark):
+    """Stores a table of a query's own in a folder that driver and executors share."""
+
+    def keep(df):
+        folder = work_folder(spark, "kept")
+        df.write.mode("overwrite").parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    return keep
 
 
 def _bm25(spark, sf_dir, terms=None):
     n, mean = retrieval.corpus_size(passages(spark, sf_dir), "text")
-    return retrieval.bm25(questions(spark, sf_dir), _index(spark, sf_dir) if terms is None else terms, "doc_id", n, mean)
+    return retrieval.bm25(questions(spark, sf_dir), _index(spark, sf_dir) if terms is None else terms, "doc_id", n, mean, keep=_kept(spark))
+
+
+def _by_vector(spark, sf_dir):
+    """The vector channel: documents and questions have the embeddings of their ids' remainders."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    n = vectors.count()
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(n)).alias("vec_id")).join(vectors, "vec_id").select("doc_id", "vector")
+    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.pmod(F.col("item_id") * 7, F.lit(n)).alias("vec_id")).join(vectors, "vec_id").select("query_id", "vector")
+    return retrieval.vector_search(asked, docs, "doc_id")
 
 
 def _by_length(spark, sf_dir, terms=None):
-    """A second ranking that SQL can express: for each query the documents that share most of its words, shortest first."""
+    """For each query the documents that share most of its words, shortest first."""
     asked = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.split("question", " "))).alias("term"))
     terms = _index(spark, sf_dir) if terms is None else terms
     shared = asked.join(terms, "term").groupBy("query_id", "doc_id", "length").agg(F.count("*").alias("score"))
@@ -55,19 +85,19 @@ def vector_topk(spark, sf_dir):
 
 def rrf_fusion(spark, sf_dir):
     terms = _index(spark, sf_dir)
-    return retrieval.fuse([_by_length(spark, sf_dir, terms), _bm25(spark, sf_dir, terms)], "doc_id").where("pos <= 20").select("query_id", "doc_id", F.round("score", 9).alias("score"), "pos")
+    return retrieval.fuse([_by_vector(spark, sf_dir), _bm25(spark, sf_dir, terms)], "doc_id").where("pos <= 20").select("query_id", "doc_id", F.round("score", 9).alias("score"), "pos")
 
 
 def hybrid_search(spark, sf_dir):
     terms = _index(spark, sf_dir)
     carried = questions(spark, sf_dir).select("query_id", F.col("query_id").alias("doc_id"))
-    channels = [_by_length(spark, sf_dir, terms), _bm25(spark, sf_dir, terms)]
+    channels = [_by_vector(spark, sf_dir), _bm25(spark, sf_dir, terms)]
     return retrieval.hybrid(questions(spark, sf_dir), channels, passages(spark, sf_dir), "doc_id", "file", keyword_score, carried)
 
 
 def hybrid_plain(spark, sf_dir):
     terms = _index(spark, sf_dir)
-    return retrieval.hybrid(questions(spark, sf_dir), [_by_length(spark, sf_dir, terms), _bm25(spark, sf_dir, terms)], passages(spark, sf_dir), "doc_id", "file").drop("score")
+    return retrieval.hybrid(questions(spark, sf_dir), [_by_vector(spark, sf_dir), _bm25(spark, sf_dir, terms)], passages(spark, sf_dir), "doc_id", "file").drop("score")
 
 
 def coverage_selection(spark, sf_dir):
@@ -160,7 +190,7 @@ tf AS (SELECT doc_id, length, term, count(*) AS tf FROM terms GROUP BY ALL),
 size AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(len(w)) FROM toks) AS mean),
 raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, size GROUP BY term, n),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN CAST(0.25 AS DOUBLE) * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-questions AS (SELECT item_id AS query_id, array_to_string(({_WORDS})[1:5], ' ') AS question FROM benchmark),
+questions AS (SELECT item_id AS query_id, array_to_string({_WORDS}, ' ') AS question FROM benchmark),
 asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(string_split(question, ' ')) AS term FROM questions) GROUP BY ALL),
 scores AS (
   SELECT query_id, doc_id, round(sum(times * idf * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length / mean))), 9) AS score
@@ -169,7 +199,11 @@ bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 hits AS (SELECT * FROM bm25 WHERE score > 0),
 shared AS (SELECT query_id, doc_id, length, count(*) AS score FROM (SELECT DISTINCT query_id, term FROM asked) JOIN tf USING (term) GROUP BY ALL),
 plain AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length, doc_id) AS pos FROM shared QUALIFY pos <= 20),
-rankings AS (SELECT query_id, doc_id, pos, 0 AS channel FROM plain UNION ALL SELECT query_id, doc_id, pos, 1 FROM hits),
+dv AS (SELECT doc_id, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
+qv AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM benchmark JOIN embeddings ON vec_id = item_id * 7 % (SELECT count(*) FROM embeddings)),
+near AS (SELECT query_id, doc_id, round(list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))), 9) AS score FROM qv q, dv d),
+byvec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM near QUALIFY pos <= 20),
+rankings AS (SELECT query_id, doc_id, pos, 0 AS channel FROM byvec UNION ALL SELECT query_id, doc_id, pos, 1 FROM hits),
 sums AS (SELECT query_id, doc_id, round(sum(CAST(1.0 AS DOUBLE) / (60 + pos)), 12) AS score, min((channel, pos)) AS seen FROM rankings GROUP BY ALL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS pos FROM sums)"""
 _COVER = """

@@ -110,6 +110,21 @@ done AS (SELECT doc_id, list_append(outs, regexp_replace(buf, '^\s+|\s+$', '', '
 rows AS (SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS n FROM done)
 SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(length(chunk) AS INTEGER) AS chars, md5(chunk) AS chunk_md5 FROM rows""",
     "citations_strip": rf"WITH {_TALK} SELECT conv_id, turn, regexp_replace(text, '\[[0-9]{{1,3}}\]', '', 'g') AS text FROM talk",
+    "citations_renumber": rf"""
+WITH {_TALK},
+cut AS (
+  SELECT conv_id, turn, text, conv_id % 5 AS n, regexp_split_to_array(text, '\[[0-9]{{1,4}}\]') AS gaps, regexp_extract_all(text, '\[[0-9]{{1,4}}\]') AS marks,
+    list_transform(regexp_extract_all(text, '\[([0-9]{{1,4}})\]', 1), lambda x: CAST(x AS INTEGER)) AS said FROM talk),
+valid AS (SELECT *, list_filter(said, lambda x: x BETWEEN 1 AND n) AS ok FROM cut),
+used AS (SELECT *, list_filter(ok, lambda x, i: list_position(ok, x) = i) AS cited FROM valid)
+SELECT conv_id, turn, CASE WHEN n = 0 THEN regexp_replace(text, '\[[0-9]{{1,3}}\]', '', 'g') ELSE array_to_string(list_transform(gaps, lambda g, i:
+    g || CASE WHEN i > len(marks) THEN '' WHEN list_contains(cited, said[i]) THEN '[' || list_position(cited, said[i]) || ']' ELSE marks[i] END), '') END AS text,
+  CASE WHEN n = 0 THEN '' ELSE array_to_string(cited, ',') END AS cited FROM used""",
+    "turn_points": rf"""
+WITH {_TALK},
+clean AS (SELECT conv_id, turn, regexp_replace(text, '\[[0-9]{{1,4}}\]', '', 'g') AS c FROM talk WHERE role = 'assistant'),
+kept AS (SELECT *, list_filter(list_transform(regexp_extract_all(c, '[^。！？!?]*[。！？!?]|[^。！？!?]+')[1:2], lambda s: trim(s, ' ')[1:40]), lambda s: s <> '') AS p FROM clean)
+SELECT conv_id, turn, CASE WHEN len(p) > 0 THEN array_to_string(p, '|') ELSE c[1:40] END AS points FROM kept""",
     "history_tail": f"""
 WITH {_TALK}
 SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS back, text[1:120] AS head FROM talk QUALIFY back <= 4""",

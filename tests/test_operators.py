@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +206,42 @@ def test_intents_are_found_inside_runs_of_letters(spark):
     texts = spark.createDataFrame([("这门课怎么样",), ("怎么样?",), ("这门课",), (None,)], "t string")
     intent = dialogue.has_intent(texts["t"], ["怎么样", "推荐"])
     assert [r[0] for r in texts.select(intent).collect()] == [True, True, False, False]
+
+
+def test_slang_is_taken_longest_first_and_then_by_place(spark):
+    slang, known = {"ds": ["A"], "ads": ["B", "C"], "fds": ["D", "gone"], "os": ["E"]}, ["A", "B", "C", "D", "E"]
+    texts = spark.createDataFrame([("fds ads ds",), ("os ds",), ("nothing",), ("adsads",)], "t string")
+    out = [r[0] for r in texts.select(entities.expand_slang(F.col("t"), slang, known)).collect()]
+    assert out == [["D", "B", "C", "A"], ["E", "A"], [], ["B", "C", "B", "C"]]
+
+
+def test_people_in_texts(spark):
+    people = spark.createDataFrame([(1, "李明", "liming", "lm"), (2, "李明华", "liminghua", "lmh"), (3, "王芳", "wangfang", "wf"), (4, "李雷", "lilei", "ll"), (5, "王芳", "wangfang", "wf")], "id int, name string, py string, init string")
+    asked = {1: "李明华怎么样", 2: "李老师好吗", 3: "liming ok?", 4: "wf的课", 5: "wf的课 ads", 6: "王芳", 7: "无"}
+    texts = spark.createDataFrame(list(asked.items()), "k int, t string")
+    out = {}
+    for r in entities.match_in_text(texts, "k", "t", people, "id", "name", "py", "init", ~F.col("t").contains("ads")).collect():
+        out.setdefault(r["k"], set()).add((r["id"], r["step"]))
+    assert out == {1: {(2, "name")}, 2: {(1, "surname"), (2, "surname"), (4, "surname")}, 3: {(1, "py")}, 4: {(3, "init"), (5, "init")}, 6: {(3, "name"), (5, "name")}}
+
+
+def test_the_chain_ends_with_the_closest_names(spark):
+    names = spark.createDataFrame([(n, i) for i, n in enumerate(["anderson", "andersen", "andersson", "peters", "zu"])], "term string, id long")
+    asked = spark.createDataFrame([(1, "peters"), (2, "andersonn"), (3, "qqqqqq"), (4, "zx"), (5, None)], "k int, q string")
+    out = sorted(map(tuple, entities.resolve(asked, "k", [("name", "q", names)], ("q", names), top=2).collect()), key=repr)
+    assert out == [(1, 3, "name"), (2, 0, "fuzzy"), (2, 2, "fuzzy"), (3, None, "none"), (4, None, "none"), (5, None, "none")]
+
+
+def test_fuzzy_matches_of_a_whole_table(spark):
+    import difflib
+
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abcde") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    asked = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(80)] + [None]
+    table = spark.createDataFrame(list(enumerate(asked)), "k int, q string")
+    found = entities.fuzzy_matches(table, "k", "q", spark.createDataFrame([(n,) for n in names], "n string"), "n", block=25)
+    want = {}
+    for k, q in enumerate(asked):
+        near = [(difflib.SequenceMatcher(None, n, q).ratio(), n) for n in set(names)] if q and len(q) >= 3 else []
+        want[k] = (max(near)[1], round(max(near)[0], 6)) if near and max(near)[0] >= 0.7 else (None, None)
+    assert {r["k"]: (r["match"], r["ratio"]) for r in found.collect()} == want
