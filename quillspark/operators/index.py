@@ -68,17 +68,45 @@ class VersionedTable:
         return number
 
 
-def upsert_stream(stream: DataFrame, table: VersionedTable, key: str, order: str, folder: str) -> int:
-    """Run a file stream into a versioned table: each micro-batch replaces the rows of its keys; returns the version.
-
-    Within a batch a key's last row by order counts. A batch that is run again gives the same rows.
+class BucketedTable:
+    """A Parquet table in buckets by a hash of its key: an upsert rewrites the buckets that it touches, and then names them all at once."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, buckets: int = 64):
+        self.spark, self.folder, self.key, self.buckets = spark, folder.rstrip("/"), key, buckets
+        self.names = VersionedTable(spark, f"{self.folder}/names")
+
+    def paths(self) -> dict[int, str]:
+        named = self.names.read()
+        return {} if named is None else {r["bucket"]: r["path"] for r in named.collect()}
+
+    def read(self) -> DataFrame | None:
+        paths = self.paths()
+        return self.spark.read.parquet(*paths.values()) if paths else None
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Replace the rows of rows' keys, of which rows has one each; what fails before its end is never read."""
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        paths = self.paths()
+        touched = [r[0] for r in rows.select(bucket).distinct().collect()]
+        old = [paths[b] for b in touched if b in paths]
+        merged = rows
+        if old:
+            merged = self.spark.read.parquet(*old).join(rows.select(self.key), self.key, "left_anti").unionByName(rows)
+        if touched:
+            run = f"{self.folder}/data/{uuid.uuid4().hex}"
+            merged.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(run)
+            named = paths | {b: f"{run}/_bucket={b}" for b in touched}
+            self.names.write(self.spark.createDataFrame(sorted(named.items()), "bucket int, path string").coalesce(1))
+
+
+def upsert_stream(stream: DataFrame, table: BucketedTable, order: str, state: str) -> None:
+    """Run what is new of a file stream into a table: each micro-batch replaces the rows of its keys.
+
+    Within a batch a key's last row by order counts. state is the folder of the stream's progress: another call with
+    it goes on where the last one ended, and a batch that is run again gives the same rows.
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        current = table.read()
-        table.write(latest if current is None else current.join(latest.select(key), key, "left_anti").unionByName(latest))
+        table.upsert(batch.groupBy(table.key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*"))
 
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return (table.versions() or [0])[-1]
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

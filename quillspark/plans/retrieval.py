@@ -163,14 +163,14 @@ def catalogue(spark, sf_dir):
 
 
 def stream_incremental(spark, sf_dir):
-    """Documents by way of a file stream into a versioned table, two snapshots in turn."""
+    """Documents by way of a file stream into a bucketed table: two snapshots arrive in turn, and the stream goes on after the first."""
     folder = work_folder(spark, "index")
-    table = index.VersionedTable(spark, f"{folder}/table")
+    table = index.BucketedTable(spark, f"{folder}/table", "doc_id", 16)
     new, old = _snapshots(spark, sf_dir)
     for n, snapshot in enumerate((old, new)):
-        snapshot.withColumn("seq", F.lit(n)).write.parquet(f"{folder}/in/batch={n}")
-        stream = spark.readStream.schema("doc_id long, digest string, seq int").parquet(f"{folder}/in/batch={n}")
-        index.upsert_stream(stream, table, "doc_id", "seq", folder)
+        snapshot.withColumn("seq", F.lit(n)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("doc_id long, digest string, seq int").parquet(f"{folder}/in")
+        index.upsert_stream(stream, table, "seq", f"{folder}/state")
     return table.read().select("doc_id", "digest")
 
 

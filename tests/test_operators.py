@@ -1,9 +1,11 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions.embedding import keyword_score
+from quillspark.functions import text
+from quillspark.functions.embedding import hash_embedder, keyword_score
 from quillspark.operators import dialogue, entities, governance, index, pages, ratings, retrieval, usage
 
 
@@ -245,3 +247,51 @@ def test_fuzzy_matches_of_a_whole_table(spark):
         near = [(difflib.SequenceMatcher(None, n, q).ratio(), n) for n in set(names)] if q and len(q) >= 3 else []
         want[k] = (max(near)[1], round(max(near)[0], 6)) if near and max(near)[0] >= 0.7 else (None, None)
     assert {r["k"]: (r["match"], r["ratio"]) for r in found.collect()} == want
+
+
+def test_a_stream_goes_on_and_rewrites_what_it_touches(spark, tmp_path):
+    table = index.BucketedTable(spark, str(tmp_path / "t"), "k", 8)
+    assert table.read() is None
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "k long, v string, seq int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        index.upsert_stream(spark.readStream.schema("k long, v string, seq int").parquet(str(tmp_path / "in")), table, "seq", str(tmp_path / "state"))
+        return table.paths(), {r["k"]: r["v"] for r in table.read().collect()}
+
+    first, rows = arrive([(k, "a", k) for k in range(40)] + [(3, "late", 99)])
+    assert rows == {k: "late" if k == 3 else "a" for k in range(40)}
+    second, rows = arrive([(5, "b", 0), (100, "new", 1)])
+    assert rows == {**{k: "a" for k in range(40)}, 3: "late", 5: "b", 100: "new"}
+    assert 1 <= sum(first.get(b) != path for b, path in second.items()) <= 2
+    again, rows_again = arrive([])
+    assert again == second and rows_again == rows
+
+
+def test_scores_do_not_depend_on_how_common_terms_are_looked_up(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    docs = [" ".join(rng.choice(vocabulary[: 1 + int(rng.paretovariate(0.5))] or vocabulary) for _ in range(rng.randrange(1, 40))) for _ in range(150)] + ["选课系统怎么用", None, ""]
+    asked = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 12))) for _ in range(25)] + ["选课", ""]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, question string")
+    for tokenize in (text.tokens, text.cjk_bigrams):
+        terms = retrieval.term_table(table, "doc_id", "text", tokenize)
+        n, mean = retrieval.corpus_size(table, "text", tokenize)
+        found = [sorted(map(tuple, retrieval.bm25(queries, terms, "doc_id", n, mean, 5, tokenize, common).collect())) for common in (0.0, 0.02, 0.2, 1.0)]
+        assert found[0] == found[1] == found[2] == found[3]
+        held = {(r[0], r[1]) for r in found[0]}
+        assert ((25, 150) in held) == (tokenize is text.cjk_bigrams)
+
+
+def test_hash_embedding_of_a_whole_table(spark):
+    from hashlib import blake2b
+
+    texts = ["The quick brown fox", "", None, "a", "fox fox 狐狸"]
+    for t, v in zip(texts, (r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(hash_embedder(F.col("t"))).collect()), strict=True):
+        want = [0.0] * 384
+        for w in re.findall(r"\w+", (t or "").lower()):
+            for f in [w, *(w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1))]:
+                h = int.from_bytes(blake2b(f.encode(), digest_size=8).digest(), "little")
+                want[h % 384] += -1.0 if h >> 63 else 1.0
+        size = sum(x * x for x in want) ** 0.5
+        assert v == pytest.approx([x / size if size else 0.0 for x in want])
