@@ -113,3 +113,20 @@ def join_cut(values: Column, separator: str, n: int) -> Column:
     """Joined values cut at n characters, back to the last separator so that no value is torn."""
     whole = F.array_join(values, separator)
     return F.when(F.length(whole) <= n, whole).otherwise(F.regexp_replace(F.left(whole, F.lit(n)), f"{separator}[^{separator}]*$", ""))
+
+
+def short_title(title: Column, n: int = 120) -> Column:
+    """A title of at most n characters, with an ellipsis in place of what is over."""
+    return F.when(F.length(title) > n, F.concat(F.left(title, F.lit(n - 1)), F.lit("…"))).otherwise(title)
+
+
+def plain_heading(line: Column) -> Column:
+    """A Markdown heading as text: links as their labels, HTML tags and number signs at both ends out."""
+    labels = F.regexp_replace(line, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    return F.regexp_replace(F.regexp_replace(labels, "<[^>]+>", ""), r"^[\s#]+|[\s#]+$", "")
+
+
+def first_heading(markdown: Column, fallback: Column) -> Column:
+    """plain_heading of the first line that begins with a number sign; fallback where there is none or nothing is left."""
+    line = F.regexp_extract(F.coalesce(markdown, F.lit("")), r"(?m)^(#[^\r\n]*)", 1)
+    return F.coalesce(F.nullif(plain_heading(line), F.lit("")), fallback)

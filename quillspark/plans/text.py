@@ -28,7 +28,7 @@ def paragraph_pack(spark, sf_dir):
 
 def chunk_records(spark, sf_dir):
     docs = marked(spark, sf_dir).join(load(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
-    return chunking.chunk_records(docs, "doc_id", "md", "source", "lang", F.lit("")).select("id", "n", F.length("text").alias("chars"))
+    return chunking.chunk_records(docs, "doc_id", "md", "source", "lang", F.array("lang", "source"), ["doc_id"]).select("id", "n", "doc_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 def talk(spark, sf_dir):

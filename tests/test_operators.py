@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import text
+from quillspark.functions import chunking, text
 from quillspark.functions.embedding import hash_embedder, keyword_score
 from quillspark.operators import dialogue, entities, governance, index, pages, ratings, retrieval, usage
 
@@ -295,3 +295,40 @@ def test_hash_embedding_of_a_whole_table(spark):
                 want[h % 384] += -1.0 if h >> 63 else 1.0
         size = sum(x * x for x in want) ** 0.5
         assert v == pytest.approx([x / size if size else 0.0 for x in want])
+
+
+def test_list_pages_of_a_service_site(spark):
+    faq = """约有 <span> 31</span> 项<em>问</em> <div class="ts">Lost <b>card</b>?</div><h4 id="7_x" docNo='7' class="da_high_content">
+      <div class="expand-btn" onclick="f(7)">展开</div> Go to the <font color='red'>desk</font>. <div class="close-btn">收起</div></h4>
+      <tr><td><b>咨询电话:</b></td><td>111</td></tr><tr><td><b>科 室:</b></td><td>Cards &amp; keys</td></tr>
+      <em>问</em><div class="ts"> </div><em>问</em><div class="ts">Open when?</div>"""
+    guide = """<div class="T3" id="data_Z1">Leave early 点击详情</div><td><b>受理时间:</b>May</td><td><b>咨询电话:</b>222 </td><td><b>受理机构：</b>Office</td>
+      <div id="data_A22">Come back</div><td><b>受理时间:</b>June</td>"""
+    norm = """<a href="x" id="norm_file_9" title="Rules T">Rules <i>A</i></a><b>【发文号】</b>No. 1
+      | <b>【施行日期】</b>2026-07-10 | rest <a id="norm_file_10" title="Named"> </a> <b>【发文号】</b>No. 2 | <b>【施行日期】</b>2025-01-02 |"""
+    info = """<a href="http://a.b/c" dataSource = "w">News <font color='red'>now</font></a><div class="limit-lines3">Short.</div><h3>发布时间： 2025-10-29 | 信息来源： Desk </h3>
+      <a href="/local" dataSource="w">Not a link</a><div class="limit-lines3">x</div>发布时间： 2025-10-30 | 信息来源： Other<"""
+    table = spark.createDataFrame([(1, faq), (2, guide), (3, norm), (4, info), (5, ""), (6, None)], "k int, h string")
+    rows = lambda df: [tuple(r)[2:] for r in df.orderBy("k", "n").collect()]
+    assert rows(pages.faq_items(table, "k", "h")) == [("7", "Lost card?", "Go to the desk.", "111", "", "Cards & keys"), ("", "Open when?", "", "", "", "")]
+    # The first entry has no phone of its own kind after it but its own, the second takes none from before.
+    assert rows(pages.guide_items(table, "k", "h")) == [("Leave early", {"受理时间": "May", "咨询电话": "222", "受理机构": "Office"}, "222"), ("Come back", {"受理时间": "June"}, "")]
+    assert rows(pages.norm_items(table, "k", "h", "http://s"))[0] == ("9", "Rules A", "No. 1", "2026-07-10", "http://s/search/normFileView.do?docNo=9", "http://s/tool/downNormFile.do?docNo=9")
+    assert [r[1] for r in rows(pages.norm_items(table, "k", "h", ""))] == ["Rules A", "Named"]
+    assert rows(pages.info_items(table, "k", "h")) == [("News now", "http://a.b/c", "Short.", "2025-10-29", "Desk")]
+    assert [r[0] for r in table.orderBy("k").select(pages.total_hits(F.col("h"))).collect()] == [31, 0, 0, 0, 0, 0]
+    detail = spark.createDataFrame([("<li><span >【拟文部门】</span>Office</li><li><span>【时效性】</span>in force</li>",)], "h string")
+    assert detail.select(pages.norm_detail(F.col("h"))).first()[0] == {"拟文部门": "Office", "时效性": "in force"}
+
+
+def test_chunk_records_carry_metadata(spark):
+    docs = spark.createDataFrame([("a.md", "## H\nbody", "T", "FAQ", ["x", "y" * 98, "z"], 2, None)], "file string, body string, title string, category string, tags array<string>, schema_version int, checked string")
+    r = chunking.chunk_records(docs, "file", "body", "title", "category", F.col("tags"), ["schema_version", "tags", "checked", "file"]).first()
+    assert r["id"] == "a.md::0" and r["text"] == "标题：T\n分类：FAQ\n检索标签：x\n\n## H\nbody"
+    assert (r["schema_version"], r["tags"], r["checked"], r["file"]) == (2, "x、" + "y" * 98 + "、z", "", "a.md")
+
+
+def test_titles_and_headings(spark):
+    row = spark.createDataFrame([("x" * 130, "intro\n## First [a](b) <i>c</i> #\n# Second", "no heading", None)], "t string, m string, n string, z string")
+    heads = [text.first_heading(F.col(c), F.lit("none")) for c in "mnz"]
+    assert tuple(row.select(text.short_title(F.col("t")), *heads).first()) == ("x" * 119 + "…", "First a c", "none", "none")
