@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.fixed_values import PUBLISHED_FOLDERS
+from quillspark.functions.text import without_zero_width
 
 
 def relative(path: Column, root: str) -> Column:
@@ -124,6 +125,56 @@ def keep_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim(F.split_part("line", F.lit("|"), F.lit(1))).alias("src"), F.nullif(F.trim(F.split_part("line", F.lit("|"), F.lit(2))), F.lit("")).alias("dst"))
 
 
+def kept_targets(keep: DataFrame, site: str, categories: list[str]) -> DataFrame:
+    """(src, target, category, is_fix, known) of keep_list's lines of a site: where below the published folders a file is to go.
+
+    Lines whose source is of another site are left out. The target is dst, or src without the site's folder; zero-width
+    characters are taken out, and a dst that is a folder gets the source's file name. known: its first folder is one
+    of categories and holds it.
+    """
+    is_fix = F.col("dst").isNotNull()
+    dst = without_zero_width(F.coalesce("dst", "src"))
+    name = F.substring_index("src", "/", -1)
+    dst = F.when(is_fix & ~F.lower(dst).endswith(".md"), F.concat(F.regexp_replace(dst, "/+$", ""), F.lit("/"), name)).otherwise(dst)
+    target = F.when(F.substring_index(dst, "/", 1).startswith(site), F.regexp_replace(dst, "^[^/]*/", "")).otherwise(dst)
+    rows = keep.where(F.substring_index("src", "/", 1).startswith(site)).select("src", target.alias("target"), is_fix.alias("is_fix"))
+    category = F.substring_index("target", "/", 1)
+    return rows.select("src", "target", category.alias("category"), "is_fix", (F.col("target").contains("/") & category.isin(categories)).alias("known"))
+
+
+def review_queue(documents: DataFrame, below: str = "") -> DataFrame:
+    """The rows of front_matter's documents that need a review, with a path that begins with below, outside staging folders."""
+    waiting = F.try_element_at("meta", F.lit("review_status")) == "needs_review"
+    return documents.where(waiting & F.col("path").startswith(below) & ~F.concat(F.lit("/"), F.col("path")).contains("/staging/"))
+
+
+def listed_urls(sources: DataFrame, source: str, list_url: str, pattern: str, max_pages: str, links: Callable[[str], list[str]]) -> DataFrame:
+    """(source, url, place): detail URLs of each source's list pages, in their order and once each.
+
+    Page 1 is list_url (a column), page N the same with N before its .htm or .psp. links gives a page's URLs and is
+    called in the tasks, a source's pages in turn until one fails or has no URL that pattern (a column) matches.
+    """
+
+    def of(address: str, wanted: str, most: int) -> Iterator[str]:
+        stem = re.match(r"(.*)\.(htm|psp)$", address)
+        for page in range(1, (most if stem else 1) + 1):
+            try:
+                found = [u for u in links(address if page == 1 else f"{stem[1]}{page}.{stem[2]}") if re.match(wanted, u)]
+            except Exception:  # noqa: BLE001 a list page that cannot be had ends the list, by contract
+                return
+            if not found:
+                return
+            yield from found
+
+    def walked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            out = [(r[0], u, n) for r in rows.itertuples(index=False) for n, u in enumerate(dict.fromkeys(of(r[1], r[2], int(r[3]))))]
+            yield pd.DataFrame(out, columns=["source", "url", "place"])
+
+    asked = sources.select(source, list_url, pattern, F.coalesce(F.col(max_pages).cast("int"), F.lit(1)))
+    return asked.mapInPandas(walked, "source string, url string, place int")
+
+
 REGISTRY_FIELDS = ("name", "source_org", "authority_level", "category", "source_type", "list_url")
 
 

@@ -66,3 +66,38 @@ def test_sinks(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("source", "v").collect()) == [("s1", 9), ("s2", 2)]
     text = rows.select(sinks.markdown_text({"source": F.col("source"), "none": F.lit(None)}, F.lit("body")).alias("t")).first()["t"]
     assert text == "---\nsource: s1\n---\nbody"
+
+
+def test_targets_of_a_keep_list(spark):
+    lines = [("zx-a/FAQ/x.md", None), ("zx-a/y.md", "通知/办公室"), ("zx-a/z.md", "zx-a/政策/z\u200b2.md"), ("other/FAQ/w.md", None), ("zx-a/v.md", None)]
+    keep = spark.createDataFrame(lines, "src string, dst string")
+    out = [tuple(r) for r in files.kept_targets(keep, "zx-", ["FAQ", "政策", "通知"]).collect()]
+    assert out == [("zx-a/FAQ/x.md", "FAQ/x.md", "FAQ", False, True), ("zx-a/y.md", "通知/办公室/y.md", "通知", True, True), ("zx-a/z.md", "政策/z2.md", "政策", True, True), ("zx-a/v.md", "v.md", "v.md", False, False)]
+
+
+def test_review_queue(spark):
+    rows = [("FAQ/a.md", {"review_status": "needs_review"}), ("staging/b.md", {"review_status": "needs_review"}), ("FAQ/c.md", {"review_status": "verified"}), ("政策/d.md", {"review_status": "needs_review"}), ("FAQ/e.md", {})]
+    docs = spark.createDataFrame(rows, "path string, meta map<string,string>")
+    assert [r["path"] for r in files.review_queue(docs).collect()] == ["FAQ/a.md", "政策/d.md"]
+    assert [r["path"] for r in files.review_queue(docs, "FAQ/").collect()] == ["FAQ/a.md"]
+
+
+def test_listed_urls(spark):
+    site = {"h/list.htm": ["h/p/1", "h/x", "h/p/2"], "h/list2.htm": ["h/p/2", "h/p/3"], "h/list3.htm": [], "h/list4.htm": ["h/p/9"], "h/plain": ["h/p/7"]}
+    sources = spark.createDataFrame([("a", "h/list.htm", "h/p/", 9), ("b", "h/plain", "h/p/", 5), ("c", "h/none.htm", "h/p/", 2), ("d", "h/list.htm", "h/p/", None)], "name string, list string, pattern string, pages int")
+    out = {}
+    for r in files.listed_urls(sources, "name", "list", "pattern", "pages", lambda u: site[u]).orderBy("place").collect():
+        out.setdefault(r["source"], []).append(r["url"])
+    assert out == {"a": ["h/p/1", "h/p/2", "h/p/3"], "b": ["h/p/7"], "d": ["h/p/1", "h/p/2"]}
+
+
+def test_manifests(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"source": "s", "fetched_at": "2024", "errors": [], "results": {"u1": {"status": "new", "doc_id": "d1", "chars": 5}, "u2": {"status": "same"}}}))
+    assert sorted(tuple(r) for r in files.manifest(spark, str(tmp_path / "m.json")).collect()) == [("s", "u1", "new", "d1", 5), ("s", "u2", "same", None, None)]
+
+
+def test_publication_and_export(spark):
+    docs = spark.createDataFrame([("b", "needs_review")], "body string, review_status string")
+    assert tuple(sinks.rewritten_on_publish(docs, checked="2024-01-01", maintainer="me").select("body", "review_status", "valid", "last_checked_at", "maintainer").first()) == ("b", "verified", True, "2024-01-01", "me")
+    notes = spark.createDataFrame([(2, "Q2", ["c"], []), (1, "Q1", ["a", "b"], ["s1", "s2"])], "n int, q string, p array<string>, s array<string>")
+    assert sinks.faq_markdown(notes, "n", "q", "p", "s").first()["text"] == "## 1. Q1\n- a\n- b\n\nSources: s1 · s2\n\n## 2. Q2\n- c"
