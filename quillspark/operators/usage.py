@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,26 +90,62 @@ def lockouts(attempts: DataFrame, key: str, max_failures: int = 5, lock_seconds:
     folded as they stream by, so a task holds one batch and one key's counter, however long a history is.
     A null ok is a failure; attempts without a time come last and are never refused; null keys are one key.
     """
-    ordered = attempts.select(key, "event_id", "at", "ok").repartition(F.col(key)).sortWithinPartitions(F.col(key), F.asc_nulls_last("at"), "event_id")
+    def step(state: list, at: int | None, ok: bool | None) -> str:
+        failures, until = state
+        if at is not None and at < until:
+            return "refused"
+        if ok:
+            state[0] = 0
+            return "passed"
+        if failures + 1 >= max_failures:
+            state[:] = 0, at + lock_seconds if at is not None else until
+            return "locked"
+        state[0] += 1
+        return "failed"
+
+    return _folded(attempts, key, ["at", "ok"], lambda: [0, 0], step)
+
+
+def code_outcomes(events: DataFrame, key: str, resend_seconds: int = 60, live_seconds: int = 600, max_tries: int = 5) -> DataFrame:
+    """(key, event_id, outcome) of events (key, event_id, at in seconds, asks, code): sent, too_soon, accepted, wrong or void.
+
+    An event that asks gets a new code, unless the key's last one was sent less than resend_seconds before. Any other
+    tries a code: it is void without a code, past live_seconds, or after max_tries wrong ones; the right code is
+    accepted once. Events are folded in the order of time and event_id, see lockouts; those without a time are void
+    and change nothing; null keys are one key.
+    """
+
+    def step(state: list, at: int | None, asks: bool | None, code: str | None) -> str:
+        if at is None:
+            return "void"
+        if asks:
+            if state and at - state[0] < resend_seconds:
+                return "too_soon"
+            state[:] = at, code, 0
+            return "sent"
+        if not state or at > state[0] + live_seconds or state[2] >= max_tries:
+            return "void"
+        if code == state[1]:
+            state.clear()
+            return "accepted"
+        state[2] += 1
+        return "wrong"
+
+    return _folded(events, key, ["at", "asks", "code"], list, step)
+
+
+def _folded(rows: DataFrame, key: str, columns: list[str], fresh: Callable[[], list], step: Callable[..., str]) -> DataFrame:
+    """(key, event_id, outcome): step over each key's rows in the order of at and event_id, with a state that fresh makes."""
+    ordered = rows.select(key, "event_id", *columns).repartition(F.col(key)).sortWithinPartitions(F.col(key), F.asc_nulls_last("at"), "event_id")
 
     def fold(batches):
-        current, failures, until = object(), 0, 0
+        current, state = object(), fresh()
         for batch in batches:
             outcomes = []
-            for who, at, ok in zip(*(batch.column(c).to_pylist() for c in (key, "at", "ok")), strict=True):
+            for who, *values in zip(*(batch.column(c).to_pylist() for c in (key, *columns)), strict=True):
                 if who != current:
-                    current, failures, until = who, 0, 0
-                if at is not None and at < until:
-                    outcomes.append("refused")
-                elif ok:
-                    failures = 0
-                    outcomes.append("passed")
-                elif failures + 1 >= max_failures:
-                    failures, until = 0, at + lock_seconds if at is not None else until
-                    outcomes.append("locked")
-                else:
-                    failures += 1
-                    outcomes.append("failed")
+                    current, state = who, fresh()
+                outcomes.append(step(state, *values))
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("event_id"), pa.array(outcomes, pa.string())], [key, "event_id", "outcome"])
 
     return ordered.mapInArrow(fold, T.StructType([ordered.schema[key], ordered.schema["event_id"], T.StructField("outcome", T.StringType())]))

@@ -60,6 +60,14 @@ def lockout_fold(spark, sf_dir):
     return usage.lockouts(attempts, "user_id", max_failures=3, lock_seconds=3600)
 
 
+def code_lifetimes(spark, sf_dir):
+    """Signups ask for a code of their value's last digit, errors and purchases try theirs: six hours between codes, which live two days and bear two wrong tries."""
+    events = load(spark, sf_dir, "events").where("event_type IN ('signup', 'error', 'purchase')")
+    digit = F.expr("CAST(CAST(floor(value) AS BIGINT) % 3 AS STRING)")
+    events = events.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.expr("event_type = 'signup'").alias("asks"), digit.alias("code"))
+    return usage.code_outcomes(events, "user_id", 6 * 3600, 48 * 3600, 2)
+
+
 def gap_sessions(spark, sf_dir):
     log = load(spark, sf_dir, "events").withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")))
     numbered = usage.gap_sessions(log, "user_id", "at", 6 * 3600, "event_id")
@@ -78,7 +86,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         usage_daily_counts, usage_summary, usage_rolling_range, uncovered_latest, uncovered_with_user, usage_page, feedback_fold,
-        open_questions, lockout_fold, gap_sessions, stream_daily_counts, safe_parsing,
+        open_questions, lockout_fold, code_lifetimes, gap_sessions, stream_daily_counts, safe_parsing,
     )
 }
 
@@ -119,6 +127,23 @@ SELECT user_id, CAST(feedback AS INTEGER) AS feedback, CAST(resolved AS INTEGER)
     "open_questions": """
 SELECT event_id, CAST(event_type <> 'error' AS INTEGER) AS covered, CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 0 END AS INTEGER) AS feedback
 FROM events WHERE event_type IN ('error', 'view')""",
+    "code_lifetimes": """
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) AS sec, event_type = 'signup' AS asks, CAST(floor(value) AS BIGINT) % 3 AS code,
+         row_number() OVER (PARTITION BY user_id ORDER BY CAST(epoch(ts) AS BIGINT), event_id) AS i
+  FROM events WHERE event_type IN ('signup', 'error', 'purchase')),
+fold AS (
+  SELECT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, '' AS outcome, CAST(NULL AS BIGINT) AS sent, CAST(NULL AS BIGINT) AS live, 0 AS tries FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, event_id, i, outcome,
+    CASE outcome WHEN 'sent' THEN sec WHEN 'accepted' THEN NULL ELSE sent END, CASE outcome WHEN 'sent' THEN code WHEN 'accepted' THEN NULL ELSE live END,
+    CASE outcome WHEN 'sent' THEN 0 WHEN 'wrong' THEN tries + 1 ELSE tries END
+  FROM (
+    SELECT e.*, f.sent, f.live, f.tries,
+      CASE WHEN e.asks THEN CASE WHEN e.sec - f.sent < 21600 THEN 'too_soon' ELSE 'sent' END
+        WHEN f.sent IS NULL OR e.sec > f.sent + 172800 OR f.tries >= 2 THEN 'void' WHEN e.code = f.live THEN 'accepted' ELSE 'wrong' END AS outcome
+    FROM fold f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT user_id, event_id, outcome FROM fold WHERE i > 0""",
     "lockout_fold": """
 WITH RECURSIVE attempts AS (
   SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) AS at, event_type = 'purchase' AS ok,
