@@ -84,14 +84,63 @@ QUERIES = {
 
 _TALK = "talk AS (SELECT conv_id, turn, role, text || ' [' || ((turn * 7 + conv_id) % 6) || '] see [2025] and [' || (turn + 1) || ']' AS text FROM conversations)"
 _NL = "chr(10)"
-ORACLES = {
-    "heading_split": rf"""
-WITH m AS (
+_SECTIONS = rf"""
+m AS (
   SELECT doc_id, array_to_string(list_transform(string_split(text, {_NL}), lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN '## ' || x ELSE x END), {_NL}) AS md FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(md, {_NL})) AS line, generate_subscripts(string_split(md, {_NL}), 1) AS i FROM m),
 numbered AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{2,3}} ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM lines),
 parts AS (SELECT doc_id, s, regexp_replace(string_agg(line, {_NL} ORDER BY i), '^\s+|\s+$', '', 'g') AS part FROM numbered GROUP BY doc_id, s),
-kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS n FROM parts WHERE part <> ''),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS n FROM parts WHERE part <> '')"""
+ORACLES = {
+    # Long paragraphs line by line; the documents have no tables, whose heads later pieces would repeat.
+    "chunk_records": rf"""
+WITH RECURSIVE {_SECTIONS.strip()},
+h AS (
+  SELECT doc_id, n AS sec, part, CASE WHEN part[1] = '#' AND length(string_split(part, {_NL})[1]) <= 80 AND regexp_matches(part[length(string_split(part, {_NL})[1]) + 2:], '\S')
+    THEN string_split(part, {_NL})[1] ELSE '' END AS heading FROM kept),
+big AS (SELECT doc_id, sec, heading, greatest(120, 347 - length(heading)) AS room, CASE WHEN heading = '' THEN part ELSE part[length(heading) + 2:] END AS body FROM h WHERE length(part) > 350),
+split AS (SELECT *, list_filter(string_split(body, {_NL} || {_NL}), lambda x: regexp_matches(x, '\S')) AS ps FROM big),
+para AS (SELECT doc_id, sec, heading, room, unnest(ps) AS p, generate_subscripts(ps, 1) AS pi FROM split),
+ln AS (SELECT doc_id, sec, pi, room, unnest(string_split(p, {_NL})) AS line, generate_subscripts(string_split(p, {_NL}), 1) AS li FROM para WHERE length(p) > room),
+said AS (SELECT doc_id, sec, pi, li, room, regexp_extract_all(line, '[^。！？；!?]*[。！？；!?]|[^。！？；!?]+') AS ss FROM ln WHERE length(line) > room),
+filled AS (
+  SELECT *, 1 AS i, ss[1] AS buf, CAST([] AS VARCHAR[]) AS outs FROM said
+  UNION ALL
+  SELECT doc_id, sec, pi, li, room, ss, i + 1, CASE WHEN length(buf) + length(ss[i + 1]) > room THEN ss[i + 1] ELSE buf || ss[i + 1] END,
+    CASE WHEN length(buf) + length(ss[i + 1]) > room THEN list_append(outs, buf) ELSE outs END
+  FROM filled WHERE i < len(ss)),
+cut AS (
+  SELECT doc_id, sec, pi, li, flatten(list_transform(list_append(outs, buf), lambda b: list_transform(generate_series(0, (length(b) - 1) // room), lambda k: b[k * room + 1:(k + 1) * room]))) AS atoms
+  FROM filled WHERE i = len(ss)),
+atoms AS (SELECT doc_id, sec, pi, any_value(room) AS room, flatten(list(coalesce(atoms, [line]) ORDER BY li)) AS a FROM ln LEFT JOIN cut USING (doc_id, sec, pi, li) GROUP BY ALL),
+divided AS (
+  SELECT *, 1 AS i, [a[1]] AS held, CAST([] AS VARCHAR[]) AS pieces FROM atoms
+  UNION ALL
+  SELECT doc_id, sec, pi, room, a, i + 1, list_append(CASE WHEN over THEN again ELSE held END, a[i + 1]), CASE WHEN over THEN list_append(pieces, array_to_string(held, {_NL})) ELSE pieces END
+  FROM (
+    SELECT *, length(array_to_string(held, {_NL})) + 1 + length(a[i + 1]) > room AS over,
+      CASE WHEN len(held) > 1 AND length(held[-1]) + length(held[-2]) <= 80 THEN held[-2:] WHEN length(held[-1]) <= 80 THEN held[-1:] ELSE CAST([] AS VARCHAR[]) END AS again
+    FROM divided WHERE i < len(a))),
+ready AS (SELECT doc_id, sec, pi, list_append(pieces, array_to_string(held, {_NL})) AS ps FROM divided WHERE i = len(a)),
+todo AS (SELECT doc_id, sec, any_value(heading) AS heading, any_value(room) AS room, flatten(list(coalesce(ps, [p]) ORDER BY pi)) AS ps FROM para LEFT JOIN ready USING (doc_id, sec, pi) GROUP BY ALL),
+fold AS (
+  SELECT *, 1 AS i, ps[1] || {_NL} || {_NL} AS buf, CAST([] AS VARCHAR[]) AS outs FROM todo
+  UNION ALL
+  SELECT doc_id, sec, heading, room, ps, i + 1, CASE WHEN length(buf) + length(ps[i + 1]) > room THEN ps[i + 1] || {_NL} || {_NL} ELSE buf || ps[i + 1] || {_NL} || {_NL} END,
+    CASE WHEN length(buf) + length(ps[i + 1]) > room THEN list_append(outs, regexp_replace(buf, '^\s+|\s+$', '', 'g')) ELSE outs END
+  FROM fold WHERE i < len(ps)),
+packed AS (SELECT doc_id, sec, heading, CASE WHEN regexp_matches(buf, '\S') THEN list_append(outs, regexp_replace(buf, '^\s+|\s+$', '', 'g')) ELSE outs END AS cs FROM fold WHERE i = len(ps)),
+chunks AS (
+  SELECT doc_id, sec, unnest(cs) AS c, generate_subscripts(cs, 1) AS k, heading FROM packed
+  UNION ALL SELECT doc_id, sec, part, 1, NULL FROM h WHERE length(part) <= 350),
+named AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, k) - 1 AS n,
+    CASE WHEN coalesce(heading, '') = '' THEN c ELSE heading || CASE WHEN k > 1 THEN '（续）' ELSE '' END || {_NL} || c END AS c FROM chunks),
+texts AS (
+  SELECT doc_id, n, '标题：' || source || {_NL} || '分类：' || lang || {_NL} || '检索标签：' || lang || '、' || source || {_NL} || {_NL} || c AS t FROM named JOIN documents USING (doc_id))
+SELECT doc_id || '::' || n AS id, CAST(n AS INTEGER) AS n, doc_id, CAST(length(t) AS INTEGER) AS chars, md5(t) AS text_md5 FROM texts""",
+    "heading_split": rf"""
+WITH {_SECTIONS.strip()},
 h AS (SELECT *, string_split(part, {_NL})[1] AS head FROM kept)
 SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(length(part) AS INTEGER) AS chars, md5(part) AS part_md5,
   CAST(CASE WHEN head[1] = '#' AND length(head) <= 80 AND trim(part[length(head) + 2:], ' ') <> '' THEN length(head) ELSE 0 END AS INTEGER) AS heading_chars
