@@ -115,9 +115,10 @@ def resolve(sequences: DataFrame, key: str, media: DataFrame) -> DataFrame:
     """
     extra = [c for c in media.columns if c != "digest"]
     flat = sequences.select(F.col(key), F.explode_outer("parts").alias("part"))
+    # The digest is cut out of the source on both sides of the join, and not carried beside it.
     digest = F.when(F.col("part.source").startswith("sha256:"), F.substring("part.source", 8, 64))
-    joined = flat.withColumn("_digest", digest).join(media.withColumnRenamed("digest", "_media"), F.col("_digest") == F.col("_media"), "left")
-    part = F.struct(*[F.col(f"part.{c}") for c in ("position", "kind", "text", "source", "caption")], F.col("_digest").alias("digest"), *extra)
+    joined = flat.join(media.withColumnRenamed("digest", "_media"), digest == F.col("_media"), "left").drop("_media")
+    part = F.struct(*[F.col(f"part.{c}") for c in ("position", "kind", "text", "source", "caption")], digest.alias("digest"), *extra)
     grouped = joined.groupBy(key).agg(F.collect_list(F.when(F.col("part").isNotNull(), part)).alias("parts"))
     return grouped.select(key, F.array_sort("parts").alias("parts"))
 
@@ -202,17 +203,15 @@ def document_page(text: Column) -> Column:
 def document_sequences(docs: DataFrame, media: DataFrame) -> DataFrame:
     """(page, parts): the sequences of docs' pages with what media has of their payloads.
 
-    page is struct<doc_id, n_bytes, digest, copies>: rows of one doc_id and text are one page, whose number is
-    counted. A text part's text is its length and md5, so that no text is shuffled.
+    page is struct<doc_id, n_bytes, row>, one for each row of docs. A text part's text is its length and hash, so
+    that no text is shuffled.
     """
     parts = F.transform(sequence_column(document_page(F.col("text"))), lambda p: F.struct(
         p["position"].alias("position"), p["kind"].alias("kind"),
-        F.when(p["text"].isNotNull(), F.concat(F.length(p["text"]).cast("string"), F.lit(":"), F.md5(p["text"].cast("binary")))).alias("text"),
+        F.when(p["text"].isNotNull(), F.concat_ws(":", F.length(p["text"]).cast("string"), F.xxhash64(p["text"]).cast("string"))).alias("text"),
         p["source"].alias("source"), p["caption"].alias("caption")))
-    whole = F.coalesce(F.col("text"), F.lit(""))
-    pages = docs.select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), payload_digest(whole).alias("digest"), parts.alias("parts"))
-    pages = pages.groupBy("doc_id", "n_bytes", "digest").agg(F.first("parts").alias("parts"), F.count("*").alias("copies"))
-    return resolve(pages.select(F.struct("doc_id", "n_bytes", "digest", "copies").alias("page"), "parts"), "page", media)
+    pages = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row"), parts.alias("parts"))
+    return resolve(stored(pages, "sequences").select(F.struct("doc_id", "n_bytes", "row").alias("page"), "parts"), "page", media)
 
 
 def document_media(docs: DataFrame) -> DataFrame:
@@ -221,7 +220,7 @@ def document_media(docs: DataFrame) -> DataFrame:
     Each text is stored losslessly as a grey image in a media table in the shared folder. The text's page, of
     its two halves with the figure of the image between them, is parsed to a sequence whose references are resolved
     against features read back from the stored images; position, caption and features are those of the sequence's
-    image, and sequence is an md5 of its parts in order (kind, length and md5 of text, source). Payloads are never
+    image, and sequence is an md5 of its parts in order (kind, length and hash of text, source). Payloads are never
     shuffled: the join moves digests and features alone, and a text that many rows share is one row of it.
 
     Null is the empty text, whose payload is padding. Texts of any length are stored whole. Repeated rows give
@@ -242,9 +241,9 @@ def document_media(docs: DataFrame) -> DataFrame:
         kept = stored(docs.select(packed(F.col("text")).alias("media")), "media", **{"parquet.block.size": str(16 << 20)})
         read = kept.select(features("media").alias("f")).select("f.*")
         per_digest = stored(read.groupBy("digest").agg(*[F.first(c).alias(c) for c in read.columns[1:]]), "features")
-        found = stored(document_sequences(docs, per_digest), "sequences")
+        found = document_sequences(docs, per_digest)
     part = F.concat_ws("|", F.transform("parts", lambda p: F.concat_ws(":", p["kind"], p["text"], p["source"])))
-    rows = found.select("page", F.md5(part).alias("sequence"), F.element_at(F.filter("parts", lambda p: p["kind"] == "image"), 1).alias("m"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("page.copies"))))
+    rows = found.select("page", F.md5(part).alias("sequence"), F.element_at(F.filter("parts", lambda p: p["kind"] == "image"), 1).alias("m"))
     return rows.select(
         "page.doc_id", "page.n_bytes", "m.payload_bytes", F.col("m.digest").alias("payload_sha256"), "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature",
         F.col("m.caption").alias("caption"), F.col("m.position").alias("position"), "sequence",

@@ -674,7 +674,8 @@ def test_media_round_trip(spark):
             assert r.feature == f"grey8 576x{len(payload) // 576} mean={sum(payload) / len(payload):.4f} hist={'/'.join(str(counts[i]) for i in range(8))}"
             lines = text.split("\n")
             halves = ["\n".join(part) for part in (lines[: -(-len(lines) // 2)], lines[-(-len(lines) // 2) :])]
-            told = [f"text:{len(h)}:{hashlib.md5(h.encode()).hexdigest()}" if h.strip() else "" for h in halves]
+            signed = [x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest(h.encode(), 42) for h in halves)]
+            told = [f"text:{len(h)}:{x}" if h.strip() else "" for h, x in zip(halves, signed, strict=True)]
             sequence = "|".join(x for x in (told[0], f"image:sha256:{r.payload_sha256}", told[1]) if x)
             assert (r.caption, r.position, r.sequence) == (f"{len(raw)} bytes", int(bool(told[0])), hashlib.md5(sequence.encode()).hexdigest()), text[:50]
             by_text.setdefault(raw, set()).add((r.feature, r.media_sha256, r.sequence))
