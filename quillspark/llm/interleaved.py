@@ -115,9 +115,12 @@ def resolve(sequences: DataFrame, key: str, media: DataFrame) -> DataFrame:
     """
     extra = [c for c in media.columns if c != "digest"]
     flat = sequences.select(F.col(key), F.explode_outer("parts").alias("part"))
-    # The digest is cut out of the source on both sides of the join, and not carried beside it.
+    # The digest is cut out of the source on both sides of the join, and not carried beside it. Parts without one have
+    # nothing to be joined to, and as rows of one null key would meet in one task.
     digest = F.when(F.col("part.source").startswith("sha256:"), F.substring("part.source", 8, 64))
-    joined = flat.join(media.withColumnRenamed("digest", "_media"), digest == F.col("_media"), "left").drop("_media")
+    joined = flat.where(digest.isNotNull()).join(media.withColumnRenamed("digest", "_media"), digest == F.col("_media"), "left").drop("_media")
+    others = flat.where(digest.isNull()).select("*", *[F.lit(None).cast(media.schema[c].dataType).alias(c) for c in extra])
+    joined = joined.unionByName(others)
     part = F.struct(*[F.col(f"part.{c}") for c in ("position", "kind", "text", "source", "caption")], digest.alias("digest"), *extra)
     grouped = joined.groupBy(key).agg(F.collect_list(F.when(F.col("part").isNotNull(), part)).alias("parts"))
     return grouped.select(key, F.array_sort("parts").alias("parts"))
