@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -88,3 +89,20 @@ def classes_that_fit(counted: DataFrame, most: int, n: str = "n", width: int = 8
             break
         taken, cut = taken + row["rows"], row["kind"]
     return (counted.limit(0), counted) if cut is None else (counted.where(kind >= cut), counted.where(kind < cut))
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], place: str = "pos", size: str = "rows") -> DataFrame:
+    """df with `place`, a row's number from 0 in its group by order, and `size`, the rows of the group; stores df once.
+
+    Rows are sorted by range, so a group of any share of them is spread over tasks. Only how many rows of a group
+    each part holds goes through windows: parts and groups together, not rows. Names must be free in df, as must
+    `_at` and `_part`. Order must tell rows apart, but for those whose numbers may be exchanged.
+    """
+    keys = [*group, *order]
+    at = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    at = at.withColumn("_part", F.shiftright("_at", 33).cast("int"))
+    parts = at.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    per = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(per.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = parts.select(*group, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(per).alias(size))
+    return at.join(parts, [*group, "_part"]).withColumn(place, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")

@@ -8,6 +8,7 @@ from quillspark.llm.backoff import score
 from quillspark.llm.common import table
 from quillspark.llm.interleaved import document_media
 from quillspark.llm.langid import predict_languages
+from quillspark.llm.merkle import tampered_manifest
 from quillspark.llm.mixing import poisson_mix, source_counts, tempered_weights
 from quillspark.llm.secrets import find_secrets
 from quillspark.llm.sharding import shard
@@ -63,6 +64,10 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_vector_packing": op1_vector_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -74,11 +79,27 @@ QUERIES = {
     "op8_poisson_mix": op8_poisson_mix,
     "op9_language_id": op9_language_id,
     "op10_backoff_scores": op10_backoff_scores,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: A-Z lower-cased, then runs of a-z, 0-9 and non-ASCII characters.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+#: crc32 by its table: one row, of 256 entries. crc(bytes) is then a fold over a list of bytes.
+_CRC = """
+crc_steps AS (SELECT CAST(range AS BIGINT) AS i, CAST(range AS BIGINT) AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS tab FROM crc_steps WHERE k = 8)"""
+
+
+def _crc(bytes_: str) -> str:
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
 ORACLES: dict[str, str] = {
     # Every window of every item against every window of every document.
     "op4_winnowing": f"""
@@ -104,6 +125,38 @@ scored AS (
   SELECT doc_id, CASE WHEN two.n >= 2 THEN ln(CAST(two.n AS DOUBLE) / a.n) ELSE ln(CAST(0.4 AS DOUBLE) * b.n / (SELECT count(*) FROM pairs)) END AS s
   FROM pairs JOIN two ON two.p = pairs.p AND two.w = pairs.w JOIN one a ON a.w = pairs.p JOIN one b ON b.w = pairs.w)
 SELECT doc_id, count(*) AS n_tokens, round(sum(s), 4) AS log_score, round(sum(s) / count(*), 6) AS mean_log_score FROM scored GROUP BY doc_id""",
+    # Trees level by level as rows; every leaf is folded with its neighbours' strings.
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE {_CRC},
+docs AS (
+  SELECT *, text IS NOT NULL AND {_crc("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))")} % 2 = 0 AS touched FROM documents, crc_table),
+leaves AS (
+  SELECT doc_id, coalesce('+' || source, '') AS g, sha256({"||".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+    sha256({"||".join(map(_field, ("doc_id", "source", "lang", "n_chars", "CASE WHEN touched THEN replace(text, chr(10), '') ELSE text END")))}) AS received FROM docs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+nodes AS (
+  SELECT g, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY g, level, pos // 3, n),
+subroots AS (SELECT g, digest, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 3, n),
+every AS (SELECT g, level, pos, n, digest FROM nodes UNION ALL SELECT NULL, level, pos, n, digest FROM tops),
+beside AS (
+  SELECT a.g, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM every a JOIN every b ON a.g IS NOT DISTINCT FROM b.g AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.g, a.level, a.pos),
+lower_fold AS (
+  SELECT g, pos AS leaf_at, 0 AS level, pos, received AS h, '' AS seen FROM placed
+  UNION ALL
+  SELECT f.g, leaf_at, f.level + 1, f.pos // 3, sha256(l || h || r), seen || l || r FROM lower_fold f JOIN beside b ON b.g = f.g AND b.level = f.level AND b.pos = f.pos),
+upper_fold AS (
+  SELECT f.g, leaf_at, 0 AS level, s.pos, h, seen FROM lower_fold f JOIN subroots s ON s.g = f.g JOIN nodes k ON k.g = f.g AND k.n = 1 AND k.level = f.level
+  UNION ALL
+  SELECT f.g, leaf_at, f.level + 1, f.pos // 3, sha256(l || h || r), seen || l || r FROM upper_fold f JOIN beside b ON b.g IS NULL AND b.level = f.level AND b.pos = f.pos)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, t.digest AS root, sha256(f.seen) AS proof_sha256, f.h AS folded_root, f.h = t.digest AS verified
+FROM placed p JOIN subroots s ON s.g = p.g JOIN tops t ON t.n = 1 JOIN upper_fold f ON f.g = p.g AND f.leaf_at = p.pos AND f.level = t.level""",
     # The inverse of the distribution function by its running sums, which are added in the order that the query adds them.
     "op8_poisson_mix": """
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS w FROM documents GROUP BY source),
