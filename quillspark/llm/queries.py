@@ -13,6 +13,7 @@ from quillspark.llm.mixing import poisson_mix, source_counts, tempered_weights
 from quillspark.llm.secrets import find_secrets
 from quillspark.llm.sharding import shard
 from quillspark.llm.simhash import simhash_components
+from quillspark.llm.spelling import spelling_variants
 from quillspark.llm.toxicity import score_toxicity
 from quillspark.llm.urlrules import filter_urls
 from quillspark.llm.winnow import contamination
@@ -68,6 +69,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_vector_packing": op1_vector_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_backoff_scores": op10_backoff_scores,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: A-Z lower-cased, then runs of a-z, 0-9 and non-ASCII characters.
@@ -157,6 +163,27 @@ upper_fold AS (
   SELECT f.g, leaf_at, f.level + 1, f.pos // 3, sha256(l || h || r), seen || l || r FROM upper_fold f JOIN beside b ON b.g IS NULL AND b.level = f.level AND b.pos = f.pos)
 SELECT p.doc_id, p.leaf, s.digest AS subroot, t.digest AS root, sha256(f.seen) AS proof_sha256, f.h AS folded_root, f.h = t.digest AS verified
 FROM placed p JOIN subroots s ON s.g = p.g JOIN tops t ON t.n = 1 JOIN upper_fold f ON f.g = p.g AND f.leaf_at = p.pos AND f.level = t.level""",
+    # Near words by all forms of every word with one character left out.
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE {_CRC},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT run, times, {_crc("flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(128 + (ord(x) & 63) AS BIGINT)] END))")} AS h FROM each, crc_table),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+spots AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+without AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM spots),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM without a JOIN without b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM without a JOIN words w ON w.word = a.rest
+  UNION SELECT w.word, a.word, a.n FROM without a JOIN words w ON w.word = a.rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS step FROM forms UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) USING (word)""",
     # The inverse of the distribution function by its running sums, which are added in the order that the query adds them.
     "op8_poisson_mix": """
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS w FROM documents GROUP BY source),
