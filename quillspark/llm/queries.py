@@ -10,6 +10,7 @@ from quillspark.llm.interleaved import document_media
 from quillspark.llm.langid import predict_languages
 from quillspark.llm.merkle import tampered_manifest
 from quillspark.llm.mixing import poisson_mix, source_counts, tempered_weights
+from quillspark.llm.neighbours import nearest
 from quillspark.llm.secrets import find_secrets
 from quillspark.llm.sharding import shard
 from quillspark.llm.simhash import simhash_components
@@ -69,6 +70,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_pruned_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_backoff_scores": op10_backoff_scores,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_pruned_graph_neighbours": op12_pruned_graph_neighbours,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
