@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,73 +83,111 @@ def is_uncovered(covered: str, feedback: str) -> Column:
     return (F.col(covered) == 0) | F.coalesce(F.col(feedback) == 0, F.lit(False))
 
 
-def lockouts(attempts: DataFrame, key: str, max_failures: int = 5, lock_seconds: int = 900) -> DataFrame:
-    """(key, event_id, outcome) of attempts (key, event_id, at in seconds, ok): passed, failed, locked or refused.
+@dataclass(frozen=True)
+class Fold:
+    """What a keyed fold does with one event: step(state, *columns) changes the state, a list, and gives the outcome.
 
-    max_failures failures in a row lock the key; attempts until lock_seconds later are refused and change
-    nothing. The counter starts anew after a lock and after a success. Attempts are sorted by key and time and
-    folded as they stream by, so a task holds one batch and one key's counter, however long a history is.
-    A null ok is a failure; attempts without a time come last and are never refused; null keys are one key.
+    columns: `at` and what else of an event step takes. fresh: the state of a key without events. fields: the
+    state's fields as a schema. matters_until: the last second at which a state can still change an outcome, 0 for
+    one that never can, None for one that always can.
     """
+
+    columns: tuple[str, ...]
+    fresh: tuple
+    fields: str
+    step: Callable[..., str]
+    matters_until: Callable[[list], int | None]
+
+
+def lockout_fold(max_failures: int = 5, lock_seconds: int = 900, forget_seconds: int | None = None) -> Fold:
+    """Outcomes passed, failed, locked or refused of attempts (at, ok): see lockouts."""
+
     def step(state: list, at: int | None, ok: bool | None) -> str:
-        failures, until = state
+        failures, until, last = state
         if at is not None and at < until:
             return "refused"
+        if forget_seconds is not None and at is not None and at - last > forget_seconds:
+            failures = 0
+        state[2] = last if at is None else at
         if ok:
-            state[0] = 0
+            state[:2] = 0, 0
             return "passed"
         if failures + 1 >= max_failures:
-            state[:] = 0, at + lock_seconds if at is not None else until
+            state[:2] = 0, at + lock_seconds if at is not None else until
             return "locked"
-        state[0] += 1
+        state[0] = failures + 1
         return "failed"
 
-    return _folded(attempts, key, ["at", "ok"], lambda: [0, 0], step)
+    def matters_until(state: list) -> int | None:
+        failures, until, last = state
+        if failures and forget_seconds is None:
+            return None
+        return max(until, last + forget_seconds if failures else 0)
 
+    return Fold(("at", "ok"), (0, 0, 0), "failures int, until long, last long", step, matters_until)
 
-def code_outcomes(events: DataFrame, key: str, resend_seconds: int = 60, live_seconds: int = 600, max_tries: int = 5) -> DataFrame:
-    """(key, event_id, outcome) of events (key, event_id, at in seconds, asks, code): sent, too_soon, accepted, wrong or void.
 
-    An event that asks gets a new code, unless the key's last one was sent less than resend_seconds before. Any other
-    tries a code: it is void without a code, past live_seconds, or after max_tries wrong ones; the right code is
-    accepted once. Events are folded in the order of time and event_id, see lockouts; those without a time are void
-    and change nothing; null keys are one key.
+def lockouts(attempts: DataFrame, key: str, max_failures: int = 5, lock_seconds: int = 900, forget_seconds: int | None = None) -> DataFrame:
+    """(key, event_id, outcome) of attempts (key, event_id, at in seconds, ok): passed, failed, locked or refused.
+
+    max_failures failures in a row lock the key; attempts until lock_seconds later are refused and change
+    nothing. The counter starts anew after a lock, after a success and, with forget_seconds, after so long a time
+    without an attempt. Attempts are sorted by key and time and folded as they stream by, so a task holds one
+    batch and one key's counter, however long a history is. A null ok is a failure; attempts without a time come
+    last and are never refused; null keys are one key.
     """
+    return _folded(attempts, key, lockout_fold(max_failures, lock_seconds, forget_seconds))
+
+
+def code_fold(resend_seconds: int = 60, live_seconds: int = 600, max_tries: int = 5) -> Fold:
+    """Outcomes sent, too_soon, accepted, wrong or void of events (at, asks, code): see code_outcomes."""
 
     def step(state: list, at: int | None, asks: bool | None, code: str | None) -> str:
+        sent, live, tries = state
         if at is None:
             return "void"
         if asks:
-            if state and at - state[0] < resend_seconds:
+            if sent is not None and at - sent < resend_seconds:
                 return "too_soon"
             state[:] = at, code, 0
             return "sent"
-        if not state or at > state[0] + live_seconds or state[2] >= max_tries:
+        if sent is None or at > sent + live_seconds or tries >= max_tries:
             return "void"
-        if code == state[1]:
-            state.clear()
+        if code == live:
+            state[:] = None, None, 0
             return "accepted"
         state[2] += 1
         return "wrong"
 
-    return _folded(events, key, ["at", "asks", "code"], list, step)
+    return Fold(("at", "asks", "code"), (None, None, 0), "sent long, code string, tries int", step, lambda state: 0 if state[0] is None else state[0] + max(live_seconds, resend_seconds))
+
+
+def code_outcomes(events: DataFrame, key: str, resend_seconds: int = 60, live_seconds: int = 600, max_tries: int = 5) -> DataFrame:
+    """(key, event_id, outcome) of events (key, event_id, at in seconds, asks, code): sent, too_soon, accepted, wrong or void.
+
+    An event that asks gets a new code, unless the key's last one was sent less than resend_seconds before. Any other
+    tries a code: it is void without a code, past live_seconds, or after max_tries wrong ones; the right code is
+    accepted once. Events are folded in the order of time and event_id, see lockouts; those without a time are void
+    and change nothing; null keys are one key.
+    """
+    return _folded(events, key, code_fold(resend_seconds, live_seconds, max_tries))
 
 
-def _folded(rows: DataFrame, key: str, columns: list[str], fresh: Callable[[], list], step: Callable[..., str]) -> DataFrame:
-    """(key, event_id, outcome): step over each key's rows in the order of at and event_id, with a state that fresh makes."""
-    ordered = rows.select(key, "event_id", *columns).repartition(F.col(key)).sortWithinPartitions(F.col(key), F.asc_nulls_last("at"), "event_id")
+def _folded(rows: DataFrame, key: str, fold: Fold) -> DataFrame:
+    """(key, event_id, outcome): the fold over each key's rows in the order of at and event_id."""
+    ordered = rows.select(key, "event_id", *fold.columns).repartition(F.col(key)).sortWithinPartitions(F.col(key), F.asc_nulls_last("at"), "event_id")
 
-    def fold(batches):
-        current, state = object(), fresh()
+    def outcomes_of(batches):
+        current, state = object(), list(fold.fresh)
         for batch in batches:
             outcomes = []
-            for who, *values in zip(*(batch.column(c).to_pylist() for c in (key, *columns)), strict=True):
+            for who, *values in zip(*(batch.column(c).to_pylist() for c in (key, *fold.columns)), strict=True):
                 if who != current:
-                    current, state = who, fresh()
-                outcomes.append(step(state, *values))
+                    current, state = who, list(fold.fresh)
+                outcomes.append(fold.step(state, *values))
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("event_id"), pa.array(outcomes, pa.string())], [key, "event_id", "outcome"])
 
-    return ordered.mapInArrow(fold, T.StructType([ordered.schema[key], ordered.schema["event_id"], T.StructField("outcome", T.StringType())]))
+    return ordered.mapInArrow(outcomes_of, T.StructType([ordered.schema[key], ordered.schema["event_id"], T.StructField("outcome", T.StringType())]))
 
 
 def sample_count(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import usage
 from quillspark.sources.tables import load
+from quillspark.streaming import attempts
 from quillspark.streaming import usage as streams
 
 UNCOVERED = "event_type = 'error'"
@@ -53,19 +54,38 @@ def open_questions(spark, sf_dir):
     return log.where(usage.is_uncovered("covered", "feedback"))
 
 
-def lockout_fold(spark, sf_dir):
-    """Errors are failed and purchases successful attempts; three failures lock a user for an hour."""
-    attempts = load(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')")
-    attempts = attempts.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.expr("event_type = 'purchase'").alias("ok"))
-    return usage.lockouts(attempts, "user_id", max_failures=3, lock_seconds=3600)
+def _attempts(spark, sf_dir):
+    """Errors are failed and purchases successful attempts."""
+    log = load(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')")
+    return log.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.expr("event_type = 'purchase'").alias("ok"))
 
 
-def code_lifetimes(spark, sf_dir):
-    """Signups ask for a code of their value's last digit, errors and purchases try theirs: six hours between codes, which live two days and bear two wrong tries."""
+def _codes(spark, sf_dir):
+    """Signups ask for a code of their value's last digit, errors and purchases try theirs."""
     events = load(spark, sf_dir, "events").where("event_type IN ('signup', 'error', 'purchase')")
     digit = F.expr("CAST(CAST(floor(value) AS BIGINT) % 3 AS STRING)")
-    events = events.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.expr("event_type = 'signup'").alias("asks"), digit.alias("code"))
-    return usage.code_outcomes(events, "user_id", 6 * 3600, 48 * 3600, 2)
+    return events.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.expr("event_type = 'signup'").alias("asks"), digit.alias("code"))
+
+
+#: Three failures lock a user for an hour. Six hours between codes, which live two days and bear two wrong tries.
+LOCKS = {"max_failures": 3, "lock_seconds": 3600}
+CODES = {"resend_seconds": 6 * 3600, "live_seconds": 48 * 3600, "max_tries": 2}
+
+
+def lockout_fold(spark, sf_dir):
+    return usage.lockouts(_attempts(spark, sf_dir), "user_id", **LOCKS)
+
+
+def code_lifetimes(spark, sf_dir):
+    return usage.code_outcomes(_codes(spark, sf_dir), "user_id", **CODES)
+
+
+def stream_lockouts(spark, sf_dir):
+    return attempts.outcomes_of_slices(_attempts(spark, sf_dir), "user_id", usage.lockout_fold(**LOCKS), streams.work_folder(spark, "locks"))
+
+
+def stream_code_lifetimes(spark, sf_dir):
+    return attempts.outcomes_of_slices(_codes(spark, sf_dir), "user_id", usage.code_fold(**CODES), streams.work_folder(spark, "codes"))
 
 
 def gap_sessions(spark, sf_dir):
@@ -86,7 +106,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         usage_daily_counts, usage_summary, usage_rolling_range, uncovered_latest, uncovered_with_user, usage_page, feedback_fold,
-        open_questions, lockout_fold, code_lifetimes, gap_sessions, stream_daily_counts, safe_parsing,
+        open_questions, lockout_fold, code_lifetimes, stream_lockouts, stream_code_lifetimes, gap_sessions, stream_daily_counts, safe_parsing,
     )
 }
 
@@ -176,3 +196,4 @@ SELECT event_id, TRY_CAST(props->>'$.k' AS BIGINT) AS k,
        CAST(CASE WHEN event_id % 4 = 0 THEN NULL ELSE TRY_CAST(props->>'$.k' AS BIGINT) END AS BIGINT) AS answer_k
 FROM events""",
 }
+ORACLES |= {"stream_lockouts": ORACLES["lockout_fold"], "stream_code_lifetimes": ORACLES["code_lifetimes"]}
