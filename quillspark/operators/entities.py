@@ -3,55 +3,41 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.operators.containment import names_in_texts
 
-def _starts_at(text: str, n: int):
-    return lambda i: F.substring(F.col(text), i, F.lit(n))
 
+def contained_names(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, **limits) -> DataFrame:
+    """(key, name, length) for the names that occur in the texts; see containment.names_in_texts for how and its limits."""
+    return names_in_texts(texts, key, {text: names.select(name)}, **limits).select(key, "name", F.length("name").alias("length"))
 
-WORD_BREAK = r"[^\p{L}\p{N}]+"
 
+def longest_contained(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, **limits) -> DataFrame:
+    """(key, name, length): the longest name that each text holds; of equal ones the first in order."""
+    return names_in_texts(texts, key, {text: names.select(name)}, (text,), **limits).select(key, "name", F.length("name").alias("length"))
 
-def contained_names(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, anchor: int = 12) -> DataFrame:
-    """(key, name, length) for the names that occur in the texts.
 
-    Nothing compares all texts with all names. A name that has words inside, between its first and last
-    break, is looked up by the longest of them among the texts' words, which an occurrence must have whole;
-    any other name by its first characters, at most anchor, at every place of the texts. Hits are then checked.
-    """
-    parts = F.split(F.col(name), WORD_BREAK)
-    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    mine = names.where(F.length(name) > 0).select(F.col(name).alias("name"), longest.alias("word"), F.least(F.length(name), F.lit(anchor)).alias("n")).distinct()
-    words = texts.select(key, F.explode(F.array_distinct(F.split(F.col(text), WORD_BREAK))).alias("word"))
-    pairs = words.join(mine.where("word is not null").select("name", "word"), "word").select(key, "name")
-    for (n,) in mine.where("word is null").select("n").distinct().orderBy("n").collect():
-        starts = mine.where((F.col("n") == n) & F.col("word").isNull()).select("name", F.left("name", F.lit(n)).alias("start"))
-        spots = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), _starts_at(text, n)))
-        grams = texts.select(key, F.explode(F.when(F.length(text) >= n, spots)).alias("start"))
-        pairs = pairs.union(grams.join(starts, "start").select(key, "name"))
-    checked = texts.select(key, text).join(pairs.distinct(), key).where(F.col(text).contains(F.col("name")))
-    return checked.select(key, "name", F.length("name").alias("length"))
-
-
-def longest_per_key(found: DataFrame, key: str) -> DataFrame:
-    """The longest name of each key; of equal ones the first in order."""
-    w = Window.partitionBy(key).orderBy(F.desc("length"), "name")
-    return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
-def by_prefix(questions: DataFrame, key: str, text: str, courses: DataFrame, course: str, n: int = 4, max_hits: int = 20) -> DataFrame:
-    """(key, course, exact): the exact names that a question holds, else the longest name whose first n letters it holds.
+def by_prefix(questions: DataFrame, key: str, text: str, courses: DataFrame, course: str, n: int = 4, max_hits: int = 20, slang: Column | None = None) -> DataFrame:
+    """(key, course, exact): the names that a question holds and those of its slang, else the longest name whose first n letters it holds.
 
     Names and first letters count at any place and across breaks, without regard to case; a name under n letters
-    only as a whole. A question that more than max_hits names fit by prefix gets none of these.
+    only as a whole. slang: the names that a question's slang stands for, an array over columns of questions (see
+    expand_slang); they are exact. A question that more than max_hits names fit by prefix gets none of these.
     """
-    hits = _hits_anywhere(questions, key, text, courses, course, n)
+    asked = questions.select(key, F.lower(text).alias("_text"), (F.array().cast("array<string>") if slang is None else slang).alias("_slang"))
+    names = courses.select(F.col(course).alias("course")).distinct()
+    whole = names.select("course", F.lower("course").alias("name"), F.lit(True).alias("exact"))
+    starts = names.where(F.length("course") >= n).select("course", F.lower(F.left("course", F.lit(n))).alias("name"), F.lit(False).alias("exact"))
+    forms = whole.unionByName(starts)
+    hits = names_in_texts(asked, key, {"_text": forms.select("name").distinct()}).join(forms, "name").select(key, "course", "exact")
+    meant = asked.select(key, F.explode("_slang").alias("course")).join(names, "course", "left_semi").select(key, "course", F.lit(True).alias("exact"))
+    hits = hits.unionByName(meant).groupBy(key, "course").agg(F.max("exact").alias("exact"))
     per = Window.partitionBy(key)
     hits = hits.withColumn("n_exact", F.count_if("exact").over(per)).withColumn("n_hits", F.count("*").over(per))
     rank = F.row_number().over(per.orderBy(F.desc(F.length("course")), "course"))
@@ -59,15 +45,6 @@ def by_prefix(questions: DataFrame, key: str, text: str, courses: DataFrame, cou
     return hits.where("exact OR (n_exact = 0 AND n_hits <= %d AND rank = 1)" % max_hits).select(key, "course", "exact")
 
 
-def _hits_anywhere(questions: DataFrame, key: str, text: str, courses: DataFrame, course: str, n: int) -> DataFrame:
-    asked = questions.select(key, F.lower(text).alias("_text"))
-    names = courses.select(F.col(course).alias("course")).distinct()
-    whole = names.select("course", F.lower("course").alias("name"))
-    starts = names.where(F.length("course") >= n).select("course", F.lower(F.left("course", F.lit(n))).alias("name"))
-    found = [contained_names(asked, key, "_text", side.select("name").distinct(), "name").join(side, "name").select(key, "course", F.lit(exact).alias("exact")) for side, exact in ((whole, True), (starts, False))]
-    return found[0].union(found[1]).groupBy(key, "course").agg(F.max("exact").alias("exact"))
-
-
 SURNAME = "([一-龥]{1,2})老师"
 
 
@@ -77,26 +54,47 @@ def match_in_text(texts: DataFrame, key: str, text: str, people: DataFrame, id:
     name: the longest name that the text holds, of equally long ones the first in order. surname: all longer names
     that begin with the one or two characters before 老师. pinyin, then initials: all that the lower-cased text
     holds, unless weak (a column of texts, such as that a course's slang is in them) is false for the text.
+
+    Names, pinyin and initials are found in one pass over the texts.
     """
-    longest = longest_per_key(contained_names(texts, key, text, people.select(name).distinct(), name), key)
-    by_name = longest.join(people.select(F.col(name).alias("name"), id), "name").select(key, id, F.lit("name").alias("step"))
+    low = F.lower(text) if weak is None else F.when(weak, F.lower(text))
+    searched = texts.select(key, F.col(text).alias("_text"), low.alias("_low"))
+    of = lambda column, field, at: people.select(F.lit(field).alias("field"), F.col(column).alias("name"), id, F.lit(column).alias("step"), F.lit(at).alias("_at"))
+    known = of(name, "_text", 0).unionByName(of(pinyin, "_low", 2)).unionByName(of(initials, "_low", 3)).where("name <> ''").distinct()
+    known = known.withColumn("step", F.when(F.col("_at") == 0, "name").otherwise(F.col("step")))
+    wanted = {field: known.where(F.col("field") == field).select("name") for field in ("_text", "_low")}
+    found = names_in_texts(searched, key, wanted, ("_text",)).join(known, ["field", "name"]).select(key, id, "step", "_at")
     called = texts.select(key, F.regexp_extract(F.coalesce(text, F.lit("")), SURNAME, 1).alias("called")).where("called <> ''")
     starts = people.select(id, name, F.explode(F.array_distinct(F.array(F.left(name, F.lit(1)), F.left(name, F.lit(2))))).alias("called"))
-    by_surname = called.join(starts.where(F.length(name) > F.length("called")), "called").select(key, id, F.lit("surname").alias("step"))
-    open_texts = texts.where(F.coalesce(weak, F.lit(True))) if weak is not None else texts
-    lowered = open_texts.select(key, F.lower(text).alias("_text"))
-
-    def held(column: str) -> DataFrame:
-        found = contained_names(lowered, key, "_text", people.select(column).distinct(), column)
-        return found.join(people.select(F.col(column).alias("name"), id), "name").select(key, id, F.lit(column).alias("step"))
-
-    steps = [by_name, by_surname, held(pinyin), held(initials)]
-    rows = None
-    for at, step in enumerate(steps):
-        part = step.withColumn("_at", F.lit(at))
-        rows = part if rows is None else rows.union(part)
-    first = F.min("_at").over(Window.partitionBy(key))
-    return rows.distinct().withColumn("_first", first).where("_at = _first").select(key, id, "step")
+    by_surname = called.join(starts.where(F.length(name) > F.length("called")), "called").select(key, id, F.lit("surname").alias("step"), F.lit(1).alias("_at"))
+    rows = found.unionByName(by_surname).distinct().withColumn("_first", F.min("_at").over(Window.partitionBy(key)))
+    return rows.where("_at = _first").select(key, id, "step")
+
+
+def course_in_text(texts: DataFrame, key: str, text: str, candidates: DataFrame, teaches: DataFrame, id: str, course: str) -> DataFrame:
+    """(key, course, own): the longest course that the text holds among those of its candidates (key, id), else among all.
+
+    teaches (id, course). Of equally long ones the first in order. own: whether a candidate teaches it.
+    """
+    held = contained_names(texts, key, text, teaches, course).select(key, F.col("name").alias(course))
+    of_them = candidates.select(key, id).join(teaches.select(id, course), id).select(key, course).distinct().withColumn("_own", F.lit(True))
+    held = held.join(of_them, [key, course], "left").withColumn("own", F.coalesce("_own", F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("own"), F.desc(F.length(course)), course))
+    return held.withColumn("_r", rank).where("_r = 1").select(key, course, "own")
+
+
+def detect(texts: DataFrame, key: str, text: str, intent: Column, people: DataFrame, id: str, name: str, pinyin: str, initials: str, teaches: DataFrame, course: str, slang: Column | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(key, name, course, candidates) of the texts that judge a person: with the intent, and someone found in them.
+
+    candidates: the ids that match_in_text finds, ascending; name: the first one's. course: course_in_text, or null.
+    slang: the courses that a text's slang stands for; with any, pinyin and initials, which are weak signs, do not count.
+    keep stores what match_in_text finds, which is read twice.
+    """
+    asking = texts.where(intent)
+    found = keep(match_in_text(asking, key, text, people, id, name, pinyin, initials, None if slang is None else F.size(slang) == 0))
+    meant = found.join(people.select(id, F.col(name).alias("name")), id).groupBy(key).agg(F.min(F.struct(id, "name"))["name"].alias("name"), F.array_sort(F.collect_set(id)).alias("candidates"))
+    held = course_in_text(asking, key, text, found, teaches, id, course)
+    return meant.join(held.select(key, course), key, "left").select(key, "name", course, "candidates")
 
 
 def resolve(queries: DataFrame, key: str, chain: list[tuple[str, str, DataFrame]], fuzzy: tuple[str, DataFrame] | None = None, top: int = 5, cutoff: float = 0.7) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import entities, ratings
+from quillspark.operators import dialogue, entities, ratings
 from quillspark.sources.tables import load
+from quillspark.streaming.usage import keeper
 
 NOW = 1009843200  # 2002-01-01
 TIE = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"]
@@ -77,7 +78,7 @@ MENTIONED = ("tion", "ent", "eau", "heit", "ciones")
 
 def longest_name_match(spark, sf_dir):
     docs, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
-    found = entities.longest_per_key(entities.contained_names(docs, "doc_id", "text", items, "text"), "doc_id")
+    found = entities.longest_contained(docs, "doc_id", "text", items, "text")
     return found.select("doc_id", F.md5("name").alias("name_md5"), "length")
 
 
@@ -93,6 +94,45 @@ def prefix_course_match(spark, sf_dir):
     return entities.by_prefix(questions(spark, sf_dir), "p_partkey", "question", names, "p_name").select("p_partkey", "course", "exact")
 
 
+#: Slang of two courses, one of which is none of the parts.
+COURSE_SLANG = {"sb": ["small bolt"], "rw": ["red widget", "gone"]}
+
+
+def _judgements(spark, sf_dir):
+    """A made-up question for each order: someone named in one of several ways, a part they supply or another, and an intent or none."""
+    line = F.min(F.struct("l_suppkey", "l_partkey"))
+    lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(line.alias("l")).select("id", "l.*")
+    parts = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    names = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    kind = F.col("id") % 7
+    who = F.when(kind == 1, F.lower("s_name")).when(kind == 2, F.concat(F.lit("q"), F.col("l_suppkey").cast("string"), F.lit("z"))).when(kind == 3, "someone").when(kind == 4, F.concat(F.lit("q"), F.col("l_suppkey").cast("string"), F.lit("z sb"))).otherwise(F.col("s_name"))
+    what = F.when(kind == 5, F.concat(F.col("p_name"), F.lit(" or stainless hot washer"))).otherwise(F.col("p_name"))
+    return lines.join(parts, "l_partkey").join(names, "l_suppkey").select("id", F.concat(F.when(kind == 6, "where is ").otherwise("how good is "), who, F.lit(" for "), what).alias("question"))
+
+
+def _teaching(spark, sf_dir):
+    people = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.lower("s_name").alias("pinyin"), F.concat(F.lit("q"), F.col("s_suppkey").cast("string"), F.lit("z")).alias("initials"))
+    parts = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    teaches = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().join(parts, "l_partkey").select(F.col("l_suppkey").alias("s_suppkey"), "p_name").distinct()
+    return people, teaches
+
+
+def course_detection(spark, sf_dir):
+    asked = _judgements(spark, sf_dir)
+    people, teaches = _teaching(spark, sf_dir)
+    slang = entities.expand_slang(F.col("question"), COURSE_SLANG, ["small bolt", "red widget"])
+    found = entities.detect(asked, "id", "question", dialogue.has_intent(F.col("question"), ["how good"]), people, "s_suppkey", "s_name", "pinyin", "initials", teaches, "p_name", slang, keeper(spark))
+    return found.select("id", "name", "p_name", F.array_join("candidates", ",").alias("candidates"))
+
+
+def courses_asked(spark, sf_dir):
+    """The courses that a question names in full or by slang, else the one whose beginning it holds."""
+    asked = _judgements(spark, sf_dir)
+    names = load(spark, sf_dir, "part").select("p_name").where("p_partkey % 3 > 0").distinct()
+    slang = entities.expand_slang(F.col("question"), COURSE_SLANG, ["small bolt", "red widget"])
+    return entities.by_prefix(asked, "id", "question", names, "p_name", slang=slang).select("id", "course", "exact")
+
+
 def resolve_chain(spark, sf_dir):
     users = load(spark, sf_dir, "customer").select("c_custkey", "c_name", F.regexp_extract("c_name", r"(\d+)$", 1).alias("digits"))
     users = users.withColumn("tail", F.right("digits", F.lit(2)))
@@ -135,7 +175,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         comment_weight, rating_card, rating_card_nested, course_candidates, mixed_candidates, vote_extremes, mention_owner, longest_name_match,
-        prefix_course_match, resolve_chain, fuzzy_match, slang_overlap, query_expansion, text_quality,
+        prefix_course_match, course_detection, courses_asked, resolve_chain, fuzzy_match, slang_overlap, query_expansion, text_quality,
     )
 }
 
@@ -156,7 +196,40 @@ top AS (
 _COUNTED = ", ".join(f"CAST(sum((length(text) - length(replace(text, '{w}', ''))) // {len(w)}) AS BIGINT) AS \"{w}\"" for w in MENTIONED)
 _LONG = " UNION ALL ".join(f"SELECT source, '{w}' AS word, \"{w}\" AS n FROM counted" for w in MENTIONED)
 
+_JUDGEMENTS = """
+judged AS (
+  SELECT l_orderkey AS id, CASE WHEN l_orderkey % 7 = 6 THEN 'where is ' ELSE 'how good is ' END
+    || CASE l_orderkey % 7 WHEN 1 THEN lower(s_name) WHEN 2 THEN 'q' || l_suppkey || 'z' WHEN 3 THEN 'someone' WHEN 4 THEN 'q' || l_suppkey || 'z sb' ELSE s_name END
+    || ' for ' || CASE l_orderkey % 7 WHEN 5 THEN p_name || ' or stainless hot washer' ELSE p_name END AS q
+  FROM (SELECT l_orderkey, unnest(min({'l_suppkey': l_suppkey, 'l_partkey': l_partkey})) FROM lineitem GROUP BY l_orderkey) JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+slang_courses AS (SELECT id, q, list_concat(CASE WHEN contains(q, 'sb') THEN ['small bolt'] ELSE [] END, CASE WHEN contains(q, 'rw') THEN ['red widget'] ELSE [] END) AS slang FROM judged)"""
 ORACLES = {
+    "course_detection": f"""
+WITH {_JUDGEMENTS},
+asking AS (SELECT * FROM slang_courses WHERE contains(q, 'how good')),
+named AS (SELECT id, s_name FROM asking JOIN supplier ON contains(q, s_name) QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(s_name) DESC, s_name) = 1),
+hits AS (
+  SELECT id, s_suppkey, 0 AS step FROM named JOIN supplier USING (s_name)
+  UNION SELECT id, s_suppkey, 2 FROM asking JOIN supplier ON contains(lower(q), lower(s_name)) WHERE len(slang) = 0
+  UNION SELECT id, s_suppkey, 3 FROM asking JOIN supplier ON contains(lower(q), 'q' || s_suppkey || 'z') WHERE len(slang) = 0),
+found AS (SELECT * FROM hits QUALIFY step = min(step) OVER (PARTITION BY id)),
+meant AS (SELECT id, arg_min(s_name, s_suppkey) AS name, array_to_string(list_sort(list(DISTINCT s_suppkey)), ',') AS candidates FROM found JOIN supplier USING (s_suppkey) GROUP BY id),
+teaches AS (SELECT DISTINCT l_suppkey AS s_suppkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey),
+held AS (SELECT id, p_name FROM asking JOIN (SELECT DISTINCT p_name FROM teaches) ON contains(q, p_name)),
+own AS (SELECT DISTINCT id, p_name, true AS own FROM found JOIN teaches USING (s_suppkey)),
+picked AS (SELECT id, p_name FROM held LEFT JOIN own USING (id, p_name) QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(own, false) DESC, length(p_name) DESC, p_name) = 1)
+SELECT id, name, p_name, candidates FROM meant LEFT JOIN picked USING (id)""",
+    "courses_asked": f"""
+WITH {_JUDGEMENTS},
+names AS (SELECT DISTINCT p_name AS course FROM part WHERE p_partkey % 3 > 0),
+all_hits AS (
+  SELECT id, course, contains(lower(q), lower(course)) AS exact FROM slang_courses JOIN names ON contains(lower(q), lower(course[1:4]))
+  UNION ALL SELECT id, course, true FROM (SELECT id, unnest(slang) AS course FROM slang_courses) JOIN names USING (course)),
+hits AS (SELECT id, course, bool_or(exact) AS exact FROM all_hits GROUP BY ALL),
+ranked AS (
+  SELECT *, count(*) FILTER (exact) OVER (PARTITION BY id) AS n_exact, count(*) OVER (PARTITION BY id) AS n_hits,
+         row_number() OVER (PARTITION BY id ORDER BY length(course) DESC, course) AS rank FROM hits)
+SELECT id, course, exact FROM ranked WHERE exact OR (n_exact = 0 AND n_hits <= 20 AND rank = 1)""",
     "comment_weight": f"""
 WITH {_COMMENTS}
 SELECT l_suppkey, count(*) AS n, round(sum(weight), 6) AS total_weight, round(max(weight), 6) AS top_weight FROM comments GROUP BY l_suppkey""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.embedding import hash_embedder, keyword_score
 from quillspark.operators import index, retrieval
 from quillspark.sources.tables import load
-from quillspark.streaming.usage import work_folder
+from quillspark.streaming.usage import keeper, work_folder
 
 
 def passages(spark, sf_dir):
@@ -40,20 +40,9 @@ def _index(spark, sf_dir):
     return spark.read.schema(terms.schema).parquet(_WRITTEN[at])
 
 
-def _kept(spark):
-    """Stores a table of a query's own in a folder that driver and executors share."""
-
-    def keep(df):
-        folder = work_folder(spark, "kept")
-        df.write.mode("overwrite").parquet(folder)
-        return spark.read.schema(df.schema).parquet(folder)
-
-    return keep
-
-
 def _bm25(spark, sf_dir, terms=None):
     n, mean = retrieval.corpus_size(passages(spark, sf_dir), "text")
-    return retrieval.bm25(questions(spark, sf_dir), _index(spark, sf_dir) if terms is None else terms, "doc_id", n, mean, keep=_kept(spark))
+    return retrieval.bm25(questions(spark, sf_dir), _index(spark, sf_dir) if terms is None else terms, "doc_id", n, mean, keep=keeper(spark))
 
 
 def _by_vector(spark, sf_dir):

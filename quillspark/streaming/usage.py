@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,17 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A function that stores a query's own small table in a folder that driver and executors share, and reads it again."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        folder = work_folder(spark, "kept")
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    return keep
+
+
 def daily_activity(log: DataFrame, uncovered: str, late: str = "2 days", ts: str = "ts") -> DataFrame:
     """Per day and user: total and uncovered, with a watermark on ts (cast to a timestamp).
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import chunking, text
 from quillspark.functions.embedding import hash_embedder, keyword_score
-from quillspark.operators import dialogue, entities, governance, index, pages, ratings, retrieval, usage
+from quillspark.operators import containment, dialogue, entities, governance, index, pages, ratings, retrieval, usage
 
 
 def ranking(spark, *ids, q=1):
@@ -84,6 +84,47 @@ def test_contained_names_of_every_shape(spark):
     assert found == {(1, "the red fox"), (1, "fox"), (2, "cdef"), (2, "defghijklmnop")}
 
 
+@pytest.mark.parametrize("limits", [{}, {"part_chars": 12}, {"most_parts": 0}])
+def test_names_in_texts_against_all_pairs(spark, limits):
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("ab c课é") for _ in range(n))
+    names, other = ({make(rng.randrange(1, 7)) for _ in range(25)} for _ in range(2))
+    rows = [(i, make(rng.randrange(0, 30)), make(12)) for i in range(80)] + [(90, None, "a"), (91, "", None)]
+    texts = spark.createDataFrame(rows, "id int, t string, u string")
+    sides = {"t": spark.createDataFrame([(n,) for n in [*names, None, ""]], "n string"), "u": spark.createDataFrame([(n,) for n in other], "name string")}
+    found = sorted(map(tuple, containment.names_in_texts(texts, "id", sides, **limits).collect()))
+    want = [(i, f, n) for i, t, u in rows for f, text, known in (("t", t, names), ("u", u, other)) for n in known if text and n in text]
+    assert found == sorted(want)
+    longest = sorted(map(tuple, containment.names_in_texts(texts, "id", sides, ("t",), **limits).collect()))
+    best = {}
+    for i, f, n in want:
+        if f == "t":
+            best[i] = min(best.get(i, n), n, key=lambda x: (-len(x), x))
+    assert longest == sorted([(i, "t", n) for i, n in best.items()] + [w for w in want if w[1] == "u"])
+    assert containment.names_in_texts(texts, "id", {"t": sides["t"].limit(0)}, **limits).count() == 0
+
+
+def test_detection_of_people_and_courses(spark):
+    people = spark.createDataFrame([(1, "林青", "linqing", "lq"), (2, "林青", "linqing", "lq"), (3, "赵云飞", "zhaoyunfei", "zyf"), (4, "云飞", "yunfei", "yf")], "id int, name string, py string, init string")
+    teaches = spark.createDataFrame([(1, "博弈论"), (2, "高等博弈论"), (3, "几何"), (4, "微分几何")], "id int, course string")
+    asked = {
+        1: ("林青的博弈论讲得怎么样", ("林青", "博弈论", [1, 2])),
+        2: ("赵云飞的微分几何怎么样", ("赵云飞", "几何", [3])),  # a course of the person before a longer one of another
+        3: ("林青老师住在哪里", None),  # no intent
+        4: ("转专业怎么样", None),  # no one
+        5: ("zyf 教得怎么样", ("赵云飞", None, [3, 4])),
+        6: ("wf 和 yf 怎么样 ads", None),  # a course's slang: initials do not count
+        7: ("云飞的博弈论怎么样", ("云飞", "博弈论", [4])),  # no course of their own: any
+        8: (None, None),
+    }
+    texts = spark.createDataFrame([(k, q) for k, (q, _) in asked.items()], "k int, q string")
+    slang = entities.expand_slang(F.coalesce("q", F.lit("")), {"ads": ["高等博弈论"]}, ["高等博弈论"])
+    found = entities.detect(texts, "k", "q", dialogue.has_intent(F.col("q"), ["怎么样", "好不好"]), people, "id", "name", "py", "init", teaches, "course", slang)
+    assert {r["k"]: (r["name"], r["course"], r["candidates"]) for r in found.collect()} == {k: want for k, (_, want) in asked.items() if want}
+    named = entities.by_prefix(texts, "k", "q", teaches, "course", slang=slang).where("k in (6, 7)")
+    assert sorted(map(tuple, named.collect())) == [(6, "高等博弈论", True), (7, "博弈论", True)]
+
+
 def test_usage_counts_fill_days(spark):
     rows = spark.createDataFrame([("2024-01-01 10:00:00", 7, False), ("2024-01-01 11:00:00", 7, False), ("2024-01-03 09:00:00", None, True)], "t string, user_id int, bad boolean")
     out = usage.daily_counts(rows.withColumn("ts", F.col("t").cast("timestamp")), F.col("bad")).orderBy("day").collect()
