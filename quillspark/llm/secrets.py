@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from math import inf, log10
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillspark.llm.common import classes_that_fit, stored
+from quillspark.llm.common import stored, unused
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Fixed patterns. The assignment's second group has 12 characters or more; the others are as long as they say.
@@ -19,193 +20,299 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Wider contexts in which a value is judged by the cost of guessing it.
 KEYWORD = r"(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret)"
-KEYWORD_ALONE = re.compile(KEYWORD, re.I | re.A)
-CONTEXT = re.compile(
-    r"(?<![A-Za-z])" + KEYWORD + r"(?:[\"']?\x20*(?:[:=]|=>|\bis\b)\x20*|\x20+)[\"']?([^\s\"'<>,;|(){}\[\]]{6,})",
-    re.I | re.A,
-)
-#: Words that guessers try first, most frequent first; the corpus's own words follow them.
-COMMON_WORDS = (
-    "password the you and that this with have for not are but what all were when your can said there use each which she how their will other about "
-    "out many then them these some her would make like him into time has look two more write see number way could people than first water been call "
-    "who oil its now find long down day did get come made may part admin login welcome monkey dragon master letmein football shadow sunshine princess "
-    "secret hello freedom whatever qwerty trustno starwars test guest root user default changeme pass love money summer winter spring autumn monday "
-    "friday january october company server network system database example sample"
-).split()
+KEYWORD_ALONE = re.compile(KEYWORD + r"[.,:;!?]*", re.I | re.A)
+HEAD = re.compile(r"(?<![A-Za-z])" + KEYWORD + r"(?:[\"']?[\x20\t]*(?::=|=>|[:=]|\bis\b)[\x20\t]*|\x20+)", re.I | re.A)
+#: A value in quotes ends at the closing one of its line; any other at white space, and what closes a sentence is not judged.
+QUOTED = {q: re.compile(rf"{q}((?:\\.|[^{q}\\\n])*){q}") for q in "\"'"}
+UNQUOTED = re.compile(r"\S*")
+PROSE = re.compile(r"[^\W\d_]+[.,:;!?]*")
+CLOSING = ".,:;!?"
 WORD_CHARS = (3, 20)
 #: Rows of the keyboard, which walks follow.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "01234567890")
 NEXT_KEYS = {a + b for row in KEYBOARD for s in (row, row[::-1]) for a, b in zip(s, s[1:], strict=False)}
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
+DATES = re.compile(rf"(?=({DATE.pattern}))")
+LETTER_RUN = re.compile(r"[^\W\d_]{3,}")
 SPLIT_COST = log10(2.0)
+MIN_VALUE = 6
 
 
 def _charset_cost(ch: str) -> float:
     return log10(10 if ch.isdigit() else 26 if ch.islower() else 52 if ch.isalpha() else 95)
 
 
-def ranks_of(words: list[str] | tuple[str, ...] = ()) -> dict[str, int]:
-    """The place of each word in the order in which it is guessed: COMMON_WORDS, then words, most frequent first."""
-    return {w: i for i, w in enumerate(dict.fromkeys([*COMMON_WORDS, *words]), 1)}
+def _low(value: str) -> str:
+    """value in lower case, of the same length."""
+    return value.lower() if len(value.lower()) == len(value) else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
 
 
-RANKS = ranks_of()
-
-
-def corpus_words(docs: DataFrame, most: int = 20_000, min_count: int = 5) -> list[str]:
-    """At most `most` of the words of docs (text), most frequent first: runs of WORD_CHARS letters, counted over all whole texts.
-
-    Words that occur fewer than min_count times are in no common use, and may be parts of the secrets themselves.
-
-    The bound is that of the dictionary, which goes to every task; the words left out are the rarest, whole count
-    classes of them, and their values are judged by brute force.
-    """
-    words = F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word")
-    counted = docs.where("text is not null").select(words).where(F.length("word").between(*WORD_CHARS)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    kept, _ = classes_that_fit(stored(counted, "words"), most)
-    return [r["word"] for r in sorted(kept.collect(), key=lambda r: (-r["n"], r["word"]))]
-
-
-def segments(value: str, limit: float = inf, ranks: dict[str, int] = RANKS) -> list[tuple[int, int, str, float]]:
+def segments(value: str, limit: float = inf, ranks: dict[str, int] | None = None) -> list[tuple[int, int, str, float]]:
     """The parts of value that are cheaper to guess than by brute force: (start, end, kind, log10 of guesses).
 
-    Words at any place, dates from left to right, whole walks along the keyboard, and repeats from left to right by
-    the length of what is repeated. With a limit, repeats whose unit alone costs that much are left out: every character costs 1 or more.
+    ranks: the place of each word in the order in which it is guessed. Words and dates at any place; the rest of a
+    walk along the keyboard and of a repetition from any place in it, so that the parts of a value's end are those
+    of the value. With a limit, repeats whose unit alone costs that much are left out: every character costs 1 or more.
     """
-    n, low = len(value), value.lower()
+    n, low, ranks = len(value), _low(value), ranks or {}
     found = []
     for form, extra in ((low, 0.0), (low.translate(LEET), log10(4.0))):
         if extra and form == low:
             break
-        for i in range(n):
-            for j in range(i + WORD_CHARS[0], min(n, i + WORD_CHARS[1]) + 1):
-                if rank := ranks.get(form[i:j]):
-                    cased = 0.0 if value[i:j] == low[i:j] else log10(2.0) if value[i:j].istitle() or value[i:j].isupper() else log10(2.0) * (j - i)
-                    found.append((i, j, "word", log10(rank + 1) + cased + extra))
-    for m in DATE.finditer(value):
-        found.append((*m.span(), "date", log10(365 * 120) if m.end() - m.start() > 4 else log10(120)))
+        for i, j, word in _letters(form):
+            if rank := ranks.get(word):
+                own = value[i:j]
+                cased = 0.0 if own == low[i:j] else log10(2.0) if own.istitle() or own.isupper() else log10(2.0) * (j - i)
+                found.append((i, j, "word", log10(rank + 1) + cased + extra))
+    for m in DATES.finditer(value):
+        i, j = m.span(1)
+        found.append((i, j, "date", log10(365 * 120) if j - i > 4 else log10(120)))
     i = 0
-    while i < n:  # runs along the keyboard; every tail of a run is one too, but the whole is cheapest
+    while i < n:
         j = i + 1
         while j < n and low[j - 1] + low[j] in NEXT_KEYS:
             j += 1
-        if j - i >= 3:
-            found.append((i, j, "walk", log10(len(NEXT_KEYS)) + log10(j - i)))
+        found += [(k, j, "walk", log10(len(NEXT_KEYS)) + log10(j - k)) for k in range(i, j - 2)]
         i = j
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sums = np.concatenate([[0.0], np.cumsum([_charset_cost(c) for c in value])])
     for width in range(1, int(min(n // 2, limit)) + 1):
-        i = 0
-        while i + 2 * width <= n:
-            j = i + width
-            while value[j : j + width] == value[i : i + width]:
-                j += width
-            if j - i >= max(3, 2 * width):
-                found.append((i, j, "repeat", sum(_charset_cost(c) for c in value[i : i + width]) + log10((j - i) // width)))
-                i = j
-            else:
-                i += 1
+        unlike = np.where(codes[:-width] == codes[width:], n, np.arange(n - width))
+        alike = np.minimum(np.minimum.accumulate(unlike[::-1])[::-1], n - width) - np.arange(n - width)
+        for i in np.flatnonzero((alike >= width) & (width * (1 + alike // width) >= 3)).tolist():
+            times = 1 + int(alike[i]) // width
+            found.append((i, i + times * width, "repeat", float(sums[i + width] - sums[i]) + log10(times)))
     return found
 
 
-def guess_cost(value: str, limit: float = inf, ranks: dict[str, int] = RANKS) -> float:
-    """log10 of the guesses for the cheapest segmentation of value into words, dates, repeats, walks and brute force.
+def _letters(form: str):
+    """All runs of WORD_CHARS letters in form, at any place: (start, end, run)."""
+    for m in LETTER_RUN.finditer(form):
+        for i in range(m.start(), m.end() - WORD_CHARS[0] + 1):
+            for j in range(i + WORD_CHARS[0], min(m.end(), i + WORD_CHARS[1]) + 1):
+                yield i, j, form[i:j]
+
+
+def possible_words(value: str) -> set[str]:
+    """The words that segments would look up in ranks."""
+    low = _low(value)
+    return {w for form in {low, low.translate(LEET)} for _, _, w in _letters(form)}
 
-    With a limit, costs of limit or more may come out as infinite. Long values are then judged by growing
-    beginnings, as no segmentation is cheap enough once every one has run past the limit.
+
+def suffix_costs(value: str, limit: float = inf, ranks: dict[str, int] | None = None) -> list[float]:
+    """For each place of value, log10 of the guesses for the cheapest segmentation of what follows it, into words, dates, repeats, walks and brute force.
+
+    A part after the first also pays for where it begins. With a limit, costs of limit or more may come out too high.
     """
-    size = 128
-    while limit < inf and size < len(value):
-        # The last parts of a beginning may be cut short there, so the limit has to be passed well before.
-        if _cheapest(value[:size], limit, ranks)[1] < size - 4 * limit - WORD_CHARS[1]:
-            return inf
-        size *= 2
-    return _cheapest(value, limit, ranks)[0]
-
-
-def _cheapest(value: str, limit: float, ranks: dict[str, int]) -> tuple[float, int]:
-    """The cost of the cheapest segmentation, and the last place that one reaches for less than limit."""
-    by_end: dict[int, list[tuple[int, float]]] = {}
+    by_start: dict[int, list[tuple[int, float]]] = {}
     for i, j, _, cost in segments(value, limit, ranks):
-        by_end.setdefault(j, []).append((i, cost))
-    best, brute, reach = [0.0], [False], 0
-    for j in range(1, len(value) + 1):
-        # A brute-force span grows by one character; any new span also pays for where it begins.
-        cost, by_brute = best[j - 1] + _charset_cost(value[j - 1]) + (0.0 if brute[j - 1] or j == 1 else SPLIT_COST), True
-        for i, own in by_end.get(j, ()):
-            if (c := best[i] + own + (SPLIT_COST if i else 0.0)) < cost:
-                cost, by_brute = c, False
-        best.append(cost)
-        brute.append(by_brute)
-        if cost < limit:
-            reach = j
-    return best[-1], reach
-
-
-def scan(text: str | None, min_cost: float = 9.0, ranks: dict[str, int] = RANKS) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base, added) spans (kind, start, end) of a text, in code points; added: context values dear to guess."""
-    text = text or ""
+        by_start.setdefault(i, []).append((j, cost))
+    n = len(value)
+    best, brute = [0.0] * (n + 1), [inf] * (n + 1)  # from here on: by any first part; by a brute-force one
+    for i in range(n - 1, -1, -1):
+        after = min(brute[i + 1], best[i + 1] + SPLIT_COST) if i + 1 < n else 0.0
+        brute[i] = least = _charset_cost(value[i]) + after
+        for j, own in by_start.get(i, ()):
+            least = min(least, own + (best[j] + SPLIT_COST if j < n else 0.0))
+        best[i] = least
+    return best
+
+
+def guess_cost(value: str, limit: float = inf, ranks: dict[str, int] | None = None) -> float:
+    """The cost of the whole value; see suffix_costs."""
+    return suffix_costs(value, limit, ranks)[0]
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the fixed patterns in a text, in code points, by start and then kind."""
     base = [("hex", *m.span()) for m in HEX.finditer(text)]
     base += [("access", *m.span()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
-    added = []
     if ":" in text or "=" in text:
         base += [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
-    at = 0
-    while m := CONTEXT.search(text, at):
-        value = m[1].rstrip(".,:!?")
-        prose = value.isalpha() and not set(":=") & set(text[m.start() : m.start(1)])
-        if len(value) >= 6 and not prose and not KEYWORD_ALONE.fullmatch(value) and guess_cost(value, min_cost, ranks) >= min_cost:
-            added.append(("guess", m.start(1), m.start(1) + len(value)))
-            at = m.end()
-        else:  # What is no secret may be the keyword of one.
-            at = m.start(1)
-    order = lambda s: (s[1], KINDS.index(s[0]), s[2])
-    return sorted(base, key=order), sorted(added, key=order)
+    return sorted(base, key=_order)
+
+
+def credential_runs(text: str) -> list[tuple[int, str, list[int]]]:
+    """(start, run, offsets): runs of a text that hold the values of credential contexts, from each of offsets to the run's end.
+
+    A run between white space is one, however many keywords stand in it, so that it is judged once; a value in
+    quotes is one of its own. Values of under MIN_VALUE characters, keywords alone and, unless `:`, `=` or an arrow
+    stands before them, words of letters alone are no candidates.
+    """
+    runs: list[tuple[int, str, list[int]]] = []
+    open_run, end = None, -1
+    for m in HEAD.finditer(text):
+        start, quote = m.end(), text[m.end() : m.end() + 1]
+        explicit = ":" in m[0] or "=" in m[0]
+        quoted = QUOTED[quote].match(text, start) if quote in QUOTED else None
+        if quoted:
+            start, stop = quoted.span(1)
+        else:
+            start += quote in QUOTED
+            if start >= end:
+                open_run, end = None, UNQUOTED.match(text, start).end()
+            stop = end
+        if stop - start < MIN_VALUE or KEYWORD_ALONE.fullmatch(text, start, stop) or (not explicit and PROSE.fullmatch(text, start, stop)):
+            continue
+        if quoted:
+            runs.append((start, text[start:stop], [0]))
+        elif open_run is None:
+            open_run = (start, text[start:stop], [0])
+            runs.append(open_run)
+        elif open_run[0] + open_run[2][-1] != start:
+            open_run[2].append(start - open_run[0])
+    return runs
+
+
+def dear_offsets(run: str, offsets: list[int], min_cost: float, ranks: dict[str, int]) -> list[int]:
+    """The offsets from which the run costs min_cost or more; punctuation that closes it is not judged."""
+    costs = suffix_costs(run.rstrip(CLOSING), min_cost, ranks)
+    return [o for o in offsets if o < len(costs) and costs[o] >= min_cost]
+
+
+def guess_spans(runs: list[tuple[int, int, list[int]]]) -> list[tuple[str, int, int]]:
+    """Spans of (start, length, dear offsets) of a text's runs: from left to right, without those that begin inside a span taken before."""
+    spans, at = [], 0
+    for start, end in sorted((start + o, start + length) for start, length, offsets in runs for o in offsets):
+        if start >= at:
+            spans.append(("guess", start, end))
+            at = end
+    return spans
+
+
+def scan(text: str | None, min_cost: float = 9.0, ranks: dict[str, int] | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """(base, added) spans of one text by given ranks of words."""
+    text = text or ""
+    return base_spans(text), guess_spans([(start, len(run), dear_offsets(run, offsets, min_cost, ranks or {})) for start, run, offsets in credential_runs(text)])
+
+
+def _order(span: tuple[str, int, int]) -> tuple:
+    return span[1], KINDS.index(span[0]), span[2]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+# In Spark.
+
+_RUNS = "array<struct<start:int,run:string,offsets:array<int>>>"
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """(digest, start, run, offsets, spot) of the credential runs of texts (digest, text); spot tells runs with their offsets apart."""
+
+    @F.pandas_udf(_RUNS)
+    def found(column: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "run": r, "offsets": o} for a, r, o in credential_runs(t or "")] for t in column], dtype="object")
+
+    # Most texts have no keyword, and do not go to Python.
+    maybe = texts.where(F.col("text").rlike(f"(?i){KEYWORD}"))
+    return maybe.select("digest", F.inline(found("text"))).withColumn("spot", F.md5(F.concat_ws(" ", F.array_join(F.col("offsets").cast("array<string>"), ","), "run")))
+
+
+def word_ranks(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run, words: map of word to rank) for those of runs (run, times: how often it occurs) that hold words of docs (text).
+
+    A word is a run of WORD_CHARS letters that occurs in docs outside of runs; its rank is one more than the number
+    of words that occur more often there, so it is known from all texts. Words are joined by shuffle to what the
+    runs hold; no dictionary is sent anywhere.
+    """
+    split = lambda column: F.explode(F.split(F.lower(column), r"\P{L}+")).alias("word")
+    fits = F.length("word").between(*WORD_CHARS)
+    all_words = docs.where("text is not null").select(split("text")).where(fits).groupBy("word").agg(F.count("*").alias("n"))
+    inside = runs.select("times", split("run")).where(fits).groupBy("word").agg(F.sum("times").alias("n_inside"))
+    counted = stored(all_words.join(inside, "word", "left").select("word", (F.col("n") - F.coalesce("n_inside", F.lit(0))).alias("n")).where("n > 0"), "words")
+    # Words of one count share a rank; there are far fewer counts than words.
+    steps = counted.groupBy("n").agg(F.count("*").alias("words"))
+    above = F.coalesce(F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = steps.select("n", (above + 1).alias("rank"))
+
+    @F.pandas_udf("array<string>")
+    def looked_up(column: pd.Series) -> pd.Series:
+        return pd.Series([sorted(possible_words(r)) for r in column], dtype="object")
+
+    held = runs.select("run").distinct().select("run", F.explode(looked_up("run")).alias("word"))
+    known = held.join(counted, "word").join(ranked, "n")
+    return known.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("word", "rank"))).alias("words"))
+
+
+def _added(docs: DataFrame, texts: DataFrame, min_cost: float, words: list[str] | None) -> DataFrame:
+    """(digest, added: array of (start, end)) of texts (digest, text) that have guess spans, by the words of docs or a given list, most frequent first."""
+    # A text's copies have one digest and are looked at once.
+    places = stored(_candidates(texts).dropDuplicates(["digest", "start", "spot"]), "runs")
+    runs = places.groupBy("spot").agg(F.first("run").alias("run"), F.first("offsets").alias("offsets"))
+    if words is None:
+        # Occurrences inside are counted with the copies of their texts.
+        times = texts.groupBy("digest").agg(F.count("*").alias("times"))
+        inside = places.join(times, "digest").select("run", "times")
+        runs = runs.join(word_ranks(docs, inside), "run", "left")
+        fixed = None
+    else:
+        runs = runs.withColumn("words", F.lit(None).cast("map<string,long>"))
+        fixed = {w: i for i, w in enumerate(dict.fromkeys(words), 1)}
+
+    @F.pandas_udf("array<int>")
+    def judged(run: pd.Series, offsets: pd.Series, ranks: pd.Series) -> pd.Series:
+        return pd.Series([dear_offsets(r, list(o), min_cost, fixed if fixed is not None else dict(w or {})) for r, o, w in zip(run, offsets, ranks, strict=True)], dtype="object")
+
+    dear = runs.select("spot", judged("run", "offsets", "words").alias("dear")).where(F.size("dear") > 0)
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def taken(column: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b} for _, a, b in guess_spans([(r["start"], r["length"], list(r["dear"])) for r in rows])] for rows in column], dtype="object")
+
+    met = places.join(dear, "spot").select("digest", F.struct("start", F.length("run").alias("length"), "dear").alias("r"))
+    return met.groupBy("digest").agg(F.collect_list("r").alias("rows")).select("digest", taken("rows").alias("added"))
+
+
 def find_secrets(docs: DataFrame, min_cost: float = 9.0, words: list[str] | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of docs (doc_id, text).
 
     Base spans are whole matches of the patterns, leftmost and not overlapping within a kind; n_ counts and
-    base_sha256 are of these. The method adds `guess` spans: values in a credential context whose cheapest
-    guess costs 10 ** min_cost guesses or more, words by their ranks in `words` (most frequent first; corpus_words
-    of docs by default). A value of letters alone is taken for prose unless ':', '=' or '=>' stands before it. spans
-    has all, by start and then kind, and spans of one start by kind as listed in KINDS. Null is the empty text,
-    which has no spans; texts and values of any length are read whole; repeated rows give repeated rows, and an
-    empty table an empty one. Other columns, whatever their names, are neither read nor returned.
+    base_sha256 are of these. The method adds `guess` spans: values in a credential context (see credential_runs)
+    whose cheapest guess costs 10 ** min_cost guesses or more, words by their ranks among all words that docs hold
+    outside of such values (see word_ranks), or in `words`, most frequent first. A value in quotes ends at the
+    closing one, any other at white space. spans has all, by start and then kind, and spans of one start by kind as
+    listed in KINDS. Null is the empty text, which has no spans; texts and values of any length are read whole;
+    repeated rows give repeated rows, and an empty table an empty one. Other columns, whatever their names, are
+    neither read nor returned.
     """
-    ranks = ranks_of(corpus_words(docs) if words is None else words)
+    keyed = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
 
-    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
-    def scanned(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            base, added = scan(text, min_cost, ranks)
-            every = sorted([*base, *added], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
-            rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+    @F.pandas_udf("array<struct<kind:string,start:int,end:int>>")
+    def based(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in base_spans(t or "")] for t in texts], dtype="object")
 
-    return docs.select("doc_id", scanned(F.col("text")).alias("s")).select("doc_id", "s.*")
+    base = keyed.select("doc_id", "digest", based("text").alias("base"))
+    added = F.transform(F.coalesce("added", F.array().cast("array<struct<start:int,end:int>>")), lambda s: F.struct(F.lit("guess").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    place = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
+    key = lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))
+    listed = lambda spans: F.array_join(F.transform(F.array_sort(F.transform(spans, key)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    rows = base.join(_added(docs, keyed.select("digest", "text"), min_cost, words), "digest", "left")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in KINDS[:3]]
+    return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", added)).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "*", min_cost: float = 9.0, words: list[str] | None = None) -> DataFrame:
     """docs with all columns, every character inside a span of find_secrets replaced by mask; null texts stay null."""
-    ranks = ranks_of(corpus_words(docs) if words is None else words)
+    digest, added = unused("digest", docs), unused("added", docs)
+    keyed = docs.withColumn(digest, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    spans = _added(docs, keyed.select(F.col(digest).alias("digest"), "text"), min_cost, words)
+    joined = keyed.join(spans.select(F.col("digest").alias(digest), F.col("added").alias(added)), digest, "left")
 
     @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        def of(text: str | None) -> str | None:
+    def masked(texts: pd.Series, extra: pd.Series) -> pd.Series:
+        def of(text: str | None, own) -> str | None:
             if text is None:
                 return None
-            base, added = scan(text, min_cost, ranks)
             chars = list(text)
-            for _, a, b in [*base, *added]:
+            for a, b in [*((a, b) for _, a, b in base_spans(text)), *((s["start"], s["end"]) for s in (own if own is not None else ()))]:
                 chars[a:b] = mask * (b - a)
             return "".join(chars)
 
-        return pd.Series([of(t) for t in texts], dtype="object")
+        return pd.Series([of(t, x) for t, x in zip(texts, extra, strict=True)], dtype="object")
 
-    return docs.withColumn("text", masked(F.col("text")))
+    return joined.withColumn("text", masked(F.col("text"), F.col(added))).select(docs.columns)
