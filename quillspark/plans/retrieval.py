@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.embedding import hash_embedder, keyword_score
 from quillspark.operators import index, retrieval
+from quillspark.operators import vectors as vector_index
 from quillspark.sources.tables import load
 from quillspark.streaming.usage import keeper, work_folder
 
@@ -72,6 +73,15 @@ def vector_topk(spark, sf_dir):
     return retrieval.vector_search(asked, vectors, "vec_id", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "pos")
 
 
+def vector_index_topk(spark, sf_dir):
+    """vector_topk by way of a stored index."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    built = vector_index.build_index(vectors, "vec_id", work_folder(spark, "vectors"))
+    found, _ = vector_index.search_index(built, asked, 5, keeper(spark))
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "pos")
+
+
 def rrf_fusion(spark, sf_dir):
     terms = _index(spark, sf_dir)
     return retrieval.fuse([_by_vector(spark, sf_dir), _bm25(spark, sf_dir, terms)], "doc_id").where("pos <= 20").select("query_id", "doc_id", F.round("score", 9).alias("score"), "pos")
@@ -166,7 +176,7 @@ def stream_incremental(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        term_stats, bm25_topk, vector_topk, rrf_fusion, hybrid_search, hybrid_plain, coverage_selection, fallback_merge, eval_hit_mrr, hash_embedding,
+        term_stats, bm25_topk, vector_topk, vector_index_topk, rrf_fusion, hybrid_search, hybrid_plain, coverage_selection, fallback_merge, eval_hit_mrr, hash_embedding,
         index_diff, index_merge, stale_ids, catalogue, stream_incremental,
     )
 }
@@ -261,3 +271,4 @@ UNION ALL SELECT doc_id || '::0', digest FROM new JOIN states ON file = doc_id W
     "stream_incremental": f"WITH {_SNAPSHOTS} SELECT doc_id, digest FROM new UNION ALL SELECT doc_id, digest FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)",
     "catalogue": "SELECT source, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, arg_min(n_chars, doc_id) AS n_chars, count(*) AS chunks FROM documents GROUP BY source",
 }
+ORACLES["vector_index_topk"] = ORACLES["vector_topk"]
