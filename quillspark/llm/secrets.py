@@ -197,19 +197,20 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 # In Spark.
 
-_RUNS = "array<struct<start:int,run:string,offsets:array<int>>>"
+_SCAN = "base array<struct<kind:string,start:int,end:int>>, runs array<struct<start:int,run:string,offsets:array<int>>>"
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """(digest, start, run, offsets, spot) of the credential runs of texts (digest, text); spot tells runs with their offsets apart."""
+def _scanned(texts: DataFrame, *kept: str) -> DataFrame:
+    """(*kept, digest, base, runs) for every row of texts (*kept, text), stored: the only time that texts go to Python."""
 
-    @F.pandas_udf(_RUNS)
-    def found(column: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "run": r, "offsets": o} for a, r, o in credential_runs(t or "")] for t in column], dtype="object")
+    @F.pandas_udf(_SCAN)
+    def scans(column: pd.Series) -> pd.DataFrame:
+        base = [[{"kind": k, "start": a, "end": b} for k, a, b in base_spans(t or "")] for t in column]
+        runs = [[{"start": a, "run": r, "offsets": o} for a, r, o in credential_runs(t or "")] for t in column]
+        return pd.DataFrame({"base": pd.Series(base, dtype="object"), "runs": pd.Series(runs, dtype="object")})
 
-    # Most texts have no keyword, and do not go to Python.
-    maybe = texts.where(F.col("text").rlike(f"(?i){KEYWORD}"))
-    return maybe.select("digest", F.inline(found("text"))).withColumn("spot", F.md5(F.concat_ws(" ", F.array_join(F.col("offsets").cast("array<string>"), ","), "run")))
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return stored(texts.select(*kept, digest.alias("digest"), scans(F.col("text")).alias("s")).select(*kept, "digest", "s.*"), "scans")
 
 
 def word_ranks(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -238,16 +239,17 @@ def word_ranks(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return known.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("word", "rank"))).alias("words"))
 
 
-def _added(docs: DataFrame, texts: DataFrame, min_cost: float, words: list[str] | None) -> DataFrame:
-    """(digest, added: array of (start, end)) of texts (digest, text) that have guess spans, by the words of docs or a given list, most frequent first."""
-    # A text's copies have one digest and are looked at once.
-    places = stored(_candidates(texts).dropDuplicates(["digest", "start", "spot"]), "runs")
+def _added(docs: DataFrame, scans: DataFrame, min_cost: float, words: list[str] | None) -> DataFrame:
+    """(digest, added: array of (start, end)) of the scans that have guess spans, by the words of docs or a given list, most frequent first."""
+    some = scans.where(F.size("runs") > 0)
+    # A text's copies have one digest and are looked at once; equal runs with equal offsets are judged once.
+    texts = some.groupBy("digest").agg(F.first("runs").alias("runs"), F.count("*").alias("times"))
+    spot = F.md5(F.concat_ws(" ", F.array_join(F.col("offsets").cast("array<string>"), ","), "run"))
+    places = stored(texts.select("digest", "times", F.inline("runs")).withColumn("spot", spot), "runs")
     runs = places.groupBy("spot").agg(F.first("run").alias("run"), F.first("offsets").alias("offsets"))
     if words is None:
         # Occurrences inside are counted with the copies of their texts.
-        times = texts.groupBy("digest").agg(F.count("*").alias("times"))
-        inside = places.join(times, "digest").select("run", "times")
-        runs = runs.join(word_ranks(docs, inside), "run", "left")
+        runs = runs.join(word_ranks(docs, places), "run", "left")
         fixed = None
     else:
         runs = runs.withColumn("words", F.lit(None).cast("map<string,long>"))
@@ -258,13 +260,12 @@ def _added(docs: DataFrame, texts: DataFrame, min_cost: float, words: list[str]
         return pd.Series([dear_offsets(r, list(o), min_cost, fixed if fixed is not None else dict(w or {})) for r, o, w in zip(run, offsets, ranks, strict=True)], dtype="object")
 
     dear = runs.select("spot", judged("run", "offsets", "words").alias("dear")).where(F.size("dear") > 0)
-
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def taken(column: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for _, a, b in guess_spans([(r["start"], r["length"], list(r["dear"])) for r in rows])] for rows in column], dtype="object")
-
-    met = places.join(dear, "spot").select("digest", F.struct("start", F.length("run").alias("length"), "dear").alias("r"))
-    return met.groupBy("digest").agg(F.collect_list("r").alias("rows")).select("digest", taken("rows").alias("added"))
+    met = places.join(dear, "spot").select("digest", "start", (F.col("start") + F.length("run")).alias("end"), F.explode("dear").alias("offset"))
+    spans = met.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct((F.col("start") + F.col("offset")).alias("start"), "end"))).alias("all"))
+    # From left to right, without those that begin inside a span taken before; see guess_spans.
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("taken"))
+    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.array_append(acc["taken"], s).alias("taken"))).otherwise(acc)
+    return spans.select("digest", F.aggregate("all", begun, step)["taken"].alias("added"))
 
 
 def find_secrets(docs: DataFrame, min_cost: float = 9.0, words: list[str] | None = None) -> DataFrame:
@@ -279,18 +280,12 @@ def find_secrets(docs: DataFrame, min_cost: float = 9.0, words: list[str] | None
     repeated rows give repeated rows, and an empty table an empty one. Other columns, whatever their names, are
     neither read nor returned.
     """
-    keyed = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-
-    @F.pandas_udf("array<struct<kind:string,start:int,end:int>>")
-    def based(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in base_spans(t or "")] for t in texts], dtype="object")
-
-    base = keyed.select("doc_id", "digest", based("text").alias("base"))
+    base = _scanned(docs.select("doc_id", "text"), "doc_id")
     added = F.transform(F.coalesce("added", F.array().cast("array<struct<start:int,end:int>>")), lambda s: F.struct(F.lit("guess").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     place = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     key = lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))
     listed = lambda spans: F.array_join(F.transform(F.array_sort(F.transform(spans, key)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    rows = base.join(_added(docs, keyed.select("digest", "text"), min_cost, words), "digest", "left")
+    rows = base.join(_added(docs, base, min_cost, words), "digest", "left")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS[:3]]
     return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", added)).alias("spans"))
@@ -300,7 +295,7 @@ def redact(docs: DataFrame, mask: str = "*", min_cost: float = 9.0, words: list[
     """docs with all columns, every character inside a span of find_secrets replaced by mask; null texts stay null."""
     digest, added = unused("digest", docs), unused("added", docs)
     keyed = docs.withColumn(digest, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    spans = _added(docs, keyed.select(F.col(digest).alias("digest"), "text"), min_cost, words)
+    spans = _added(docs, _scanned(docs.select("text")), min_cost, words)
     joined = keyed.join(spans.select(F.col("digest").alias(digest), F.col("added").alias(added)), digest, "left")
 
     @F.pandas_udf("string")
