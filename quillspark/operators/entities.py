@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.operators.containment import names_in_texts
+from quillspark.operators.fuzzy import fuzzy_matches
 
 
 def contained_names(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, **limits) -> DataFrame:
@@ -122,40 +121,6 @@ def resolve(queries: DataFrame, key: str, chain: list[tuple[str, str, DataFrame]
     return rest.unionByName(found)
 
 
-def fuzzy_matches(queries: DataFrame, key: str, text: str, names: DataFrame, name: str, cutoff: float = 0.7, min_length: int = 3, block: int = 1000, top: int = 1) -> DataFrame:
-    """(key, match, ratio): the closest of the names by matching blocks, or null under cutoff; of equally close ones the last in order.
-
-    top: so many rows for each query at most, if as many names are close enough.
-
-    Distinct texts meet distinct names in blocks of about `block` of each, so neither side has to fit a task and
-    a text that many rows share is compared once. Null texts and those under min_length characters match nothing.
-    """
-    asked = queries.select(F.col(text).alias("_asked")).where(F.length("_asked") >= min_length).distinct()
-    known = names.select(F.col(name).alias("name")).where("name is not null").distinct()
-    rows, columns = (max(1, -(-side.count() // block)) for side in (asked, known))
-
-    def dealt(side: DataFrame, own: str, n: int, other: str, times: int) -> DataFrame:
-        placed = side.withColumn(own, F.pmod(F.xxhash64(side.columns[0]), F.lit(n)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-
-    def closest(texts: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        listed, found = candidates["name"].tolist(), []
-        for asked_text in texts["_asked"]:
-            for best in difflib.get_close_matches(asked_text, listed, n=top, cutoff=cutoff):
-                found.append((asked_text, difflib.SequenceMatcher(None, best, asked_text).ratio(), best))
-        return pd.DataFrame(found, columns=["_asked", "ratio", "match"])
-
-    left = dealt(asked, "row", rows, "column", columns).groupBy("row", "column")
-    right = dealt(known, "column", columns, "row", rows).groupBy("row", "column")
-    best = left.cogroup(right).applyInPandas(closest, "_asked string, ratio double, match string")
-    if top == 1:
-        best = best.groupBy("_asked").agg(F.max(F.struct("ratio", "match")).alias("m")).select("_asked", "m.ratio", "m.match")
-    else:
-        place = F.row_number().over(Window.partitionBy("_asked").orderBy(F.desc("ratio"), F.desc("match")))
-        best = best.withColumn("_place", place).where(F.col("_place") <= top).drop("_place")
-    return queries.join(best, F.col(text) == F.col("_asked"), "left").select(key, "match", F.round("ratio", 6).alias("ratio"))
-
-
 def mentions(text: Column, term: Column) -> Column:
     """How often term occurs in text without overlap."""
     return F.when(F.length(term) > 0, ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")).otherwise(0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import dialogue, entities, ratings
+from quillspark.operators import dialogue, entities, fuzzy, ratings
 from quillspark.sources.tables import load
 from quillspark.streaming.usage import keeper
 
@@ -146,7 +146,7 @@ def resolve_chain(spark, sf_dir):
 def fuzzy_match(spark, sf_dir):
     parts = load(spark, sf_dir, "part")
     asked = parts.select("p_partkey", F.concat(F.substring("p_name", 1, 3), F.substring("p_name", 5, 100)).alias("asked"))
-    return entities.fuzzy_matches(asked, "p_partkey", "asked", parts, "p_name")
+    return fuzzy.fuzzy_matches(asked, "p_partkey", "asked", parts, "p_name")
 
 
 SLANG = {"th": ["Theory"], "tha": ["Thesis A", "Thesis B"], "on": ["Online"], "que": ["Queueing"], "ing": ["Engineering", "Gone"]}

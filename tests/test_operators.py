@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import chunking, text
 from quillspark.functions.embedding import hash_embedder, keyword_score
-from quillspark.operators import containment, dialogue, entities, governance, index, pages, ratings, retrieval, usage
+from quillspark.operators import containment, dialogue, entities, fuzzy, governance, index, pages, ratings, retrieval, usage
 
 
 def ranking(spark, *ids, q=1):
@@ -158,15 +158,14 @@ def test_lockouts_of_long_histories_and_nulls(spark):
     assert out == expected | {90_000: "failed", 90_001: "passed", 90_002: "failed"}
 
 
-@pytest.mark.parametrize("block", [1000, 3])
-def test_fuzzy_matches_whatever_the_block(spark, block):
+def test_fuzzy_matches_of_few_names(spark):
     known = ["linear algebra", "linear analysis", "organic chemistry", "physics", "abc", "abd"]
     texts = ["liner algebra", "organic chemistr", "abx", "zz", None, "", "nothing like it", "physics", "physics"]
     names = spark.createDataFrame([(n,) for n in [*known, "physics", None]], "n string")
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, asked string")
-    found = {r["id"]: r["match"] for r in entities.fuzzy_matches(rows, "id", "asked", names, "n", cutoff=0.6, block=block).collect()}
+    found = {r["id"]: r["match"] for r in fuzzy.fuzzy_matches(rows, "id", "asked", names, "n", cutoff=0.6).collect()}
     assert found == {0: "linear algebra", 1: "organic chemistry", 2: "abd", 3: None, 4: None, 5: None, 6: None, 7: "physics", 8: "physics"}
-    assert entities.fuzzy_matches(rows, "id", "asked", names.limit(0), "n").where("match is not null").count() == 0
+    assert fuzzy.fuzzy_matches(rows, "id", "asked", names.limit(0), "n").where("match is not null").count() == 0
 
 
 def test_places_run_through_all_ranges(spark):
@@ -275,6 +274,22 @@ def test_the_chain_ends_with_the_closest_names(spark):
     assert out == [(1, 3, "name"), (2, 0, "fuzzy"), (2, 2, "fuzzy"), (3, None, "none"), (4, None, "none"), (5, None, "none")]
 
 
+@pytest.mark.parametrize("cutoff", [0.5, 0.7, 0.9])
+def test_the_letter_filter_loses_no_pair(spark, cutoff):
+    import difflib
+
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("aabbcdefgé课😀") for _ in range(n))
+    names = {make(rng.randrange(1, 14)) for _ in range(90)}
+    asked = {make(rng.randrange(3, 14)) for _ in range(60)} | {n[1:] + "x" for n in list(names)[:20] if len(n) > 4}
+    found = {(r["asked"], r["name"]) for r in fuzzy.candidates(spark.createDataFrame([(x,) for x in asked], "asked string"), spark.createDataFrame([(x,) for x in names], "name string"), cutoff).collect()}
+    close = {(a, n) for a in asked for n in names if difflib.SequenceMatcher(None, n, a).ratio() >= cutoff}
+    quick = {(a, n) for a in asked for n in names if difflib.SequenceMatcher(None, n, a).quick_ratio() >= cutoff}
+    assert close <= found and len(close) >= 5
+    assert {p for p in found if "😀" not in "".join(p)} == {p for p in quick if "😀" not in "".join(p)}
+    assert len(found) < {0.5: 0.7, 0.7: 0.3, 0.9: 0.03}[cutoff] * len(asked) * len(names)
+
+
 def test_fuzzy_matches_of_a_whole_table(spark):
     import difflib
 
@@ -282,7 +297,7 @@ def test_fuzzy_matches_of_a_whole_table(spark):
     names = ["".join(rng.choice("abcde") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
     asked = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(80)] + [None]
     table = spark.createDataFrame(list(enumerate(asked)), "k int, q string")
-    found = entities.fuzzy_matches(table, "k", "q", spark.createDataFrame([(n,) for n in names], "n string"), "n", block=25)
+    found = fuzzy.fuzzy_matches(table, "k", "q", spark.createDataFrame([(n,) for n in names], "n string"), "n")
     want = {}
     for k, q in enumerate(asked):
         near = [(difflib.SequenceMatcher(None, n, q).ratio(), n) for n in set(names)] if q and len(q) >= 3 else []
