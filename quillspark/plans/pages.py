@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions.markup import html_markdown
 from quillspark.functions.text import publish_date
 from quillspark.operators import governance, pages
 from quillspark.sources.tables import load
@@ -39,10 +40,27 @@ def richest_version(spark, sf_dir):
     return pages.richest(rows, "host", F.floor(F.col("chars") / 500), "page_id")
 
 
-QUERIES = {f.__name__: f for f in (page_fields, page_links, page_urls, registry_coverage, richest_version)}
+def page_markdown(spark, sf_dir):
+    """Every page as Markdown, its links made absolute by its address."""
+    return load(spark, sf_dir, "pages").select("page_id", html_markdown(F.col("html"), F.col("url")).alias("markdown"))
 
-_CLEAN = r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'), ' ')"
+
+QUERIES = {f.__name__: f for f in (page_markdown, page_fields, page_links, page_urls, registry_coverage, richest_version)}
+
+_CLEAN = r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'), ' ')"
+_PLAIN = r"replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
 ORACLES = {
+    # For the tags that these pages have: links, one heading, and paragraphs that the next one or any other tag ends.
+    "page_markdown": rf"""
+WITH body AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, regexp_replace(html, '(?is)^.*?<body[^>]*>', '') AS h FROM pages),
+found AS (SELECT page_id, site, regexp_extract_all(h, '(?i)<a href="[^"]*">[^<]*</a>|<h1>[^<]*</h1>|<p>(?:[^<]|</?b>|<br>)*') AS items FROM body),
+each AS (SELECT page_id, site, unnest(items) AS item, generate_subscripts(items, 1) AS i FROM found),
+parts AS (
+  SELECT page_id, i, CASE WHEN item LIKE '<a %' THEN '- ' || CASE WHEN site = '' THEN t ELSE '[' || t || '](' || site || regexp_extract(item, 'href="([^"]*)"', 1) || ')' END
+    WHEN item LIKE '<h1>%' THEN '# ' || t ELSE p END AS line, t, p
+  FROM (SELECT *, trim(regexp_replace({_PLAIN.format("regexp_replace(item, '<[^>]*>', '', 'g')")}, '\s+', ' ', 'g')) AS t,
+    trim({_PLAIN.format("regexp_replace(replace(regexp_replace(item, '\\s*\\n\\s*', ' ', 'g'), '<br>', chr(10)), '<[^>]*>', '', 'g')")}, ' ' || chr(10)) AS p FROM each))
+SELECT page_id, string_agg(line, chr(10) ORDER BY i) AS markdown FROM parts WHERE t <> '' GROUP BY page_id""",
     "page_fields": rf"""
 SELECT page_id, {_CLEAN.format("nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '')")} AS title,
   {_CLEAN.format("nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '')")} AS heading,
