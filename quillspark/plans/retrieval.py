@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.embedding import hash_embedder, keyword_score
+from quillspark.functions.segment import segmenter
 from quillspark.operators import index, retrieval
 from quillspark.operators import vectors as vector_index
 from quillspark.sources.tables import load
@@ -67,6 +68,15 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir).select("query_id", "doc_id", F.round("score", 5).alias("score"), "pos")
 
 
+def segmented_questions(spark, sf_dir):
+    """The words of the benchmark's items after their spaces are taken out, by the counts of lower-case words in the documents."""
+    words = load(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    counts = words.where(F.length("word") <= 20).groupBy("word").agg(F.count("*").alias("n"))
+    cut = segmenter(counts, letters="a-z", search=False)
+    asked = load(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.regexp_replace(F.lower("text"), "[ \n]", ""), "[^a-z]+")).alias("run"))
+    return asked.where("run <> ''").distinct().select("item_id", "run", F.array_join(cut(F.col("run")), " ").alias("words"))
+
+
 def vector_topk(spark, sf_dir):
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
@@ -176,7 +186,7 @@ def stream_incremental(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        term_stats, bm25_topk, vector_topk, vector_index_topk, rrf_fusion, hybrid_search, hybrid_plain, coverage_selection, fallback_merge, eval_hit_mrr, hash_embedding,
+        term_stats, bm25_topk, segmented_questions, vector_topk, vector_index_topk, rrf_fusion, hybrid_search, hybrid_plain, coverage_selection, fallback_merge, eval_hit_mrr, hash_embedding,
         index_diff, index_merge, stale_ids, catalogue, stream_incremental,
     )
 }
@@ -272,3 +282,23 @@ UNION ALL SELECT doc_id || '::0', digest FROM new JOIN states ON file = doc_id W
     "catalogue": "SELECT source, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, arg_min(n_chars, doc_id) AS n_chars, count(*) AS chunks FROM documents GROUP BY source",
 }
 ORACLES["vector_index_topk"] = ORACLES["vector_topk"]
+ORACLES["segmented_questions"] = r"""
+WITH RECURSIVE
+counts AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents) WHERE length(word) <= 20 GROUP BY word),
+total AS (SELECT ln(CAST(sum(n) AS DOUBLE)) AS t FROM counts),
+runs AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(regexp_replace(lower(text), '[ \n]', '', 'g'), '[^a-z]+')) AS run FROM benchmark),
+kept AS (SELECT DISTINCT run, length(run) AS len FROM runs WHERE run <> ''),
+spans AS (SELECT run, i, j, substring(run, CAST(i AS BIGINT), CAST(j - i AS BIGINT)) AS w FROM (SELECT run, len, unnest(range(1, len + 1)) AS i FROM kept), range(2, 100000) r(j) WHERE j > i AND j <= i + 20 AND j <= len + 1 AND j <= (SELECT max(len) + 1 FROM kept)),
+edges AS (SELECT run, i, j, coalesce(ln(CAST(n AS DOUBLE)), 0) - t AS p FROM spans LEFT JOIN counts ON word = w, total WHERE n IS NOT NULL OR j = i + 1),
+ahead AS (SELECT run, i, list({'j': j, 'p': p} ORDER BY j DESC) AS steps FROM edges GROUP BY run, i),
+-- From the right: best[k] is the best sum from the k-th place from the end on, went[k] where it goes.
+back AS (
+  SELECT run, CAST(len + 1 AS BIGINT) AS i, [CAST(0 AS DOUBLE)] AS best, [CAST(0 AS BIGINT)] AS went FROM kept
+  UNION ALL
+  SELECT run, i, list_append(best, list_max(sums)), list_append(went, steps[list_position(list_transform(sums, lambda x: round(x, 9)), round(list_max(sums), 9))].j)
+  FROM (SELECT b.run, a.i, best, went, steps, list_transform(steps, lambda s: s.p + best[b.i + len(best) - s.j]) AS sums FROM back b JOIN ahead a ON a.run = b.run AND a.i = b.i - 1)),
+forth AS (
+  SELECT b.run, CAST(1 AS BIGINT) AS i, went, '' AS words FROM back b WHERE b.i = 1
+  UNION ALL
+  SELECT run, went[len(went) + 1 - i], went, words || CASE WHEN words = '' THEN '' ELSE ' ' END || substring(run, i, went[len(went) + 1 - i] - i) FROM forth WHERE i <= length(run))
+SELECT item_id, run, words FROM runs JOIN forth USING (run) WHERE i = length(run) + 1"""
