@@ -113,8 +113,8 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, one_in: int
     block_words words, which bounds a block whatever the table's size; each block passes over the documents
     once, and items shorter than span once for each of their lengths. Null and empty texts have no words, and
     texts of any length are read whole; repeated rows of a document get the same result each, and rows of one
-    doc_id with unlike texts each their own; items that share an item_id count once; items without words or id
-    never hit; an empty table of items hits nothing, and one of documents gives an empty table. Other columns,
+    doc_id with unlike texts each their own; items that share an item_id count once; items without words never hit;
+    those without an id hit, but n_items and items_sha256 leave them out; an empty table of items hits nothing, and one of documents gives an empty table. Other columns,
     whatever their names, are neither read nor returned.
     """
     out = judged(docs, items, span, one_in, block_words)
@@ -125,7 +125,7 @@ def judged(docs: DataFrame, items: DataFrame, span: int = 13, one_in: int = 20,
     """contamination with doc, struct<doc_id, h: hash of the text>, in place of doc_id."""
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
     words = docs.select(key.alias("doc"), words_of(F.col("text")).alias("words"))
-    asked = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
+    asked = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
     asked = asked.withColumn("span", F.least(F.size("words"), F.lit(span))).where("span > 0")
     found = None
     for length, n_words in sorted(map(tuple, asked.groupBy("span").agg(F.sum(F.size("words"))).collect())):

@@ -361,7 +361,8 @@ def brute_contamination(text, items, span=13):
         for i in range(len(w) - m + 1):
             if m and tuple(w[i : i + m]) in windows:
                 hit |= set(range(i, i + m))
-                found.add(str(item))
+                if item is not None:  # a nameless item's words are hit, but it is not listed
+                    found.add(str(item))
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
@@ -369,9 +370,11 @@ def brute_contamination(text, items, span=13):
 def test_contamination(spark, block_words):
     rng = random.Random(4)
     passages = [sentence(rng, n) for n in (40, 13, 14, 12, 7, 4, 1, 30)] + ["a a a a a a a a a a a a a a a a", None, "", "?!"]
-    items = [(i, t) for i, t in enumerate(passages)] + [(2, "under UNDER under"), (11, passages[0])]
+    nameless = [sentence(rng, 15), "quite nameless words"]
+    items = [(i, t) for i, t in enumerate(passages)] + [(2, "under UNDER under"), (11, passages[0])] + [(None, t) for t in nameless]
     values = [*texts(), *(sentence(rng, 20) + " " + (p or "").upper() + "; " + sentence(rng, 9) for p in passages)]
     values += ["a " * 40, " ".join(passages[0].split()[5:17]), " ".join(passages[0].split()[5:18]), passages[1] + " " + passages[1], "x " * 3000 + passages[2]]
+    values += [sentence(rng, 15) + " " + nameless[0], "those are quite nameless words", nameless[0] + " " + passages[1]]
     table = spark.createDataFrame([(i, t, "e") for i, t in items], "item_id long, text string, doc string")
     out = winnow.contamination(rows(spark, values), table, block_words=block_words).toPandas().set_index("doc_id")
     for i, t in enumerate(values):
