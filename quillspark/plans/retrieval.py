@@ -183,11 +183,39 @@ def stream_incremental(spark, sf_dir):
     return table.read().select("doc_id", "digest")
 
 
+def _changes(spark, sf_dir):
+    """Three batches of changes to documents in chunks of 500 characters: rows (doc_id, n, digest, seq, removed)."""
+    docs = load(spark, sf_dir, "documents")
+
+    def version(seq, sources, text):
+        chosen = docs.where(sources).select("doc_id", text.alias("t")).where("length(t) > 0")
+        pieces = chosen.select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 500).cast("int"))).alias("n"))
+        return pieces.select("doc_id", "n", F.md5(F.substring("t", F.col("n") * 500 + 1, F.lit(500))).alias("digest"), F.lit(seq).alias("seq"), F.lit(False).alias("removed"))
+
+    def removal(seq, sources):
+        return docs.where(sources).select("doc_id", F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("digest"), F.lit(seq).alias("seq"), F.lit(True).alias("removed"))
+
+    text = F.col("text")
+    yield version(1, "source <> 'src0'", text)
+    yield version(2, "source = 'src0'", text).unionByName(version(2, "source IN ('src2', 'src4')", F.left("text", F.lit(700)))).unionByName(removal(2, "source = 'src1'"))
+    yield version(3, "source = 'src1'", F.concat(text, F.lit(" (back)"))).unionByName(version(3, "source = 'src2'", text)).unionByName(removal(3, "source = 'src3'"))
+
+
+def stream_changes(spark, sf_dir):
+    """An index of chunks kept by a stream of new, edited, removed and returning documents."""
+    folder = work_folder(spark, "changes")
+    table = index.BucketedTable(spark, f"{folder}/table", "doc_id", 16)
+    for rows in _changes(spark, sf_dir):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        index.change_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), table, "seq", "removed", f"{folder}/state")
+    return table.read().select("doc_id", "n", "digest")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         term_stats, bm25_topk, segmented_questions, vector_topk, vector_index_topk, rrf_fusion, hybrid_search, hybrid_plain, coverage_selection, fallback_merge, eval_hit_mrr, hash_embedding,
-        index_diff, index_merge, stale_ids, catalogue, stream_incremental,
+        index_diff, index_merge, stale_ids, catalogue, stream_incremental, stream_changes,
     )
 }
 
@@ -302,3 +330,8 @@ forth AS (
   UNION ALL
   SELECT run, went[len(went) + 1 - i], went, words || CASE WHEN words = '' THEN '' ELSE ' ' END || substring(run, i, went[len(went) + 1 - i] - i) FROM forth WHERE i <= length(run))
 SELECT item_id, run, words FROM runs JOIN forth USING (run) WHERE i = length(run) + 1"""
+ORACLES["stream_changes"] = """
+WITH last AS (
+  SELECT doc_id, CASE source WHEN 'src1' THEN text || ' (back)' WHEN 'src4' THEN text[1:700] ELSE text END AS t FROM documents WHERE source <> 'src3'),
+pieces AS (SELECT doc_id, t, unnest(range(0, (length(t) - 1) // 500 + 1)) AS n FROM last WHERE length(t) > 0)
+SELECT doc_id, CAST(n AS INTEGER) AS n, md5(substring(t, n * 500 + 1, 500)) AS digest FROM pieces"""

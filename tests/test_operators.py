@@ -323,6 +323,31 @@ def test_a_stream_goes_on_and_rewrites_what_it_touches(spark, tmp_path):
     assert again == second and rows_again == rows
 
 
+def test_a_change_stream_replaces_and_removes_whole_groups(spark, tmp_path):
+    schema = "file string, n int, text string, seq int, gone boolean"
+    table = index.BucketedTable(spark, str(tmp_path / "t"), "file", 4)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        index.change_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), table, "seq", "gone", str(tmp_path / "state"))
+        held = table.read()
+        return [] if held is None else sorted(map(tuple, held.select("file", "n", "text").collect()))
+
+    chunks = lambda file, texts, seq: [(file, i, t, seq, False) for i, t in enumerate(texts)]
+    gone = lambda file, seq: (file, None, None, seq, True)
+    held = arrive([*chunks("a", "xyz", 1), *chunks("b", "pq", 1), *chunks("c", "k", 1), *chunks("d", "old", 1), *chunks("d", "n", 2), gone("e", 1)])
+    assert held == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "z"), ("b", 0, "p"), ("b", 1, "q"), ("c", 0, "k"), ("d", 0, "n")]
+    held = arrive([*chunks("a", "w", 3), gone("b", 3), *chunks("c", "m", 3), gone("c", 4), *chunks("e", "new", 3)])
+    assert held == [("a", 0, "w"), ("d", 0, "n"), ("e", 0, "n"), ("e", 1, "e"), ("e", 2, "w")]
+    before = table.names.versions()
+    again = spark.createDataFrame(chunks("a", "again", 9), schema).drop("seq", "gone")
+    assert not table.apply(again, None, 1) and table.names.versions() == before
+    assert arrive([gone(f, 5) for f in "ade"]) == [] and table.paths() == {}
+    assert arrive(chunks("b", "r", 6)) == [("b", 0, "r")]
+    assert table.clean() == 0 and table.clean(0) > 4 and sorted(map(tuple, table.read().collect())) == [("b", 0, "r")]
+    assert arrive(chunks("b", "s", 7)) == [("b", 0, "s")]
+
+
 def test_scores_do_not_depend_on_how_common_terms_are_looked_up(spark):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(60)]
