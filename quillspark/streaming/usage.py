@@ -35,14 +35,21 @@ def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     return keep
 
 
-def daily_activity(log: DataFrame, uncovered: str, late: str = "2 days", ts: str = "ts") -> DataFrame:
-    """Per day and user: total and uncovered, with a watermark on ts (cast to a timestamp).
+#: What closes a log: an event so late that every day before it is over.
+END_OF_LOG = "9999-01-01 00:00:00"
 
-    A stream cannot count distinct users, so users stay apart here and the reader of the result folds them;
-    state holds one row for each active user of the days that are still open.
+
+def daily_counts(log: DataFrame, uncovered: str, late: str = "2 days", ts: str = "ts") -> DataFrame:
+    """(day, total, uncovered, dau) of a stream of activity, for each day once it is over by the watermark on ts (cast to a timestamp).
+
+    Two aggregations in a row: rows by day and user, whose states are the distinct users of the days that are still
+    open, and then days. Null users are counted as rows and are no one. Events that come later than `late` behind
+    the newest are left out.
     """
-    log = log.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
-    return log.groupBy(F.window("at", "1 day").alias("w"), "user_id").agg(F.count("*").alias("total"), count_where(F.expr(uncovered)).alias("uncovered")).select(F.to_date("w.start").alias("day"), "user_id", "total", "uncovered")
+    timed = log.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
+    users = timed.groupBy(F.window("_at", "1 day").alias("w"), "user_id").agg(F.count("*").alias("total"), count_where(F.expr(uncovered)).alias("uncovered"))
+    days = users.groupBy(F.window(F.window_time("w"), "1 day").alias("d")).agg(F.sum("total").alias("total"), F.sum("uncovered").alias("uncovered"), F.count("user_id").alias("dau"))
+    return days.select(F.to_date("d.start").alias("day"), "total", "uncovered", "dau")
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> str:
@@ -52,21 +59,24 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> str:
     return f"{folder}/table"
 
 
-def daily_counts_of_files(spark: SparkSession, folder: str, name: str, uncovered: str) -> DataFrame:
-    """Day counts of a Parquet table read as a stream of files: the batch result, by way of the stream.
+def daily_counts_of_files(spark: SparkSession, folder: str, name: str, uncovered: str, ts: str = "ts") -> DataFrame:
+    """Day counts of a Parquet table read as a stream of files: the batch result, by the stream alone.
 
-    Each micro-batch is folded into per-day and user rows. Days that the watermark has not closed are in the
-    stream's state yet and not in its output, so the last of them are read from the table for the answer.
+    What the stream has read leaves its last days open. A closing batch, one event at END_OF_LOG, moves the
+    watermark past them; it is no part of any day that is counted. Days without rows are filled in afterwards.
     """
-    table = load(spark, folder, name)
-    stream = spark.readStream.schema(table.schema).parquet(f"{folder}/{name}.parquet*")
-    per_user = daily_activity(stream, uncovered)
-    at = run_to_table(per_user, work_folder(spark, "daily"))
-    done = spark.read.schema(per_user.schema).parquet(at)
-    closed = done.agg(F.max("day")).first()[0]
-    rest = table if closed is None else table.where(F.to_date("ts") > F.lit(closed))
-    rest = rest.groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.count("*").alias("total"), count_where(F.expr(uncovered)).alias("uncovered"))
-    days = done.union(rest).groupBy("day").agg(F.sum("total").alias("total"), F.sum("uncovered").alias("uncovered"), F.countDistinct("user_id").alias("dau"))
+    schema, work = load(spark, folder, name).schema, work_folder(spark, "daily")
+    closing = f"{work}/closing"
+    spark.createDataFrame([], schema).write.parquet(closing)
+
+    def run() -> DataFrame:
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*").unionByName(spark.readStream.schema(schema).parquet(closing))
+        counted = daily_counts(stream, uncovered, ts=ts)
+        return spark.read.schema(counted.schema).parquet(run_to_table(counted, work))
+
+    run()
+    spark.range(1).select(*[(F.lit(END_OF_LOG) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(closing)
+    days = run()
     span = days.agg(F.min("day").alias("first"), F.max("day").alias("last")).where("first is not null")
     calendar = span.select(F.explode(F.sequence("first", "last")).alias("day"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

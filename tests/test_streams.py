@@ -1,12 +1,15 @@
 """Stateful streams against the batch folds, with restarts, failures and expiry of state."""
 
+import datetime
 import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import usage
 from quillspark.streaming import attempts
+from quillspark.streaming import usage as streams
 
 LOCKS = "user long, event_id long, at long, ok boolean"
 CODES = "user long, event_id long, at long, asks boolean, code string"
@@ -104,3 +107,29 @@ def test_failures_are_forgotten(spark):
     df = spark.createDataFrame([(1, i, at, False) for i, at in enumerate([0, 10, 1000, 1010, 1020, 1030])], LOCKS)
     assert [r["outcome"] for r in usage.lockouts(df, "user", 3, 100, 500).orderBy("event_id").collect()] == ["failed", "failed", "failed", "failed", "locked", "refused"]
     assert [r["outcome"] for r in usage.lockouts(df, "user", 3, 100).orderBy("event_id").collect()] == ["failed", "failed", "locked", "refused", "refused", "refused"]
+
+
+def test_days_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    """Files in turn, with a restart for each: users of a day count once over all of them, and only closed days come out."""
+    rng = random.Random(3)
+    schema = "ts timestamp_ntz, user_id long, kind string"
+    base = datetime.datetime(2024, 3, 1)
+    rows = sorted(((base + datetime.timedelta(hours=rng.randrange(24 * 9)), rng.choice([1, 2, 3, 4, None]), rng.choice(["ok", "error"])) for _ in range(400)), key=lambda r: r[0])
+    folder, bad = str(tmp_path / "log"), "kind = 'error'"
+
+    def add(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        counted = streams.daily_counts(spark.readStream.schema(schema).parquet(folder), bad)
+        out = spark.read.schema(counted.schema).parquet(streams.run_to_table(counted, str(tmp_path / "work"))).collect()
+        assert len(out) == len({r["day"] for r in out})
+        return {str(r["day"]): (r["total"], r["uncovered"], r["dau"]) for r in out}
+
+    table = spark.createDataFrame(rows, schema)
+    want = {r["day"]: (r["total"], r["uncovered"], r["dau"]) for r in usage.daily_counts(table, F.expr(bad)).collect()}
+    first = add(rows[:150])
+    assert 0 < len(first) < 4 and first.items() <= want.items()
+    second = add(rows[150:])
+    assert len(second) == 6 and second.items() <= want.items()  # two days late, and the last one open
+    table.write.parquet(str(tmp_path / "whole" / "log.parquet"))
+    closed = streams.daily_counts_of_files(spark, str(tmp_path / "whole"), "log", bad)
+    assert {r["day"]: (r["total"], r["uncovered"], r["dau"]) for r in closed.collect()} == want
