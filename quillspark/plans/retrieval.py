@@ -8,7 +8,7 @@ from quillspark.functions.embedding import hash_embedder, keyword_score
 from quillspark.functions.segment import segmenter
 from quillspark.operators import index, retrieval
 from quillspark.operators import vectors as vector_index
-from quillspark.sources.tables import load
+from quillspark.sources.tables import file_states, load
 from quillspark.streaming.usage import keeper, work_folder
 
 
@@ -27,24 +27,20 @@ def term_stats(spark, sf_dir):
     return retrieval.term_stats(retrieval.term_table(passages(spark, sf_dir), "doc_id", "text"))
 
 
-#: The folders of term tables that this process has written, by application and tables.
-_WRITTEN: dict[tuple[str, str], str] = {}
+#: The indexes that this process has written, by application and the state of the documents' files.
+_WRITTEN: dict[tuple, retrieval.TermIndex] = {}
 
 
 def _index(spark, sf_dir):
-    """The term table of the passages: an index that is written once in a session and read by all queries over the same tables."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    terms = retrieval.term_table(passages(spark, sf_dir), "doc_id", "text")
+    """The index of the passages: written once in a session for the files as they are, and read by all queries over them."""
+    at = (spark.sparkContext.applicationId, file_states(spark, f"{sf_dir}/documents.parquet"))
     if at not in _WRITTEN:
-        folder = work_folder(spark, "terms")
-        retrieval.write_terms(terms, folder)
-        _WRITTEN[at] = folder
-    return spark.read.schema(terms.schema).parquet(_WRITTEN[at])
+        _WRITTEN[at] = retrieval.write_index(passages(spark, sf_dir), "doc_id", "text", work_folder(spark, "terms"))
+    return _WRITTEN[at]
 
 
 def _bm25(spark, sf_dir, terms=None):
-    n, mean = retrieval.corpus_size(passages(spark, sf_dir), "text")
-    return retrieval.bm25(questions(spark, sf_dir), _index(spark, sf_dir) if terms is None else terms, "doc_id", n, mean, keep=keeper(spark))
+    return retrieval.bm25(questions(spark, sf_dir), _index(spark, sf_dir) if terms is None else terms, "doc_id", keep=keeper(spark))
 
 
 def _by_vector(spark, sf_dir):
@@ -59,7 +55,7 @@ def _by_vector(spark, sf_dir):
 def _by_length(spark, sf_dir, terms=None):
     """For each query the documents that share most of its words, shortest first."""
     asked = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.split("question", " "))).alias("term"))
-    terms = _index(spark, sf_dir) if terms is None else terms
+    terms = (_index(spark, sf_dir) if terms is None else terms).terms
     shared = asked.join(terms, "term").groupBy("query_id", "doc_id", "length").agg(F.count("*").alias("score"))
     return retrieval.ranked(shared, "score", ["length", "doc_id"], 20).drop("length")
 

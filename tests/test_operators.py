@@ -364,6 +364,26 @@ def test_scores_do_not_depend_on_how_common_terms_are_looked_up(spark):
         assert ((25, 150) in held) == (tokenize is text.cjk_bigrams)
 
 
+def test_the_index_follows_its_files(spark, tmp_path):
+    from quillspark.plans import retrieval as plans
+
+    folder = str(tmp_path)
+    docs = [(i, f"w{i % 7} common {'x ' * (i % 3)}", f"s{i % 2}") for i in range(40)]
+    spark.createDataFrame([(i, f"w{i} common") for i in range(7)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    def put(rows):
+        spark.createDataFrame(rows, "doc_id long, text string, source string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+        n, mean = retrieval.corpus_size(plans.passages(spark, folder), "text")
+        terms = retrieval.term_table(plans.passages(spark, folder), "doc_id", "text")
+        want = retrieval.bm25(plans.questions(spark, folder), terms, "doc_id", n, mean)
+        found = plans.bm25_topk(spark, folder)
+        assert sorted((r["query_id"], r["doc_id"], r["pos"]) for r in found.collect()) == sorted((r["query_id"], r["doc_id"], r["pos"]) for r in want.collect())
+        return {r["doc_id"] for r in found.collect()}
+
+    assert put(docs) == set(range(40))
+    assert put([*docs[::2], (100, "", "s")]) == set(range(0, 40, 2))
+
+
 def test_hash_embedding_of_a_whole_table(spark):
     from hashlib import blake2b
 
