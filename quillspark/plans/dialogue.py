@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import dialogue
+from quillspark.operators import batches, dialogue
 from quillspark.sources.tables import load
 
 INTENT = ["the", "que", "der"]
@@ -75,7 +75,14 @@ def slang_edits(spark, sf_dir):
     return dialogue.edited(terms, edits, known).select("term", "type", F.array_join("names", ",").alias("names"))
 
 
-QUERIES = {f.__name__: f for f in (question_intents, card_decision, candidate_narrowing, strong_mixed_signal, cluster_assignment, comment_review, context_numbering, email_allowlist, slang_edits)}
+def review_batches(spark, sf_dir):
+    """Documents by source in batches for a model, with what each holds."""
+    made = batches.batches(load(spark, sf_dir, "documents"), "source", "doc_id", "text", 4000, 40, 150, 30_000)
+    chars = F.aggregate("excerpts", F.lit(0), lambda a, x: a + F.length(x))
+    return made.select("source", "part", "batch", F.size("ids").alias("n"), chars.alias("chars"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+QUERIES = {f.__name__: f for f in (review_batches, question_intents, card_decision, candidate_narrowing, strong_mixed_signal, cluster_assignment, comment_review, context_numbering, email_allowlist, slang_edits)}
 
 ORACLES = {
     "question_intents": "SELECT conv_id, turn, contains(lower(text), 'the') OR contains(lower(text), 'que') OR contains(lower(text), 'der') AS intent FROM conversations",
@@ -121,3 +128,11 @@ SELECT coalesce(t.term, e.term) AS term, CASE WHEN e.action = 'set' THEN e.type
 FROM terms t FULL JOIN last e ON t.term = e.term
 WHERE NOT coalesce(e.action = 'delete' AND e.type = t.type, false) AND (coalesce(e.action = 'set', false) OR t.term IS NOT NULL)""",
 }
+ORACLES["review_batches"] = """
+WITH cut AS (SELECT source, doc_id, text[1:150] AS x FROM documents),
+sized AS (SELECT *, ceil(sum(greatest(length(x), 1)) OVER (PARTITION BY source) / 30000.0) AS parts FROM cut),
+dealt AS (SELECT *, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % CAST(parts AS BIGINT) AS INTEGER) AS part FROM sized),
+begun AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY source, part ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 3850 AS win FROM dealt),
+turns AS (SELECT *, (row_number() OVER (PARTITION BY source, part, win ORDER BY doc_id) - 1) // 40 AS turn FROM begun),
+made AS (SELECT source, part, win, turn, count(*) AS n, sum(length(x)) AS chars, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM turns GROUP BY ALL)
+SELECT source, part, CAST(row_number() OVER (PARTITION BY source, part ORDER BY win, turn) AS INTEGER) AS batch, CAST(n AS INTEGER) AS n, CAST(chars AS INTEGER) AS chars, ids FROM made"""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.operators import governance as gov
+from quillspark.sources.sinks import counted_write
 from quillspark.sources.tables import load
+from quillspark.streaming.usage import work_folder
 
 ALLOWED = r"\x{20}-\x{7E}\n\x{2000}-\x{206F}"
 HIGH, LOW = ["tion", "eau", "heit", "ment", "ción"], ["ble", "oui", "sch", "rr", "and"]
@@ -113,6 +115,14 @@ def audit_counts(spark, sf_dir):
     return found.groupBy("source_type", "review_status").agg(F.count("*").alias("documents"), F.count_if("publishable").alias("publishable"), F.count_if(~F.col("publishable")).alias("blocked"))
 
 
+def observed_audit(spark, sf_dir):
+    """Totals of a publishing run: counted while the documents are written, without another pass."""
+    found = gov.normalise_metadata(metadata(spark, sf_dir)).withColumn("publishable", gov.publishable(F.col("valid"), F.col("review_status")))
+    counts = {"documents": F.count("*"), "publishable": F.count_if("publishable"), "verified": F.count_if(F.col("review_status") == "verified"), "sources": F.approx_count_distinct("source_type")}
+    seen = counted_write(found, lambda df: df.write.parquet(work_folder(spark, "audit")), **counts)
+    return spark.createDataFrame([tuple(seen[c] for c in counts)], ", ".join(f"{c} long" for c in counts))
+
+
 def keyword_verdict(spark, sf_dir):
     docs = titled(spark, sf_dir)
     hay = F.concat_ws(" ", "title", "lang", F.left(gov.without_footer(F.col("text"), "^(The and|De )"), F.lit(500)))
@@ -142,7 +152,7 @@ def review_hints(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_ids, exact_duplicate_groups, dedup_report, title_semi_join, metadata_inference, metadata_validation, publish_gate, audit_counts,
+        doc_ids, exact_duplicate_groups, dedup_report, title_semi_join, metadata_inference, metadata_validation, publish_gate, audit_counts, observed_audit,
         keyword_verdict, org_statistics, charset_cleanup, review_hints,
     )
 }
@@ -231,3 +241,6 @@ SELECT doc_id, CASE WHEN source = 'src1' AND contains(text, 'tion') THEN 'near c
   WHEN source = 'src2' AND contains(text, 'eau') THEN 'water' WHEN source = 'src3' AND contains(text, 'a') THEN 'any' ELSE 'no hint' END AS hint
 FROM documents""",
 }
+ORACLES["observed_audit"] = f"""
+WITH {_META}, p AS (SELECT *, valid AND review_status = 'verified' AS publishable FROM full_meta)
+SELECT count(*) AS documents, CAST(count(*) FILTER (publishable) AS BIGINT) AS publishable, CAST(count(*) FILTER (review_status = 'verified') AS BIGINT) AS verified, count(DISTINCT source_type) AS sources FROM p"""

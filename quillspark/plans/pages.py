@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import table_functions
 from quillspark.functions.markup import html_markdown
 from quillspark.functions.text import publish_date
 from quillspark.operators import governance, pages
@@ -45,7 +46,14 @@ def page_markdown(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", html_markdown(F.col("html"), F.col("url")).alias("markdown"))
 
 
-QUERIES = {f.__name__: f for f in (page_markdown, page_fields, page_links, page_urls, registry_coverage, richest_version)}
+def page_lines(spark, sf_dir):
+    """The lines of every page's Markdown, by a table function in SQL."""
+    table_functions.register(spark)
+    load(spark, sf_dir, "pages").createOrReplaceTempView("quillspark_pages")
+    return spark.sql("SELECT page_id, l.n, l.kind, l.line FROM quillspark_pages, LATERAL markdown_lines(html, url) l")
+
+
+QUERIES = {f.__name__: f for f in (page_markdown, page_lines, page_fields, page_links, page_urls, registry_coverage, richest_version)}
 
 _CLEAN = r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'), ' ')"
 _PLAIN = r"replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
@@ -87,3 +95,7 @@ SELECT host, count(*) AS n_columns, CAST(count(*) FILTER (known) AS BIGINT) AS n
 WITH v AS (SELECT regexp_extract(url, '://(?:www\.|m\.|blog\.)?([^/?#]+)', 1) AS host, page_id, CAST(length(html) AS INTEGER) AS chars FROM pages)
 SELECT host, count(*) OVER (PARTITION BY host) AS versions, page_id, chars FROM v QUALIFY row_number() OVER (PARTITION BY host ORDER BY chars // 500 DESC, page_id) = 1""",
 }
+ORACLES["page_lines"] = f"""
+WITH m AS ({ORACLES["page_markdown"]}), s AS (SELECT page_id, string_split(markdown, chr(10)) AS a FROM m),
+l AS (SELECT page_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS n FROM s)
+SELECT page_id, CAST(n AS INTEGER) AS n, CASE WHEN line LIKE '# %' THEN 'heading' WHEN line LIKE '- %' THEN 'item' ELSE 'text' END AS kind, line FROM l"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -31,3 +33,10 @@ def faq_markdown(notes: DataFrame, order: str, question: str, points: str, sourc
 def rewritten_on_publish(docs: DataFrame, status: str = "verified", checked: str = "", maintainer: str = "") -> DataFrame:
     """docs with the review fields set for publication; the body and other fields stay."""
     return docs.withColumns({"review_status": F.lit(status), "valid": F.lit(True), "last_checked_at": F.lit(checked), "maintainer": F.lit(maintainer)})
+
+
+def counted_write(df: DataFrame, write: Callable[[DataFrame], None], **counts: Column) -> dict:
+    """The counts (aggregate columns) of the rows of df as write writes them: taken by the write itself, in no scan of its own."""
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    return seen.get
