@@ -84,7 +84,29 @@ def mine_rules(labelled: DataFrame, n: int, min_support: float = 0.005, min_conf
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     spread = found.select("*", F.explode("tokens").alias("token")).join(single, "token")
     rarest = F.min(F.struct("freq", "token"))["token"]
-    return stored(spread.groupBy("tokens", "verdict", "confidence", "support").agg(rarest.alias("rarest")), "rules")
+    return spread.groupBy("tokens", "verdict", "confidence", "support").agg(rarest.alias("rarest"))
+
+
+def certain_tokens(labelled: DataFrame) -> DataFrame:
+    """(token, verdict, n) of the tokens of labelled (url, tokens, verdict) whose n urls all have one verdict."""
+    seen = labelled.select("verdict", F.explode("tokens").alias("token")).groupBy("token")
+    return seen.agg(F.min("verdict").alias("verdict"), F.max("verdict").alias("_other"), F.count("*").alias("n")).where("verdict = _other").drop("_other")
+
+
+def all_rules(labelled: DataFrame, n: int, min_support: float = 0.005, min_confidence: float = 0.8) -> DataFrame:
+    """(tokens, rarest, verdict, confidence, support): the rules of labelled (url, tokens, verdict) that can decide anything.
+
+    A token that has one verdict alone is a rule of confidence 1. Larger sets with it have the same verdict, no more
+    confidence and less support, so they decide nothing that it does not, and it is left out before sets are mined:
+    on a site that is judged as a whole no subsets of its urls' tokens are enumerated.
+    """
+    certain = stored(certain_tokens(labelled), "certain_tokens")
+    alone = certain.select(F.array("token").alias("tokens"), "verdict", F.lit(1.0).alias("confidence"), (F.col("n") / n).alias("support"), F.col("token").alias("rarest"))
+    open_tokens = labelled.select("url", "verdict", F.explode("tokens").alias("token")).join(F.broadcast(certain.select("token")), "token", "left_anti")
+    rest = stored(open_tokens.groupBy("url", "verdict").agg(F.collect_set("token").alias("tokens")), "open_tokens")
+    if rest.isEmpty():
+        return stored(alone, "rules")
+    return stored(alone.unionByName(mine_rules(rest, n, min_support, min_confidence)), "rules")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -109,7 +131,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFram
     They judge the urls that no listed rule fits; where none fits either the verdict is default.
 
     A url counts once, however often pages or labels repeat it; of several labels of one, block holds. Urls are
-    mined by classes of tokens, see token_classes; the cost is that of the frequent sets of classes. Urls of any
+    mined by classes of tokens, see token_classes, without those that one verdict alone has, see all_rules; the cost
+    is that of the frequent sets of the other classes. Urls of any
     length are read whole. A null url has an empty host and path and gets the default. Repeated rows give repeated
     rows; an empty table gives an empty table. Other columns, whatever their names, are neither read nor returned.
     """
@@ -129,7 +152,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFram
     if not n:
         return mined.select("page_id", "host", "path", "rule", F.coalesce("known", F.lit(default)).alias("verdict"))
     classes = stored(token_classes(labelled, min_support * n), "token_classes")
-    found = mine_rules(in_classes(labelled, classes, "verdict"), n, min_support, min_confidence)
+    found = all_rules(in_classes(labelled, classes, "verdict"), n, min_support, min_confidence)
     open_urls = judged.where("listed is null and url is not null").select("url", tokens).distinct()
     verdicts = match_rules(in_classes(open_urls, classes), found).select(F.col("url").alias("_url"), F.col("verdict").alias("ruled"))
     out = mined.join(verdicts, F.col("url") == F.col("_url"), "left")
