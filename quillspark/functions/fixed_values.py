@@ -26,3 +26,6 @@ FALLBACK_TOP_N = 4
 #: Fixed values of rendered pages: file endings that are attachments, what attachments and images are called, and the mark of an embedded PDF.
 FILE_ENDINGS = ("doc", "docx", "xls", "xlsx", "ppt", "pptx", "pdf", "zip", "rar", "7z", "wps")
 ATTACHMENT, FILE, PICTURE, PDF_MARK = "附件", "文件", "图片", "@PDFIFRAME@"
+
+#: Fixed value: the tag of documents without any.
+UNTAGGED = "未分类"

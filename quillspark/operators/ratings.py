@@ -115,3 +115,12 @@ def comment_quality(text: Column, short_ok: list[str] = SHORT_OK, bad_words: lis
         F.when(text == "", 1).when(F.length(bare(text)) < 2, F.when(bare(text).isin(short_ok), 0).otherwise(1)).when(~hit, 0)
         .when(bare(rest) == "", 1).when(says, 0).when(F.length(bare(rest)) < 8, 1).otherwise(2)
     )
+
+
+def concatenated(rows: DataFrame, key: str, text: str, order: list[str], between: str = "") -> DataFrame:
+    """(key, text): all texts of a key one after the other, in the given order; null texts are left out.
+
+    A key's text is one value, so it has to fit a row; keys meet in one shuffle, sorted there.
+    """
+    listed = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(*order, F.col(text).alias("_text")))))
+    return rows.groupBy(key).agg(F.array_join(listed["_text"], between).alias(text))

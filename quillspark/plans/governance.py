@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.operators import governance as gov
-from quillspark.sources.sinks import counted_write
+from quillspark.operators import intake
+from quillspark.sources.sinks import counted_write, set_aside
 from quillspark.sources.tables import load
 from quillspark.streaming.usage import work_folder
 
@@ -115,6 +116,33 @@ def audit_counts(spark, sf_dir):
     return found.groupBy("source_type", "review_status").agg(F.count("*").alias("documents"), F.count_if("publishable").alias("publishable"), F.count_if(~F.col("publishable")).alias("blocked"))
 
 
+def doc_states(spark, sf_dir):
+    """What a run found, against files of which several have one id: the first path's body decides."""
+    docs = load(spark, sf_dir, "documents")
+    files = docs.where("source <> 'src0'").select("doc_id", F.concat("source", F.lit("/a.md")).alias("path"), "text")
+    files = files.unionByName(docs.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("a"), F.right("source", F.lit(1)), F.lit("/b.md")).alias("path"), F.concat("text", F.lit(" (old)")).alias("text")))
+    found = docs.select("doc_id", F.when(F.col("source") == "src2", F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text")).alias("text"))
+    return intake.body_states(found, files, "doc_id", "path", "text").select("doc_id", "old_path", "state")
+
+
+def changed_documents(spark, sf_dir):
+    """Documents that cleaning would change, and in which fields."""
+    docs = load(spark, sf_dir, "documents")
+    clean = docs.select("doc_id", F.trim(F.regexp_replace("text", "[ \t]+", " ")).alias("text"), F.when(F.col("lang") != "fr", F.col("lang")).alias("lang"), "source")
+    return intake.changed_fields(docs, clean, "doc_id", ["lang", "text", "source"]).select("doc_id", "changed", F.array_join("fields", ",").alias("fields"))
+
+
+def quarantine(spark, sf_dir):
+    """Documents written in one pass: later copies of a text and short ones are set aside, and read back by place."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    first = docs.groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first"))
+    judged = docs.join(first, F.md5("text") == F.col("digest"))
+    reason = F.when(F.col("doc_id") > F.col("first"), "_dedup").when(F.length("text") < 40, "_short")
+    folder = work_folder(spark, "aside")
+    set_aside(judged.select("doc_id", "source", "first", "text"), reason, folder)
+    return spark.read.parquet(folder).groupBy("place", "source").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
 def observed_audit(spark, sf_dir):
     """Totals of a publishing run: counted while the documents are written, without another pass."""
     found = gov.normalise_metadata(metadata(spark, sf_dir)).withColumn("publishable", gov.publishable(F.col("valid"), F.col("review_status")))
@@ -152,7 +180,7 @@ def review_hints(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_ids, exact_duplicate_groups, dedup_report, title_semi_join, metadata_inference, metadata_validation, publish_gate, audit_counts, observed_audit,
+        doc_ids, exact_duplicate_groups, dedup_report, title_semi_join, metadata_inference, metadata_validation, publish_gate, audit_counts, observed_audit, doc_states, changed_documents, quarantine,
         keyword_verdict, org_statistics, charset_cleanup, review_hints,
     )
 }
@@ -244,3 +272,16 @@ FROM documents""",
 ORACLES["observed_audit"] = f"""
 WITH {_META}, p AS (SELECT *, valid AND review_status = 'verified' AS publishable FROM full_meta)
 SELECT count(*) AS documents, CAST(count(*) FILTER (publishable) AS BIGINT) AS publishable, CAST(count(*) FILTER (review_status = 'verified') AS BIGINT) AS verified, count(DISTINCT source_type) AS sources FROM p"""
+ORACLES["doc_states"] = """
+WITH files AS (
+  SELECT doc_id, source || '/a.md' AS path, text FROM documents WHERE source <> 'src0'
+  UNION ALL SELECT doc_id, 'a' || right(source, 1) || '/b.md', text || ' (old)' FROM documents WHERE doc_id % 3 = 0),
+old AS (SELECT doc_id, min(path) AS old_path, arg_min(text, path) AS old FROM files GROUP BY doc_id),
+found AS (SELECT doc_id, CASE WHEN source = 'src2' THEN text || ' (edited)' ELSE text END AS text FROM documents)
+SELECT doc_id, old_path, CASE WHEN old_path IS NULL THEN 'new' WHEN old IS NOT DISTINCT FROM text THEN 'same' ELSE 'updated' END AS state FROM found LEFT JOIN old USING (doc_id)"""
+ORACLES["changed_documents"] = r"""
+WITH c AS (SELECT doc_id, text IS DISTINCT FROM trim(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ') AS t, lang = 'fr' AS l FROM documents)
+SELECT doc_id, coalesce(l, false) OR t AS changed, array_to_string(list_filter([CASE WHEN l THEN 'lang' END, CASE WHEN t THEN 'text' END], lambda x: x IS NOT NULL), ',') AS fields FROM c"""
+ORACLES["quarantine"] = """
+WITH j AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM documents)
+SELECT CASE WHEN doc_id > first THEN '_dedup' WHEN length(text) < 40 THEN '_short' ELSE 'kept' END AS place, source, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM j GROUP BY ALL"""

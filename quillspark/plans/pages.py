@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import table_functions
 from quillspark.functions.markup import html_markdown
-from quillspark.functions.text import publish_date
-from quillspark.operators import governance, pages
+from quillspark.functions.text import publish_date, strip_tags
+from quillspark.operators import governance, intake, pages
 from quillspark.sources.tables import load
 
 
@@ -53,7 +53,22 @@ def page_lines(spark, sf_dir):
     return spark.sql("SELECT page_id, l.n, l.kind, l.line FROM quillspark_pages, LATERAL markdown_lines(html, url) l")
 
 
-QUERIES = {f.__name__: f for f in (page_markdown, page_lines, page_fields, page_links, page_urls, registry_coverage, richest_version)}
+PATH_RULES = [("/en/*", "政策"), ("/de/1", "通知"), ("/fr*", "通知")]
+TITLE_TAGS = [("the", ["english", "the"]), ("que", ["que", "french"]), ("ie", ["en"])]
+
+
+def page_documents(spark, sf_dir):
+    """Pages as documents to be reviewed: category by path, tags from language, host and title, all else by default."""
+    url, html = F.col("url"), F.col("html")
+    title = strip_tags(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+    lang, host = F.regexp_extract(html, r'(?i)<html[^>]*\slang="([^"]*)"', 1), F.regexp_extract(url, r"://([^/?#]+)", 1)
+    tags = intake.ordered_tags(F.array(lang), F.split(host, r"\."), intake.keyword_tags(title, TITLE_TAGS))
+    category = intake.category_by_path(F.regexp_extract(url, r"://[^/?#]+([^?#]*)", 1), PATH_RULES, "FAQ")
+    made = intake.document_rows(load(spark, sf_dir, "pages"), title, url, strip_tags(html), {"source_org": "site", "source_type": "third_party"}, tags=tags, category=category)
+    return made.select("doc_id", "title", "source_url", "source_org", "source_type", "authority_level", "publish_date", "category", F.array_join("tags", ",").alias("tags"), "valid", "review_status", "maintainer", F.array_join("campuses", ",").alias("campuses"), F.md5("body").alias("body_md5"))
+
+
+QUERIES = {f.__name__: f for f in (page_documents, page_markdown, page_lines, page_fields, page_links, page_urls, registry_coverage, richest_version)}
 
 _CLEAN = r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'), ' ')"
 _PLAIN = r"replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
@@ -99,3 +114,13 @@ ORACLES["page_lines"] = f"""
 WITH m AS ({ORACLES["page_markdown"]}), s AS (SELECT page_id, string_split(markdown, chr(10)) AS a FROM m),
 l AS (SELECT page_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS n FROM s)
 SELECT page_id, CAST(n AS INTEGER) AS n, CASE WHEN line LIKE '# %' THEN 'heading' WHEN line LIKE '- %' THEN 'item' ELSE 'text' END AS kind, line FROM l"""
+ORACLES["page_documents"] = rf"""
+WITH p AS (
+  SELECT url, {_CLEAN.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, {_CLEAN.format("html")} AS body, regexp_extract(html, '(?i)<html[^>]*\slang="([^"]*)"', 1) AS lang,
+    regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path FROM pages),
+t AS (
+  SELECT *, list_filter(flatten([[lang], string_split(host, '.'), CASE WHEN contains(title, 'the') THEN ['english', 'the'] ELSE [] END, CASE WHEN contains(title, 'que') THEN ['que', 'french'] ELSE [] END,
+    CASE WHEN contains(title, 'ie') THEN ['en'] ELSE [] END]), lambda x: x <> '') AS tags FROM p WHERE title <> '' AND body <> '')
+SELECT 'kb-' || sha256(trim(coalesce(url, ''), ' ') || chr(10) || trim(title, ' '))[1:16] AS doc_id, title, coalesce(url, '') AS source_url, 'site' AS source_org, 'third_party' AS source_type, 'unknown' AS authority_level, 'unknown' AS publish_date,
+  CASE WHEN path LIKE '/en/%' THEN '政策' WHEN path = '/de/1' OR path LIKE '/fr%' THEN '通知' ELSE 'FAQ' END AS category,
+  CASE WHEN len(tags) = 0 THEN '未分类' ELSE array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i), ',') END AS tags, true AS valid, 'needs_review' AS review_status, 'unassigned' AS maintainer, '未明确' AS campuses, md5(body) AS body_md5 FROM t"""

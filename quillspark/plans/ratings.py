@@ -73,6 +73,13 @@ def mention_owner(spark, sf_dir):
     return long.groupBy("source").agg(F.max_by(F.struct("word", "n"), F.struct("n", F.length("word"), "word")).alias("m")).select("source", "m.word", "m.n")
 
 
+def comment_concat(spark, sf_dir):
+    """All flags of a supplier's lines in the order of their places."""
+    lines = load(spark, sf_dir, "lineitem").withColumn("said", F.when(F.col("l_quantity") > 10, F.concat("l_returnflag", F.col("l_linenumber").cast("string"))))
+    found = ratings.concatenated(lines, "l_suppkey", "said", ["l_orderkey", "l_linenumber", "l_partkey"], "/")
+    return found.select("l_suppkey", F.length("said").alias("n"), F.md5("said").alias("digest"))
+
+
 MENTIONED = ("tion", "ent", "eau", "heit", "ciones")
 
 
@@ -174,7 +181,7 @@ def text_quality(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        comment_weight, rating_card, rating_card_nested, course_candidates, mixed_candidates, vote_extremes, mention_owner, longest_name_match,
+        comment_weight, rating_card, rating_card_nested, course_candidates, mixed_candidates, vote_extremes, mention_owner, comment_concat, longest_name_match,
         prefix_course_match, course_detection, courses_asked, resolve_chain, fuzzy_match, slang_overlap, query_expansion, text_quality,
     )
 }
@@ -204,6 +211,10 @@ judged AS (
   FROM (SELECT l_orderkey, unnest(min({'l_suppkey': l_suppkey, 'l_partkey': l_partkey})) FROM lineitem GROUP BY l_orderkey) JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
 slang_courses AS (SELECT id, q, list_concat(CASE WHEN contains(q, 'sb') THEN ['small bolt'] ELSE [] END, CASE WHEN contains(q, 'rw') THEN ['red widget'] ELSE [] END) AS slang FROM judged)"""
 ORACLES = {
+    "comment_concat": """
+WITH said AS (
+  SELECT l_suppkey, coalesce(string_agg(l_returnflag || l_linenumber, '/' ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag) FILTER (l_quantity > 10), '') AS said FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, CAST(length(said) AS INTEGER) AS n, md5(said) AS digest FROM said""",
     "course_detection": f"""
 WITH {_JUDGEMENTS},
 asking AS (SELECT * FROM slang_courses WHERE contains(q, 'how good')),

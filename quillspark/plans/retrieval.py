@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillspark.functions.embedding import hash_embedder, keyword_score
@@ -105,6 +107,17 @@ def hybrid_plain(spark, sf_dir):
     return retrieval.hybrid(questions(spark, sf_dir), [_by_vector(spark, sf_dir), _bm25(spark, sf_dir, terms)], passages(spark, sf_dir), "doc_id", "file").drop("score")
 
 
+FORMAL = {"the": "with", "que": "de la", "und": "die der"}
+
+
+def expanded_hybrid(spark, sf_dir):
+    """Questions with the formal words of their slang, through both channels and the scorer."""
+    index_ = _index(spark, sf_dir)
+    by_words = lambda asked: retrieval.bm25(asked, index_, "doc_id", keep=keeper(spark))
+    by_vector = lambda asked: _by_vector(spark, sf_dir).join(asked.select("query_id"), "query_id", "left_semi")
+    return retrieval.expanded_search(questions(spark, sf_dir), FORMAL, [by_vector, by_words], passages(spark, sf_dir), "doc_id", "file", keyword_score)
+
+
 def coverage_selection(spark, sf_dir):
     """Twenty candidates of each query by vector; the label is the file and cosine the score."""
     vectors = load(spark, sf_dir, "embeddings")
@@ -210,7 +223,7 @@ def stream_changes(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        term_stats, bm25_topk, segmented_questions, vector_topk, vector_index_topk, rrf_fusion, hybrid_search, hybrid_plain, coverage_selection, fallback_merge, eval_hit_mrr, hash_embedding,
+        term_stats, bm25_topk, segmented_questions, vector_topk, vector_index_topk, rrf_fusion, hybrid_search, expanded_hybrid, hybrid_plain, coverage_selection, fallback_merge, eval_hit_mrr, hash_embedding,
         index_diff, index_merge, stale_ids, catalogue, stream_incremental, stream_changes,
     )
 }
@@ -331,3 +344,11 @@ WITH last AS (
   SELECT doc_id, CASE source WHEN 'src1' THEN text || ' (back)' WHEN 'src4' THEN text[1:700] ELSE text END AS t FROM documents WHERE source <> 'src3'),
 pieces AS (SELECT doc_id, t, unnest(range(0, (length(t) - 1) // 500 + 1)) AS n FROM last WHERE length(t) > 0)
 SELECT doc_id, CAST(n AS INTEGER) AS n, md5(substring(t, n * 500 + 1, 500)) AS digest FROM pieces"""
+_EXPANDED = _BM25.replace(
+    "' ') AS question FROM benchmark)",
+    "' ') AS plain FROM benchmark), questions AS (SELECT query_id, CASE WHEN len(x) > 0 THEN plain || ' ' || array_to_string(x, ' ') ELSE plain END AS question FROM (SELECT query_id, plain, list_filter(["
+    + ", ".join(f"CASE WHEN contains(plain, '{s}') AND NOT contains(plain, '{f}') THEN '{f}' END" for s, f in FORMAL.items())
+    + "], lambda v: v IS NOT NULL) AS x FROM plain_questions))",
+).replace("questions AS (SELECT item_id", "plain_questions AS (SELECT item_id")
+_POOL = "SELECT query_id, doc_id, pos AS fused FROM fused WHERE pos <= 20"
+ORACLES["expanded_hybrid"] = re.sub(r"SELECT query_id, doc_id, pos AS fused FROM fused WHERE pos <= 20 UNION ALL.*?pos <= 20\)\)", _POOL + ")", ORACLES["hybrid_search"].replace(_BM25, _EXPANDED), flags=re.DOTALL)

@@ -40,3 +40,24 @@ def counted_write(df: DataFrame, write: Callable[[DataFrame], None], **counts: C
     seen = Observation()
     write(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
     return seen.get
+
+
+def set_aside(df: DataFrame, reason: Column, folder: str) -> None:
+    """Writes df under folder in one pass: `place=kept`, and a place for each reason of rows that are moved out of the way (null: none)."""
+    df.withColumn("place", F.coalesce(reason, F.lit("kept"))).write.partitionBy("place").parquet(folder)
+
+
+def write_manifests(results: DataFrame, errors: DataFrame, folder: str, fetched_at: str) -> bool:
+    """One JSON manifest a source under folder, of results (source, key, status, doc_id, chars) and errors (source, error); see files.manifest.
+
+    Sources without results keep the manifest they have, as a run that found nothing must not lose what is known.
+    True if any was written.
+    """
+    listed = results.groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.struct("status", "doc_id", "chars").alias("value"))))).alias("results"))
+    said = errors.groupBy(F.col("source").alias("_s")).agg(F.array_sort(F.collect_list("error")).alias("errors"))
+    made = listed.join(said, F.col("source") == F.col("_s"), "left").select("source", F.lit(fetched_at).alias("fetched_at"), "results", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+    if made.isEmpty():
+        return False
+    text = made.select(F.col("source").alias("name"), F.to_json(F.struct("source", "fetched_at", "results", "errors"), {"ignoreNullFields": "false"}).alias("value"))
+    text.repartition("name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(folder)
+    return True
