@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_llm_operators import PROSE, brute_components, brute_contamination, brute_shards, slow_fingerprint
@@ -94,3 +95,16 @@ def test_stages_take_awkward_tables(spark, stage):
         more = more.withColumn(c, F.lit(c))
     out = stage(spark, more, DATA)
     assert out.count() > 0 and (out.columns == more.columns or "shard" in out.columns)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_their_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "embeddings", "pages", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    cursor = con.execute(ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    want = [dict(zip(names, r, strict=True)) for r in cursor.fetchall()]
+    found = [r.asDict() for r in QUERIES[name](spark, DATA).collect()]
+    plain = lambda rows: sorted(repr(sorted((k, round(v, 5) if isinstance(v, float) else v) for k, v in r.items())) for r in rows)
+    assert plain(found) == plain(want)
