@@ -23,9 +23,11 @@ PROMPT_MIN_SCORE = 0.15
 FALLBACK_SCORE = 0.3
 FALLBACK_TOP_N = 4
 
-#: Fixed values of rendered pages: file endings that are attachments, what attachments and images are called, and the mark of an embedded PDF.
+#: Fixed values of rendered pages: file endings that are attachments, what attachments and images are called, the mark of an
+#: embedded PDF, and the class and attribute of players that embed one.
 FILE_ENDINGS = ("doc", "docx", "xls", "xlsx", "ppt", "pptx", "pdf", "zip", "rar", "7z", "wps")
 ATTACHMENT, FILE, PICTURE, PDF_MARK = "附件", "文件", "图片", "@PDFIFRAME@"
+PDF_PLAYER, PDF_SOURCE = "wp_pdf_player", "pdfsrc"
 
 #: Fixed value: the tag of documents without any.
 UNTAGGED = "未分类"

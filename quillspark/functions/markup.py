@@ -208,8 +208,8 @@ def blocks(node: Node, base: str) -> list[str]:
         return [f"![{V.PICTURE}]({address})" if address else f"[{V.PICTURE}]"]
     if node.tag == "hr":
         return ["---"]
-    if node.tag == "iframe" or "wp_pdf_player" in node.attrs.get("class", "").split():
-        source = node.attrs.get("pdfsrc", "") if node.tag != "iframe" else (parse_qs(urlsplit(node.attrs.get("src", "")).query).get("file") or [node.attrs.get("src", "")])[0]
+    if node.tag == "iframe" or V.PDF_PLAYER in node.attrs.get("class", "").split():
+        source = node.attrs.get(V.PDF_SOURCE, "") if node.tag != "iframe" else (parse_qs(urlsplit(node.attrs.get("src", "")).query).get("file") or [node.attrs.get("src", "")])[0]
         return [f"{V.PDF_MARK} {_absolute(base, source)}"] if source else []
     return [line for child in node.elements() for line in blocks(child, base)]
 

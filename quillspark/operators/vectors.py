@@ -76,7 +76,8 @@ def build_index(vectors: DataFrame, key: str, folder: str, max_lists: int = 1024
     put = units.withColumn("p", placed("unit")).select(key, "p.list", "p.away", "unit")
     salt = F.pmod(F.xxhash64(key), F.lit(1024))
     spread = put.withColumn("salt", salt)
-    spread.repartition("list", F.col("salt") % 8).sortWithinPartitions("list", "salt").write.partitionBy("list").parquet(folder)
+    # A list is a file, or some where lists are so large that one task should not write each.
+    spread.repartition("list", F.col("salt") % max(1, min(64, n // len(centres) // 200_000))).sortWithinPartitions("list", "salt").write.partitionBy("list").parquet(folder)
     stored = vectors.sparkSession.read.schema(T.StructType([f for f in spread.schema if f.name != "list"] + [T.StructField("list", T.IntegerType())])).parquet(folder)
     sizes = stored.groupBy("list").agg(F.count("*").alias("n"))
     pieces = F.least(F.lit(1024), F.ceil(F.col("n") / piece_rows)).cast("int")
