@@ -76,21 +76,6 @@ def fold_bucket(column: str, n: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n).cast("long"))
 
 
-def classes_that_fit(counted: DataFrame, most: int, n: str = "n", width: int = 8) -> tuple[DataFrame, DataFrame]:
-    """The rows of counted with the highest counts, at most `most` of them, and all others.
-
-    The cut is found in a histogram of count classes, `width` to a doubling, so rows of one class stay together,
-    and no task or driver sees the rows themselves. counted is read twice: a stored table as a rule.
-    """
-    kind = F.floor(F.log2(n) * width).cast("int")
-    taken, cut = 0, None
-    for row in counted.groupBy(kind.alias("kind")).agg(F.count("*").alias("rows")).orderBy(F.desc("kind")).collect():
-        if taken + row["rows"] > most:
-            break
-        taken, cut = taken + row["rows"], row["kind"]
-    return (counted.limit(0), counted) if cut is None else (counted.where(kind >= cut), counted.where(kind < cut))
-
-
 def numbered(df: DataFrame, group: list[str], order: list[str], place: str = "pos", size: str = "rows") -> DataFrame:
     """df with `place`, a row's number from 0 in its group by order, and `size`, the rows of the group; stores df once.
 

@@ -170,10 +170,12 @@ def build_index(rows: DataFrame, per_vector: int, shard_size: int = 8192, degree
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     points = stored(rows.withColumn("_rank", rank).where(F.col("_rank") <= per_vector).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "points")
     shards = max(1, -(-points.count() // shard_size))
-    dealt = points.select(F.size("vector").alias("dims"), F.pmod(F.xxhash64("vector"), F.lit(shards)).alias("shard"), "vector", "ids")
+    dealt = points.select(F.size("vector").alias("dims"), F.pmod(F.xxhash64("vector"), F.lit(shards)).alias("shard"), "vector", "ids", F.col("ids")[0].alias("first"), F.hash("vector").alias("tie"))
     schema = "dims int, entry int, n int, width int, vectors binary, graph binary, ids array<array<long>>"
 
     def built(key, table):
+        # Points come in the order of the shuffle; sorted, a shard has the same graph in every run.
+        table = table.sort_by([("first", "ascending"), ("tie", "ascending")])
         dims, n = key[0].as_py(), len(table)
         vectors = table.column("vector").combine_chunks().flatten().to_numpy().reshape(n, dims)
         graph, entry = build_graph(scaled(vectors)[0], degree, beam, alpha)
