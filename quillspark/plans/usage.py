@@ -54,6 +54,11 @@ def open_questions(spark, sf_dir):
     return log.where(usage.is_uncovered("covered", "feedback"))
 
 
+def _second(ts):
+    """The nearest second of a time, halves to the even one, as SQL casts epoch(ts)."""
+    return F.rint(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).cast("long")
+
+
 def _attempts(spark, sf_dir):
     """Errors are failed and purchases successful attempts."""
     log = load(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')")
@@ -64,7 +69,7 @@ def _codes(spark, sf_dir):
     """Signups ask for a code of their value's last digit, errors and purchases try theirs."""
     events = load(spark, sf_dir, "events").where("event_type IN ('signup', 'error', 'purchase')")
     digit = F.expr("CAST(CAST(floor(value) AS BIGINT) % 3 AS STRING)")
-    return events.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.expr("event_type = 'signup'").alias("asks"), digit.alias("code"))
+    return events.select("user_id", "event_id", _second("ts").alias("at"), F.expr("event_type = 'signup'").alias("asks"), digit.alias("code"))
 
 
 #: Three failures lock a user for an hour. Six hours between codes, which live two days and bear two wrong tries.
