@@ -62,7 +62,7 @@ def _second(ts):
 def _attempts(spark, sf_dir):
     """Errors are failed and purchases successful attempts."""
     log = load(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')")
-    return log.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.expr("event_type = 'purchase'").alias("ok"))
+    return log.select("user_id", "event_id", _second("ts").alias("at"), F.expr("event_type = 'purchase'").alias("ok"))
 
 
 def _codes(spark, sf_dir):
