@@ -94,7 +94,7 @@ def stream_code_lifetimes(spark, sf_dir):
 
 
 def gap_sessions(spark, sf_dir):
-    log = load(spark, sf_dir, "events").withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    log = load(spark, sf_dir, "events").withColumn("at", _second("ts"))
     numbered = usage.gap_sessions(log, "user_id", "at", 6 * 3600, "event_id")
     return numbered.groupBy("user_id", "session_no").agg(F.count("*").alias("n_events"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
 
