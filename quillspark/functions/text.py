@@ -72,11 +72,11 @@ def clean_title(title: Column) -> Column:
 
 
 def publish_date(title: Column, url: Column) -> Column:
-    """The title's revision date, else the link's /YYYY/MMDD/, else unknown; months and days are checked by range."""
+    """The title's revision date, else the link's first /YYYY/MMDD/ of a month and day in range, else unknown."""
     part = lambda i: F.regexp_extract(title, r"[（(](\d{4})年(\d{1,2})月(\d{1,2})日(?:修订|更新)?[)）]", i)
-    year, month, day = (F.regexp_extract(url, r"/(\d{4})/(\d{2})(\d{2})/", i) for i in (1, 2, 3))
-    in_range = month.try_cast("int").between(1, 12) & day.try_cast("int").between(1, 31)
-    return F.when(part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))).when(in_range, F.concat_ws("-", year, month, day)).otherwise("unknown")
+    # Other numbers of four digits, as of a page, may stand before the year.
+    year, month, day = (F.regexp_extract(url, r"/(\d{4})/(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])/", i) for i in (1, 2, 3))
+    return F.when(part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))).when(year != "", F.concat_ws("-", year, month, day)).otherwise("unknown")
 
 
 def promote_headings(text: Column, max_chars: int = 30) -> Column:
