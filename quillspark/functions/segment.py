@@ -16,10 +16,13 @@ HAN = "一-鿿㐀-䶿"
 
 
 class Graph:
-    """Word counts as log probabilities; a character that is no word counts as seen once."""
+    """Word counts as log probabilities; a character that is no word counts as seen once.
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    total: the sum of all counts, where counts are a part of a dictionary.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) or 1
         self.log = {w: math.log(n) - math.log(total) for w, n in counts.items() if n > 0 and w}
         self.longest, self.unseen = max(map(len, self.log), default=1), -math.log(total)
 
@@ -76,3 +79,25 @@ def segmenter(counts: DataFrame, word: str = "word", count: str = "n", letters:
         return pd.Series([of(t) for t in texts], dtype="object")
 
     return words
+
+
+def segmented(runs: DataFrame, run: str, counts: DataFrame, word: str = "word", count: str = "n") -> DataFrame:
+    """(run, words): the words of each distinct run by the word graph, with a dictionary counts (word, count) of any size.
+
+    The dictionary stays where it is: the pieces of the runs that are no longer than its longest word meet it in a
+    join, and a run takes the words inside it along, so a task holds those of one run at a time. A word is in counts once.
+    """
+    known = counts.where(F.col(word).isNotNull()).select(F.col(word).alias("_word"), F.coalesce(F.col(count).cast("long"), F.lit(0)).alias("_n"))
+    longest, total = known.agg(F.coalesce(F.max(F.length("_word")), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    asked = runs.select(run).where(F.length(run) > 0).distinct()
+    at = F.explode(F.sequence(F.lit(1), F.length(run))).alias("_i")
+    sizes = F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.length(run) - F.col("_i") + 1))
+    pieces = asked.select(run, at).select(run, F.explode(F.transform(sizes, lambda k: F.substring(F.col(run), F.col("_i"), k))).alias("_word")).distinct()
+    held = pieces.join(known, "_word").groupBy(run).agg(F.collect_list(F.struct("_word", "_n")).alias("_held"))
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series, held: pd.Series) -> pd.Series:
+        own = ({h["_word"]: h["_n"] for h in (() if hs is None else hs)} for hs in held)
+        return pd.Series([Graph(h, total).path(t) for t, h in zip(texts, own, strict=True)], dtype="object")
+
+    return asked.join(held, run, "left").select(run, words(F.col(run), F.col("_held")).alias("words"))

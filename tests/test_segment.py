@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions.segment import Graph, segmenter
+from quillspark.functions.segment import Graph, segmented, segmenter
 from quillspark.operators import retrieval
 
 
@@ -58,3 +58,15 @@ def test_questions_meet_documents_by_segmented_words(spark):
     n, mean = retrieval.corpus_size(docs, "t", cut)
     found = retrieval.bm25(asked, terms, "id", n, mean, tokenize=cut).collect()
     assert {(r["query_id"], r["id"]) for r in found if r["pos"] == 1} == {(7, 1), (8, 2)}
+
+
+def test_a_dictionary_of_any_size_stays_in_its_table(spark):
+    # Over a million words, which no task may hold.
+    other = spark.range(1_000_001).select(F.concat(F.lit("x"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("word"), F.lit(1).cast("long").alias("n"))
+    few = {"the": 900, "he": 30, "cat": 20, "at": 50, "a": 70, "cats": 3}
+    counts = other.unionByName(spark.createDataFrame(list(few.items()), "word string, n long"))
+    runs = ["thecatsat", "hexatz", "q", "xbcdcat", "catcatcat"]
+    df = spark.createDataFrame([(r,) for r in runs + ["", None, "q"]], "run string")
+    found = {r["run"]: r["words"] for r in segmented(df, "run", counts).collect()}
+    whole = Graph({**few, **{"x" + str(i).translate(str.maketrans("0123456789", "abcdefghij")): 1 for i in range(1_000_001)}})
+    assert found == {r: whole.path(r) for r in runs}
