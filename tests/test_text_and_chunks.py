@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunking, text
+from quillspark.functions import embedding
 from quillspark.functions.embedding import hash_embedding, hash_features, reranker
 
 
@@ -127,3 +128,10 @@ def test_a_reranker_that_fails_to_load_gives_nulls(spark):
         raise OSError("no model")
 
     assert spark.range(2).select(reranker(load)(F.lit("q"), F.lit("t")).alias("s")).where("s IS NULL").count() == 2
+
+
+def test_kept_digests_have_a_bound(monkeypatch):
+    monkeypatch.setattr(embedding, "MOST_KNOWN", 50)
+    known = {}
+    text = " ".join(f"word{i}" for i in range(500))
+    assert embedding.hash_embedding(text, known=known) == embedding.hash_embedding(text) and len(known) <= 50
